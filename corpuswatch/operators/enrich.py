@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from corpuswatch import lexicons as L
 from corpuswatch.functions.text import (
-    contains_term, head, matched_terms, or_empty, strip, term_hits, tokens, words,
+    contains_term, head, matched_terms, or_empty, strip, term_hits, tokens, word_count, words,
 )
 
 ScoringFn = Callable[[pd.Series], pd.DataFrame]
@@ -211,17 +211,12 @@ def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash",
         .join(names, F.lower("name") == F.col("_name"))
         .select(key, "_text", "name", "label")
     )
-    patterns = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.regexp_extract_all("_text", F.lit(p), F.lit(0)),
-                    lambda v, label=label: F.struct(v.alias("name"), F.lit(label).alias("label")),
-                )
-                for label, p in VALUE_PATTERNS.items()
-            ]
-        )
-    )
+
+    def values(label: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda v: F.struct(v.alias("name"), F.lit(label).alias("label")))
+
+    patterns = F.flatten(F.array(*[values(label, p) for label, p in VALUE_PATTERNS.items()]))
     valued = base.select(key, "_text", F.inline(patterns))
     found = named.unionByName(valued).dropDuplicates([key, "name", "label"])
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}])"))
@@ -257,10 +252,6 @@ def title_keywords(title: Column, k: int = 5, min_len: int = 4) -> Column:
     return F.slice(F.transform(kept, F.lower), 1, k)
 
 
-def word_count(c: Column) -> Column:
-    return F.size(tokens(or_empty(c)))
-
-
 def with_counts(df: DataFrame) -> DataFrame:
     return df.withColumn("word_count", word_count(F.col("content"))).withColumn(
         "entity_count", F.coalesce(F.size("entities"), F.lit(0))
@@ -332,20 +323,24 @@ def classify_events(df: DataFrame, lexicon=None, min_reliability: float = 0.3, b
     )
 
 
+def with_entities(df: DataFrame, gazetteer: DataFrame | None, key: str = "url") -> DataFrame:
+    """Add ``entities`` from the gazetteer and the value patterns; an empty array where nothing is found."""
+    empty = F.expr("cast(array() as array<struct<name:string,label:string,start:int,`end`:int,type:string>>)")
+    if gazetteer is None:
+        return df.withColumn("entities", empty)
+    found = entities_from_tags(tag_entities(df, gazetteer, key), key)
+    return df.join(found, key, "left").withColumn("entities", F.coalesce("entities", empty))
+
+
 def enrich(
     df: DataFrame, gazetteer: DataFrame | None = None, lexicon=None, positive=None, negative=None, as_of: Column | None = None,
-    encode_fn: ScoringFn | None = None, dim: int = 384,
+    encode_fn: ScoringFn | None = None, dim: int = 384, key: str = "url",
 ) -> DataFrame:
-    """Categories, sentiment, entities, embedding and counts in one pass; only entities need a shuffle."""
+    """Categories, sentiment, entities, embedding and counts in one pass; only entities need a shuffle.
+
+    ``key`` names the rows uniquely: two articles with one content hash may still differ further down.
+    """
     labelled = keyword_sentiment(keyword_categories(df, lexicon), positive, negative)
-    if gazetteer is not None:
-        tags = tag_entities(df.dropDuplicates(["content_hash"]), gazetteer)
-        labelled = labelled.join(entities_from_tags(tags), "content_hash", "left")
-        empty = F.expr("cast(array() as array<struct<name:string,label:string,start:int,end:int,type:string>>)")
-        labelled = labelled.withColumn("entities", F.coalesce("entities", empty))
-    else:
-        labelled = labelled.withColumn(
-            "entities", F.expr("cast(array() as array<struct<name:string,label:string,start:int,end:int,type:string>>)")
-        )
+    labelled = with_entities(labelled, gazetteer, key)
     embedded = with_counts(with_embedding(labelled, encode_fn, dim))
     return embedded.withColumn("processed_at", F.col("crawled_at") if as_of is None else as_of)

@@ -12,11 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_of(table(spark, sf_dir, "documents"))
+
+
+def articles_of(documents: DataFrame) -> DataFrame:
     """Documents as raw articles: the first line, cut to 300 characters, is the title."""
     at = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return with_content_hash(
-        table(spark, sf_dir, "documents").select(
+        documents.select(
             "doc_id",
             F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
             F.left(F.substring_index("text", "\n", 1), F.lit(300)).alias("title"),

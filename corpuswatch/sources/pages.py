@@ -14,7 +14,7 @@ from corpuswatch.operators.identity import with_content_hash
 # Named character references that are resolved.
 NAMED_ENTITIES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "hellip": "…", "mdash": "—", "ndash": "–",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "copy": "©", "eacute": "é", "egrave": "è",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "copy": "©", "middot": "·", "eacute": "é", "egrave": "è",
     "agrave": "à", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ccedil": "ç", "euro": "€",
 }
 
