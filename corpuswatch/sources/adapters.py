@@ -72,7 +72,8 @@ def incidents_of(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("subcategory"),
         F.initcap("event_type").alias("subcategory_label"),
         (F.lit(0.5) + (F.col("event_id") % 50) / F.lit(100.0)).alias("credibility_score"),
-        F.round(F.least(F.col("value") / 20, F.lit(1.0)), 3).alias("anomaly_score"),
+        # value / 20 to three decimals, half up, in whole numbers: no binary noise on the half-way cases.
+        (F.least(F.floor((F.round(F.col("value") * 100) + 1) / 2), F.lit(1000)) / F.lit(1000.0)).alias("anomaly_score"),
         F.lit(0.5).alias("source_reliability"),
         F.array("event_type").alias("matched_signals"),
         F.when(five != 0, F.concat(F.lit("R"), five.cast("string"))).alias("region"),
