@@ -6,29 +6,34 @@ import re
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# White space of any kind; spelled out, because the Unicode switch of the regex engine is slow.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
 def strip(c: Column) -> Column:
     """Drop leading and trailing white space of any kind (``trim`` only knows the blank)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower case, punctuation to blanks, runs of white space to one blank, trimmed; keeps accented letters."""
-    cleaned = F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " ")
-    return F.trim(F.regexp_replace(cleaned, r"(?U)\s+", " "))
+    """Lower case, every run of other characters than letters, digits and ``_`` to one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
 
 
 def words(c: Column) -> Column:
     """Words of the normalised text; an empty text has none."""
-    return F.filter(F.split(normalize_text(c), " "), lambda w: w != "")
+    text = normalize_text(c)
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(text, " "))
 
 
 def tokens(c: Column) -> Column:
     """White-space tokens of the text as written."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    text = strip(c)
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(text, f"{SPACE}+"))
 
 
 def word_count(c: Column) -> Column:
@@ -39,6 +44,15 @@ def strip_tags(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    The optimizer copies a computed column into every later filter and projection that reads it; it does not
+    do so across a generator. Worth it for costly expressions that are read more than once.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def head(c: Column, n: int | None) -> Column:
     """First ``n`` characters; ``None`` keeps the whole text."""
     return c if n is None else F.left(c, F.lit(n))
@@ -78,6 +92,16 @@ def python_title(c: Column) -> Column:
     )
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half up on the decimal value: nine decimals first, so that binary noise does not decide half-way cases."""
+    return F.round(F.round(c, 9), digits)
+
+
 def fixed_point(c: Column, digits: int) -> Column:
     """A number as text with a fixed count of decimals."""
     return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean that does not depend on the order of addition (scores carry few decimals), to nine decimals."""
+    return F.round(F.sum(c.cast("decimal(18,6)")).cast("double") / F.count(c), 9)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.parsing import age_label
+from corpuswatch.functions.text import exact_mean, rounded
 from corpuswatch.session import clock_bound
 
 LIST_COLUMNS = [
@@ -105,7 +106,7 @@ def sentiment_breakdown(df: DataFrame, hours: int = 24, as_of=None) -> DataFrame
         recent.groupBy(F.col("sentiment_label").alias("label"))
         .agg(
             F.count(F.lit(1)).alias("count"),
-            F.round(F.avg(F.col("sentiment_score").cast("decimal(18,6)")), 4).cast("double").alias("avg_score"),
+            rounded(exact_mean(F.col("sentiment_score")), 4).alias("avg_score"),
         )
         .orderBy(F.col("count").desc(), "label")
     )

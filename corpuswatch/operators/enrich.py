@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from corpuswatch import lexicons as L
 from corpuswatch.functions.text import (
-    contains_term, head, matched_terms, or_empty, strip, term_hits, tokens, word_count, words,
+    computed_once, contains_term, head, matched_terms, or_empty, strip, term_hits, tokens, word_count, words,
 )
+from corpuswatch.session import broadcast_if_small
 
 ScoringFn = Callable[[pd.Series], pd.DataFrame]
 
@@ -29,18 +30,24 @@ def label_text(chars: int | None = 512) -> Column:
 # -- categories -------------------------------------------------------------------------------------------
 
 
-def category_hits(text: Column, lexicon: dict[str, list[str]], match: str = "substring") -> Column:
-    """Array of (score, rank, label) for every category with a hit; rank is minus the lexicon position."""
-    lowered = F.lower(text)
-    entries = [
-        F.struct(
-            F.least(term_hits(lowered, terms, match) / F.lit(3.0), F.lit(1.0)).alias("score"),
-            F.lit(-i).alias("rank"),
-            F.lit(label).alias("label"),
-        )
-        for i, (label, terms) in enumerate(lexicon.items())
-    ]
-    return F.filter(F.array(*entries), lambda e: e["score"] > 0)
+def category_hits(lowered: Column, lexicon: dict[str, list[str]], match: str = "substring") -> Column:
+    """Array of (score, rank, label) per category, null without a hit; rank is minus the lexicon position.
+
+    Only plain expressions, so that the substring tests run as generated code.
+    """
+    entries = []
+    for i, (label, terms) in enumerate(lexicon.items()):
+        n = term_hits(lowered, terms, match)
+        score = F.least(n / F.lit(3.0), F.lit(1.0))
+        entries.append(F.when(n > 0, F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))))
+    return F.array(*entries)
+
+
+def with_category_hits(df: DataFrame, lexicon: dict[str, list[str]], chars: int | None = 512, match: str = "substring"):
+    """Add ``category_hits``: the categories of an article that have a hit."""
+    lowered = computed_once(df, _low=F.lower(label_text(chars)))
+    hits = computed_once(lowered, _all=category_hits(F.col("_low"), lexicon, match))
+    return hits.withColumn("category_hits", F.filter("_all", lambda e: e.isNotNull())).drop("_low", "_all")
 
 
 def top_categories(hits: Column, k: int = 3) -> Column:
@@ -56,12 +63,12 @@ def keyword_categories(
     match: str = "substring",
 ) -> DataFrame:
     """Add ``categories`` and ``category_scores`` from keyword hits."""
-    hits = category_hits(label_text(chars), lexicon or L.CATEGORY_KEYWORDS, match)
+    hits = with_category_hits(df, lexicon or L.CATEGORY_KEYWORDS, chars, match)
     return (
-        df.withColumn("_top", top_categories(hits, k))
+        hits.withColumn("_top", top_categories(F.col("category_hits"), k))
         .withColumn("categories", F.col("_top.label"))
         .withColumn("category_scores", F.map_from_arrays("_top.label", "_top.score"))
-        .drop("_top")
+        .drop("_top", "category_hits")
     )
 
 
@@ -87,27 +94,27 @@ def score_texts(df: DataFrame, text: Column, score_fn: ScoringFn, schema: str) -
 
 def model_categories(df: DataFrame, score_fn: ScoringFn, k: int = 3, floor: float = 0.3, chars: int | None = 512):
     """Categories from a model that returns ``labels`` and ``scores`` arrays, best first; keyword rules on failure."""
-    scored = score_texts(df, label_text(chars), score_fn, "labels array<string>, scores array<double>")
+    hits = with_category_hits(df, L.CATEGORY_KEYWORDS, chars)
+    scored = score_texts(hits, label_text(chars), score_fn, "labels array<string>, scores array<double>")
     pairs = F.slice(F.arrays_zip("model.labels", "model.scores"), 1, k)
     kept = F.transform(
         F.filter(pairs, lambda p: p["scores"] > floor),
         lambda p: F.struct(F.round(p["scores"], 4).alias("score"), F.lit(0).alias("rank"), p["labels"].alias("label")),
     )
-    fallback = top_categories(category_hits(label_text(chars), L.CATEGORY_KEYWORDS), k)
+    fallback = top_categories(F.col("category_hits"), k)
     return (
         scored.withColumn("_top", F.when(F.col("model.labels").isNull(), fallback).otherwise(kept))
         .withColumn("categories", F.col("_top.label"))
         .withColumn("category_scores", F.map_from_arrays("_top.label", "_top.score"))
-        .drop("_top", "model")
+        .drop("_top", "model", "category_hits")
     )
 
 
 # -- sentiment --------------------------------------------------------------------------------------------
 
 
-def sentiment_label_score(text: Column, positive=None, negative=None, match: str = "substring") -> Column:
-    """Struct (label, score) from positive and negative word hits."""
-    lowered = F.lower(text)
+def sentiment_label_score(lowered: Column, positive=None, negative=None, match: str = "substring") -> Column:
+    """Struct (label, score) from positive and negative word hits in lower-cased text."""
     p = term_hits(lowered, positive or L.POSITIVE_WORDS, match)
     n = term_hits(lowered, negative or L.NEGATIVE_WORDS, match)
     balance = (p - n) / F.greatest(p + n, F.lit(1))
@@ -134,12 +141,10 @@ KEYWORD_REST = {"positive": 0.2, "negative": 0.2, "neutral": 0.6}
 
 def keyword_sentiment(df: DataFrame, positive=None, negative=None, chars: int | None = 512, match: str = "substring"):
     """Add the ``sentiment`` struct from keyword hits."""
-    base = sentiment_label_score(label_text(chars), positive, negative, match)
-    return (
-        df.withColumn("_s", base)
-        .withColumn("sentiment", sentiment_struct(F.col("_s.label"), F.col("_s.score"), KEYWORD_REST))
-        .drop("_s")
-    )
+    lowered = computed_once(df, _low=F.lower(label_text(chars)))
+    rated = computed_once(lowered, _s=sentiment_label_score(F.col("_low"), positive, negative, match))
+    sentiment = sentiment_struct(F.col("_s.label"), F.col("_s.score"), KEYWORD_REST)
+    return rated.withColumn("sentiment", sentiment).drop("_s", "_low")
 
 
 def model_sentiment(df: DataFrame, score_fn: ScoringFn, chars: int | None = 512) -> DataFrame:
@@ -150,7 +155,7 @@ def model_sentiment(df: DataFrame, score_fn: ScoringFn, chars: int | None = 512)
     score = F.round("model.score", 4)
     left = F.round(1 - score, 4)
     from_model = sentiment_struct(label, score, {"positive": left * 0.3, "negative": left * 0.3, "neutral": left * 0.4})
-    rule = sentiment_label_score(label_text(chars))
+    rule = sentiment_label_score(F.lower(label_text(chars)))
     from_rule = sentiment_struct(rule["label"], rule["score"], KEYWORD_REST)
     chosen = F.when(F.col("model.label").isNull(), from_rule).otherwise(from_model)
     return scored.withColumn("sentiment", chosen).drop("model")
@@ -171,7 +176,7 @@ def entities_from_tags(tags: DataFrame, key: str = "content_hash") -> DataFrame:
         .withColumn("name", strip(F.col("name")))
         .where(F.col("type").isNotNull() & (F.length("name") >= 2))
     )
-    once = Window.partitionBy(key, "type", "name").orderBy("pos")
+    once = Window.partitionBy(key, "type", "name").orderBy("pos", "label")
     by_type = Window.partitionBy(key, "type")
     first = (
         typed.withColumn("_n", F.row_number().over(once))
@@ -193,41 +198,48 @@ VALUE_PATTERNS = {
 def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash", chars: int | None = 2000, max_words: int = 3):
     """Dictionary and pattern tagging: rows (key, pos, name, label, start, end).
 
-    Word n-grams of title and content meet the gazetteer (``name``, ``label``) in an equi-join on the lower-cased
-    name; money, percent and date values come from patterns. ``pos`` orders the tags by place in the text.
+    The distinct word n-grams of title and content meet the gazetteer (``name``, ``label``) in an equi-join on
+    the lower-cased name; only n-grams leave the row, never the text. The few names found go back to their
+    text, where their place and the money, percent and date values are read. ``pos`` orders the tags.
     """
-    text = label_text(chars)
-    base = df.select(key, text.alias("_text")).withColumn(
-        "_w", F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    )
-    sizes = F.array(*[F.lit(i) for i in range(1, max_words + 1)])
-    grams = base.select(key, "_text", "_w", F.posexplode("_w").alias("_at", "_first")).select(
-        key, "_text", "_at", F.explode(F.transform(sizes, lambda n: F.slice(F.col("_w"), F.col("_at") + 1, n))).alias("_g"),
-    )
-    names = gazetteer.select(F.lower("name").alias("_name"), "label").dropDuplicates(["_name", "label"])
+    base = df.select(key, label_text(chars).alias("_text"))
+    spelled = F.trim(F.regexp_replace("_text", r"[^\p{L}\p{N}]+", " "))
+    split = computed_once(base.select(key, spelled.alias("_spelled")), _w=F.split("_spelled", " "))
+
+    def grams(n: int) -> Column:
+        if n == 1:
+            return F.col("_w")
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
+
+    found = F.array_distinct(F.concat(*[grams(n) for n in range(1, max_words + 1)]))
+    names = broadcast_if_small(gazetteer.select(F.lower("name").alias("_name"), "label").distinct())
     named = (
-        grams.withColumn("name", F.array_join("_g", " "))
-        .dropDuplicates([key, "_at", "name"])
+        split.select(key, F.explode(found).alias("name"))
         .join(names, F.lower("name") == F.col("_name"))
-        .select(key, "_text", "name", "label")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("name", "label")).alias("_names"))
     )
 
     def values(label: str, pattern: str) -> Column:
-        found = F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
-        return F.transform(found, lambda v: F.struct(v.alias("name"), F.lit(label).alias("label")))
-
-    patterns = F.flatten(F.array(*[values(label, p) for label, p in VALUE_PATTERNS.items()]))
-    valued = base.select(key, "_text", F.inline(patterns))
-    found = named.unionByName(valued).dropDuplicates([key, "name", "label"])
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}])"))
-    start = F.regexp_instr("_text", quoted) - 1
-    return found.withColumn("start", F.greatest(start, F.lit(0))).select(
-        key,
-        F.col("start").alias("pos"),
-        "name",
-        "label",
-        "start",
-        (F.col("start") + F.length("name")).alias("end"),
+        distinct = F.array_distinct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
+        return F.transform(distinct, lambda v: F.struct(v.alias("name"), F.lit(label).alias("label")))
+
+    # Every other character becomes one blank, so places in the padded text are places in the text plus one.
+    padded = F.concat(F.lit(" "), F.regexp_replace("_text", r"[^\p{L}\p{N}]", " "), F.lit(" "))
+    joined = computed_once(base.join(named, key, "left"), _pad=padded)
+
+    def placed(tag: Column) -> Column:
+        plain = F.regexp_replace(tag["name"], r"[^\p{L}\p{N}]", " ")
+        lead = F.length(plain) - F.length(F.ltrim(plain))
+        alone = F.instr(F.col("_pad"), F.concat(F.lit(" "), F.trim(plain), F.lit(" ")))
+        at = F.when(alone > 0, alone - 1 - lead).otherwise(F.instr(F.col("_text"), tag["name"]) - 1)
+        return F.struct(tag["name"].alias("name"), tag["label"].alias("label"), at.alias("start"))
+
+    none = F.expr("cast(array() as array<struct<name:string,label:string>>)")
+    everything = F.concat(F.coalesce("_names", none), *[values(label, p) for label, p in VALUE_PATTERNS.items()])
+    return joined.select(key, F.inline(F.transform(everything, placed))).select(
+        key, F.col("start").alias("pos"), "name", "label", "start", (F.col("start") + F.length("name")).alias("end")
     )
 
 
@@ -268,8 +280,8 @@ def source_reliability(source: Column, match: str = "substring") -> Column:
     return F.when(distrusted, F.lit(0.1)).when(trusted, F.lit(0.9)).otherwise(F.lit(0.5))
 
 
-def content_credibility(text: Column, boosts=None, penalties=None) -> Column:
-    lowered = F.lower(text)
+def content_credibility(lowered: Column, boosts=None, penalties=None) -> Column:
+    """Credibility of lower-cased text."""
     raw = (
         F.lit(0.5)
         + term_hits(lowered, boosts or L.CREDIBILITY_BOOSTS) * 0.08
@@ -286,16 +298,11 @@ def classify_events(df: DataFrame, lexicon=None, min_reliability: float = 0.3, b
     lexicon = lexicon or L.UNUSUAL_EVENT_SIGNALS
     text = F.lower(F.concat_ws(" ", or_empty(F.col("title")), or_empty(F.col("content"))))
     staged = df.withColumn("_rel", source_reliability(F.col("source"))).where(F.col("_rel") >= min_reliability)
-    candidates = [
-        F.when(
-            term_hits(F.col("_text"), terms) >= need,
-            F.struct(
-                term_hits(F.col("_text"), terms).alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("name"),
-                F.lit(label).alias("label"), F.lit(base).alias("base"),
-            ),
-        )
-        for i, (name, label, base, need, terms) in enumerate(lexicon)
-    ]
+    candidates = []
+    for i, (name, label, base, need, terms) in enumerate(lexicon):
+        n = term_hits(F.col("_text"), terms)
+        match = F.struct(n.alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("name"), F.lit(label).alias("label"), F.lit(base).alias("base"))
+        candidates.append(F.when(n >= need, match))
     best = candidates[0] if len(candidates) == 1 else F.greatest(*candidates)
     matched = F.coalesce(
         *[F.when(F.col("_best.name") == name, matched_terms(F.col("_text"), terms)) for name, _, _, _, terms in lexicon]
@@ -303,7 +310,7 @@ def classify_events(df: DataFrame, lexicon=None, min_reliability: float = 0.3, b
     credibility = F.col("_rel") * 0.6 + content_credibility(F.col("_text"), boosts, penalties) * 0.4
     boost = F.least(F.col("_best.hits") * 0.05, F.lit(0.3))
     anomaly = F.least(F.col("_best.base") + boost + F.col("_rel") * 0.1, F.lit(1.0))
-    scored = staged.withColumn("_text", text).withColumn("_best", best).where(F.col("_best").isNotNull())
+    scored = computed_once(computed_once(staged, _text=text), _best=best).where(F.col("_best").isNotNull())
     entities = F.col("entities") if "entities" in df.columns else F.lit(None).cast(T.ArrayType(T.StringType()))
     return scored.select(
         F.col("content_hash").alias("article_hash"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuswatch.functions.text import fixed_point
-from corpuswatch.operators.clusters import cluster_events, exact_mean, shared_entities
+from corpuswatch.functions.text import exact_mean, fixed_point, rounded
+from corpuswatch.operators.clusters import cluster_events, shared_entities
 
 # Verdict texts.
 NO_EVENTS = "INSUFFICIENT EVIDENCE: no events in cluster."
@@ -19,7 +19,7 @@ NO_SHARED = "No shared entities detected across events."
 
 
 def _two(c: Column) -> Column:
-    return fixed_point(F.round(c, 2), 2)
+    return fixed_point(rounded(c, 2), 2)
 
 
 def cluster_statistics(members: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def rule_verdicts(clusters: DataFrame, events: DataFrame, as_of: Column, mode: s
         F.when(~empty, F.concat(F.lit("Rule-based analysis of "), count, F.lit(" events in subcategory "), "subcategory", F.lit("."))).alias("summary"),
         "connected_events",
         t.isin("weak signal", "strong signal").alias("pattern_detected"),
-        F.when(empty, 0.0).otherwise(F.round("confidence", 3)).alias("confidence"),
+        F.when(empty, 0.0).otherwise(rounded(F.col("confidence"), 3)).alias("confidence"),
         F.when(empty, NO_EVENTS).when(t == "low", LOW_CREDIBILITY).when(t == "weak signal", weak_text)
         .when(t == "strong signal", strong_text).otherwise(BELOW).alias("reasoning"),
         F.when(t == "weak signal", "emerging_pattern").when(t == "strong signal", "anomaly").otherwise("coincidence").alias("classification"),
@@ -129,8 +129,8 @@ def cluster_context(clusters: DataFrame, events: DataFrame, shown: int = 10, sig
             ), "\n",
         ).alias("events_block"),
         F.count(F.lit(1)).alias("n_events"),
-        F.round(exact_mean(F.col("anomaly_score")), 3).alias("avg_anomaly_score"),
-        F.round(exact_mean(F.col("credibility_score")), 3).alias("avg_credibility_score"),
+        rounded(exact_mean(F.col("anomaly_score")), 3).alias("avg_anomaly_score"),
+        rounded(exact_mean(F.col("credibility_score")), 3).alias("avg_credibility_score"),
         F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set("region")), ", "), F.lit("")), F.lit("unknown")).alias("regions_text"),
         F.min_by("subcategory_label", "pos").alias("subcategory"),
     )

@@ -120,6 +120,11 @@ def mean(c: str) -> str:
     return f"round(sum({c}::DECIMAL(18,6))::DOUBLE / count({c}), 9)"
 
 
+def rnd(x: str, n: int) -> str:
+    """Half up on the decimal value; nine decimals first, so that binary noise does not decide."""
+    return f"round(round({x}, 9)::DECIMAL(18,9), {n})::DOUBLE"
+
+
 def anchors(hours: int) -> str:
     return f"""anchor(batch_id, a) AS (
   SELECT batch_id, min(published_at) FROM bat GROUP BY batch_id
@@ -137,12 +142,12 @@ t_cl AS (
   SELECT batch_id, 'temporal' AS cluster_type, NULL::VARCHAR AS region, list(article_hash ORDER BY published_at, article_hash) AS events,
     list(DISTINCT region ORDER BY region) FILTER (region IS NOT NULL) AS regions, count(*) AS size,
     {mean('anomaly_score')} AS anomaly, {mean('credibility_score')} AS cred,
-    round(least({mean('anomaly_score')} * {mean('credibility_score')} * 1.5, 1.0), 3) AS confidence
+    {rnd(f"least({mean('anomaly_score')} * {mean('credibility_score')} * 1.5, 1.0)", 3)} AS confidence
   FROM temporal GROUP BY batch_id, a HAVING count(*) >= 3),
 s_cl AS (
   SELECT batch_id, 'spatial' AS cluster_type, region, list(article_hash ORDER BY published_at, article_hash) AS events,
     NULL::VARCHAR[] AS regions, count(*) AS size, {mean('anomaly_score')} AS anomaly, {mean('credibility_score')} AS cred,
-    round(least({mean('anomaly_score')} * 1.2, 1.0), 3) AS confidence
+    {rnd(f"least({mean('anomaly_score')} * 1.2, 1.0)", 3)} AS confidence
   FROM bat WHERE region IS NOT NULL GROUP BY batch_id, region HAVING count(*) >= 3),
 cl AS (
   SELECT *, sha256(cluster_type || '|' || array_to_string(events, '|')) AS cluster_id FROM (SELECT * FROM t_cl UNION ALL SELECT * FROM s_cl)),
@@ -426,9 +431,9 @@ ORACLES["entities_from_tags"] = f"""
 WITH t AS (
   SELECT l_orderkey AS k, l_linenumber AS pos, p_brand AS name,
     (['PERSON', 'ORG', 'GPE', 'CARDINAL', 'MONEY', 'PERCENT'])[p_size % 6 + 1] AS label FROM lineitem JOIN part ON l_partkey = p_partkey),
-ty AS (SELECT k, type, name, min(pos) AS pos FROM t JOIN ({values(list(L.ENTITY_TYPES.items()))}) AS m(label, type) USING (label) GROUP BY k, type, name),
+ty AS (SELECT k, type, name, min(pos) AS pos, arg_min(label, (pos, label)) AS label FROM t JOIN ({values(list(L.ENTITY_TYPES.items()))}) AS m(label, type) USING (label) GROUP BY k, type, name),
 o AS (SELECT *, min(pos) OVER (PARTITION BY k, type) AS seen FROM ty)
-SELECT k, string_agg(type || '/' || name || '/' || pos, ';' ORDER BY seen, pos, name) AS entities FROM o GROUP BY k"""
+SELECT k, string_agg(type || '/' || name || '/' || pos, ';' ORDER BY seen, pos, name, label) AS entities FROM o GROUP BY k"""
 ORACLES["title_keywords"] = with_(ART) + rf"""
 SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(title, '\s+'),
   lambda w: length(w) > 4 AND NOT list_contains({strings(L.TITLE_STOPWORDS)}, lower(w))), lambda w: lower(w))[1:5], ',') AS keywords FROM art"""
@@ -474,7 +479,7 @@ ORACLES["article_stats"] = with_(ART) + f"""
 SELECT count(*) AS total, count(*) FILTER (crawled_at > {NOW} - INTERVAL 1 HOUR) AS last_hour,
   count(*) FILTER (crawled_at > {NOW} - INTERVAL 1 DAY) AS last_day, count(DISTINCT source) AS sources FROM art"""
 ORACLES["sentiment_breakdown"] = with_(LAB) + f"""
-SELECT sentiment_label AS label, count(*) AS count, round({mean('sentiment_score')}, 4) AS avg_score FROM lab
+SELECT sentiment_label AS label, count(*) AS count, {rnd(mean('sentiment_score'), 4)} AS avg_score FROM lab
 WHERE crawled_at >= {NOW} - INTERVAL 6 HOURS GROUP BY sentiment_label"""
 ORACLES["volume_per_minute"] = f"""
 SELECT {stamp("date_trunc('minute', ts)")} AS minute, count(*) AS count FROM events
@@ -558,21 +563,21 @@ ORACLES["event_batches"] = with_(BAT) + "SELECT article_hash, batch_id, pending
 ORACLES["entity_clusters"] = with_(BAT) + f"""
 , g AS (SELECT batch_id, entity, string_agg(article_hash, ',' ORDER BY published_at, article_hash) AS events, count(*) AS size,
           {mean('anomaly_score')} AS an, {mean('credibility_score')} AS cr FROM bat GROUP BY batch_id, entity HAVING count(*) >= 2)
-SELECT batch_id, entity, events, size, round(least(an * cr * 1.4, 1.0), 3) AS confidence, round(an, 3) AS avg_anomaly, round(cr, 3) AS avg_credibility
+SELECT batch_id, entity, events, size, {rnd('least(an * cr * 1.4, 1.0)', 3)} AS confidence, {rnd('an', 3)} AS avg_anomaly, {rnd('cr', 3)} AS avg_credibility
 FROM g WHERE least(an * cr * 1.4, 1.0) >= 0.70"""
-ORACLES["semantic_clusters"] = """
+ORACLES["semantic_clusters"] = f"""
 WITH v AS (SELECT *, label || '-' || vec_id AS h, 0.5 + (vec_id % 50) / 100.0::DOUBLE AS cr, (row_number() OVER (ORDER BY vec_id) - 1) // 200 AS batch_id FROM embeddings),
 p AS (SELECT a.batch_id, a.h || ',' || b.h AS events, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim, (a.cr + b.cr) / 2 AS cr
       FROM v a JOIN v b ON a.batch_id = b.batch_id AND a.vec_id < b.vec_id)
-SELECT batch_id, events, round(sim, 4) AS similarity, round(least(sim * 0.9 * cr * 1.5, 1.0), 3) AS confidence, round(cr, 3) AS avg_credibility
+SELECT batch_id, events, {rnd('sim', 4)} AS similarity, {rnd('least(sim * 0.9 * cr * 1.5, 1.0)', 3)} AS confidence, {rnd('cr', 3)} AS avg_credibility
 FROM p WHERE sim >= 0.36 AND least(sim * 0.9 * cr * 1.5, 1.0) >= 0.05"""
 
 CL = cluster_tables()
-ORACLES["temporal_clusters"] = with_(CL, recursive=True) + """
-SELECT cluster_id, batch_id, size, confidence, round(anomaly, 3) AS avg_anomaly, round(cred, 3) AS avg_credibility, array_to_string(regions, ',') AS regions,
+ORACLES["temporal_clusters"] = with_(CL, recursive=True) + f"""
+SELECT cluster_id, batch_id, size, confidence, {rnd('anomaly', 3)} AS avg_anomaly, {rnd('cred', 3)} AS avg_credibility, array_to_string(regions, ',') AS regions,
   md5(array_to_string(events, ',')) AS events_md5 FROM cl WHERE cluster_type = 'temporal'"""
-ORACLES["spatial_clusters"] = with_(CL, recursive=True) + """
-SELECT cluster_id, batch_id, region, size, confidence, round(anomaly, 3) AS avg_anomaly FROM cl WHERE cluster_type = 'spatial'"""
+ORACLES["spatial_clusters"] = with_(CL, recursive=True) + f"""
+SELECT cluster_id, batch_id, region, size, confidence, {rnd('anomaly', 3)} AS avg_anomaly FROM cl WHERE cluster_type = 'spatial'"""
 ORACLES["cluster_union"] = with_(CL, recursive=True) + """
 SELECT cluster_type, CASE cluster_type WHEN 'temporal' THEN 0 ELSE 1 END AS kind_rank, count(*) AS clusters, sum(size)::BIGINT AS events,
   round(sum(confidence::DECIMAL(18,6))::DOUBLE, 3) AS confidence FROM cl GROUP BY cluster_type"""
@@ -591,7 +596,7 @@ def verdict_sql(reference: bool) -> str:
     weak = "WHEN confidence >= 0.75 AND an >= 0.65 AND n >= 4 THEN 'weak signal'"
     order = f"{weak} {strong}" if reference else f"{strong} {weak}"
     return f"""{STAT},
-vd AS (SELECT *, CASE WHEN cr < 0.35 THEN 'low' {order} ELSE 'none' END AS tier, printf('%.2f', round(an, 2)) AS a2, printf('%.2f', round(cr, 2)) AS c2 FROM cl JOIN st USING (cluster_id)),
+vd AS (SELECT *, CASE WHEN cr < 0.35 THEN 'low' {order} ELSE 'none' END AS tier, printf('%.2f', {rnd('an', 2)}) AS a2, printf('%.2f', {rnd('cr', 2)}) AS c2 FROM cl JOIN st USING (cluster_id)),
 ver AS (SELECT *, CASE WHEN tier IN ('weak signal', 'strong signal') THEN tier ELSE 'no strong connection' END AS verdict,
   CASE tier WHEN 'weak signal' THEN 'emerging_pattern' WHEN 'strong signal' THEN 'anomaly' ELSE 'coincidence' END AS classification FROM vd)"""
 
@@ -620,7 +625,7 @@ ORACLES["cluster_context"] = with_(CL, recursive=True) + rf"""
 , b AS (SELECT cluster_id, string_agg('[' || (pos + 1) || '] Title: ' || title || chr(10) || '    Source: ' || source || ' (reliability: 0.5)' || chr(10) ||
     '    Credibility: ' || credibility_score::DOUBLE || ' | Anomaly: ' || anomaly_score || chr(10) || '    Subcategory: ' || subcategory_label || chr(10) ||
     '    Matched signals: ' || subcategory || chr(10) || '    Snippet: ' || substr(props, 1, 200) || chr(10), chr(10) ORDER BY pos) FILTER (pos < 10) AS block,
-  count(*) AS n_events, round({mean('anomaly_score')}, 3) AS avg_anomaly_score, round({mean('credibility_score')}, 3) AS avg_credibility_score,
+  count(*) AS n_events, {rnd(mean('anomaly_score'), 3)} AS avg_anomaly_score, {rnd(mean('credibility_score'), 3)} AS avg_credibility_score,
   coalesce(string_agg(DISTINCT region, ', ' ORDER BY region), 'unknown') AS regions_text, arg_min(subcategory_label, pos) AS subcategory FROM ce GROUP BY cluster_id),
 n AS (SELECT cluster_id, entity, count(*) AS c, min(pos) AS seen FROM ce GROUP BY cluster_id, entity HAVING count(*) > 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY seen, entity) AS rank FROM n),
@@ -699,7 +704,7 @@ ORACLES["insight_context"] = with_(LAB, MENTIONS, NAMED, trend_sql(14400, 0.5, "
 SELECT (SELECT string_agg('- ' || name || ' (velocity: ' || printf('%.1f', round(velocity, 1)) || 'x, spike: ' || CASE WHEN is_spike THEN 'True' ELSE 'False' END || ')', chr(10) ORDER BY velocity DESC, kind, name)
     FROM (SELECT * FROM tr ORDER BY velocity DESC, kind, name LIMIT 10)) AS trend_block,
   (SELECT string_agg('- ' || label || ': ' || n || ' articles (' || printf('%.2f', round(a, 2)) || ' avg score)', chr(10) ORDER BY n DESC, label)
-    FROM (SELECT sentiment_label AS label, count(*) AS n, round({mean('sentiment_score')}, 4) AS a FROM lab WHERE crawled_at >= {NOW} - INTERVAL 24 HOURS GROUP BY 1)) AS sentiment_block,
+    FROM (SELECT sentiment_label AS label, count(*) AS n, {rnd(mean('sentiment_score'), 4)} AS a FROM lab WHERE crawled_at >= {NOW} - INTERVAL 24 HOURS GROUP BY 1)) AS sentiment_block,
   (SELECT string_agg('- ' || name || ' (user)', chr(10) ORDER BY n DESC, name) FROM (SELECT name, count(*) AS n FROM m WHERE kind = 'ent' GROUP BY name ORDER BY n DESC, name LIMIT 10)) AS entity_block,
   (SELECT string_agg('- ' || c || ': ' || n || ' articles', chr(10) ORDER BY n DESC, c) FROM (SELECT c, count(*) AS n FROM (SELECT unnest(categories) AS c FROM lab WHERE crawled_at >= {NOW} - INTERVAL 24 HOURS)
     GROUP BY c ORDER BY n DESC, c LIMIT 10)) AS category_block"""

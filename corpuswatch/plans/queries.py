@@ -12,6 +12,7 @@ from corpuswatch.functions import fingerprints as FP
 from corpuswatch.functions.parsing import parse_model_json, parse_ts
 from corpuswatch.functions.text import normalize_text, strip_tags
 from corpuswatch.functions.vector_math import l2_normalize
+from corpuswatch.lexicons import CATEGORY_KEYWORDS
 from corpuswatch.operators import aggregates as G
 from corpuswatch.operators import clusters as C
 from corpuswatch.operators import dedup as D
@@ -69,13 +70,13 @@ def ranked_id_list(spark, sf):
 @query
 def page_text_without_tags(spark, sf):
     text = strip_tags(F.col("html"))
-    return A.table(spark, sf, "pages").select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
+    return A.pages(spark, sf).select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 @query
 def page_articles(spark, sf):
     clock = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    return P.articles_from_pages(A.table(spark, sf, "pages"), clock).select(
+    return P.articles_from_pages(A.pages(spark, sf), clock).select(
         "page_id", "title", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"), "source", "content_hash",
         stamp("published_at").alias("published_at"),
     )
@@ -83,12 +84,12 @@ def page_articles(spark, sf):
 
 @query
 def page_links(spark, sf):
-    return P.page_links(A.table(spark, sf, "pages")).select("page_id", "pos", "link")
+    return P.page_links(A.pages(spark, sf)).select("page_id", "pos", "link")
 
 
 @query
 def page_links_rendered(spark, sf):
-    return P.page_links(A.table(spark, sf, "pages"), min_path_len=12, cap=50).select("page_id", "pos", "link")
+    return P.page_links(A.pages(spark, sf), min_path_len=12, cap=50).select("page_id", "pos", "link")
 
 
 @query
@@ -189,8 +190,8 @@ def age_labels(spark, sf):
 
 @query
 def normalized_text(spark, sf):
-    text = normalize_text(F.col("text"))
-    return A.table(spark, sf, "documents").select("doc_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
+    text = normalize_text(F.col("content"))
+    return A.articles_from_documents(spark, sf).select("doc_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 @query
@@ -301,16 +302,15 @@ def dedup_layers_reference(spark, sf):
 
 @query
 def keyword_category_hits(spark, sf):
-    hits = E.category_hits(E.label_text(), X.LEXICON)
-    docs = A.articles_from_documents(spark, sf).select("doc_id", F.inline(hits))
+    docs = E.with_category_hits(A.articles_from_documents(spark, sf), X.LEXICON).select("doc_id", F.inline("category_hits"))
     return docs.select("doc_id", F.col("label").alias("category"), F.round("score", 4).alias("score"))
 
 
 @query
 def keyword_category_hits_default_whole_text(spark, sf):
     """Default English lexicon over whole texts."""
-    hits = E.category_hits(E.label_text(None), E.L.CATEGORY_KEYWORDS)
-    docs = A.articles_from_documents(spark, sf).select("doc_id", F.inline(hits))
+    docs = E.with_category_hits(A.articles_from_documents(spark, sf), CATEGORY_KEYWORDS, chars=None)
+    docs = docs.select("doc_id", F.inline("category_hits"))
     return docs.select("doc_id", F.col("label").alias("category"), F.round("score", 4).alias("score"))
 
 
@@ -370,7 +370,7 @@ def source_reliability(spark, sf):
 
 @query
 def content_credibility(spark, sf):
-    score = E.content_credibility(F.col("content"), X.BOOSTS, X.PENALTIES)
+    score = E.content_credibility(F.lower("content"), X.BOOSTS, X.PENALTIES)
     return A.articles_from_documents(spark, sf).select("doc_id", F.round(score, 4).alias("credibility"))
 
 

@@ -47,3 +47,21 @@ def clock_bound(df: DataFrame, ts: str, as_of=None, back: str = "INTERVAL 0 SECO
     if as_of is not None:
         return F.lit(as_of).cast(df.schema[ts].dataType) - F.expr(back)
     return df.select((F.max(ts) - F.expr(back)).alias("bound")).scalar()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores (few, small files).
+
+    For text-heavy work only; a large table has more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a lookup table after counting it; a larger one is joined by shuffle.
+
+    The explicit choice also keeps Spark from broadcasting the other side, whose size it may underrate
+    (it does not know how many rows an explode makes).
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")

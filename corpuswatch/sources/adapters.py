@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswatch.operators.identity import with_content_hash
+from corpuswatch.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles_of(table(spark, sf_dir, "documents"))
+    return articles_of(spread(table(spark, sf_dir, "documents")))
 
 
 def articles_of(documents: DataFrame) -> DataFrame:
@@ -42,6 +43,10 @@ def articles_of(documents: DataFrame) -> DataFrame:
     )
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
 def mentions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two mentions per event: its type as a category and its user as an entity."""
     return mentions_of(table(spark, sf_dir, "events"))

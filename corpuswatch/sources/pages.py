@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.parsing import TIMESTAMP_FORMATS, try_ts
-from corpuswatch.functions.text import head, strip
+from corpuswatch.functions.text import computed_once, head, strip
 from corpuswatch.operators.identity import with_content_hash
 
 # Named character references that are resolved.
@@ -58,20 +58,25 @@ def articles_from_pages(
     min_chars: int = 100,
 ) -> DataFrame:
     """Pages (``page_id``, ``url``, ``html``) to articles; no title or a short text drops the page."""
-    visible = visible_html(F.col("html"))
+    # Pages and elements are cut out once each; the row filter and the outputs then read finished columns.
+    staged = computed_once(pages, _visible=visible_html(F.col("html")))
+    staged = computed_once(
+        staged,
+        title=F.coalesce(element_text(element_html(F.col("_visible"), title_tag), ""), F.lit("")),
+        content=F.coalesce(element_text(element_html(F.col("_visible"), content_tag, content_class), " "), F.lit("")),
+    ).where((F.col("title") != "") & (F.length("content") >= min_chars))
     meta = F.regexp_extract("html", r"(?is)<meta\b[^>]*property\s*=\s*[\"']article:published_time[\"'][^>]*>", 0)
     published = F.nullif(F.regexp_extract(meta, r"(?is)content\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
-    parsed = pages.select(
+    kept = staged.select(
         "page_id",
         "url",
-        F.coalesce(element_text(element_html(visible, title_tag), ""), F.lit("")).alias("title"),
-        F.coalesce(element_text(element_html(visible, content_tag, content_class), " "), F.lit("")).alias("content"),
+        "title",
+        "content",
         F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("unknown")).alias("source"),
         F.lit("web").alias("source_type"),
         F.coalesce(try_ts(published, *TIMESTAMP_FORMATS), as_of).alias("published_at"),
         head(F.col("html"), 50000).alias("raw_html"),
     )
-    kept = parsed.where((F.col("title") != "") & (F.length("content") >= min_chars))
     return with_content_hash(kept)
 
 
