@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.fingerprints import band_keys, hamming, jaccard, minhash, simhash64
-from corpuswatch.functions.text import head, or_empty, words
-from corpuswatch.operators.identity import first_per_key
+from corpuswatch.functions.text import computed_once, head, or_empty, words
+from corpuswatch.operators.identity import first_per_key, join_rows
 from corpuswatch.session import cut_lineage
 
 # Thresholds and memory of the three layers.
@@ -143,7 +143,7 @@ def split_candidates(members: DataFrame, match: Callable[[Column, Column], Colum
     return Candidates(cut_lineage(pairs), cut_lineage(hot))
 
 
-def keep_first(items: DataFrame, found: Candidates, match: Callable[[Column, Column], Column], mode: str = "greedy"):
+def keep_first(found: Candidates, match: Callable[[Column, Column], Column], mode: str = "greedy"):
     """Ids (column ``id``) to drop: items that match an earlier item that is itself kept.
 
     ``mode="any_earlier"`` drops every item with an earlier match, kept or not; the two differ on chains
@@ -213,33 +213,75 @@ def verify_jaccard(pairs: DataFrame, min_sim: float = MINHASH_SIMILARITY) -> Dat
 
 
 # -- layers -----------------------------------------------------------------------------------------------
+#
+# Layers work on a narrow table (order columns and fingerprints, never the text). It is read from the
+# articles once, written to the checkpoint folder, and the surviving rows are joined back at the end.
+# ``ts`` and ``tie`` together name a row.
 
 
 def _ordered(ts: str, tie: str) -> Column:
     return F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"))
 
 
-def _representatives(df: DataFrame, value: str, ts: str, tie: str) -> DataFrame:
-    """One item per distinct fingerprint: id, order of its first row, and the fingerprint as payload."""
-    first = df.groupBy(value).agg(F.min(_ordered(ts, tie)).alias("ord"))
-    return first.select(F.col(value).alias("id"), "ord", F.col(value).alias("payload"))
+def word_set_columns(chars: int | None, bands: int, rows: int) -> dict[str, Column]:
+    """Word hashes of the compared text, the id of that set of words, and its band keys.
 
+    A signature depends on the set only, so equal sets share one id.
+    """
+    text = dedup_text(chars)
+    hashes = F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
+    return {"_words": hashes, "_bands": band_keys(minhash(text, bands * rows), bands, rows)}
 
-def _keep_rows(df: DataFrame, value: str, dropped: DataFrame, ts: str, tie: str) -> DataFrame:
-    """Rows whose fingerprint is kept, one (the first) per fingerprint."""
-    first = first_per_key(df, [value], F.col(ts), F.col(tie))
-    return first.join(dropped.withColumnRenamed("id", value), value, "left_anti").select(*df.columns)
 
+def with_word_sets(df: DataFrame, keep: list[str], chars: int | None, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Narrow table with the ``keep`` columns and the word-set columns ``_set``, ``_words`` and ``_bands``."""
+    hashed = computed_once(df, **word_set_columns(chars, bands, rows)).select(*keep, "_words", "_bands")
+    spelled = F.array_join(F.transform("_words", lambda h: h.cast("string")), ",")
+    return hashed.withColumn("_set", F.sha2(spelled, 256))
 
-def simhash_pairs(
-    df: DataFrame, max_distance: int = SIMHASH_DISTANCE, blocks: int | None = None, hot_limit: int = 1000,
-    ts: str = "crawled_at", tie: str = "url",
-) -> tuple[DataFrame, Candidates]:
-    """Distinct fingerprints of ``df.simhash`` and their candidates within ``max_distance`` bits."""
-    items = cut_lineage(_representatives(df, "simhash", ts, tie))
+
+def word_set_items(narrow: DataFrame, ts: str, tie: str) -> DataFrame:
+    """One item per distinct word set: id, order of its first row, word hashes and bands."""
+    first = first_per_key(narrow, ["_set"], F.col(ts), F.col(tie))
+    return first.select(F.col("_set").alias("id"), _ordered(ts, tie).alias("ord"), F.col("_words").alias("payload"), "_bands")
+
+
+def simhash_items(narrow: DataFrame, ts: str, tie: str) -> DataFrame:
+    """One item per distinct fingerprint."""
+    first = narrow.groupBy("simhash").agg(F.min(_ordered(ts, tie)).alias("ord"))
+    return first.select(F.col("simhash").alias("id"), "ord", F.col("simhash").alias("payload"))
+
+
+def _survivors(narrow: DataFrame, value: str, dropped: DataFrame, ts: str, tie: str) -> DataFrame:
+    """Narrow rows that stay: the first per fingerprint, unless that fingerprint was dropped."""
+    first = first_per_key(narrow, [value], F.col(ts), F.col(tie))
+    return first.join(dropped.withColumnRenamed("id", value), value, "left_anti").select(*narrow.columns)
+
+
+def _simhash_layer(narrow, max_distance, mode, blocks, hot_limit, keep, ttl_seconds, ts, tie) -> DataFrame:
+    if mode == "reference":
+        return dedup_exact(narrow, "simhash", ts, tie, ttl_seconds)
+
+    def match(a: Column, b: Column) -> Column:
+        return hamming(a, b) <= max_distance
+
+    items = cut_lineage(simhash_items(narrow, ts, tie))
     n_blocks = blocks or blocks_for(items.count(), max_distance)
     members = bucket_members(items, simhash_blocks(F.col("payload"), n_blocks, max_distance))
-    return items, split_candidates(members, lambda a, b: hamming(a, b) <= max_distance, hot_limit)
+    found = split_candidates(members, match, hot_limit)
+    return _survivors(narrow, "simhash", keep_first(found, match, keep), ts, tie)
+
+
+def _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie) -> DataFrame:
+    def match(a: Column, b: Column) -> Column:
+        return jaccard(a, b) >= min_sim
+
+    members = bucket_members(word_set_items(narrow, ts, tie), F.col("_bands"))
+    if verify:
+        dropped = keep_first(split_candidates(members, match, hot_limit), match, keep)
+    else:
+        dropped = keep_first_by_bucket(members)
+    return _survivors(narrow, "_set", dropped, ts, tie)
 
 
 def dedup_simhash(
@@ -247,34 +289,15 @@ def dedup_simhash(
     hot_limit: int = 1000, chars: int | None = SIMHASH_CHARS, keep: str = "greedy", ttl_seconds: int | None = None,
     ts: str = "crawled_at", tie: str = "url",
 ) -> DataFrame:
-    """Rows kept by the SimHash layer.
+    """Rows kept by the SimHash layer, with their ``simhash``.
 
     ``intended``: a row goes when a kept earlier row is within ``max_distance`` bits. ``reference``: only an
     equal fingerprint counts, optionally remembered for ``ttl_seconds``.
     """
     hashed = df if "simhash" in df.columns else with_simhash(df, chars)
-    if mode == "reference":
-        return dedup_exact(hashed, "simhash", ts, tie, ttl_seconds)
-    hashed = cut_lineage(hashed)
-    items, found = simhash_pairs(hashed, max_distance, blocks, hot_limit, ts, tie)
-    dropped = keep_first(items, found, lambda a, b: hamming(a, b) <= max_distance, keep)
-    return _keep_rows(hashed, "simhash", dropped, ts, tie)
-
-
-def _minhash_items(df: DataFrame, chars: int | None, ts: str, tie: str, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with the id of their word set, and one item per distinct word set with its bands."""
-    word_hashes = F.array_sort(F.array_distinct(F.transform(words(dedup_text(chars)), lambda w: F.xxhash64(w))))
-    # The signature depends on the word set only, so equal sets share one item.
-    keyed = cut_lineage(
-        df.withColumn("_words", word_hashes)
-        .withColumn("_set", F.sha2(F.array_join(F.transform("_words", lambda h: h.cast("string")), ","), 256))
-        .withColumn("_bands", band_keys(minhash(dedup_text(chars), bands * rows), bands, rows))
-    )
-    first = first_per_key(keyed, ["_set"], F.col(ts), F.col(tie))
-    items = first.select(
-        F.col("_set").alias("id"), _ordered(ts, tie).alias("ord"), F.col("_words").alias("payload"), "_bands"
-    )
-    return keyed, items
+    narrow = cut_lineage(hashed.select(ts, tie, "simhash"))
+    kept = _simhash_layer(narrow, max_distance, mode, blocks, hot_limit, keep, ttl_seconds, ts, tie)
+    return join_rows(df.drop("simhash"), kept, [ts, tie], "inner")
 
 
 def dedup_minhash(
@@ -283,14 +306,9 @@ def dedup_minhash(
     ts: str = "crawled_at", tie: str = "url",
 ) -> DataFrame:
     """Rows kept by the MinHash layer: no kept earlier row shares a band (and, verified, reaches ``min_sim``)."""
-    keyed, items = _minhash_items(df, chars, ts, tie, bands, rows)
-    members = bucket_members(items, F.col("_bands"))
-
-    def match(a: Column, b: Column) -> Column:
-        return jaccard(a, b) >= min_sim
-
-    dropped = keep_first(items, split_candidates(members, match, hot_limit), match, keep) if verify else keep_first_by_bucket(members)
-    return _keep_rows(keyed, "_set", dropped, ts, tie).select(*df.columns)
+    narrow = cut_lineage(with_word_sets(df, [ts, tie], chars, bands, rows))
+    kept = _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie)
+    return join_rows(df, kept.select(ts, tie), [ts, tie], "left_semi")
 
 
 def dedup_articles(df: DataFrame, mode: str = "intended", ts: str = "crawled_at", tie: str = "url", hot_limit: int = 1000):
@@ -299,18 +317,14 @@ def dedup_articles(df: DataFrame, mode: str = "intended", ts: str = "crawled_at"
     Each layer judges only the rows that passed the layers before it. ``mode="reference"`` uses equal
     fingerprints and unverified bands; ``intended`` uses the Hamming distance and the Jaccard check.
     """
-    base = cut_lineage(with_simhash(df))
-    exact = dedup_exact(base, ts=ts, tie=tie)
-    near = cut_lineage(dedup_simhash(exact, mode=mode, ts=ts, tie=tie, hot_limit=hot_limit))
-    kept = dedup_minhash(near, verify=mode == "intended", ts=ts, tie=tie, hot_limit=hot_limit)
-    passed = [
-        d.select("content_hash", ts, tie).withColumn(flag, F.lit(True))
-        for d, flag in ((exact, "_exact"), (near, "_near"), (kept, "_kept"))
-    ]
-    out = base
-    for d in passed:
-        out = out.join(d, ["content_hash", ts, tie], "left")
-    dropped_by = (
-        F.when(F.col("_exact").isNull(), "exact").when(F.col("_near").isNull(), "simhash").when(F.col("_kept").isNull(), "minhash")
-    )
-    return out.withColumn("dropped_by", dropped_by).drop("_exact", "_near", "_kept")
+    key = ["content_hash", ts, tie]
+    narrow = cut_lineage(with_word_sets(with_simhash(df), [*key, "simhash"], MINHASH_CHARS))
+    exact = cut_lineage(dedup_exact(narrow, ts=ts, tie=tie))
+    near = cut_lineage(_simhash_layer(exact, SIMHASH_DISTANCE, mode, None, hot_limit, "greedy", None, ts, tie))
+    kept = _minhash_layer(near, MINHASH_SIMILARITY, mode == "intended", hot_limit, "greedy", ts, tie)
+    # How many layers a row passed, as one small table that is joined to the articles once.
+    passed = exact.select(*key).unionByName(near.select(*key)).unionByName(kept.select(*key))
+    passed = passed.groupBy(*key).agg(F.count(F.lit(1)).alias("_passed"))
+    n = F.coalesce("_passed", F.lit(0))
+    dropped_by = F.when(n == 0, "exact").when(n == 1, "simhash").when(n == 2, "minhash")
+    return join_rows(df, passed, key, "left").withColumn("dropped_by", dropped_by).drop("_passed")

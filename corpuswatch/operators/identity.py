@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ def first_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
 
 
+def join_rows(df: DataFrame, rows: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on key columns that may be null: null meets null, so no row is lost for want of a date."""
+    other = rows
+    for k in keys:
+        other = other.withColumnRenamed(k, f"_by_{k}")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys])
+    return df.join(other, on, how).drop(*[f"_by_{k}" for k in keys])
+
+
 def with_time_rank(df: DataFrame, ts: str, tie: str, keys: list[str] | None = None, out: str = "time_rank") -> DataFrame:
     """Position (from 1) of each row by time within its key, without sorting a whole key in one task.
 

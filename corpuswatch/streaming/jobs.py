@@ -15,10 +15,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from corpuswatch.functions.fingerprints import jaccard
 from corpuswatch.operators import clusters as C
-from corpuswatch.operators.dedup import MINHASH_SIMILARITY, _minhash_items, dedup_exact, dedup_minhash
+from corpuswatch.operators.dedup import MINHASH_CHARS, MINHASH_SIMILARITY, dedup_exact, dedup_minhash, with_word_sets, word_set_items
+from corpuswatch.operators.identity import join_rows
 from corpuswatch.operators.tables import live_feed_rows
 from corpuswatch.operators.trends import compute_trends, top_trends
 from corpuswatch.operators.verdicts import rule_verdicts
+from corpuswatch.session import cut_lineage
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -92,17 +94,20 @@ def near_dedup_batch(path: str, verify: bool = True, ts: str = "crawled_at", tie
             # Only batches before this one: a retry must not meet its own rows.
             before = F.col("batch") < batch_id
             fresh = fresh.join(spark.read.parquet(f"{path}/kept").where(before).select("content_hash"), "content_hash", "left_anti")
-            keyed, items = _minhash_items(fresh, 500, ts, tie, 8, 16)
+            keyed = cut_lineage(with_word_sets(fresh, [ts, tie], MINHASH_CHARS))
+            items = word_set_items(keyed, ts, tie)
             mine = items.select("id", "payload", F.explode("_bands").alias("band_key"))
             met = mine.join(spark.read.parquet(f"{path}/bands").where(before).select("band_key", "set_id"), "band_key")
             met = met.select("id", "payload", "set_id").dropDuplicates(["id", "set_id"])
             if verify:
                 sets = spark.read.parquet(f"{path}/sets").where(before).select("set_id", "words")
                 met = met.join(sets, "set_id").where(jaccard(F.col("payload"), F.col("words")) >= MINHASH_SIMILARITY)
-            fresh = keyed.join(met.select(F.col("id").alias("_set")), "_set", "left_anti").select(*fresh.columns)
+            unmet = keyed.join(met.select(F.col("id").alias("_set")), "_set", "left_anti").select(ts, tie)
+            fresh = join_rows(fresh, unmet, [ts, tie], "left_semi")
         kept = dedup_minhash(fresh, verify=verify, ts=ts, tie=tie)
         write_batch(kept, f"{path}/kept", batch_id)
-        _, items = _minhash_items(spark.read.parquet(f"{path}/kept/batch={batch_id}"), 500, ts, tie, 8, 16)
+        written = spark.read.parquet(f"{path}/kept/batch={batch_id}")
+        items = cut_lineage(word_set_items(with_word_sets(written, [ts, tie], MINHASH_CHARS), ts, tie))
         write_batch(items.select(F.explode("_bands").alias("band_key"), F.col("id").alias("set_id")), f"{path}/bands", batch_id)
         write_batch(items.select(F.col("id").alias("set_id"), F.col("payload").alias("words")), f"{path}/sets", batch_id)
 

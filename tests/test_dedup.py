@@ -183,3 +183,9 @@ def test_no_cartesian_plans(spark):
     plan = D.dedup_exact(df)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_undated_rows_are_kept(spark):
+    df = articles(spark, [("a", "x y z", 0), ("b", "other words here", 1)]).withColumn("crawled_at", F.expr("if(url = 'u0001', null, crawled_at)"))
+    assert urls(D.dedup_minhash(df)) == urls(D.dedup_simhash(df)) == ["u0000", "u0001"]
+    assert D.dedup_articles(df).where("dropped_by is null").count() == 2
