@@ -147,36 +147,39 @@ def keep_first(found: Candidates, match: Callable[[Column, Column], Column], mod
     """Ids (column ``id``) to drop: items that match an earlier item that is itself kept.
 
     ``mode="any_earlier"`` drops every item with an earlier match, kept or not; the two differ on chains
-    A~B~C. Greedy works in rounds: an item with no undecided earlier candidate is kept, and its matches go.
-    The earliest undecided item is always decided, so the rounds end.
+    A~B~C. Greedy works in rounds: an item that is nobody's later match and leads all its large buckets is
+    kept, and its matches go. The earliest open item is always decided, so the rounds end.
     """
     if mode == "any_earlier" and found.hot.isEmpty():
         return found.pairs.select(F.col("b").alias("id")).distinct()
     if mode == "any_earlier":
         raise ValueError("any_earlier needs every pair; raise hot_limit or use mode='greedy'")
-    pairs, hot = found.pairs, found.hot
-    both = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id"))
-    undecided = cut_lineage(both.distinct())
-    dropped = None
-    while not undecided.isEmpty():
-        leaders = hot.groupBy("bucket").agg(F.min_by(F.struct("id", "payload"), "ord").alias("l"))
-        led = hot.join(leaders, "bucket")
-        blocked = pairs.select(F.col("b").alias("id")).unionByName(led.where("id != l.id").select("id"))
-        kept = cut_lineage(undecided.join(blocked, "id", "left_anti"))
-        by_pair = pairs.join(kept, pairs.a == kept.id, "left_semi").select(F.col("b").alias("id"))
-        led_by_kept = led.where("id != l.id").withColumn("leader", F.col("l.id")).join(
-            kept.withColumnRenamed("id", "leader"), "leader", "left_semi"
-        )
-        by_leader = led_by_kept.where(match(F.col("l.payload"), F.col("payload"))).select("id")
-        gone = cut_lineage(by_pair.unionByName(by_leader).distinct())
+    pairs, hot, dropped = found.pairs, found.hot, None
+    has_hot = not hot.isEmpty()
+    while has_hot or not pairs.isEmpty():
+        waiting, blocked = pairs.select(F.col("a").alias("id")), pairs.select(F.col("b").alias("id"))
+        if has_hot:
+            leaders = hot.groupBy("bucket").agg(F.min_by(F.struct("id", "payload"), "ord").alias("l"))
+            followers = hot.join(leaders, "bucket").where("id != l.id")
+            waiting = waiting.unionByName(hot.select("id"))
+            blocked = blocked.unionByName(followers.select("id"))
+        kept = waiting.distinct().join(blocked, "id", "left_anti")
+        if has_hot:
+            kept = cut_lineage(kept)
+        gone = pairs.join(kept, pairs.a == kept.id, "left_semi").select(F.col("b").alias("id"))
+        if has_hot:
+            led = followers.withColumn("leader", F.col("l.id")).join(kept.withColumnRenamed("id", "leader"), "leader", "left_semi")
+            gone = gone.unionByName(led.where(match(F.col("l.payload"), F.col("payload"))).select("id"))
+        gone = cut_lineage(gone.distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        decided = kept.unionByName(gone)
-        undecided = cut_lineage(undecided.join(decided, "id", "left_anti"))
+        # The matches of a kept item are all gone now, so its pairs leave with them.
         pairs = cut_lineage(
-            pairs.join(decided, pairs.a == decided.id, "left_anti").join(decided, F.col("b") == decided.id, "left_anti")
+            pairs.join(gone, pairs.a == gone.id, "left_anti").join(gone, F.col("b") == gone.id, "left_anti")
         )
-        hot = cut_lineage(hot.join(decided, "id", "left_anti").select("bucket", "id", "ord", "payload"))
-    return dropped if dropped is not None else undecided
+        if has_hot:
+            hot = cut_lineage(hot.join(kept.unionByName(gone), "id", "left_anti").select("bucket", "id", "ord", "payload"))
+            has_hot = not hot.isEmpty()
+    return dropped if dropped is not None else pairs.select(F.col("b").alias("id"))
 
 
 def keep_first_by_bucket(members: DataFrame) -> DataFrame:

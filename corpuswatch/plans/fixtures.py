@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswatch.operators.enrich import keyword_categories, keyword_sentiment, with_entities
+from corpuswatch.session import cut_lineage
 from corpuswatch.sources import adapters as A
 
 # Fixture lexicon.
@@ -43,3 +44,8 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_entities(labelled_documents(spark, sf_dir), gazetteer(spark))
+
+
+def stored_tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged documents without their text, written once: graph building reads them several times."""
+    return cut_lineage(tagged_documents(spark, sf_dir).drop("content", "sentiment", "category_scores"))

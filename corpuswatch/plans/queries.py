@@ -24,6 +24,7 @@ from corpuswatch.operators import trends as R
 from corpuswatch.operators import vectors as V
 from corpuswatch.operators import verdicts as J
 from corpuswatch.plans import fixtures as X
+from corpuswatch.session import cut_lineage
 from corpuswatch.sources import adapters as A
 from corpuswatch.sources import pages as P
 from corpuswatch.sources.payloads import ordered_union_distinct
@@ -457,7 +458,7 @@ def sentiment_share(spark, sf):
 
 @query
 def trending_topics(spark, sf):
-    return G.trending_topics(H.build_edges(X.tagged_documents(spark, sf)))
+    return G.trending_topics(H.build_edges(X.stored_tagged_documents(spark, sf)))
 
 
 @query
@@ -544,18 +545,19 @@ def frequency_signals(spark, sf):
 
 
 def _batched(spark, sf) -> DataFrame:
-    return C.assign_batches(A.incidents_from_events(spark, sf))
+    """Batched events, written once: every detector reads them."""
+    return cut_lineage(C.assign_batches(A.incidents_from_events(spark, sf)))
 
 
-def _clusters(spark, sf) -> DataFrame:
+def _clusters(events: DataFrame) -> DataFrame:
     """Six-hour windows and regions of every batch."""
-    events = _batched(spark, sf)
     return C.with_cluster_columns(C.union_clusters(C.temporal_clusters(events, hours=6), C.spatial_clusters(events)))
 
 
 def _verdicts(spark, sf) -> DataFrame:
     """Rule verdicts dated by the last event of the cluster."""
-    events, clusters = _batched(spark, sf), _clusters(spark, sf)
+    events = _batched(spark, sf)
+    clusters = _clusters(events)
     last = C.cluster_events(clusters, events).groupBy(F.col("cluster_id").alias("event_cluster_id")).agg(F.max("published_at").alias("last_event_at"))
     return J.rule_verdicts(clusters, events, F.lit(None).cast("timestamp")).join(last, "event_cluster_id")
 
@@ -602,20 +604,22 @@ def spatial_clusters(spark, sf):
 
 @query
 def cluster_union(spark, sf):
-    return _clusters(spark, sf).groupBy("cluster_type", "kind_rank").agg(
+    return _clusters(_batched(spark, sf)).groupBy("cluster_type", "kind_rank").agg(
         F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("events"), F.round(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double"), 3).alias("confidence")
     )
 
 
 @query
 def cluster_event_rows(spark, sf):
-    rows = C.cluster_events(_clusters(spark, sf), _batched(spark, sf))
+    events = _batched(spark, sf)
+    rows = C.cluster_events(_clusters(events), events)
     return rows.select("cluster_id", "pos", "article_hash", "anomaly_score")
 
 
 @query
 def shared_entities(spark, sf):
-    return C.shared_entities(C.cluster_events(_clusters(spark, sf), _batched(spark, sf)))
+    events = _batched(spark, sf)
+    return C.shared_entities(C.cluster_events(_clusters(events), events))
 
 
 @query
@@ -636,7 +640,8 @@ def linked_events(spark, sf):
 
 @query
 def rule_verdicts(spark, sf):
-    return J.rule_verdicts(_clusters(spark, sf), _batched(spark, sf), F.lit(None).cast("timestamp")).select(
+    events = _batched(spark, sf)
+    return J.rule_verdicts(_clusters(events), events, F.lit(None).cast("timestamp")).select(
         "event_cluster_id", "summary", joined("connected_events").alias("connected_events"), "pattern_detected", "confidence",
         "reasoning", "classification", "verdict", "credibility_note",
     )
@@ -644,7 +649,8 @@ def rule_verdicts(spark, sf):
 
 @query
 def rule_verdicts_reference(spark, sf):
-    verdicts = J.rule_verdicts(_clusters(spark, sf), _batched(spark, sf), F.lit(None).cast("timestamp"), mode="reference")
+    events = _batched(spark, sf)
+    verdicts = J.rule_verdicts(_clusters(events), events, F.lit(None).cast("timestamp"), mode="reference")
     return verdicts.groupBy("verdict", "classification").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -665,7 +671,8 @@ def default_verdicts(spark, sf):
 
 @query
 def cluster_context(spark, sf):
-    context = J.cluster_context(_clusters(spark, sf), _batched(spark, sf))
+    events = _batched(spark, sf)
+    context = J.cluster_context(_clusters(events), events)
     return context.select(
         "cluster_id", F.md5("events_block").alias("events_md5"), "entity_block", "n_events", "avg_anomaly_score", "avg_credibility_score",
         "regions_text", "subcategory",
@@ -674,17 +681,18 @@ def cluster_context(spark, sf):
 
 @query
 def cluster_graph_nodes(spark, sf):
-    return C.cluster_nodes(_clusters(spark, sf)).select("cluster_id", "cluster_type", "relationship_type", "confidence")
+    return C.cluster_nodes(_clusters(_batched(spark, sf))).select("cluster_id", "cluster_type", "relationship_type", "confidence")
 
 
 @query
 def cluster_graph_membership(spark, sf):
-    return C.cluster_membership(_clusters(spark, sf), _batched(spark, sf))
+    events = _batched(spark, sf)
+    return C.cluster_membership(_clusters(events), events)
 
 
 @query
 def cluster_graph_links(spark, sf):
-    return C.cluster_links(_clusters(spark, sf))
+    return C.cluster_links(_clusters(_batched(spark, sf)))
 
 
 # -- graph ------------------------------------------------------------------------------------------------
@@ -709,7 +717,7 @@ def category_pairs(spark, sf):
 
 @query
 def graph_nodes(spark, sf):
-    nodes = H.build_nodes(X.tagged_documents(spark, sf))
+    nodes = H.build_nodes(X.stored_tagged_documents(spark, sf))
     p = F.col("props")
     return nodes.select(
         "id", "label", p["mention_count"].alias("mention_count"), p["article_count"].alias("article_count"), p["name"].alias("name"),
@@ -719,7 +727,7 @@ def graph_nodes(spark, sf):
 
 @query
 def graph_edges(spark, sf):
-    edges = H.build_edges(X.tagged_documents(spark, sf))
+    edges = H.build_edges(X.stored_tagged_documents(spark, sf))
     return edges.select("src", "dst", "type", F.col("props")["sentiment"].alias("sentiment"))
 
 
@@ -735,13 +743,13 @@ def entity_connections(spark, sf):
 
 @query
 def latest_subgraph_links(spark, sf):
-    docs = X.tagged_documents(spark, sf)
+    docs = X.stored_tagged_documents(spark, sf)
     return H.latest_subgraph(H.build_nodes(docs), H.build_edges(docs))[1]
 
 
 @query
 def latest_subgraph_nodes(spark, sf):
-    docs = X.tagged_documents(spark, sf)
+    docs = X.stored_tagged_documents(spark, sf)
     return H.latest_subgraph(H.build_nodes(docs), H.build_edges(docs))[0].select("id", "label")
 
 
@@ -756,14 +764,14 @@ def two_hop_neighbours(spark, sf):
 
 @query
 def closed_links(spark, sf):
-    docs = X.tagged_documents(spark, sf)
+    docs = X.stored_tagged_documents(spark, sf)
     nodes, edges = H.build_nodes(docs), H.build_edges(docs)
     return H.closed_links(edges, nodes.where(F.col("label").isin("Article", "Topic"))).select("src", "dst", "type")
 
 
 @query
 def subgraph_by_label(spark, sf):
-    docs = X.tagged_documents(spark, sf)
+    docs = X.stored_tagged_documents(spark, sf)
     _, links = H.filter_labels(H.build_nodes(docs), H.build_edges(docs), ["Article", "Entity"])
     return links.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
