@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,3 +25,21 @@ def op2_jaccard_join(spark, sf):
     from corpuswatch.llm.jaccard_join import jaccard_classes
 
     return jaccard_classes(table(spark, sf, "documents"), length=5, numerator=80, denominator=100)
+
+
+@query
+def op8_decontamination(spark, sf):
+    from corpuswatch.llm.decontamination import digest_ids, scan
+
+    return scan(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), length=10).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest_ids("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+@query
+def op9_quality_rules(spark, sf):
+    from corpuswatch.llm.quality_rules import judged
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    more = ["n_tokens", "chars_per_token", "byte_share", "token_entropy", "script"]
+    return judged(table(spark, sf, "documents").select("doc_id", "text", "lang")).select(*columns, *more)
