@@ -43,3 +43,19 @@ def op9_quality_rules(spark, sf):
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     more = ["n_tokens", "chars_per_token", "byte_share", "token_entropy", "script"]
     return judged(table(spark, sf, "documents").select("doc_id", "text", "lang")).select(*columns, *more)
+
+
+@query
+def op3_mixing(spark, sf):
+    from corpuswatch.llm.mixing import plan
+
+    mix = plan(table(spark, sf, "documents").select("doc_id", "source", "text"), weights=(1, 2, 3), most=3, seed=17)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op6_sharding(spark, sf):
+    from corpuswatch.llm.sharding import shard_rows
+
+    rows = shard_rows(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
