@@ -59,3 +59,10 @@ def op6_sharding(spark, sf):
 
     rows = shard_rows(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_substring_dedup(spark, sf):
+    from corpuswatch.llm.substring_dedup import repeated_words
+
+    return repeated_words(table(spark, sf, "documents"), length=20, first_length=10)
