@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 from corpuswatch.llm import words as W
 
 
-def with_measures(df: DataFrame, added: dict[str, str], kernel: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def with_measures(df: DataFrame, added: dict[str, str], kernel: Callable[[], Callable[[pa.RecordBatch], list]], named: list[str] = ()) -> DataFrame:
     """``df`` plus the columns ``added`` (name: type) that ``kernel()`` makes of each slice of rows.
 
-    ``kernel`` is called once per task and returns the function that gets the slices (which hold a column ``text``) and gives one
-    array for each new column. Columns of ``df`` named like new ones are replaced; others pass as they are, whatever their names.
+    ``kernel`` is called once per task and returns the function that gets the slices (with a column ``text`` and those ``named``) and
+    gives one array for each new column. Columns of ``df`` named like new ones are replaced; others pass as they are, whatever their names.
     """
     keep = [c for c in df.columns if c not in added]
     source = df.select(*keep)
     types = dict(source.dtypes)
     schema = ", ".join([f"c{i} {types[c]}" for i, c in enumerate(keep)] + [f"`{c}` {t}" for c, t in added.items()])
-    text = keep.index("text")
+    inner = [c if c == "text" or c in named else f"c{i}" for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = kernel()
         for batch in batches:
-            plain = pa.RecordBatch.from_arrays(batch.columns, ["text" if i == text else f"c{i}" for i in range(len(keep))])
+            plain = pa.RecordBatch.from_arrays(batch.columns, inner)
             for part in W.chunks(plain, "text"):
                 yield pa.RecordBatch.from_arrays([*part.columns, *measure(part)], [*[f"c{i}" for i in range(len(keep))], *added])
 

@@ -95,3 +95,11 @@ def op5_url_rules(spark, sf):
     from corpuswatch.llm.url_rules import Rule, judged
 
     return judged(table(spark, sf, "pages").select("page_id", "url"), [Rule(*r) for r in URL_RULES], default="allow")
+
+
+@query
+def op1_quality_classifier(spark, sf):
+    from corpuswatch.llm.quality_classifier import judged
+
+    scores = judged(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf, "labels"))
+    return scores.select("doc_id", "text_score", "meta_score", "score", "kept")
