@@ -103,3 +103,25 @@ def op1_quality_classifier(spark, sf):
 
     scores = judged(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf, "labels"))
     return scores.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+@query
+def op10_token_rollups(spark, sf):
+    """All documents come, those labelled toxic go, those not in English are counted again by a tokenizer for many languages."""
+    from corpuswatch.llm.tables import stored
+    from corpuswatch.llm.token_rollups import Rollup, counted, revised, signed
+    from corpuswatch.session import scratch_path
+
+    documents = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    rollup = Rollup(spark, scratch_path(spark, "rollup"))
+    old = stored(counted(documents, "byte-bpe-50k"), "counts")
+    rollup.commit(1, signed(old, 1))
+    gone = old.join(toxic, "doc_id", "left_semi")
+    rollup.commit(2, signed(gone, -1))
+    rollup.commit(2, signed(gone, -1))  # repeated: no effect
+    rollup.compact(2)
+    foreign = F.col("lang") != "en"
+    new = stored(counted(documents.where(foreign), "byte-bpe-multi-50k"), "counts")
+    rollup.commit(3, revised(old.where(foreign).join(toxic, "doc_id", "left_anti"), new.join(toxic, "doc_id", "left_anti")))
+    return rollup.totals()
