@@ -31,3 +31,9 @@ def with_measures(df: DataFrame, added: dict[str, str], kernel: Callable[[], Cal
                 yield pa.RecordBatch.from_arrays([*part.columns, *measure(part)], [*[f"c{i}" for i in range(len(keep))], *added])
 
     return source.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"`{c}`") for c in added])
+
+
+def veiled(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all but the ``needed`` columns under neutral names, and the way back to its own columns from what is made of it."""
+    names = [c if c in needed else f"_column{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])

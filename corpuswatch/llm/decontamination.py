@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.llm import words as W
+from corpuswatch.llm.arrow_rows import veiled
 from corpuswatch.llm.tables import stored
 
 #: Benchmark windows that one broadcast holds (about 100 bytes each).
@@ -146,7 +147,8 @@ def merged(a: str, b: str):
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of ``documents`` without any hit, with their own columns."""
-    return scan(documents.select("*"), benchmark, **parameters).where("n_hit = 0").select(*documents.columns)
+    plain, restored = veiled(documents, ("text",))
+    return restored(scan(plain, benchmark, **parameters).where("n_hit = 0"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +174,9 @@ def digest_ids(items: str):
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """All rows of ``documents``, their texts without the runs of hit words (what stands between the words of a run goes too)."""
-    found = scan(documents.select("*"), benchmark, **parameters).drop("n_words", "n_hit", "items")
+    plain, restored = veiled(documents, ("text",))
+    found = scan(plain, benchmark, **parameters).drop("n_words", "n_hit", "items")
     clean = found.where(F.size("spans") == 0).drop("spans")
     cut = found.where(F.size("spans") > 0)
     cut = cut.mapInArrow(_cut, cut.schema).drop("spans")
-    return clean.unionByName(cut).select(*documents.columns)
+    return restored(clean.unionByName(cut))

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuswatch.llm.arrow_rows import veiled
 from corpuswatch.llm.tables import running, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash slices in which a source's queue is summed; no task sorts more than one slice of one source.
-SLICES = 4096
+#: A source's queue is summed in 4096 slices of the key; no task sorts more than one slice of one source.
+SLICE_BITS = 48
 
 
 def size() -> Column:
@@ -23,7 +24,10 @@ def size() -> Column:
 
 
 def shuffle_key(seed: int) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.xxhash64("text"), F.lit(seed))
+    """60 bits of a digest of the row, as a long: the place in the shuffle."""
+    parts = [F.col("doc_id").cast("bigint").cast("string"), F.col("source").cast("string"), F.md5("text")]
+    row = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -68,7 +72,7 @@ def plan(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     )
     sized = stored(sized, "sizes")
     targets = stored(source_targets(sized, weights, most), "targets")
-    slices = sized.withColumn("slice", F.pmod(F.shiftrightunsigned("key", 40), F.lit(SLICES)))
+    slices = sized.withColumn("slice", F.shiftright("key", SLICE_BITS))
     sums = slices.groupBy("source", "slice").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
@@ -99,9 +103,10 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
     Equal rows share a key; the copies that the plan gives them are dealt out among them.
     """
     per_key = plan(documents, weights, most, seed).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("_copies"))
-    keyed = documents.withColumn("_key", shuffle_key(seed))
+    plain, restored = veiled(documents, ("doc_id", "source", "text"))
+    keyed = plain.withColumn("_key", shuffle_key(seed))
     equal = Window.partitionBy("_key")
     shared = keyed.join(per_key.withColumnRenamed("key", "_key"), "_key")
     dealt = shared.withColumn("_rows", F.count("*").over(equal)).withColumn("_nth", F.row_number().over(equal.orderBy("_key")))
     times = F.expr("cast(_copies div _rows AS int) + if(_nth <= _copies % _rows, 1, 0)")
-    return dealt.withColumn("_turn", F.explode(F.array_repeat(F.lit(0), times))).select(*documents.columns)
+    return restored(dealt.withColumn("_turn", F.explode(F.array_repeat(F.lit(0), times))))

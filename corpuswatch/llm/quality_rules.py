@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.llm import words as W
-from corpuswatch.llm.arrow_rows import with_measures
+from corpuswatch.llm.arrow_rows import veiled, with_measures
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
@@ -162,4 +162,5 @@ def judged(
 
 def kept_documents(documents: DataFrame, **parameters) -> DataFrame:
     """The rows of ``documents`` that the rules keep, with their own columns."""
-    return judged(documents, **parameters).where("kept").select(*documents.columns)
+    plain, restored = veiled(documents, ("text", "lang"))
+    return restored(judged(plain, **parameters).where("kept"))

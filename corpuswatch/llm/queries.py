@@ -45,11 +45,15 @@ def op9_quality_rules(spark, sf):
     return judged(table(spark, sf, "documents").select("doc_id", "text", "lang")).select(*columns, *more)
 
 
+#: Parameters of the mix.
+MIX = {"weights": (1, 2, 3), "most": 3, "seed": 17}
+
+
 @query
 def op3_mixing(spark, sf):
     from corpuswatch.llm.mixing import plan
 
-    mix = plan(table(spark, sf, "documents").select("doc_id", "source", "text"), weights=(1, 2, 3), most=3, seed=17)
+    mix = plan(table(spark, sf, "documents").select("doc_id", "source", "text"), **MIX)
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

@@ -215,7 +215,7 @@ def repeated_words(documents: DataFrame, length: int = 20, first_length: int = 1
             alive = stored(alive, "alive")
     hit = texts.join(alive, "doc_id").mapInArrow(
         _last_pass(length), "doc_id long, sequence long, n_removed long, kept_sha256 string"
-    )
+    ).dropDuplicates(["doc_id", "sequence"])
     return _assembled(docs, firsts, hit, length)
 
 
