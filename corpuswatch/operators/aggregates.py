@@ -33,25 +33,29 @@ def list_articles(
     if region:
         df = df.where(F.col("region") == region)
     ordered = df.select(*LIST_COLUMNS).orderBy(F.desc_nulls_first("published_at"), "content_hash", "url")
-    return ordered.offset(offset).limit(min(limit, 200))
+    return ordered.offset(offset).limit(limit)
 
 
-def filter_feed(df: DataFrame, category: str = "all", sentiment: str = "all", keep: int = 200) -> DataFrame:
-    """The newest ``keep`` articles, then the two filters."""
-    newest = df.orderBy(F.col("published_at").desc(), "content_hash", "url").limit(keep)
+def filter_feed(df: DataFrame, category: str = "all", sentiment: str = "all", keep: int = 200, mode: str = "intended") -> DataFrame:
+    """The newest ``keep`` articles that pass the two filters; ``mode="reference"`` filters the newest ``keep`` articles."""
+    order = [F.col("published_at").desc(), F.col("content_hash"), F.col("url")]
+    newest = df.orderBy(*order).limit(keep) if mode == "reference" else df
     if category != "all":
         newest = newest.where(F.array_contains("categories", category))
     if sentiment != "all":
         newest = newest.where(F.col("sentiment_label") == sentiment)
-    return newest
+    return newest if mode == "reference" else newest.orderBy(*order).limit(keep)
 
 
 def mystery_feed(
-    df: DataFrame, limit: int = 50, subcategory: str | None = None, min_anomaly: float = 0.0, ts: str = "published_at"
+    df: DataFrame, limit: int = 50, subcategory: str | None = None, min_anomaly: float = 0.0, ts: str = "published_at", mode: str = "intended"
 ) -> DataFrame:
-    """Filters run over the newest ``3 * limit`` events only, so a rare subcategory can come back short."""
+    """The newest ``limit`` events that pass the filters.
+
+    ``mode="reference"`` filters only the newest ``3 * limit`` events, so that a rare subcategory can come back short.
+    """
     order = [F.col(ts).desc(), F.col("article_hash")]
-    recent = df.orderBy(*order).limit(limit * 3)
+    recent = df.orderBy(*order).limit(limit * 3) if mode == "reference" else df
     if subcategory:
         recent = recent.where(F.col("subcategory") == subcategory)
     return recent.where(F.col("anomaly_score") >= min_anomaly).orderBy(*order).limit(limit)
@@ -213,4 +217,4 @@ def scoreboard(df: DataFrame, limit: int = 20, recent: int = 200, ts: str = "pub
 
 
 def recent_verdicts(df: DataFrame, limit: int = 20, ts: str = "analyzed_at", tie: str = "event_cluster_id") -> DataFrame:
-    return df.orderBy(F.col(ts).desc(), tie).limit(min(limit, 100))
+    return df.orderBy(F.col(ts).desc(), tie).limit(limit)

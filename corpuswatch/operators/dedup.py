@@ -27,8 +27,9 @@ from corpuswatch.session import cut_lineage
 # Thresholds and memory of the three layers.
 EXACT_TTL_SECONDS = 7 * 86400
 SIMHASH_TTL_SECONDS = 3 * 86400
-SIMHASH_CHARS, SIMHASH_DISTANCE = 300, 5
-MINHASH_CHARS, MINHASH_SIMILARITY, NUM_PERM = 500, 0.85, 128
+SIMHASH_DISTANCE, MINHASH_SIMILARITY, NUM_PERM = 5, 0.85, 128
+# Characters of the content that the analysed system compares; here whole texts are the default.
+REFERENCE_SIMHASH_CHARS, REFERENCE_MINHASH_CHARS = 300, 500
 # Bands and rows of 128 permutations with the least false-positive plus false-negative area at 0.85.
 BANDS, ROWS = 8, 16
 
@@ -80,11 +81,11 @@ def drop_seen(df: DataFrame, seen: DataFrame, key: str = "content_hash") -> Data
 # -- candidates -------------------------------------------------------------------------------------------
 
 
-def with_simhash(df: DataFrame, chars: int | None = SIMHASH_CHARS) -> DataFrame:
+def with_simhash(df: DataFrame, chars: int | None = None) -> DataFrame:
     return df.withColumn("simhash", simhash64(dedup_text(chars)))
 
 
-def with_minhash(df: DataFrame, chars: int | None = MINHASH_CHARS, num_perm: int = NUM_PERM) -> DataFrame:
+def with_minhash(df: DataFrame, chars: int | None = None, num_perm: int = NUM_PERM) -> DataFrame:
     return df.withColumn("minhash", minhash(dedup_text(chars), num_perm))
 
 
@@ -123,37 +124,37 @@ class Candidates:
 
 
 def bucket_members(items: DataFrame, buckets: Column) -> DataFrame:
-    """One row per item and bucket, without the buckets that hold a single item."""
-    members = cut_lineage(items.select(F.explode(F.array_distinct(buckets)).alias("bucket"), "id", "ord", "payload"))
+    """One row per item and bucket, without the buckets that hold a single item and without payloads."""
+    members = cut_lineage(items.select(F.explode(F.array_distinct(buckets)).alias("bucket"), "id", "ord"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return cut_lineage(members.join(sizes, "bucket"))
 
 
-def split_candidates(members: DataFrame, match: Callable[[Column, Column], Column], hot_limit: int) -> Candidates:
-    small = members.where(F.col("n") <= hot_limit)
+def split_candidates(members: DataFrame, items: DataFrame, match: Callable[[Column, Column], Column], hot_limit: int | None) -> Candidates:
+    """Verified pairs of buckets up to ``hot_limit`` (``None``: of all buckets), and the members of the others.
+
+    Pairs meet by id; each distinct pair gets its two payloads once, however many buckets it shares.
+    """
+    small = members if hot_limit is None else members.where(F.col("n") <= hot_limit)
     a, b = small.alias("a"), small.alias("b")
-    matched = a.join(
-        b,
-        (F.col("a.bucket") == F.col("b.bucket"))
-        & (F.col("a.ord") < F.col("b.ord"))
-        & match(F.col("a.payload"), F.col("b.payload")),
-    )
-    pairs = matched.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    hot = members.where(F.col("n") > hot_limit).drop("n")
-    return Candidates(cut_lineage(pairs), cut_lineage(hot))
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.ord") < F.col("b.ord")))
+    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    for side in "ab":
+        met = met.join(items.select(F.col("id").alias(side), F.col("payload").alias(f"_{side}")), side)
+    pairs = met.where(match(F.col("_a"), F.col("_b"))).select("a", "b")
+    hot = members.where(F.lit(False) if hot_limit is None else F.col("n") > hot_limit).drop("n")
+    return Candidates(cut_lineage(pairs), cut_lineage(hot.join(items.select("id", "payload"), "id")))
 
 
 def keep_first(found: Candidates, match: Callable[[Column, Column], Column], mode: str = "greedy"):
     """Ids (column ``id``) to drop: items that match an earlier item that is itself kept.
 
     ``mode="any_earlier"`` drops every item with an earlier match, kept or not; the two differ on chains
-    A~B~C. Greedy works in rounds: an item that is nobody's later match and leads all its large buckets is
+    A~B~C. It needs the pairs of all buckets (``split_candidates`` with ``hot_limit=None``). Greedy works in rounds: an item that is nobody's later match and leads all its large buckets is
     kept, and its matches go. The earliest open item is always decided, so the rounds end.
     """
-    if mode == "any_earlier" and found.hot.isEmpty():
-        return found.pairs.select(F.col("b").alias("id")).distinct()
     if mode == "any_earlier":
-        raise ValueError("any_earlier needs every pair; raise hot_limit or use mode='greedy'")
+        return found.pairs.select(F.col("b").alias("id")).distinct()
     pairs, hot, dropped = found.pairs, found.hot, None
     has_hot = not hot.isEmpty()
     while has_hot or not pairs.isEmpty():
@@ -271,7 +272,7 @@ def _simhash_layer(narrow, max_distance, mode, blocks, hot_limit, keep, ttl_seco
     items = cut_lineage(simhash_items(narrow, ts, tie))
     n_blocks = blocks or blocks_for(items.count(), max_distance)
     members = bucket_members(items, simhash_blocks(F.col("payload"), n_blocks, max_distance))
-    found = split_candidates(members, match, hot_limit)
+    found = split_candidates(members, items, match, hot_limit if keep == "greedy" else None)
     return _survivors(narrow, "simhash", keep_first(found, match, keep), ts, tie)
 
 
@@ -279,9 +280,10 @@ def _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie) -> DataFra
     def match(a: Column, b: Column) -> Column:
         return jaccard(a, b) >= min_sim
 
-    members = bucket_members(word_set_items(narrow, ts, tie), F.col("_bands"))
+    items = cut_lineage(word_set_items(narrow, ts, tie))
+    members = bucket_members(items, F.col("_bands"))
     if verify:
-        dropped = keep_first(split_candidates(members, match, hot_limit), match, keep)
+        dropped = keep_first(split_candidates(members, items, match, hot_limit if keep == "greedy" else None), match, keep)
     else:
         dropped = keep_first_by_bucket(members)
     return _survivors(narrow, "_set", dropped, ts, tie)
@@ -289,7 +291,7 @@ def _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie) -> DataFra
 
 def dedup_simhash(
     df: DataFrame, max_distance: int = SIMHASH_DISTANCE, mode: str = "intended", blocks: int | None = None,
-    hot_limit: int = 1000, chars: int | None = SIMHASH_CHARS, keep: str = "greedy", ttl_seconds: int | None = None,
+    hot_limit: int = 1000, chars: int | None = None, keep: str = "greedy", ttl_seconds: int | None = None,
     ts: str = "crawled_at", tie: str = "url",
 ) -> DataFrame:
     """Rows kept by the SimHash layer, with their ``simhash``.
@@ -305,7 +307,7 @@ def dedup_simhash(
 
 def dedup_minhash(
     df: DataFrame, min_sim: float = MINHASH_SIMILARITY, verify: bool = True, hot_limit: int = 1000,
-    chars: int | None = MINHASH_CHARS, bands: int = BANDS, rows: int = ROWS, keep: str = "greedy",
+    chars: int | None = None, bands: int = BANDS, rows: int = ROWS, keep: str = "greedy",
     ts: str = "crawled_at", tie: str = "url",
 ) -> DataFrame:
     """Rows kept by the MinHash layer: no kept earlier row shares a band (and, verified, reaches ``min_sim``)."""
@@ -314,16 +316,22 @@ def dedup_minhash(
     return join_rows(df, kept.select(ts, tie), [ts, tie], "left_semi")
 
 
-def dedup_articles(df: DataFrame, mode: str = "intended", ts: str = "crawled_at", tie: str = "url", hot_limit: int = 1000):
+def dedup_articles(
+    df: DataFrame, mode: str = "intended", ts: str = "crawled_at", tie: str = "url", hot_limit: int = 1000,
+    exact_ttl_seconds: int | None = None, simhash_ttl_seconds: int | None = None,
+):
     """Every row with ``dropped_by``: exact, simhash, minhash, or null for the kept rows.
 
-    Each layer judges only the rows that passed the layers before it. ``mode="reference"`` uses equal
-    fingerprints and unverified bands; ``intended`` uses the Hamming distance and the Jaccard check.
+    Each layer judges only the rows that passed the layers before it. ``intended`` compares whole texts by Hamming distance and the
+    Jaccard check; ``mode="reference"`` compares the starts of the texts by equal fingerprints and unverified bands. The first two
+    layers may forget: give ``EXACT_TTL_SECONDS`` and ``SIMHASH_TTL_SECONDS`` for the memory of the analysed system (the
+    second one only counts for equal fingerprints, so in reference mode).
     """
     key = ["content_hash", ts, tie]
-    narrow = cut_lineage(with_word_sets(with_simhash(df), [*key, "simhash"], MINHASH_CHARS))
-    exact = cut_lineage(dedup_exact(narrow, ts=ts, tie=tie))
-    near = cut_lineage(_simhash_layer(exact, SIMHASH_DISTANCE, mode, None, hot_limit, "greedy", None, ts, tie))
+    simhash_chars, minhash_chars = (REFERENCE_SIMHASH_CHARS, REFERENCE_MINHASH_CHARS) if mode == "reference" else (None, None)
+    narrow = cut_lineage(with_word_sets(with_simhash(df, simhash_chars), [*key, "simhash"], minhash_chars))
+    exact = cut_lineage(dedup_exact(narrow, ts=ts, tie=tie, ttl_seconds=exact_ttl_seconds))
+    near = cut_lineage(_simhash_layer(exact, SIMHASH_DISTANCE, mode, None, hot_limit, "greedy", simhash_ttl_seconds, ts, tie))
     kept = _minhash_layer(near, MINHASH_SIMILARITY, mode == "intended", hot_limit, "greedy", ts, tie)
     # How many layers a row passed, as one small table that is joined to the articles once.
     passed = exact.select(*key).unionByName(near.select(*key)).unionByName(kept.select(*key))

@@ -17,13 +17,16 @@ from corpuswatch import lexicons as L
 from corpuswatch.functions.text import (
     computed_once, contains_term, head, matched_terms, or_empty, strip, term_hits, tokens, word_count, words,
 )
-from corpuswatch.session import broadcast_if_small
 
 ScoringFn = Callable[[pd.Series], pd.DataFrame]
 
 
-def label_text(chars: int | None = 512) -> Column:
-    """The text that labels are read from: title, full stop, start of the content (``None`` = all of it)."""
+# Characters of the content that the analysed system labels and tags; here whole texts are the default.
+REFERENCE_LABEL_CHARS, REFERENCE_TAG_CHARS = 512, 2000
+
+
+def label_text(chars: int | None = None) -> Column:
+    """The text that labels are read from: title, full stop, content (``chars``: only its start)."""
     return F.concat(or_empty(F.col("title")), F.lit(". "), head(or_empty(F.col("content")), chars))
 
 
@@ -43,7 +46,7 @@ def category_hits(lowered: Column, lexicon: dict[str, list[str]], match: str = "
     return F.array(*entries)
 
 
-def with_category_hits(df: DataFrame, lexicon: dict[str, list[str]], chars: int | None = 512, match: str = "substring"):
+def with_category_hits(df: DataFrame, lexicon: dict[str, list[str]], chars: int | None = None, match: str = "substring"):
     """Add ``category_hits``: the categories of an article that have a hit."""
     lowered = computed_once(df, _low=F.lower(label_text(chars)))
     hits = computed_once(lowered, _all=category_hits(F.col("_low"), lexicon, match))
@@ -59,7 +62,7 @@ def top_categories(hits: Column, k: int = 3) -> Column:
 
 
 def keyword_categories(
-    df: DataFrame, lexicon: dict[str, list[str]] | None = None, k: int = 3, chars: int | None = 512,
+    df: DataFrame, lexicon: dict[str, list[str]] | None = None, k: int = 3, chars: int | None = None,
     match: str = "substring",
 ) -> DataFrame:
     """Add ``categories`` and ``category_scores`` from keyword hits."""
@@ -75,24 +78,29 @@ def keyword_categories(
 def score_texts(df: DataFrame, text: Column, score_fn: ScoringFn, schema: str) -> DataFrame:
     """Run a user model over a text column in Arrow batches; its frame becomes the struct column ``model``.
 
-    ``score_fn`` is called once per batch with the texts. A batch it fails on yields null rows, so that the
-    keyword rules can take over.
+    ``score_fn`` is called with the texts of a batch. Where it fails the batch is halved until the texts it fails on stand
+    alone; those yield null rows, so that the keyword rules can take over.
     """
     struct = T.StructType.fromDDL(schema)
 
+    def rated(texts: pd.Series) -> pd.DataFrame:
+        try:
+            return score_fn(texts.reset_index(drop=True)).reset_index(drop=True)
+        except Exception:
+            if len(texts) <= 1:
+                return pd.DataFrame({n: [None] * len(texts) for n in struct.names})
+            half = len(texts) // 2
+            return pd.concat([rated(texts[:half]), rated(texts[half:])], ignore_index=True)
+
     @F.pandas_udf(struct)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            try:
-                scored = score_fn(texts).reset_index(drop=True)
-            except Exception:
-                scored = pd.DataFrame({n: [None] * len(texts) for n in struct.names})
-            yield scored[struct.names]
+            yield rated(texts)[struct.names]
 
     return df.withColumn("model", run(text))
 
 
-def model_categories(df: DataFrame, score_fn: ScoringFn, k: int = 3, floor: float = 0.3, chars: int | None = 512):
+def model_categories(df: DataFrame, score_fn: ScoringFn, k: int = 3, floor: float = 0.3, chars: int | None = None):
     """Categories from a model that returns ``labels`` and ``scores`` arrays, best first; keyword rules on failure."""
     hits = with_category_hits(df, L.CATEGORY_KEYWORDS, chars)
     scored = score_texts(hits, label_text(chars), score_fn, "labels array<string>, scores array<double>")
@@ -139,7 +147,7 @@ def sentiment_struct(label: Column, score: Column, rest: dict[str, Column | floa
 KEYWORD_REST = {"positive": 0.2, "negative": 0.2, "neutral": 0.6}
 
 
-def keyword_sentiment(df: DataFrame, positive=None, negative=None, chars: int | None = 512, match: str = "substring"):
+def keyword_sentiment(df: DataFrame, positive=None, negative=None, chars: int | None = None, match: str = "substring"):
     """Add the ``sentiment`` struct from keyword hits."""
     lowered = computed_once(df, _low=F.lower(label_text(chars)))
     rated = computed_once(lowered, _s=sentiment_label_score(F.col("_low"), positive, negative, match))
@@ -147,7 +155,7 @@ def keyword_sentiment(df: DataFrame, positive=None, negative=None, chars: int |
     return rated.withColumn("sentiment", sentiment).drop("_s", "_low")
 
 
-def model_sentiment(df: DataFrame, score_fn: ScoringFn, chars: int | None = 512) -> DataFrame:
+def model_sentiment(df: DataFrame, score_fn: ScoringFn, chars: int | None = None) -> DataFrame:
     """Sentiment from a model that returns ``label`` and ``score``; keyword rules on failure."""
     scored = score_texts(df, head(label_text(chars), chars), score_fn, "label string, score double")
     names = F.create_map(*[F.lit(x) for pair in L.SENTIMENT_LABELS.items() for x in pair])
@@ -195,16 +203,89 @@ VALUE_PATTERNS = {
 }
 
 
-def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash", chars: int | None = 2000, max_words: int = 3):
-    """Dictionary and pattern tagging: rows (key, pos, name, label, start, end).
+#: Names (and their characters in all) up to which a gazetteer is sent to every task; a larger one is joined by shuffle.
+GAZETTEER_ROWS, GAZETTEER_CHARS = 100_000, 8_000_000
+TAGS = "array<struct<name:string,label:string>>"
+
+
+def _spelled_words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _names(gazetteer: DataFrame) -> DataFrame:
+    return gazetteer.select(F.lower("name").alias("_name"), "label").distinct()
+
+
+def _small(gazetteer: DataFrame) -> bool:
+    seen = gazetteer.limit(GAZETTEER_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("name")), F.lit(0))).first()
+    return seen[0] <= GAZETTEER_ROWS and seen[1] <= GAZETTEER_CHARS
+
+
+def _found_in_row(names: DataFrame) -> Callable[[Column, Column], Column]:
+    """A function of the words of a text, as spelled and lower-cased, that gives the distinct names in it, of any length."""
+    starts: dict[str, list[tuple[list[str], str]]] = {}
+    for name, label in names.where("_name is not null").collect():
+        parts = name.split(" ")
+        starts.setdefault(parts[0], []).append((parts, label))
+    shared = names.sparkSession.sparkContext.broadcast(starts)
+
+    @F.pandas_udf(TAGS)
+    def found(spelled: pd.Series, lowered: pd.Series) -> pd.Series:
+        index, out = shared.value, []
+        for as_is, low in zip(spelled, lowered):
+            tags = {}
+            for i, word in enumerate(low):
+                for parts, label in index.get(word, ()):
+                    if len(parts) == 1 or list(low[i : i + len(parts)]) == parts:
+                        tags[" ".join(as_is[i : i + len(parts)]), label] = None
+            out.append([{"name": n, "label": lab} for n, lab in tags])
+        return pd.Series(out)
+
+    return found
+
+
+def _tags(text: Column, names: Column) -> tuple[Column, Column]:
+    """The padded text (to be column ``_pad``), and tags (pos, name, label, start, end) of a text: the names found, and money, percent and date values, each at its first place."""
+    # Every other character becomes one blank, so places in the padded text are places in the text plus one.
+    padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]", " "), F.lit(" "))
+
+    def values(label: str, pattern: str) -> Column:
+        distinct = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        return F.transform(distinct, lambda v: F.struct(v.alias("name"), F.lit(label).alias("label")))
+
+    def placed(tag: Column) -> Column:
+        plain = F.regexp_replace(tag["name"], r"[^\p{L}\p{N}]", " ")
+        lead = F.length(plain) - F.length(F.ltrim(plain))
+        alone = F.instr(F.col("_pad"), F.concat(F.lit(" "), F.trim(plain), F.lit(" ")))
+        at = F.when(alone > 0, alone - 1 - lead).otherwise(F.instr(text, tag["name"]) - 1)
+        return F.struct(at.alias("pos"), tag["name"].alias("name"), tag["label"].alias("label"), at.alias("start"), (at + F.length(tag["name"])).alias("end"))
+
+    everything = F.concat(F.coalesce(names, F.expr(f"cast(array() as {TAGS})")), *[values(label, p) for label, p in VALUE_PATTERNS.items()])
+    return padded, F.transform(everything, placed)
+
+
+def _tagged_rows(df: DataFrame, gazetteer: DataFrame, chars: int | None) -> DataFrame:
+    """``df`` with ``_tags``, without a shuffle; for a gazetteer that fits its bounds."""
+    found = _found_in_row(_names(gazetteer))
+    split = df.withColumn("_text", label_text(chars)).withColumn("_w", _spelled_words(F.col("_text")))
+    named = split.withColumn("_names", found(F.col("_w"), F.transform("_w", F.lower)))
+    padded, tags = _tags(F.col("_text"), F.col("_names"))
+    return named.withColumn("_pad", padded).withColumn("_tags", tags).drop("_text", "_w", "_names", "_pad")
+
 
-    The distinct word n-grams of title and content meet the gazetteer (``name``, ``label``) in an equi-join on
-    the lower-cased name; only n-grams leave the row, never the text. The few names found go back to their
-    text, where their place and the money, percent and date values are read. ``pos`` orders the tags.
+def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash", chars: int | None = None):
+    """Dictionary and pattern tagging: rows (key, pos, name, label, start, end), ``pos`` orders the tags.
+
+    Names of any number of words are found by lower-cased words of title and content. A gazetteer within its bounds is
+    looked up in the row, without a shuffle. For a larger one the distinct word n-grams, as long as its longest name, meet it in
+    an equi-join; only n-grams leave the row, and the few names found go back to their text.
     """
+    if _small(gazetteer):
+        return _tagged_rows(df, gazetteer, chars).select(key, F.inline("_tags"))
     base = df.select(key, label_text(chars).alias("_text"))
-    spelled = F.trim(F.regexp_replace("_text", r"[^\p{L}\p{N}]+", " "))
-    split = computed_once(base.select(key, spelled.alias("_spelled")), _w=F.split("_spelled", " "))
+    names = _names(gazetteer)
+    longest = names.agg(F.max(F.size(F.split("_name", " ")))).first()[0] or 1
+    split = computed_once(base.select(key, "_text"), _w=_spelled_words(F.col("_text"))).drop("_text")
 
     def grams(n: int) -> Column:
         if n == 1:
@@ -212,41 +293,44 @@ def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash",
         starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (n - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
 
-    found = F.array_distinct(F.concat(*[grams(n) for n in range(1, max_words + 1)]))
-    names = broadcast_if_small(gazetteer.select(F.lower("name").alias("_name"), "label").distinct())
+    found = F.array_distinct(F.concat(*[grams(n) for n in range(1, longest + 1)]))
     named = (
         split.select(key, F.explode(found).alias("name"))
-        .join(names, F.lower("name") == F.col("_name"))
+        .join(names.hint("merge"), F.lower("name") == F.col("_name"))
         .groupBy(key)
         .agg(F.collect_list(F.struct("name", "label")).alias("_names"))
     )
+    padded, tags = _tags(F.col("_text"), F.col("_names"))
+    return computed_once(base.join(named, key, "left"), _pad=padded).select(key, F.inline(tags))
 
-    def values(label: str, pattern: str) -> Column:
-        distinct = F.array_distinct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
-        return F.transform(distinct, lambda v: F.struct(v.alias("name"), F.lit(label).alias("label")))
-
-    # Every other character becomes one blank, so places in the padded text are places in the text plus one.
-    padded = F.concat(F.lit(" "), F.regexp_replace("_text", r"[^\p{L}\p{N}]", " "), F.lit(" "))
-    joined = computed_once(base.join(named, key, "left"), _pad=padded)
-
-    def placed(tag: Column) -> Column:
-        plain = F.regexp_replace(tag["name"], r"[^\p{L}\p{N}]", " ")
-        lead = F.length(plain) - F.length(F.ltrim(plain))
-        alone = F.instr(F.col("_pad"), F.concat(F.lit(" "), F.trim(plain), F.lit(" ")))
-        at = F.when(alone > 0, alone - 1 - lead).otherwise(F.instr(F.col("_text"), tag["name"]) - 1)
-        return F.struct(tag["name"].alias("name"), tag["label"].alias("label"), at.alias("start"))
 
-    none = F.expr("cast(array() as array<struct<name:string,label:string>>)")
-    everything = F.concat(F.coalesce("_names", none), *[values(label, p) for label, p in VALUE_PATTERNS.items()])
-    return joined.select(key, F.inline(F.transform(everything, placed))).select(
-        key, F.col("start").alias("pos"), "name", "label", "start", (F.col("start") + F.length("name")).alias("end")
-    )
+def entities_in_row(tags: Column) -> Column:
+    """The ``entities`` array of a row's tags, by the rules of ``entities_from_tags``, without a shuffle."""
+    types = F.create_map(*[F.lit(x) for pair in L.ENTITY_TYPES.items() for x in pair])
+    typed = F.transform(tags, lambda t: F.struct(
+        t["pos"].alias("pos"), t["label"].alias("label"), strip(t["name"]).alias("name"), t["start"].alias("start"), t["end"].alias("end"),
+        F.try_element_at(types, t["label"]).alias("type"),
+    ))
+    return F.filter(typed, lambda t: t["type"].isNotNull() & (F.length(t["name"]) >= 2))
+
+
+def _with_entities_in_row(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    staged = _tagged_rows(df, gazetteer, None).withColumn("_typed", F.array_sort(entities_in_row(F.col("_tags"))))
+    # A name counts once per type, at its first place; types follow their first place.
+    key = lambda t: F.concat_ws("\x00", t["type"], t["name"])
+    staged = staged.withColumns({"_keys": F.transform("_typed", key), "_types": F.transform("_typed", lambda t: t["type"])})
+    once = F.filter("_typed", lambda t, i: F.array_position("_keys", key(t)) == i + 1)
+    ranked = F.transform(once, lambda t: F.struct(
+        F.get("_typed", (F.array_position("_types", t["type"]) - 1).cast("int"))["pos"].alias("_type_at"), t["pos"].alias("pos"),
+        F.struct(t["name"].alias("name"), t["label"].alias("label"), t["start"].alias("start"), t["end"].alias("end"), t["type"].alias("type")).alias("e"),
+    ))
+    return staged.withColumn("entities", F.transform(F.array_sort(ranked), lambda x: x["e"])).drop("_tags", "_typed", "_keys", "_types")
 
 
 # -- embeddings, counts, keywords -------------------------------------------------------------------------
 
 
-def with_embedding(df: DataFrame, encode_fn: ScoringFn | None = None, dim: int = 384, chars: int | None = 512):
+def with_embedding(df: DataFrame, encode_fn: ScoringFn | None = None, dim: int = 384, chars: int | None = None):
     """Add ``embedding``: a user encoder in Arrow batches (zero vector on failure), or a hashed bag of words."""
     if encode_fn is None:
         tokened = df.withColumn("_words", words(label_text(chars)))
@@ -335,6 +419,8 @@ def with_entities(df: DataFrame, gazetteer: DataFrame | None, key: str = "url")
     empty = F.expr("cast(array() as array<struct<name:string,label:string,start:int,`end`:int,type:string>>)")
     if gazetteer is None:
         return df.withColumn("entities", empty)
+    if _small(gazetteer):
+        return _with_entities_in_row(df, gazetteer)
     found = entities_from_tags(tag_entities(df, gazetteer, key), key)
     return df.join(found, key, "left").withColumn("entities", F.coalesce("entities", empty))
 
@@ -343,7 +429,7 @@ def enrich(
     df: DataFrame, gazetteer: DataFrame | None = None, lexicon=None, positive=None, negative=None, as_of: Column | None = None,
     encode_fn: ScoringFn | None = None, dim: int = 384, key: str = "url",
 ) -> DataFrame:
-    """Categories, sentiment, entities, embedding and counts in one pass; only entities need a shuffle.
+    """Categories, sentiment, entities, embedding and counts in one pass; only a large gazetteer needs a shuffle.
 
     ``key`` names the rows uniquely: two articles with one content hash may still differ further down.
     """

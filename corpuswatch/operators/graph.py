@@ -89,9 +89,10 @@ def list_pairs(items: Column) -> Column:
     )
 
 
-def entity_pairs(df: DataFrame, keys: str = "entity_keys", cap: int = 5) -> DataFrame:
-    """Directed pairs of the first ``cap`` entity keys of each article: at most ten rows per article, no shuffle."""
-    return df.withColumn("_k", F.slice(keys, 1, cap)).select(F.inline(list_pairs(F.col("_k"))))
+def entity_pairs(df: DataFrame, keys: str = "entity_keys", cap: int | None = None) -> DataFrame:
+    """Directed pairs of the entity keys of each article, without a shuffle; ``cap``: only of its first keys (the analysed system takes five)."""
+    listed = F.col(keys) if cap is None else F.slice(keys, 1, cap)
+    return df.withColumn("_k", listed).select(F.inline(list_pairs(F.col("_k"))))
 
 
 def category_pairs(df: DataFrame, categories: str = "categories") -> DataFrame:
@@ -105,10 +106,11 @@ def co_occurrence(pairs: DataFrame, edge_type: str) -> DataFrame:
     return counted.withColumn("type", F.lit(edge_type))
 
 
-def basket_lists(baskets: DataFrame, first: int = 5) -> DataFrame:
-    """Rows (article, pos, entity_key) to the first entity keys per article, in list order."""
+def basket_lists(baskets: DataFrame, first: int | None = None) -> DataFrame:
+    """Rows (article, pos, entity_key) to the entity keys per article in list order, or only its ``first`` ones."""
     rank = F.row_number().over(Window.partitionBy("article").orderBy("pos", "entity_key"))
-    early = baskets.withColumn("_rank", rank).where(F.col("_rank") <= first)
+    early = baskets.withColumn("_rank", rank)
+    early = early if first is None else early.where(F.col("_rank") <= first)
     keys = F.array_sort(F.collect_list(F.struct("_rank", "entity_key")))
     return early.groupBy("article").agg(F.transform(keys, lambda x: x["entity_key"]).alias("entity_keys"))
 

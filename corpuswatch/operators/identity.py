@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from corpuswatch.functions.text import head, or_empty
 
 
-def with_content_hash(df: DataFrame, chars: int | None = 500) -> DataFrame:
-    """sha256 of the title followed by the first ``chars`` characters of the content (``None`` = all of it)."""
+#: Fixed value: characters of the content that the analysed system hashes.
+REFERENCE_HASH_CHARS = 500
+
+
+def with_content_hash(df: DataFrame, chars: int | None = None) -> DataFrame:
+    """sha256 of the title followed by the content (``chars``: only its start; ``REFERENCE_HASH_CHARS`` as in the analysed system)."""
     return df.withColumn(
         "content_hash", F.sha2(F.concat(or_empty(F.col("title")), head(or_empty(F.col("content")), chars)), 256)
     )

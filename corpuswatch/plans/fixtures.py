@@ -38,6 +38,22 @@ def label(articles: DataFrame) -> DataFrame:
     return labelled.withColumn("sentiment_label", F.col("sentiment.label")).withColumn("sentiment_score", F.col("sentiment.score"))
 
 
+def newest_crawl(spark: SparkSession, sf_dir: str):
+    """The clock of the labelled documents, read from the narrow articles: labels are not computed for it."""
+    return A.articles_from_documents(spark, sf_dir).select(F.max("crawled_at")).scalar()
+
+
+def categorised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with categories only: an unused sentiment would be computed all the same."""
+    return keyword_categories(A.articles_from_documents(spark, sf_dir), LEXICON)
+
+
+def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with sentiment only."""
+    rated = keyword_sentiment(A.articles_from_documents(spark, sf_dir), POSITIVE, NEGATIVE)
+    return rated.withColumn("sentiment_label", F.col("sentiment.label")).withColumn("sentiment_score", F.col("sentiment.score"))
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label(A.articles_from_documents(spark, sf_dir))
 

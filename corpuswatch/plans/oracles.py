@@ -45,8 +45,8 @@ def hits(lowered: str, terms: list[str]) -> str:
 # -- common tables ----------------------------------------------------------------------------------------
 
 ART = """art AS (
-  SELECT *, sha256(title || substr(content, 1, 500)) AS content_hash, crawled_at AS published_at FROM (
-    SELECT doc_id, 'doc://' || doc_id AS url, substr(split_part(text, chr(10), 1), 1, 300) AS title, text AS content, source,
+  SELECT *, sha256(title || content) AS content_hash, crawled_at AS published_at FROM (
+    SELECT doc_id, 'doc://' || doc_id AS url, split_part(text, chr(10), 1) AS title, text AS content, source,
       upper(lang) AS region, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS crawled_at FROM documents))"""
 
 
@@ -70,17 +70,17 @@ def sentiment(chars: int | None) -> str:
 
 
 LAB = f"""{ART},
-{category_hits(X.LEXICON, 512)},
+{category_hits(X.LEXICON, None)},
 cats AS (
   SELECT doc_id, list(label ORDER BY score DESC, rank) AS categories, max(score) AS best
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS n FROM cat_hits) WHERE n <= 3 GROUP BY doc_id),
-{sentiment(512)},
+{sentiment(None)},
 lab AS (
   SELECT art.*, coalesce(categories, ['general']) AS categories, coalesce(best, 0.5) AS best, sentiment_label, sentiment_score
   FROM art LEFT JOIN cats USING (doc_id) JOIN mood USING (doc_id))"""
 
 TAG = f"""{LAB},
-texts AS (SELECT doc_id, title || '. ' || substr(content, 1, 2000) AS t FROM art),
+texts AS (SELECT doc_id, title || '. ' || content AS t FROM art),
 raw_tags AS (
   SELECT doc_id, t, w AS name, label FROM (
     SELECT DISTINCT doc_id, t, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) AS w FROM texts)
@@ -98,7 +98,7 @@ typed AS (
 ent AS (SELECT *, min(start) OVER (PARTITION BY doc_id, type) AS type_at FROM typed),
 ents AS (
   SELECT doc_id, list({{'name': name, 'type': type}} ORDER BY type_at, start) AS entities FROM ent GROUP BY doc_id),
-tagged AS (SELECT lab.*, coalesce(entities, []) AS entities FROM lab LEFT JOIN ents USING (doc_id))"""
+tagged AS MATERIALIZED (SELECT lab.*, coalesce(entities, []) AS entities FROM lab LEFT JOIN ents USING (doc_id))"""
 
 MENTIONS = """m AS (
   SELECT 'cat' AS kind, event_type AS name, ts FROM events UNION ALL SELECT 'ent', 'user:' || user_id, ts FROM events)"""
@@ -157,6 +157,7 @@ ce AS (SELECT pos.cluster_id, pos.pos, bat.* FROM pos JOIN bat USING (batch_id,
 
 # -- sources ----------------------------------------------------------------------------------------------
 
+ORACLES["content_hash_reference"] = with_(ART) + "SELECT doc_id, sha256(title || substr(content, 1, 500)) AS content_hash FROM art"
 ORACLES["content_hash"] = with_(ART) + "SELECT doc_id, content_hash FROM art"
 
 ORACLES["ranked_id_list"] = """
@@ -184,11 +185,11 @@ WITH vis AS (
     '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g') AS v FROM pages),
 parsed AS (SELECT page_id, {element('h1', '')} AS title, {element('article', ' ')} AS content, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source FROM vis)
 SELECT page_id, title, length(content) AS n_chars, md5(content) AS content_md5, source,
-  sha256(title || substr(content, 1, 500)) AS content_hash, '2024-02-01 00:00:00' AS published_at
+  sha256(title || content) AS content_hash, '2024-02-01 00:00:00' AS published_at
 FROM parsed WHERE title <> '' AND length(content) >= 100"""
 
 
-def links(where: str, cap: int) -> str:
+def links(where: str, cap: int | None = None) -> str:
     return rf"""
 WITH h AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages),
 e AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(len(hs))) AS p FROM h),
@@ -196,11 +197,12 @@ r AS (SELECT page_id, p, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^https?
         regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, h FROM e),
 d AS (SELECT page_id, link, min(p) AS p FROM r WHERE regexp_extract(link, '^https?://([^/?#]*)', 1) = host {where} GROUP BY page_id, link),
 n AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY p) - 1 AS pos FROM d)
-SELECT page_id, pos, link FROM n WHERE pos < {cap}"""
+SELECT page_id, pos, link FROM n {"" if cap is None else f"WHERE pos < {cap}"}"""
 
 
-ORACLES["page_links"] = links("", 30)
-ORACLES["page_links_rendered"] = links("AND length(regexp_extract(h, '^[^?#]*')) > 12", 50)
+ORACLES["page_links"] = links("")
+ORACLES["page_links_reference"] = links("", 30)
+ORACLES["page_links_rendered"] = links("AND length(regexp_extract(h, '^[^?#]*')) > 12")
 
 ORACLES["source_info"] = """
 SELECT r_name AS source_region, s_suppkey % 3 + 1 AS source_priority, count(*) AS articles, sum(l_quantity)::BIGINT AS quantity
@@ -237,13 +239,14 @@ ORACLES["article_list"] = with_(LAB) + f"{LIST} FROM lab {NEWEST} LIMIT 50 OFFSE
 ORACLES["article_list_filtered"] = with_(LAB) + (
     f"{LIST} FROM lab WHERE list_contains(categories, 'alpha') AND sentiment_label = 'positive' AND region = 'EN' {NEWEST} LIMIT 200"
 )
-ORACLES["feed_filtered"] = with_(LAB) + (
+ORACLES["feed_filtered"] = with_(LAB) + f"{LIST} FROM (SELECT * FROM lab WHERE list_contains(categories, 'gamma') AND sentiment_label = 'negative' {NEWEST} LIMIT 200)"
+ORACLES["feed_filtered_reference"] = with_(LAB) + (
     f"{LIST} FROM (SELECT * FROM lab {NEWEST} LIMIT 200) WHERE list_contains(categories, 'gamma') AND sentiment_label = 'negative'"
 )
-ORACLES["unusual_event_feed"] = with_(INC) + f"""
+for name, source in (("unusual_event_feed", "inc"), ("unusual_event_feed_reference", "(SELECT * FROM inc ORDER BY published_at DESC, article_hash LIMIT 150)")):
+    ORACLES[name] = with_(INC) + f"""
 SELECT article_hash, subcategory, anomaly_score, {stamp('published_at')} AS published_at
-FROM (SELECT * FROM inc ORDER BY published_at DESC, article_hash LIMIT 150)
-WHERE subcategory = 'purchase' AND anomaly_score >= 0.3 ORDER BY published_at DESC, article_hash LIMIT 50"""
+FROM {source} WHERE subcategory = 'purchase' AND anomaly_score >= 0.3 ORDER BY published_at DESC, article_hash LIMIT 50"""
 ORACLES["recent_events"] = """
 SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOURS"""
 ORACLES["score_bands"] = with_(INC) + """
@@ -297,11 +300,12 @@ SELECT k, min(event_id) AS event_id FROM kept JOIN e USING (k, ts) GROUP BY k, t
 ORACLES["unseen_articles"] = with_(ART) + """
 SELECT doc_id, content_hash FROM art WHERE content_hash NOT IN (SELECT content_hash FROM art JOIN labels USING (doc_id))"""
 
-ORACLES["simhash_fingerprints"] = with_(ART, fingerprints(dedup_body(300))) + "SELECT doc_id, simhash FROM fp"
+ORACLES["simhash_fingerprints"] = with_(ART, fingerprints(dedup_body(None))) + "SELECT doc_id, simhash FROM fp"
+ORACLES["simhash_fingerprints_reference"] = with_(ART, fingerprints(dedup_body(300))) + "SELECT doc_id, simhash FROM fp"
 ORACLES["simhash_fingerprints_whole_text"] = with_(ART, fingerprints(dedup_body(None))) + "SELECT doc_id, simhash FROM fp"
-ORACLES["fingerprint_distance"] = with_(ART, fingerprints(dedup_body(300)), fingerprints("content", "fq")) + """
+ORACLES["fingerprint_distance"] = with_(ART, fingerprints(dedup_body(None)), fingerprints("content", "fq")) + """
 SELECT doc_id, bit_count(xor(fp.simhash, fq.simhash))::BIGINT AS distance FROM fp JOIN fq USING (doc_id)"""
-ORACLES["dedup_simhash_equal"] = with_(ART, fingerprints(dedup_body(300))) + """
+ORACLES["dedup_simhash_equal"] = with_(ART, fingerprints(dedup_body(None))) + """
 SELECT url, simhash FROM art JOIN fp USING (doc_id) QUALIFY row_number() OVER (PARTITION BY simhash ORDER BY crawled_at, url) = 1"""
 
 
@@ -333,7 +337,7 @@ def simhash_layer(input_table: str) -> str:
     )
 
 
-for name, chars in (("dedup_simhash", 300), ("dedup_simhash_whole_text", None)):
+for name, chars in (("dedup_simhash", None), ("dedup_simhash_whole_text", None)):
     ORACLES[name] = (
         with_(ART, fingerprints(dedup_body(chars)), "inp AS (SELECT art.*, simhash FROM art JOIN fp USING (doc_id))", simhash_layer("inp"), recursive=True)
         + "SELECT url, simhash FROM inp JOIN kept USING (doc_id)"
@@ -357,8 +361,9 @@ sig AS (
 bands AS (SELECT doc_id, i // {D.ROWS} AS band, string_agg(v::VARCHAR, ',' ORDER BY i) AS k FROM sig GROUP BY doc_id, i // {D.ROWS})"""
 
 
-ORACLES["minhash_signatures"] = with_(ART, signatures(dedup_body(500))) + "SELECT doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS signature_md5 FROM sig GROUP BY doc_id"
-ORACLES["lsh_buckets"] = with_(ART, signatures(dedup_body(500))) + "SELECT band, min(doc_id) AS first_doc, count(*) AS n FROM bands GROUP BY band, k HAVING count(*) > 1"
+ORACLES["minhash_signatures"] = with_(ART, signatures(dedup_body(None))) + "SELECT doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS signature_md5 FROM sig GROUP BY doc_id"
+ORACLES["minhash_signatures_reference"] = ORACLES["minhash_signatures"].replace(dedup_body(None), dedup_body(500))
+ORACLES["lsh_buckets"] = with_(ART, signatures(dedup_body(None))) + "SELECT band, min(doc_id) AS first_doc, count(*) AS n FROM bands GROUP BY band, k HAVING count(*) > 1"
 
 SHARED = "SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.k = y.k"
 
@@ -373,7 +378,7 @@ jac AS (
   FROM cand LEFT JOIN common USING (a, b) LEFT JOIN sizes sa ON sa.doc_id = cand.a LEFT JOIN sizes sb ON sb.doc_id = cand.b)"""
 
 
-ORACLES["lsh_verified"] = with_(ART, signatures(dedup_body(500)), jaccard_edges("art"), "lead AS (SELECT band, k, min(doc_id) AS a FROM bands GROUP BY band, k)",
+ORACLES["lsh_verified"] = with_(ART, signatures(dedup_body(None)), jaccard_edges("art"), "lead AS (SELECT band, k, min(doc_id) AS a FROM bands GROUP BY band, k)",
     "lp AS (SELECT DISTINCT lead.a, doc_id AS b FROM bands JOIN lead USING (band, k) WHERE doc_id <> lead.a)") + """
 SELECT a, b, round(jaccard, 6) AS jaccard FROM lp JOIN jac USING (a, b) WHERE jaccard >= 0.85"""
 
@@ -386,7 +391,7 @@ def minhash_layer(source: str, chars: int | None, verify: bool) -> list[str]:
     return parts + [keep_first(order, f"{SHARED} JOIN {source} p ON p.doc_id = x.doc_id JOIN {source} q ON q.doc_id = y.doc_id WHERE p.crawled_at < q.crawled_at")]
 
 
-for name, chars, verify in (("dedup_minhash", 500, True), ("dedup_minhash_whole_text", None, True), ("dedup_minhash_unverified", 500, False)):
+for name, chars, verify in (("dedup_minhash", None, True), ("dedup_minhash_whole_text", None, True), ("dedup_minhash_unverified", None, False)):
     ORACLES[name] = with_(ART, *minhash_layer("art", chars, verify), recursive=True) + "SELECT url FROM art JOIN kept USING (doc_id)"
 
 
@@ -399,12 +404,12 @@ def _renamed(cte: str, suffix: str) -> str:
 
 
 def layers(reference: bool) -> str:
-    ctes = [ART, fingerprints(dedup_body(300)), f"l1 AS (SELECT x.*, simhash FROM ({EXACT}) x JOIN fp USING (doc_id))"]
+    ctes = [ART, fingerprints(dedup_body(300 if reference else None)), f"l1 AS (SELECT x.*, simhash FROM ({EXACT}) x JOIN fp USING (doc_id))"]
     if reference:
         ctes.append("l2 AS (SELECT * FROM l1 QUALIFY row_number() OVER (PARTITION BY simhash ORDER BY crawled_at, url) = 1)")
     else:
         ctes += [_renamed(simhash_layer("l1"), "_s"), "l2 AS (SELECT l1.* FROM l1 JOIN kept_s USING (doc_id))"]
-    ctes += minhash_layer("l2", 500, not reference)
+    ctes += minhash_layer("l2", 500 if reference else None, not reference)
     return with_(*ctes, recursive=True) + """
 SELECT url, CASE WHEN doc_id NOT IN (SELECT doc_id FROM l1) THEN 'exact' WHEN doc_id NOT IN (SELECT doc_id FROM l2) THEN 'simhash'
   WHEN doc_id NOT IN (SELECT doc_id FROM kept) THEN 'minhash' END AS dropped_by FROM art"""
@@ -415,7 +420,8 @@ ORACLES["dedup_layers_reference"] = layers(True)
 
 # -- enrichment -------------------------------------------------------------------------------------------
 
-ORACLES["keyword_category_hits"] = with_(ART, category_hits(X.LEXICON, 512)) + "SELECT doc_id, label AS category, round(score, 4) AS score FROM cat_hits"
+ORACLES["keyword_category_hits"] = with_(ART, category_hits(X.LEXICON, None)) + "SELECT doc_id, label AS category, round(score, 4) AS score FROM cat_hits"
+ORACLES["keyword_category_hits_reference"] = ORACLES["keyword_category_hits"].replace(category_hits(X.LEXICON, None), category_hits(X.LEXICON, 512))
 ORACLES["keyword_category_hits_default_whole_text"] = (
     with_(ART, category_hits(L.CATEGORY_KEYWORDS, None)) + "SELECT doc_id, label AS category, round(score, 4) AS score FROM cat_hits"
 )
@@ -424,7 +430,8 @@ CLASSES = """SELECT doc_id, sentiment_label AS label, sentiment_score AS score,
   CASE WHEN sentiment_label = 'positive' THEN sentiment_score ELSE 0.2 END AS positive,
   CASE WHEN sentiment_label = 'negative' THEN sentiment_score ELSE 0.2 END AS negative,
   CASE WHEN sentiment_label = 'neutral' THEN sentiment_score ELSE 0.6 END AS neutral FROM mood"""
-ORACLES["keyword_sentiment"] = with_(ART, sentiment(512)) + CLASSES
+ORACLES["keyword_sentiment"] = with_(ART, sentiment(None)) + CLASSES
+ORACLES["keyword_sentiment_reference"] = with_(ART, sentiment(512)) + CLASSES
 ORACLES["keyword_sentiment_whole_text"] = with_(ART, sentiment(None)) + CLASSES
 ORACLES["tagged_entities"] = with_(TAG) + "SELECT doc_id, name, label, start FROM tags"
 ORACLES["entities_from_tags"] = f"""
@@ -634,7 +641,7 @@ SELECT cluster_id, md5(block) AS events_md5, coalesce(eb, {text(J.NO_SHARED)}) A
 FROM b LEFT JOIN e USING (cluster_id)"""
 ORACLES["cluster_graph_nodes"] = with_(CL, recursive=True) + "SELECT cluster_id, cluster_type, 'POSSIBLE_LINK' AS relationship_type, confidence FROM cl"
 ORACLES["cluster_graph_membership"] = with_(CL, recursive=True) + """
-SELECT article_hash AS src, cluster_id AS dst, 'BELONGS_TO_CLUSTER' AS type, confidence FROM pos JOIN cl USING (cluster_id) WHERE pos < 10"""
+SELECT article_hash AS src, cluster_id AS dst, 'BELONGS_TO_CLUSTER' AS type, confidence FROM pos JOIN cl USING (cluster_id)"""
 ORACLES["cluster_graph_links"] = with_(CL, recursive=True) + """
 SELECT a.article_hash AS src, b.article_hash AS dst, 'POSSIBLE_LINK' AS type, max(confidence) AS confidence
 FROM pos a JOIN pos b ON a.cluster_id = b.cluster_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 JOIN cl ON cl.cluster_id = a.cluster_id GROUP BY 1, 2"""
@@ -642,8 +649,9 @@ FROM pos a JOIN pos b ON a.cluster_id = b.cluster_id AND b.pos BETWEEN a.pos + 1
 # -- graph ------------------------------------------------------------------------------------------------
 
 BASKET = """bk AS (SELECT l_orderkey AS article, l_partkey::VARCHAR AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR) AS p FROM lineitem),
-pr AS (SELECT a.article, a.k AS src, b.k AS dst FROM bk a JOIN bk b ON a.article = b.article AND a.p < b.p WHERE b.p <= 5),
+pr AS (SELECT a.article, a.k AS src, b.k AS dst FROM bk a JOIN bk b ON a.article = b.article AND a.p < b.p),
 co AS (SELECT src, dst, count(*) AS weight FROM pr GROUP BY src, dst)"""
+ORACLES["entity_pairs_reference"] = with_(BASKET.replace("a.p < b.p)", "a.p < b.p WHERE b.p <= 5)")) + "SELECT article, src, dst FROM pr"
 ORACLES["entity_pairs"] = with_(BASKET) + "SELECT article, src, dst FROM pr"
 ORACLES["co_occurrence"] = with_(BASKET) + "SELECT src, dst, weight FROM co"
 ORACLES["entity_connections"] = with_(BASKET) + """
@@ -654,18 +662,18 @@ SELECT a.k AS src, b.k AS dst, count(*) AS weight FROM c a JOIN c b ON a.doc_id
 GRAPH = f"""{TAG},
 ekey AS (SELECT content_hash, url, crawled_at, sentiment_label, e.name AS name, e.type AS type, substr(lower(e.type || ':' || e.name), 1, 200) AS k, p
   FROM (SELECT *, unnest(entities) AS e, unnest(range(len(entities))) AS p FROM tagged)),
-nod AS (
+nod AS MATERIALIZED (
   SELECT content_hash AS id, 'Article' AS label, NULL AS mention_count, NULL AS article_count, NULL AS name, NULL AS type, arg_min(url, (crawled_at, url)) AS url, arg_min(sentiment_label, (crawled_at, url)) AS sentiment_label, max(crawled_at) AS last, min(crawled_at) AS published_at FROM tagged GROUP BY content_hash
   UNION ALL SELECT source, 'Source', NULL, count(*)::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL FROM tagged GROUP BY source
   UNION ALL SELECT c, 'Topic', count(*)::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT unnest(categories) AS c FROM tagged) GROUP BY c
   UNION ALL SELECT k, 'Entity', count(*)::VARCHAR, NULL, arg_min(name, (crawled_at, url, p)), arg_min(type, (crawled_at, url, p)), NULL, NULL, NULL, NULL FROM ekey GROUP BY k),
-edge AS (
+edge AS MATERIALIZED (
   SELECT DISTINCT content_hash AS src, source AS dst, 'FROM_SOURCE' AS type, NULL AS sentiment FROM tagged
   UNION SELECT content_hash, unnest(categories), 'TAGGED_AS', NULL FROM tagged
   UNION SELECT content_hash, k, 'MENTIONS', sentiment_label FROM ekey)"""
 ORACLES["graph_nodes"] = with_(GRAPH) + "SELECT id, label, mention_count, article_count, name, type, url, sentiment_label FROM nod"
 ORACLES["graph_edges"] = with_(GRAPH) + "SELECT src, dst, type, sentiment FROM edge"
-LATEST = """lat AS (SELECT src, dst, edge.type FROM edge JOIN nod ON nod.label = 'Article' AND nod.id = src ORDER BY nod.published_at DESC, src, edge.type, dst LIMIT 100)"""
+LATEST = """lat AS MATERIALIZED (SELECT src, dst, edge.type FROM edge JOIN nod ON nod.label = 'Article' AND nod.id = src ORDER BY nod.published_at DESC, src, edge.type, dst LIMIT 100)"""
 ORACLES["latest_subgraph_links"] = with_(GRAPH, LATEST) + "SELECT src, dst, type FROM lat"
 ORACLES["latest_subgraph_nodes"] = with_(GRAPH, LATEST) + "SELECT id, label FROM nod WHERE id IN (SELECT src FROM lat UNION SELECT dst FROM lat)"
 ORACLES["two_hop_neighbours"] = """
@@ -716,7 +724,7 @@ SELECT {stamp('minute')} AS minute, count(*) AS count FROM (SELECT date_trunc('m
 WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE GROUP BY minute"""
 ORACLES["stream_dedup_exact"] = with_(ART) + "SELECT DISTINCT content_hash FROM art"
 ORACLES["stream_dedup_near"] = with_(
-    ART, f"l1 AS ({EXACT})", *minhash_layer("l1", 500, True), recursive=True
+    ART, f"l1 AS ({EXACT})", *minhash_layer("l1", None, True), recursive=True
 ) + "SELECT url FROM l1 JOIN kept USING (doc_id)"
 ORACLES["stream_trends"] = ORACLES["trend_series"]
 ORACLES["stream_top_trends"] = ORACLES["top_trends"]

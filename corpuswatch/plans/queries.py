@@ -55,6 +55,13 @@ def content_hash(spark, sf):
     return A.articles_from_documents(spark, sf).select("doc_id", "content_hash")
 
 
+@query
+def content_hash_reference(spark, sf):
+    from corpuswatch.operators.identity import REFERENCE_HASH_CHARS, with_content_hash
+
+    return with_content_hash(A.articles_from_documents(spark, sf), REFERENCE_HASH_CHARS).select("doc_id", "content_hash")
+
+
 @query
 def ranked_id_list(spark, sf):
     events = A.table(spark, sf, "events")
@@ -90,7 +97,13 @@ def page_links(spark, sf):
 
 @query
 def page_links_rendered(spark, sf):
-    return P.page_links(A.pages(spark, sf), min_path_len=12, cap=50).select("page_id", "pos", "link")
+    return P.page_links(A.pages(spark, sf), min_path_len=12).select("page_id", "pos", "link")
+
+
+@query
+def page_links_reference(spark, sf):
+    """The first 30 links of each page, as the analysed system takes them."""
+    return P.page_links(A.pages(spark, sf), cap=30).select("page_id", "pos", "link")
 
 
 @query
@@ -161,12 +174,26 @@ def feed_filtered(spark, sf):
 
 
 @query
-def unusual_event_feed(spark, sf):
-    return G.mystery_feed(A.incidents_from_events(spark, sf), 50, "purchase", 0.3).select(
+def feed_filtered_reference(spark, sf):
+    return _list_columns(G.filter_feed(X.labelled_documents(spark, sf), "gamma", "negative", mode="reference"))
+
+
+def _event_feed(spark, sf, mode: str):
+    return G.mystery_feed(A.incidents_from_events(spark, sf), 50, "purchase", 0.3, mode=mode).select(
         "article_hash", "subcategory", "anomaly_score", stamp("published_at").alias("published_at")
     )
 
 
+@query
+def unusual_event_feed(spark, sf):
+    return _event_feed(spark, sf, "intended")
+
+
+@query
+def unusual_event_feed_reference(spark, sf):
+    return _event_feed(spark, sf, "reference")
+
+
 @query
 def recent_events(spark, sf):
     recent = G.within(A.table(spark, sf, "events").select("event_id", "ts", "event_type"), "ts", 36)
@@ -221,6 +248,11 @@ def simhash_fingerprints(spark, sf):
     return D.with_simhash(A.articles_from_documents(spark, sf)).select("doc_id", "simhash")
 
 
+@query
+def simhash_fingerprints_reference(spark, sf):
+    return D.with_simhash(A.articles_from_documents(spark, sf), D.REFERENCE_SIMHASH_CHARS).select("doc_id", "simhash")
+
+
 @query
 def simhash_fingerprints_whole_text(spark, sf):
     return D.with_simhash(A.articles_from_documents(spark, sf), chars=None).select("doc_id", "simhash")
@@ -253,6 +285,13 @@ def minhash_signatures(spark, sf):
     return D.with_minhash(A.articles_from_documents(spark, sf)).select("doc_id", F.md5(signature).alias("signature_md5"))
 
 
+@query
+def minhash_signatures_reference(spark, sf):
+    signature = F.array_join(F.transform("minhash", lambda x: x.cast("string")), ",")
+    docs = D.with_minhash(A.articles_from_documents(spark, sf), D.REFERENCE_MINHASH_CHARS)
+    return docs.select("doc_id", F.md5(signature).alias("signature_md5"))
+
+
 @query
 def lsh_buckets(spark, sf):
     """Buckets of every band with more than one article: first article and size."""
@@ -264,7 +303,7 @@ def lsh_buckets(spark, sf):
 @query
 def lsh_verified(spark, sf):
     """Every bucket member against the first of its bucket, with the exact Jaccard similarity of the words."""
-    docs = D.with_minhash(A.articles_from_documents(spark, sf)).withColumn("w", F.array_distinct(D.words(D.dedup_text(500))))
+    docs = D.with_minhash(A.articles_from_documents(spark, sf)).withColumn("w", F.array_distinct(D.words(D.dedup_text(None))))
     bands = D.lsh_candidates(docs, "doc_id")
     leaders = bands.groupBy("band", "band_key").agg(F.min("doc_id").alias("a"))
     pairs = bands.join(leaders, ["band", "band_key"]).where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
@@ -307,6 +346,12 @@ def keyword_category_hits(spark, sf):
     return docs.select("doc_id", F.col("label").alias("category"), F.round("score", 4).alias("score"))
 
 
+@query
+def keyword_category_hits_reference(spark, sf):
+    docs = E.with_category_hits(A.articles_from_documents(spark, sf), X.LEXICON, E.REFERENCE_LABEL_CHARS).select("doc_id", F.inline("category_hits"))
+    return docs.select("doc_id", F.col("label").alias("category"), F.round("score", 4).alias("score"))
+
+
 @query
 def keyword_category_hits_default_whole_text(spark, sf):
     """Default English lexicon over whole texts."""
@@ -323,7 +368,13 @@ def top_categories(spark, sf):
 
 @query
 def keyword_sentiment(spark, sf):
-    return X.labelled_documents(spark, sf).select("doc_id", "sentiment.*")
+    return X.rated_documents(spark, sf).select("doc_id", "sentiment.*")
+
+
+@query
+def keyword_sentiment_reference(spark, sf):
+    docs = E.keyword_sentiment(A.articles_from_documents(spark, sf), X.POSITIVE, X.NEGATIVE, E.REFERENCE_LABEL_CHARS)
+    return docs.select("doc_id", "sentiment.*")
 
 
 @query
@@ -432,7 +483,7 @@ def article_stats(spark, sf):
 
 @query
 def sentiment_breakdown(spark, sf):
-    return G.sentiment_breakdown(X.labelled_documents(spark, sf), 6)
+    return G.sentiment_breakdown(X.rated_documents(spark, sf), 6, as_of=X.newest_crawl(spark, sf))
 
 
 @query
@@ -443,7 +494,7 @@ def volume_per_minute(spark, sf):
 
 @query
 def category_distribution(spark, sf):
-    return G.category_distribution(X.labelled_documents(spark, sf), 24 * 365)
+    return G.category_distribution(X.categorised_documents(spark, sf), 24 * 365, as_of=X.newest_crawl(spark, sf))
 
 
 @query
@@ -453,7 +504,7 @@ def source_stats(spark, sf):
 
 @query
 def sentiment_share(spark, sf):
-    return G.sentiment_share(X.labelled_documents(spark, sf))
+    return G.sentiment_share(X.rated_documents(spark, sf))
 
 
 @query
@@ -709,6 +760,13 @@ def entity_pairs(spark, sf):
     return lists.select("article", F.inline(H.list_pairs(F.col("entity_keys"))))
 
 
+@query
+def entity_pairs_reference(spark, sf):
+    """Pairs of the first five entities of each article."""
+    lists = H.basket_lists(A.baskets_from_lineitem(spark, sf), first=5)
+    return lists.select("article", F.inline(H.list_pairs(F.col("entity_keys"))))
+
+
 @query
 def category_pairs(spark, sf):
     pairs = H.category_pairs(X.labelled_documents(spark, sf))

@@ -24,13 +24,13 @@ def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles_of(documents: DataFrame) -> DataFrame:
-    """Documents as raw articles: the first line, cut to 300 characters, is the title."""
+    """Documents as raw articles: the first line is the title."""
     at = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return with_content_hash(
         documents.select(
             "doc_id",
             F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
-            F.left(F.substring_index("text", "\n", 1), F.lit(300)).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("content"),
             "source",
             F.lit("web").alias("source_type"),

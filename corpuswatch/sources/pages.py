@@ -112,10 +112,11 @@ def resolve_link(base: Column, href: Column) -> Column:
     )
 
 
-def page_links(pages: DataFrame, min_path_len: int | None = None, cap: int | None = 30) -> DataFrame:
+def page_links(pages: DataFrame, min_path_len: int | None = None, cap: int | None = None) -> DataFrame:
     """Same-host links of each page in document order without repeats.
 
-    Rendered index pages are read with ``min_path_len=20, cap=50``. All work happens inside one row, so the
+    The analysed system takes the first 30 links of a page, of rendered index pages the first 50 with
+    ``min_path_len=20``; without ``cap`` no link is lost. All work happens inside one row, so the
     only growth is the final explode.
     """
     hrefs = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from corpuswatch.functions.fingerprints import jaccard
 from corpuswatch.operators import clusters as C
-from corpuswatch.operators.dedup import MINHASH_CHARS, MINHASH_SIMILARITY, dedup_exact, dedup_minhash, with_word_sets, word_set_items
+from corpuswatch.operators.dedup import MINHASH_SIMILARITY, dedup_exact, dedup_minhash, with_word_sets, word_set_items
 from corpuswatch.operators.identity import join_rows
 from corpuswatch.operators.tables import live_feed_rows
 from corpuswatch.operators.trends import compute_trends, top_trends
@@ -79,7 +79,7 @@ def stream_dedup_exact(stream: DataFrame, ts: str = "crawled_at", memory: str =
     return stream.withWatermark(ts, memory).dropDuplicatesWithinWatermark([key])
 
 
-def near_dedup_batch(path: str, verify: bool = True, ts: str = "crawled_at", tie: str = "url") -> Sink:
+def near_dedup_batch(path: str, verify: bool = True, ts: str = "crawled_at", tie: str = "url", chars: int | None = None) -> Sink:
     """Micro-batch step of near-duplicate removal against all articles kept so far.
 
     Tables under ``path``: ``kept`` (articles), ``bands`` (band key and word-set id of kept articles) and
@@ -94,7 +94,7 @@ def near_dedup_batch(path: str, verify: bool = True, ts: str = "crawled_at", tie
             # Only batches before this one: a retry must not meet its own rows.
             before = F.col("batch") < batch_id
             fresh = fresh.join(spark.read.parquet(f"{path}/kept").where(before).select("content_hash"), "content_hash", "left_anti")
-            keyed = cut_lineage(with_word_sets(fresh, [ts, tie], MINHASH_CHARS))
+            keyed = cut_lineage(with_word_sets(fresh, [ts, tie], chars))
             items = word_set_items(keyed, ts, tie)
             mine = items.select("id", "payload", F.explode("_bands").alias("band_key"))
             met = mine.join(spark.read.parquet(f"{path}/bands").where(before).select("band_key", "set_id"), "band_key")
@@ -104,10 +104,10 @@ def near_dedup_batch(path: str, verify: bool = True, ts: str = "crawled_at", tie
                 met = met.join(sets, "set_id").where(jaccard(F.col("payload"), F.col("words")) >= MINHASH_SIMILARITY)
             unmet = keyed.join(met.select(F.col("id").alias("_set")), "_set", "left_anti").select(ts, tie)
             fresh = join_rows(fresh, unmet, [ts, tie], "left_semi")
-        kept = dedup_minhash(fresh, verify=verify, ts=ts, tie=tie)
+        kept = dedup_minhash(fresh, verify=verify, chars=chars, ts=ts, tie=tie)
         write_batch(kept, f"{path}/kept", batch_id)
         written = spark.read.parquet(f"{path}/kept/batch={batch_id}")
-        items = cut_lineage(word_set_items(with_word_sets(written, [ts, tie], MINHASH_CHARS), ts, tie))
+        items = cut_lineage(word_set_items(with_word_sets(written, [ts, tie], chars), ts, tie))
         write_batch(items.select(F.explode("_bands").alias("band_key"), F.col("id").alias("set_id")), f"{path}/bands", batch_id)
         write_batch(items.select(F.col("id").alias("set_id"), F.col("payload").alias("words")), f"{path}/sets", batch_id)
 

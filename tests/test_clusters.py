@@ -122,5 +122,6 @@ def test_cluster_graph(spark):
     ev = spark.createDataFrame([(0, f"h{i}") for i in range(12) if i != 3], "batch_id long, article_hash string")
     links = {(r["src"], r["dst"]): r["confidence"] for r in C.cluster_links(cl).collect()}
     assert len(links) == 4 * 8 + 3 + 2 + 1 and links[("h0", "h1")] == 0.9 and ("h0", "h5") not in links
+    assert C.cluster_membership(cl, ev, first=10).where("dst = 'c'").count() == 9
     members = C.cluster_membership(cl, ev)
-    assert members.where("dst = 'c'").count() == 9 and members.where("dst = 'c2'").count() == 2
+    assert members.where("dst = 'c'").count() == 11 and members.where("dst = 'c2'").count() == 2

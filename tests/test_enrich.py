@@ -111,3 +111,29 @@ def test_lexicon_order():
 def test_plans_stay_in_the_jvm(spark):
     plan = E.keyword_sentiment(E.keyword_categories(docs(spark, [("a", "b", "s")])))._jdf.queryExecution().toString()
     assert "EvalPython" not in plan and "Exchange" not in plan.split("Physical Plan")[1]
+
+
+def test_names_of_any_length_are_found_in_the_row_and_by_join(spark, monkeypatch):
+    """A four-word name, a nested shorter one and another case; both ways give the same tags."""
+    gaz = spark.createDataFrame([("Bank of New Lisbon", "ORG"), ("new lisbon", "GPE"), ("Lisbon", "GPE"), (None, "ORG")], "name string, label string")
+    text = "The Bank-of  new LISBON paid 5%. Bank of New Lisbon, again Lisbon."
+    df = spark.createDataFrame([("h1", "t", text), ("h2", None, None), ("h3", "Lisbon", "")], "content_hash string, title string, content string")
+    in_row = sorted(map(tuple, E.tag_entities(df, gaz).collect()))
+    assert ("h1", "Bank of New Lisbon") in {(r[0], r[2]) for r in in_row}
+    assert {r[2] for r in in_row if r[0] == "h1"} == {"Bank of new LISBON", "Bank of New Lisbon", "new LISBON", "New Lisbon", "LISBON", "Lisbon", "5%"}
+    entities = {r["content_hash"]: r["entities"] for r in E.with_entities(df, gaz, "content_hash").collect()}
+    monkeypatch.setattr(E, "GAZETTEER_ROWS", 0)
+    assert sorted(map(tuple, E.tag_entities(df, gaz).collect())) == in_row
+    assert {r["content_hash"]: r["entities"] for r in E.with_entities(df, gaz, "content_hash").collect()} == entities
+
+
+def test_one_bad_text_spoils_no_other(spark):
+    def rate(texts):
+        if texts.str.contains("bad").any():
+            raise ValueError("bad text")
+        return pd.DataFrame({"label": ["POSITIVE"] * len(texts), "score": [0.9] * len(texts)})
+
+    rows = [(i, "bad" if i % 7 == 3 else f"plain {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    got = E.score_texts(df, F.col("text"), rate, "label string, score double").select("id", "model.label").collect()
+    assert {r["id"] for r in got if r["label"] is None} == {i for i, t in rows if t == "bad"}

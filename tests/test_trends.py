@@ -64,8 +64,9 @@ def events(spark, n):
 
 
 def test_feed_can_come_back_short(spark):
-    assert G.mystery_feed(events(spark, 100), 10, "rare").count() == 3  # only the newest 30 are looked at
-    assert G.mystery_feed(events(spark, 100), 10, None, 0.25).count() == 5
+    assert G.mystery_feed(events(spark, 100), 10, "rare", mode="reference").count() == 3  # only the newest 30 are looked at
+    assert G.mystery_feed(events(spark, 100), 10, "rare").count() == 10
+    assert G.mystery_feed(events(spark, 100), 10, None, 0.25, mode="reference").count() == 5
 
 
 def test_lists(spark):
