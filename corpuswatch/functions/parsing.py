@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Timestamp layouts met in article payloads.
 TIMESTAMP_FORMATS = [
@@ -40,7 +41,9 @@ def parse_model_json(c: Column, schema) -> Column:
     raw = F.trim(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     fenced = F.regexp_replace(F.try_element_at(F.split(raw, "```"), F.lit(2)), r"^json", "")
     body = F.when(raw.startswith("```"), fenced).otherwise(raw)
-    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
+    # As the only element of an array: text that follows the object spoils the array.
+    listed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    parsed = F.when(F.size(listed) == 1, F.get(listed, 0))
     # An answer that is not a JSON object parses to a struct of nulls; report it as null.
     any_field = F.coalesce(*[parsed[n].cast("string") for n in schema.fieldNames()])
     return F.when(any_field.isNotNull(), parsed)

@@ -20,16 +20,47 @@ NAMED_ENTITIES = {
 
 
 def unescape_entities(c: Column) -> Column:
-    """Named and decimal character references to characters; ``&amp;`` last."""
+    """Named, decimal and hexadecimal character references to characters, two surrogates to one; ``&amp;`` last.
+
+    Numbers that are no character become U+FFFD.
+    """
     for name, char in NAMED_ENTITIES.items():
         c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,6});"), F.lit(1)))
+    return bound(c, lambda text: F.replace(F.when(text.contains("&#"), _numbered(text)).otherwise(text), F.lit("&amp;"), F.lit("&")))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _numbered(c: Column) -> Column:
+    one = r"&#(?:[xX][0-9A-Fa-f]{1,6}|\d{1,7});"
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?:{one})+"), F.lit(0)))
+
+    def number(reference):
+        digits = F.regexp_replace(reference, r"[&#;xX]", "")
+        return F.when(F.lower(reference).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
 
-    def put(text, code):
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
-        return F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), char)
+    def character(code):
+        bad = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
 
-    return F.replace(F.aggregate(codes, c, put), F.lit("&amp;"), F.lit("&"))
+    def put(text, run):
+        codes = F.transform(F.regexp_extract_all(run, F.lit(one), F.lit(0)), number)
+
+        def spelled(code, i):
+            before, after = F.get(codes, i - 1), F.get(codes, i + 1)
+            leads = code.between(0xD800, 0xDBFF) & after.between(0xDC00, 0xDFFF)
+            follows = code.between(0xDC00, 0xDFFF) & before.between(0xD800, 0xDBFF)
+            pair = (code - 0xD800) * 0x400 + after - 0xDC00 + 0x10000
+            return F.when(leads, character(pair)).when(follows, F.lit("")).otherwise(character(code))
+
+        return F.replace(text, run, F.array_join(F.transform(codes, spelled), ""))
+
+    # Longer runs first, so that none is cut by a shorter one inside it.
+    ordered = F.reverse(F.array_sort(F.transform(found, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))))
+    return F.aggregate(ordered, c, lambda text, r: put(text, r["run"]))
 
 
 def visible_html(html: Column) -> Column:
@@ -37,11 +68,42 @@ def visible_html(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
 
 
-def element_html(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """Inner markup of the first such element; null when there is none."""
-    attributes = r"[^>]*" if css_class is None else rf"[^>]*class\s*=\s*[\"'][^\"']*\b{re.escape(css_class)}\b[^>]*"
-    pattern = rf"(?is)<{tag}\b{attributes}>(.*?)</{tag}\s*>"
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+def element_html(html: Column, tag: str | None, css_class: str | None = None) -> Column:
+    """Inner markup of the first such element, up to the tag that closes it; null when there is none or it is never closed.
+
+    Elements of the same name inside it are counted. Without ``tag`` the class alone decides.
+    """
+    attributes = r"[^>]*" if css_class is None else rf"[^>]*class\s*=\s*[\"'](?:[^\"']*\s)?{re.escape(css_class)}(?:\s[^\"']*)?[\"'][^>]*"
+    opening = F.regexp_extract(html, rf"(?is)<{tag or '[a-z][a-z0-9]*'}\b{attributes}>", 0)
+    if tag:
+        # Most elements hold no other of their name: the first closing tag ends them.
+        flat = F.regexp_extract(html, rf"(?is)<{tag}\b{attributes}>(.*?)</{tag}\s*>", 1)
+        whole = bound(opening, lambda found: _balanced(html, found, F.lit(tag)))
+        return bound(flat, lambda inner: F.when(inner.rlike(rf"(?i)<{tag}\b"), whole).otherwise(F.nullif(inner, F.lit(""))))
+    return bound(opening, lambda found: _balanced(html, found, F.regexp_extract(found, r"^<(\w+)", 1)))
+
+
+def _balanced(html: Column, opening: Column, name: Column) -> Column:
+    """Markup from the opening tag to the tag that closes it."""
+    either = F.concat(F.lit("(?is)<"), name, F.lit(r"\b[^>]*>|</"), name, F.lit(r"\s*>"))
+    rest = F.substring(html, F.instr(html, opening) + F.length(opening), F.length(html))
+    return F.when(opening != "", bound(rest, lambda text: _until_closed(text, either)))
+
+
+def _until_closed(rest: Column, either: Column) -> Column:
+    steps = F.arrays_zip(F.split(rest, either).alias("text"), F.regexp_extract_all(rest, either, F.lit(0)).alias("mark"))
+
+    def step(s, x):
+        depth = s["depth"] + F.when(x["mark"].startswith("</"), -1).otherwise(1)
+        at = s["at"] + F.length(x["text"])
+        return F.struct(
+            depth.alias("depth"), (at + F.coalesce(F.length(x["mark"]), F.lit(0))).alias("at"),
+            F.coalesce(s["end"], F.when(depth == 0, at)).alias("end"),
+        )
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+    end = F.aggregate(steps, start, step)["end"]
+    return F.nullif(F.left(rest, end), F.lit(""))
 
 
 def element_text(inner: Column, separator: str) -> Column:
@@ -52,7 +114,7 @@ def element_text(inner: Column, separator: str) -> Column:
 def articles_from_pages(
     pages: DataFrame,
     as_of: Column,
-    content_tag: str = "article",
+    content_tag: str | None = "article",
     content_class: str | None = None,
     title_tag: str = "h1",
     min_chars: int = 100,

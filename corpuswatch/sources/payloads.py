@@ -159,38 +159,43 @@ def articles_from_search_posts(df: DataFrame, profile_page: str) -> DataFrame:
 
 
 RSS_SCHEMA = (
-    "channel struct<item:array<struct<title:string,link:string,encoded:string,summary:string,description:string,"
-    "pubDate:string,published:string,updated:string,author:string>>>"
+    "channel struct<item:array<struct<title:string,link:string,content_encoded:string,summary:string,description:string,"
+    "pubDate:string,published:string,updated:string,author:string,dc_creator:string,dc_date:string>>>"
 )
 ATOM_SCHEMA = (
-    "entry array<struct<title:string,link:struct<_href:string>,content:string,summary:string,"
-    "published:string,updated:string,author:struct<name:string>>>"
+    "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,content:string,summary:string,"
+    "published:string,updated:string,author:array<struct<name:string>>,dc_creator:string>>"
 )
 
 
 def feed_entries(df: DataFrame) -> DataFrame:
     """RSS and Atom documents to one row per entry with the position in the feed.
 
-    Name spaces are dropped from element names before parsing, so ``content:encoded`` reads as ``encoded``.
+    A qualified name stays apart from the plain one: ``content:encoded`` reads as ``content_encoded``, and a photo's
+    ``media:title`` never takes the place of the entry's ``title``. Only a feed that is itself written with the prefix ``atom:`` loses it.
     """
-    xml = F.regexp_replace("payload", r"<(/?)[A-Za-z][\w.-]*:", "<$1")
+    atom_root = F.col("payload").rlike(r"<atom:feed\b")
+    plain = F.when(atom_root, F.regexp_replace("payload", r"<(/?)atom:", "<$1")).otherwise(F.col("payload"))
+    xml = F.regexp_replace(plain, r"<(/?)([A-Za-z][\w.-]*):", "<$1$2_")
     rss = F.from_xml(xml, RSS_SCHEMA)["channel"]["item"]
     atom = F.from_xml(xml, ATOM_SCHEMA)["entry"]
     entry = "struct<title:string,link:string,content:string,summary:string,published:string,updated:string,author:string>"
 
     def rss_entry(e):
         return F.struct(
-            e["title"].alias("title"), e["link"].alias("link"), e["encoded"].alias("content"),
+            e["title"].alias("title"), e["link"].alias("link"), e["content_encoded"].alias("content"),
             F.coalesce(e["summary"], e["description"]).alias("summary"),
-            F.coalesce(e["pubDate"], e["published"]).alias("published"), e["updated"].alias("updated"),
-            e["author"].alias("author"),
+            F.coalesce(e["pubDate"], e["published"], e["dc_date"]).alias("published"), e["updated"].alias("updated"),
+            F.coalesce(e["author"], e["dc_creator"]).alias("author"),
         )
 
     def atom_entry(e):
+        # The entry's own page, not an enclosure, edit or self link.
+        page = F.filter(e["link"], lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate")
         return F.struct(
-            e["title"].alias("title"), e["link"]["_href"].alias("link"), e["content"].alias("content"),
+            e["title"].alias("title"), F.try_element_at(page, F.lit(1))["_href"].alias("link"), e["content"].alias("content"),
             e["summary"].alias("summary"), e["published"].alias("published"), e["updated"].alias("updated"),
-            e["author"]["name"].alias("author"),
+            F.coalesce(F.try_element_at(e["author"], F.lit(1))["name"], e["dc_creator"]).alias("author"),
         )
 
     entries = F.coalesce(

@@ -170,3 +170,43 @@ def test_model_json(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r["v"] for r in frame.select(parse_model_json(F.col("t"), VERDICT).alias("v")).collect()]
     assert [g and g["verdict"] for g in got] == ["weak signal", "x", "y", None, None]
+
+
+def test_feeds_keep_qualified_names_apart(spark):
+    rss = """<rss xmlns:media="m" xmlns:dc="d" xmlns:atom="a"><channel><atom:link href="https://feed/self" rel="self"/><item><title>Own</title><link>https://f/1</link>
+    <description>own text</description><media:title>photo</media:title><media:description>caption</media:description><atom:link href="https://f/self"/>
+    <dc:creator>Ann</dc:creator><dc:date>2024-03-05T09:00:00Z</dc:date></item></channel></rss>"""
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link rel="enclosure" href="https://a/file.mp3"/><link rel="alternate" href="https://a/page"/>
+    <content>body</content><published>2024-03-05T09:00:00Z</published><author><name>Bob</name></author><author><name>Eve</name></author></entry></feed>"""
+    prefixed = """<atom:feed xmlns:atom="http://www.w3.org/2005/Atom"><atom:entry><atom:title>P</atom:title><atom:link href="https://p/1"/></atom:entry></atom:feed>"""
+    df = spark.createDataFrame([(x, "F", "https://feed", None, NOW) for x in (rss, atom, prefixed)], "payload string, name string, url string, region string, ingested_at timestamp")
+    got = {r["url"]: r for r in payloads.articles_from_feeds(df).collect()}
+    assert set(got) == {"https://f/1", "https://a/page", "https://p/1"}
+    one = got["https://f/1"]
+    assert (one["title"], one["content"], one["author"], one["published_at"]) == ("Own", "own text", "Ann", dt.datetime(2024, 3, 5, 9))
+    assert (got["https://a/page"]["content"], got["https://a/page"]["author"]) == ("body", "Bob")
+
+
+def test_nested_elements_and_class_selectors(spark):
+    body = "<p>" + "text " * 40 + "</p>"
+    rows = [
+        (1, "https://s/1", f"<h1>t</h1><div class='x story'><div>{body}<div>in</div></div><div>tail</div></div><div>after</div>"),
+        (2, "https://s/2", f"<h1>t</h1><section class='story-list'>no</section><main class='story'><div>{body}</div></main>"),
+        (3, "https://s/3", f"<h1>t</h1><div class='story'><div>{body}"),
+    ]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    clock = F.lit(NOW).cast("timestamp")
+    got = {r["page_id"]: r["content"] for r in pages.articles_from_pages(df, clock, content_tag=None, content_class="story").collect()}
+    assert set(got) == {1, 2} and got[1].endswith("in tail") and "after" not in got[1] and "no" not in got[2].split()
+    assert set(r["page_id"] for r in pages.articles_from_pages(df, clock, content_tag="div", content_class="story").collect()) == {1}
+
+
+def test_character_references(spark):
+    df = spark.createDataFrame([("&#x2019;&#8217; &#128512; &#xD83D;&#xDE00; &#55357;&#56832;&#33; &#xD83D; &#1114112; &amp;#33; &#x41;&#x41;",)], "t string")
+    assert df.select(pages.unescape_entities(F.col("t"))).first()[0] == "\u2019\u2019 \U0001f600 \U0001f600 \U0001f600! \ufffd \ufffd &#33; AA"
+
+
+def test_model_json_takes_one_object_only(spark):
+    df = spark.createDataFrame([('{"verdict": "x"} trailing',), ('  {"verdict": "x"} ',)], "t string")
+    got = [r[0] for r in df.select(parse_model_json(F.col("t"), VERDICT)).collect()]
+    assert got[0] is None and got[1] is not None
