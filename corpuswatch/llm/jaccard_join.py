@@ -2,13 +2,14 @@
 
 1. Each text becomes its set of distinct shingle hashes, sorted. Texts with equal sets are one node.
 2. Sizes fall into bands. Within a band the hash range is cut into segments. Two sets with similarity t differ in at most
-   ``n (1 - t) / t`` elements (n: either size), so of the first that many plus one non-empty segments at least one is the same in
+   ``n (1 - t) / t`` elements (n: either size), so of the first that many plus two non-empty segments at least two are the same in
    both. A tile is (band, segment, content of the segment); a set enters a tile for each of those segments, and also the
    tiles of the next band if a partner may be there. Small bands use each element as a segment of its own.
-3. Tiles of one node are dropped. Each member of the others is first compared with the tile's least node; then
-   components are built, and tiles that still hold several components are compared pair by pair inside a task, large ones as a
-   grid of blocks. No pair is written unless its bitmaps allow a link: equal bits plus the collisions bound the overlap.
-4. What passes is decided by intersecting the sorted arrays.
+3. Tiles of one node are dropped. Small tiles give their pairs, and those met in two of them are candidates. In a large tile
+   each member is first compared with the tile's least node; then components are built, and large tiles that still hold several
+   are compared pair by pair inside a task, as a grid of blocks, so that no pair is written unless its bitmaps allow a link.
+4. For every candidate the bitmaps come first: equal bits plus the collisions bound the overlap from above.
+5. What passes is decided by intersecting the sorted arrays.
 
 No link is lost but for chance events of hashing (64-bit collisions; a set that leaves so many segments empty that too few
 are left and whose differences then hit all of them: below 1e-15 per document).
@@ -31,9 +32,10 @@ from corpuswatch.llm.tables import stored
 #: First size of each band. Below the second, every shingle is a segment of its own.
 BAND_EDGES = np.array([1, 48, *np.unique(np.round(116 * 2.4 ** np.arange(0, 24)).astype(np.int64))])
 SHINGLES_PER_SEGMENT = 2.5
-#: Members times shingles of the largest member that one block of a tile holds: bounds a task's bit matrix to 32 MB.
-BLOCK = 1_000_000
-FIELDS = "doc_id long, node long, n int"
+#: Members of a tile whose pairs are written out, at most 15 for each of its members.
+SMALL_TILE = 32
+#: Members times shingles of the largest member that one block of a tile holds: bounds a task's bit matrix to 25 MB.
+BLOCK = 500_000
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def tile_keys(values: np.ndarray, first: np.ndarray, similar: float) -> tuple[np
             content = np.add.reduceat(W.mixed(element, 21), run)
             of = owner[run]
             rank = np.arange(len(run)) - np.searchsorted(of, of)
-            keep = rank <= differ[sets][of]
+            keep = rank <= differ[sets][of] + 1
             keys.append(W.mixed(content[keep] + segment[run][keep] * np.uint64(0x9E3779B97F4A7C15), 31 + int(band)))
             whose.append(sets[of[keep]])
     if not keys:
@@ -86,9 +88,9 @@ def tile_keys(values: np.ndarray, first: np.ndarray, similar: float) -> tuple[np
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """Hashed bitmap of a power of two of bits, two for each element at least."""
+    """Hashed bitmap of a power of two of bits, six for each element at least: few collisions, so a tight bound."""
     bits = 64
-    while bits < 2 * len(elements):
+    while bits < 6 * len(elements):
         bits *= 2
     out = np.zeros(bits, dtype=np.uint8)
     out[elements & np.uint64(bits - 1)] = 1
@@ -112,9 +114,13 @@ def _sets(similar: float, length: int):
             for part in W.chunks(batch, "text"):
                 values, first = W.shingle_sets(W.words_of(part.column("text")), length)
                 keys, at = tile_keys(values, first, similar)
+                bits = [bitmap(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(W.signed(nodes_of(values, first))), pa.array(np.diff(first), pa.int32()), W.lists(W.signed(keys), at, pa.int64())],
-                    ["doc_id", "node", "n", "tiles"],
+                    [
+                        part.column("doc_id").cast(pa.int64()), pa.array(W.signed(nodes_of(values, first))), pa.array(np.diff(first), pa.int32()),
+                        pa.array(bits, pa.binary()), W.lists(W.signed(keys), at, pa.int64()),
+                    ],
+                    ["doc_id", "node", "n", "bits", "tiles"],
                 )
 
     return run
@@ -129,12 +135,10 @@ def _elements(length: int, wanted: Prefilter):
                 node = nodes_of(values, first)
                 doc = part.column("doc_id").cast(pa.int64()).fill_null(2**63 - 1).to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero((np.diff(first) > 0) & wanted.holds(seen, node ^ doc.view(np.uint64)))
-                bits = [bitmap(values[first[d] : first[d + 1]]) for d in keep]
                 size = np.diff(first)[keep]
                 flat = values[_ranges(first[keep], size)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(node[keep])), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), W.lists(W.signed(flat), np.concatenate([[0], np.cumsum(size)]), pa.int64())],
-                    ["node", "n", "bits", "elements"],
+                    [pa.array(W.signed(node[keep])), W.lists(W.signed(flat), np.concatenate([[0], np.cumsum(size)]), pa.int64())], ["node", "elements"]
                 )
 
     return run
@@ -173,30 +177,40 @@ def _exact(similar_num: int, similar_den: int):
 
 
 def _compared(similar: float):
-    """All pairs of one tile block (or of two) whose components differ and whose bitmaps allow a link."""
-
-    def run(table: pa.Table) -> pa.Table:
-        row = table.column("row")[0].as_py()
-        column = table.column("col")[0].as_py()
-        node, component, n, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "block"))
-        raw = table.column("bits").to_pylist()
-        length = 8 * min(map(len, raw))
-        bits = np.stack([_fold(np.unpackbits(np.frombuffer(x, np.uint8)), length) for x in raw]).astype(np.float32)
-        filled = bits.sum(axis=1)
-        left, right = np.flatnonzero(block == row), np.flatnonzero(block == column)
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        for at in range(0, len(left), 500):
-            a = left[at : at + 500]
-            common = bits[a] @ bits[right].T
-            ok = may_link(n[a][:, None], n[right][None, :], filled[a][:, None], filled[right][None, :], common, similar)
-            ok &= component[a][:, None] != component[right][None, :]
-            ok &= np.minimum(n[a][:, None], n[right][None, :]) >= similar * np.maximum(n[a][:, None], n[right][None, :]) - 1e-9
-            if row == column:
-                ok &= node[a][:, None] < node[right][None, :]
-            i, j = np.nonzero(ok)
-            found.append(np.stack([node[a][i], node[right][j]], axis=1))
-        found = np.concatenate(found)
-        return pa.table({"a": np.minimum(found[:, 0], found[:, 1]), "b": np.maximum(found[:, 0], found[:, 1])})
+    """All pairs of a tile's block (or of two blocks) whose components differ and whose bitmaps allow a link.
+
+    A pair is written by the first of the tiles that both are in, so once.
+    """
+
+    def pairs(same: bool, sides: list[tuple]) -> np.ndarray:
+        length = 8 * min(min(map(len, raw)) for _, _, _, raw in sides)
+        (node_a, comp_a, n_a, bits_a), (node_b, comp_b, n_b, bits_b) = [
+            (*arrays, np.stack([_fold(np.unpackbits(np.frombuffer(x, np.uint8)), length) for x in raw]).astype(np.float32)) for *arrays, raw in sides
+        ]
+        filled_a, filled_b = bits_a.sum(axis=1), bits_b.sum(axis=1)
+        ok = may_link(n_a[:, None], n_b[None, :], filled_a[:, None], filled_b[None, :], bits_a @ bits_b.T, similar)
+        ok &= comp_a[:, None] != comp_b[None, :]
+        ok &= np.minimum(n_a[:, None], n_b[None, :]) >= similar * np.maximum(n_a[:, None], n_b[None, :]) - 1e-9
+        if same:
+            ok &= node_a[:, None] < node_b[None, :]
+        i, j = np.nonzero(ok)
+        return np.stack([np.minimum(node_a[i], node_b[j]), np.maximum(node_a[i], node_b[j])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((2, 0), dtype=np.int64)]
+            same, members, keys = (batch.column(c) for c in ("same", "members", "key"))
+            for k in range(batch.num_rows):
+                rows = members[k].values
+                node, component, n, side = (rows.field(c).to_numpy() for c in ("node", "component", "n", "side"))
+                raw = rows.field("bits").to_pylist()
+                halves = [np.arange(len(node))] * 2 if same[k].as_py() else [np.flatnonzero(side == x) for x in (0, 1)]
+                if len(halves[0]) and len(halves[1]):
+                    met, key = pairs(same[k].as_py(), [(node[h], component[h], n[h], [raw[i] for i in h]) for h in halves]), keys[k].as_py()
+                    tiles = dict(zip(node.tolist(), map(set, rows.field("tiles").to_pylist()), strict=True)) if met.size else {}
+                    found.append(met[:, [min(tiles[a] & tiles[b]) == key for a, b in met.T.tolist()]])
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -207,10 +221,21 @@ def _paired(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Those of the pairs that are links: bitmap bound first, whole arrays for what passes."""
-    passed = stored(_paired(pairs, sets, ["n", "bits"]).mapInArrow(_bounded(numerator / denominator), "a long, b long"), "bounded")
-    return _paired(passed, sets, ["elements"]).mapInArrow(_exact(numerator, denominator), "a long, b long")
+def _links(pairs: DataFrame, nodes: DataFrame, source: DataFrame, length: int, numerator: int, denominator: int) -> DataFrame:
+    """Those of the pairs that are links: bitmap bound first; whole arrays, made anew from the texts, for the nodes of what passes."""
+    passed = stored(_paired(pairs, nodes, ["n", "bits"]).mapInArrow(_bounded(numerator / denominator), "a long, b long"), "bounded")
+    named = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = nodes.select("node", "rep").join(named, "node", "left_semi")
+    wanted = Prefilter.of(chosen, F.col("node").bitwiseXOR(F.col("rep")))
+    elements = source.mapInArrow(_elements(length, wanted), "node long, elements array<bigint>")
+    elements = stored(elements.join(named, "node", "left_semi").dropDuplicates(["node"]), "elements")
+    return stored(_paired(passed, elements, ["elements"]).mapInArrow(_exact(numerator, denominator), "a long, b long"), "links")
+
+
+def _labelled(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Tile members with their sizes and the components that the links make."""
+    label = nodes.select("node", "n").join(components(links), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    return stored(members.join(label, "node").select("key", "node", "n", "component"), "labelled")
 
 
 def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -222,46 +247,50 @@ def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80,
     that repeat, also with the same doc_id, are separate rows of one class; a null doc_id joins its class but never names it, so
     a class of null ids alone has a null component. An empty table gives no rows.
     """
+    if 2 * numerator <= denominator:
+        raise ValueError("the similarity must be above one half")
     spark = documents.sparkSession
     similar = numerator / denominator
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = stored(source.mapInArrow(_sets(similar, length), f"{FIELDS}, tiles array<bigint>"), "tiles")
+    sets = stored(source.mapInArrow(_sets(similar, length), "doc_id long, node long, n int, bits binary, tiles array<bigint>"), "tiles")
     docs = sets.select("doc_id", "node", "n")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = sets.select("node", F.explode("tiles").alias("key")).repartition(partitions, "key")
     shared = tiles.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     members = stored(tiles.join(shared.drop("last"), "key").select("key", "node", "lead").distinct(), "members")
-
-    first = docs.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("rep"))
-    candidates = members.select("node").distinct()
-    chosen = first.join(candidates, "node", "left_semi")
-    wanted = Prefilter.of(chosen, F.col("node").bitwiseXOR(F.col("rep")))
-    elements = stored(
-        source.mapInArrow(_elements(length, wanted), "node long, n int, bits binary, elements array<bigint>")
-        .join(candidates, "node", "left_semi").dropDuplicates(["node"]),
-        "elements",
-    )
-
-    stars = members.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    links = stored(_links(stars, elements, numerator, denominator), "links")
-    component = stored(components(links), "components")
-
-    label = elements.select("node", "n").join(component, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
-    labelled = members.join(label, "node").select("key", "node", "n", "component")
-    per_tile = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") * F.max("n")).alias("size"))
-    per_tile = per_tile.where("low < high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = F.col("size") > SMALL_TILE
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    large_members = stored(members.join(sizes.where(large).select("key"), "key"), "large")
+
+    known = sets.where("n > 0").select("node", "n", "bits", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"))
+    nodes = stored(known.groupBy("node").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+
+    small = members.join(sizes.where(~large).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    pairs = F.flatten(F.transform("nodes", lambda a, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    met_twice = small.select(F.explode(pairs).alias("pair")).groupBy("pair.a", "pair.b").agg(F.count("*").alias("tiles")).where("tiles > 1")
+    stars = large_members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    candidates = stored(met_twice.select("a", "b").unionByName(stars).distinct(), "candidates")
+    links = _links(candidates, nodes, source, length, numerator, denominator)
+    labelled = _labelled(large_members, nodes, links)
+    # What is left are pairs of members of different components in tiles that still hold several.
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") * F.max("n")).alias("size")]
+    per_tile = labelled.groupBy("key").agg(*ends).where("low < high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_members = stored(labelled.join(per_tile.select("key", "blocks"), "key"), "open")
+    seen_in = open_members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("tiles"))
     placed = (
-        labelled.join(per_tile.select("key", "blocks"), "key")
+        open_members
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("key", "node", "component", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))
     )
+    member = F.struct("node", "component", "n", "bits", "tiles", (F.col("block") != F.col("row")).cast("int").alias("side"))
+    sketches = nodes.select("node", "n", "bits").join(seen_in, "node")
+    met = placed.join(sketches, "node").groupBy("key", "row", "col").agg(F.collect_list(member).alias("members"))
     open_pairs = (
-        placed.join(elements.select("node", "n", "bits"), "node")
-        .groupBy("key", "row", "col").applyInArrow(_compared(similar), "a long, b long")
-        .distinct().join(stars, ["a", "b"], "left_anti")
+        met.select("key", (F.col("row") == F.col("col")).alias("same"), "members").mapInArrow(_compared(similar), "a long, b long")
+        .distinct().join(candidates, ["a", "b"], "left_anti")
     )
-    more = stored(_links(open_pairs, elements, numerator, denominator), "links")
+    more = _links(open_pairs, nodes, source, length, numerator, denominator)
     component = components(links.unionByName(more))
 
     ids = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(component, "node", "left")
