@@ -62,7 +62,8 @@ def to_fact_rows(enriched: DataFrame) -> DataFrame:
 def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
     """Append facts by month; files are sorted so that row-group statistics help the usual filters."""
     (
-        facts.repartition("month", F.date_trunc("day", "crawled_at"))
+        # By range: a day of terabytes is written by many tasks, and files stay sorted.
+        facts.repartitionByRange("month", "crawled_at", "source")
         .sortWithinPartitions("month", "crawled_at", "source", "sentiment_label")
         .write.mode(mode)
         .partitionBy("month")

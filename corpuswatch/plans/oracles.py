@@ -735,3 +735,52 @@ WHERE h - to_hours(k) + INTERVAL 24 HOURS <= (SELECT max(published_at) FROM inc)
 ORACLES["stream_live_feed"] = with_(LAB) + f"SELECT content_hash, url, {stamp('published_at')} AS published_at FROM lab ORDER BY lab.published_at DESC, content_hash, url LIMIT 200"
 ORACLES["stream_fan_out"] = with_(LAB) + r"""
 SELECT url, content_hash, sentiment_label, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS word_count FROM lab"""
+
+
+# -- payloads, topics, sinks ------------------------------------------------------------------------------
+
+SHOWN = "url, title, md5(content) AS content_md5, source, author, published_at"
+FIRST_LINE = "split_part(text, chr(10), 1)"
+STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+ORACLES["story_items"] = f"""
+SELECT {SHOWN} FROM (
+  SELECT CASE WHEN doc_id % 3 > 0 THEN 'https://s/' || doc_id ELSE 'https://page/' || doc_id END AS url, {STRIPPED.format(FIRST_LINE)} AS title, substr(text, 1, 5000) AS content,
+    'hackernews' AS source, lang AS author, {stamp("make_timestamp(doc_id * 60000000)")} AS published_at
+  FROM documents WHERE doc_id % 5 <> 0) WHERE title <> ''"""
+ORACLES["article_lists"] = f"""
+SELECT {SHOWN} FROM (
+  SELECT 'https://' || m || '/' || doc_id AS url, {STRIPPED.format(FIRST_LINE)} AS title,
+    strftime(make_timestamp(doc_id * 3600000000), '%Y%m%dT%H%M%SZ') || ' ' || {STRIPPED.format(FIRST_LINE)} AS content, 'gdelt/' || source AS source,
+    NULL AS author, {stamp("make_timestamp(doc_id * 3600000000)")} AS published_at
+  FROM documents, (VALUES ('a'), ('b')) AS t(m) WHERE m = 'a' OR doc_id % 2 = 0) WHERE title <> ''"""
+ORACLES["timeline_posts"] = f"""
+SELECT {SHOWN} FROM (
+  SELECT 'https://t/' || conv_id || '/' || turn || CASE WHEN role = 'user' THEN '/card' ELSE '' END AS url,
+    CASE WHEN role = 'user' THEN 'Card' ELSE substr(t, 1, 120) END AS title, substr(t, 1, 5000) AS content, 'mastodon/host' AS source, role AS author,
+    '2024-02-03 04:05:06' AS published_at
+  FROM (SELECT *, {STRIPPED.format("text")} AS t FROM conversations) WHERE length(t) >= 40)"""
+ORACLES["search_posts"] = f"""
+SELECT {SHOWN} FROM (
+  SELECT 'https://web/did:' || conv_id || '/post/' || turn AS url, substr(t, 1, 120) AS title, substr(t, 1, 5000) AS content, 'bluesky/q' AS source, role AS author,
+    '2024-01-02 03:04:05' AS published_at
+  FROM (SELECT *, {STRIPPED.format("text")} AS t FROM conversations) WHERE length(t) >= 30)"""
+ORACLES["feed_articles"] = f"""
+SELECT 'https://f/' || doc_id AS url, md5({STRIPPED.format(FIRST_LINE)}) AS title_md5, length({STRIPPED.format("translate(text, '<>', '  ')")}) AS n_chars, source, lang AS author,
+  '2024-03-05 09:00:00' AS published_at
+FROM documents WHERE {STRIPPED.format(FIRST_LINE)} <> ''"""
+ORACLES["topic_round_trip"] = with_(ART) + """
+SELECT url, content_hash, md5(content) AS content_md5, false AS quarantined FROM art WHERE content_hash[1] <> '0'
+UNION ALL SELECT count(*)::VARCHAR, NULL, NULL, true FROM art WHERE content_hash[1] = '0'"""
+ORACLES["lake_round_trip"] = with_(ART) + """
+SELECT strftime(published_at, '%Y-%m-%d') AS dt, source AS source_key, count(*) AS n, min(substr(content_hash, 1, 16)) AS first_hash16 FROM art GROUP BY ALL"""
+ORACLES["lake_article"] = with_(ART) + """
+, f AS (SELECT * FROM art ORDER BY doc_id LIMIT 1)
+SELECT art.url, art.content_hash, md5(art.content) AS content_md5 FROM art JOIN f ON art.content_hash = f.content_hash AND art.source = f.source AND art.published_at::DATE = f.published_at::DATE"""
+_SHARE = "(length(title || '. ' || content) % 10)"
+ORACLES["model_categories"] = with_(ART) + f"""
+SELECT doc_id, CASE WHEN {_SHARE} > 4 THEN 'long' ELSE 'short' END || CASE WHEN least({_SHARE}, 10 - {_SHARE}) > 3 THEN CASE WHEN {_SHARE} > 4 THEN ',short' ELSE ',long' END ELSE '' END AS categories
+FROM art WHERE NOT contains(content, '|')"""
+ORACLES["model_sentiment"] = with_(ART) + f"""
+SELECT doc_id, CASE WHEN {_SHARE} > 4 THEN 'positive' ELSE 'negative' END AS label, round(0.5 + {_SHARE} / 20.0::DOUBLE, 4) AS score FROM art WHERE NOT contains(content, '|')"""
+ORACLES["trend_snapshots"] = with_(MENTIONS, trend_sql()) + """
+SELECT kind, name, current_count, prev_count, is_spike, strftime((SELECT max(ts) FROM m), '%Y%m%d') AS day FROM tr"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ def write_lake(df: DataFrame, path: str, mode: str = "append") -> None:
         .withColumn("dt", F.date_format(F.coalesce("published_at", "crawled_at"), "yyyy-MM-dd"))
         .withColumn("source_key", F.replace(source, F.lit("/"), F.lit("_")))
         .withColumn("hash16", F.left(F.coalesce("content_hash", F.lit("nohash")), F.lit(16)))
+        # By range, so that a folder gets few files and a large folder is still written by many tasks.
+        .repartitionByRange("dt", "source_key", "hash16")
         .write.mode(mode)
         .partitionBy("dt", "source_key")
         .json(path)
@@ -29,11 +32,14 @@ def write_lake(df: DataFrame, path: str, mode: str = "append") -> None:
 def read_lake(spark: SparkSession, path: str, dt: str, source: str, content_hash: str) -> DataFrame:
     """Articles of one date, source and hash prefix; only that partition is listed and read."""
     fields = [f for f in ENRICHED_ARTICLE.fields if f.name != "embedding"]
-    names = ["dt", "source_key", "hash16"]
-    schema = T.StructType(fields + [T.StructField(n, T.StringType()) for n in names])
-    lake = spark.read.schema(schema).json(path)
-    wanted = (F.col("dt") == dt) & (F.col("source_key") == source.replace("/", "_"))
-    return lake.where(wanted & (F.col("hash16") == content_hash[:16])).drop(*names)
+    schema = T.StructType([*fields, T.StructField("hash16", T.StringType())])
+    folder = f"{path.rstrip('/')}/dt={dt}/source_key={source.replace('/', '_')}"
+    try:
+        return spark.read.schema(schema).json(folder).where(F.col("hash16") == content_hash[:16]).drop("hash16")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType(fields))
 
 
 def to_topic_rows(df: DataFrame, key: str | None = "content_hash") -> DataFrame:
