@@ -125,3 +125,44 @@ def test_cluster_graph(spark):
     assert C.cluster_membership(cl, ev, first=10).where("dst = 'c'").count() == 9
     members = C.cluster_membership(cl, ev)
     assert members.where("dst = 'c'").count() == 11 and members.where("dst = 'c2'").count() == 2
+
+
+def test_merge_against_the_definition():
+    """Random memberships: a leader absorbs, in order, every later free row that holds half of what it has by then."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, events_, share in ((40, 12, 0.3), (60, 20, 0.15), (25, 6, 0.5), (1, 3, 1.0)):
+        holds = rng.random((n, events_)) < share
+        sets = [frozenset(np.flatnonzero(h)) for h in holds]
+        want, left = {}, list(range(n))
+        while left:
+            head, *rest = left
+            have, left = set(sets[head]), []
+            want[head] = head
+            for j in rest:
+                if have and 2 * len(sets[j] & have) >= len(have):
+                    have |= sets[j]
+                    want[j] = head
+                else:
+                    left.append(j)
+        assert C._groups(holds).tolist() == [want[i] for i in range(n)]
+
+
+def test_many_equal_clusters_merge_fast():
+    import time
+
+    import numpy as np
+
+    pairs = np.zeros((19_900, 200), dtype=bool)
+    i, j = np.triu_indices(200, 1)
+    pairs[np.arange(len(i)), i] = pairs[np.arange(len(i)), j] = True
+    start = time.perf_counter()
+    leader = C._groups(pairs)
+    assert (leader >= 0).all() and time.perf_counter() - start < 10
+
+
+def test_pending_batches_wait(spark):
+    ev = events(spark, [("a", 0, "R", ["Bob"]), ("b", 1, "R", ["Bob"])])
+    assert C.link_events(ev.withColumn("pending", F.lit(True))).count() == 0
+    assert C.link_events(ev.withColumn("pending", F.lit(False))).count() > 0
