@@ -731,7 +731,7 @@ ORACLES["stream_top_trends"] = ORACLES["top_trends"]
 ORACLES["stream_frequency"] = with_(INC) + f"""
 , w AS (SELECT subcategory, coalesce(region, 'global') AS region, unnest(range(24)) AS k, date_trunc('hour', published_at) AS h FROM inc)
 SELECT {stamp('h - to_hours(k)')} AS window_start, subcategory, region, count(*) AS event_count FROM w
-WHERE h - to_hours(k) + INTERVAL 24 HOURS <= (SELECT max(published_at) FROM inc) - INTERVAL 2 HOURS GROUP BY ALL"""
+WHERE h - to_hours(k) + INTERVAL 24 HOURS <= (SELECT max(published_at) FROM inc) - INTERVAL 24 HOURS GROUP BY ALL"""
 ORACLES["stream_live_feed"] = with_(LAB) + f"SELECT content_hash, url, {stamp('published_at')} AS published_at FROM lab ORDER BY lab.published_at DESC, content_hash, url LIMIT 200"
 ORACLES["stream_fan_out"] = with_(LAB) + r"""
 SELECT url, content_hash, sentiment_label, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS word_count FROM lab"""

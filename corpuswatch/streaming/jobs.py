@@ -145,10 +145,13 @@ def trend_table(spark: SparkSession, path: str, seconds: int = 1800, threshold:
     return counts.withColumn("prev_count", prev).withColumn("velocity", F.round(ratio, 3)).withColumn("is_spike", ratio >= threshold)
 
 
-def stream_frequency(events: DataFrame, window: str = "24 hours", slide: str = "1 hour", memory: str = "2 hours") -> DataFrame:
-    """Exact events per key in sliding windows: repeats of an event go first, then the windows count."""
+def stream_frequency(events: DataFrame, window: str = "24 hours", slide: str = "1 hour", memory: str | None = None) -> DataFrame:
+    """Events per key in sliding windows: repeats of an event go first, then the windows count.
+
+    Repeats are known for ``memory``. Counts are exact if that is no shorter than the window, which is its default.
+    """
     return (
-        events.withWatermark("published_at", memory)
+        events.withWatermark("published_at", memory or window)
         .dropDuplicatesWithinWatermark(["article_hash"])
         .groupBy(F.window("published_at", window, slide).alias("w"), "subcategory", F.coalesce("region", F.lit("global")).alias("region"))
         .agg(F.count(F.lit(1)).alias("event_count"))
