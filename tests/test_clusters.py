@@ -166,3 +166,12 @@ def test_pending_batches_wait(spark):
     ev = events(spark, [("a", 0, "R", ["Bob"]), ("b", 1, "R", ["Bob"])])
     assert C.link_events(ev.withColumn("pending", F.lit(True))).count() == 0
     assert C.link_events(ev.withColumn("pending", F.lit(False))).count() > 0
+
+
+def test_equal_scores_give_no_more_than_k_rows():
+    import numpy as np
+
+    from corpuswatch.operators.vectors import _best
+
+    got = _best(np.arange(3), np.zeros((3, 4)), np.arange(500)[::-1], np.zeros((500, 4)), 10)
+    assert len(got) == 30 and sorted(set(got["id"])) == list(range(10))
