@@ -29,11 +29,19 @@ def write_lake(df: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+# Characters that partition folders spell as %XX.
+ESCAPED = {*map(chr, range(1, 32)), *"\"#%'*/:=?\\{[]^\x7f"}
+
+
+def _folder_name(value: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
 def read_lake(spark: SparkSession, path: str, dt: str, source: str, content_hash: str) -> DataFrame:
     """Articles of one date, source and hash prefix; only that partition is listed and read."""
     fields = [f for f in ENRICHED_ARTICLE.fields if f.name != "embedding"]
     schema = T.StructType([*fields, T.StructField("hash16", T.StringType())])
-    folder = f"{path.rstrip('/')}/dt={dt}/source_key={source.replace('/', '_')}"
+    folder = f"{path.rstrip('/')}/dt={dt}/source_key={_folder_name(source.replace('/', '_'))}"
     try:
         return spark.read.schema(schema).json(folder).where(F.col("hash16") == content_hash[:16]).drop("hash16")
     except AnalysisException as e:

@@ -136,7 +136,11 @@ def test_lake_round_trip(spark, tmp_path):
     assert (tmp_path / "lake" / "dt=2024-01-02" / "source_key=a_b").is_dir()
     found = lake.read_lake(spark, str(tmp_path / "lake"), "2024-01-02", "a/b", "h" * 64)
     assert [r["title"] for r in found.collect()] == ["t"]
-    assert "PartitionFilters: [isnotnull(dt" in found._jdf.queryExecution().toString()
+    assert all("dt=2024-01-02/source_key=a_b" in f for f in found.inputFiles())
+    assert lake.read_lake(spark, str(tmp_path / "lake"), "2024-01-05", "a/b", "h" * 64).count() == 0
+    odd = df.withColumn("source", F.lit("x: [50%]"))
+    lake.write_lake(odd, str(tmp_path / "odd"))
+    assert lake.read_lake(spark, str(tmp_path / "odd"), "2024-01-02", "x: [50%]", "h" * 64).count() == 1
     assert lake.read_lake(spark, str(tmp_path / "lake"), "2024-01-03", "unknown", "k" * 64).count() == 1
 
 
