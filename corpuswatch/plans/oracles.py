@@ -764,6 +764,8 @@ SELECT {SHOWN} FROM (
   SELECT 'https://web/did:' || conv_id || '/post/' || turn AS url, substr(t, 1, 120) AS title, substr(t, 1, 5000) AS content, 'bluesky/q' AS source, role AS author,
     '2024-01-02 03:04:05' AS published_at
   FROM (SELECT *, {STRIPPED.format("text")} AS t FROM conversations) WHERE length(t) >= 30)"""
+for name, whole in (("story_items", "text"), ("timeline_posts", "t"), ("search_posts", "t")):
+    ORACLES[f"{name}_whole_text"] = ORACLES[name].replace(f"substr({whole}, 1, 5000)", whole)
 ORACLES["feed_articles"] = f"""
 SELECT 'https://f/' || doc_id AS url, md5({STRIPPED.format(FIRST_LINE)}) AS title_md5, length({STRIPPED.format("translate(text, '<>', '  ')")}) AS n_chars, source, lang AS author,
   '2024-03-05 09:00:00' AS published_at

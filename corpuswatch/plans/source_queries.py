@@ -30,17 +30,25 @@ def _shown(articles):
     return articles.select("url", "title", F.md5("content").alias("content_md5"), "source", "author", stamp("published_at").alias("published_at"))
 
 
-@query
-def story_items(spark, sf):
-    """Every document as a story item; each third has no link, each fifth is a comment."""
+def _story_payloads(spark, sf):
     text = F.col("text")
     item = F.struct(
         F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "comment").otherwise("story").alias("type"), F.substring_index(text, "\n", 1).alias("title"),
         F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://s/"), F.col("doc_id"))).alias("url"), text.alias("text"), (F.col("doc_id") * 60).alias("time"),
         F.col("lang").alias("by"),
     )
-    payloads = _documents(spark, sf).select(F.to_json(item).alias("payload"), _now().alias("ingested_at"))
-    return _shown(PL.articles_from_story_items(payloads, "https://page/"))
+    return _documents(spark, sf).select(F.to_json(item).alias("payload"), _now().alias("ingested_at"))
+
+
+@query
+def story_items(spark, sf):
+    """Every document as a story item; each third has no link, each fifth is a comment. Contents of 5,000 characters."""
+    return _shown(PL.articles_from_story_items(_story_payloads(spark, sf), "https://page/"))
+
+
+@query
+def story_items_whole_text(spark, sf):
+    return _shown(PL.articles_from_story_items(_story_payloads(spark, sf), "https://page/", content_chars=None))
 
 
 @query
@@ -58,9 +66,7 @@ def article_lists(spark, sf):
     return _shown(PL.articles_from_artlist(payloads))
 
 
-@query
-def timeline_posts(spark, sf):
-    """Every conversation turn as a post in markup; user turns carry a card."""
+def _timeline_payloads(spark, sf):
     link = F.concat_ws("/", F.lit("https://t"), "conv_id", "turn")
     post = F.struct(
         F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("content"), F.lit("2024-02-03T04:05:06.000Z").alias("created_at"), link.alias("url"),
@@ -68,18 +74,37 @@ def timeline_posts(spark, sf):
         F.struct(F.col("role").alias("acct")).alias("account"),
     )
     turns = A.table(spark, sf, "conversations")
-    return _shown(PL.articles_from_timeline(turns.select(F.to_json(post).alias("payload"), F.lit("host").alias("host"), F.lit("US").alias("region"), _now().alias("ingested_at"))))
+    return turns.select(F.to_json(post).alias("payload"), F.lit("host").alias("host"), F.lit("US").alias("region"), _now().alias("ingested_at"))
 
 
 @query
-def search_posts(spark, sf):
-    """Every conversation turn as a search result."""
+def timeline_posts(spark, sf):
+    """Every conversation turn as a post in markup; user turns carry a card. Contents of 5,000 characters."""
+    return _shown(PL.articles_from_timeline(_timeline_payloads(spark, sf)))
+
+
+@query
+def timeline_posts_whole_text(spark, sf):
+    return _shown(PL.articles_from_timeline(_timeline_payloads(spark, sf), title_chars=None, content_chars=None))
+
+
+def _search_payloads(spark, sf):
     post = F.struct(
         F.concat(F.lit("at://did:"), F.col("conv_id"), F.lit("/post/"), F.col("turn")).alias("uri"), F.struct(F.col("text").alias("text")).alias("record"),
         F.lit("2024-01-02T03:04:05Z").alias("indexedAt"), F.struct(F.col("role").alias("handle")).alias("author"),
     )
-    payloads = A.table(spark, sf, "conversations").select(F.to_json(F.struct(F.array(post).alias("posts"))).alias("payload"), F.lit("q").alias("label"), _now().alias("ingested_at"))
-    return _shown(PL.articles_from_search_posts(payloads, "https://web/"))
+    return A.table(spark, sf, "conversations").select(F.to_json(F.struct(F.array(post).alias("posts"))).alias("payload"), F.lit("q").alias("label"), _now().alias("ingested_at"))
+
+
+@query
+def search_posts(spark, sf):
+    """Every conversation turn as a search result. Contents of 5,000 characters."""
+    return _shown(PL.articles_from_search_posts(_search_payloads(spark, sf), "https://web/"))
+
+
+@query
+def search_posts_whole_text(spark, sf):
+    return _shown(PL.articles_from_search_posts(_search_payloads(spark, sf), "https://web/", title_chars=None, content_chars=None))
 
 
 def _escaped(c):

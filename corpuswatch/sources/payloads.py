@@ -19,6 +19,9 @@ RFC_FORMATS = [
     "dd MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss z",
 ]
 
+#: Characters of title and content that the analysed system keeps of stories and posts; ``None`` in their place keeps whole texts.
+REFERENCE_TITLE_CHARS, REFERENCE_CONTENT_CHARS = 300, 5000
+
 
 def _as_articles(df: DataFrame) -> DataFrame:
     """Complete the raw-article columns, in schema order, with the content hash."""
@@ -47,14 +50,17 @@ def ordered_union_distinct(first: DataFrame, second: DataFrame, take_first: int
     return lists.groupBy("id").agg(F.min("at").alias("at")).select("id", "at.list", "at.pos").orderBy("list", "pos")
 
 
-def articles_from_story_items(df: DataFrame, item_page: str) -> DataFrame:
-    """Story items; ``item_page`` is the page address that an id is appended to when the story has no link."""
+def articles_from_story_items(df: DataFrame, item_page: str, content_chars: int | None = REFERENCE_CONTENT_CHARS) -> DataFrame:
+    """Story items; ``item_page`` is the page address that an id is appended to when the story has no link.
+
+    ``content_chars=None`` keeps whole texts, and the content hash is then that of the whole text.
+    """
     item = df.select(F.from_json("payload", STORY_ITEM).alias("i"), "ingested_at").select("i.*", "ingested_at")
     return _as_articles(
         item.where((F.col("type") == "story") & (strip(_text(F.col("title"))) != "")).select(
             F.coalesce(truthy(F.col("url")), F.concat(F.lit(item_page), F.col("id").cast("string"))).alias("url"),
             strip(F.col("title")).alias("title"),
-            head(_text(F.col("text")), 5000).alias("content"),
+            head(_text(F.col("text")), content_chars).alias("content"),
             F.lit("hackernews").alias("source"),
             F.lit("api").alias("source_type"),
             F.timestamp_seconds(F.coalesce("time", F.lit(0))).alias("published_at"),
@@ -96,16 +102,21 @@ def articles_from_artlist(df: DataFrame) -> DataFrame:
     )
 
 
-def articles_from_timeline(df: DataFrame) -> DataFrame:
-    """Public timeline posts; also reads ``host``, ``region`` and ``ingested_at``. Short posts are dropped."""
+def articles_from_timeline(
+    df: DataFrame, title_chars: int | None = REFERENCE_TITLE_CHARS, content_chars: int | None = REFERENCE_CONTENT_CHARS
+) -> DataFrame:
+    """Public timeline posts; also reads ``host``, ``region`` and ``ingested_at``. Short posts are dropped; ``None`` keeps whole texts.
+
+    A post without a card's title is named by its first 120 characters, whatever ``title_chars`` is.
+    """
     rows = df.select(F.from_json("payload", TIMELINE_POST).alias("p"), "host", "region", "ingested_at")
     text = strip_tags(_text(F.col("p.content")))
     url = F.coalesce(truthy(F.col("p.card.url")), truthy(F.col("p.url")))
     return _as_articles(
         rows.where((F.length(text) >= 40) & url.isNotNull()).select(
             url.alias("url"),
-            head(F.coalesce(truthy(F.col("p.card.title")), head(text, 120)), 300).alias("title"),
-            head(text, 5000).alias("content"),
+            head(F.coalesce(truthy(F.col("p.card.title")), head(text, 120)), title_chars).alias("title"),
+            head(text, content_chars).alias("content"),
             F.concat(F.lit("mastodon/"), F.col("host")).alias("source"),
             F.lit("social").alias("source_type"),
             F.coalesce(try_ts(F.col("p.created_at"), *ISO_FORMATS), "ingested_at").alias("published_at"),
@@ -123,8 +134,13 @@ def articles_from_timeline(df: DataFrame) -> DataFrame:
     )
 
 
-def articles_from_search_posts(df: DataFrame, profile_page: str) -> DataFrame:
-    """Search results; also reads ``label`` and ``ingested_at``. ``profile_page`` prefixes rewritten post URIs."""
+def articles_from_search_posts(
+    df: DataFrame, profile_page: str, title_chars: int | None = REFERENCE_TITLE_CHARS, content_chars: int | None = REFERENCE_CONTENT_CHARS
+) -> DataFrame:
+    """Search results; also reads ``label`` and ``ingested_at``. ``profile_page`` prefixes rewritten post URIs; ``None`` keeps whole texts.
+
+    A post without an embedded title is named by its first 120 characters, whatever ``title_chars`` is.
+    """
     rows = df.select(F.explode(F.from_json("payload", SEARCH_POSTS)["posts"]).alias("p"), "label", "ingested_at")
     text = strip(_text(F.col("p.record.text")))
     ext = F.col("p.embed.external")
@@ -139,8 +155,8 @@ def articles_from_search_posts(df: DataFrame, profile_page: str) -> DataFrame:
     return _as_articles(
         rows.where((F.length(text) >= 30) & (post_url != "")).select(
             F.coalesce(truthy(ext["uri"]), post_url).alias("url"),
-            head(F.coalesce(truthy(ext["title"]), head(text, 120)), 300).alias("title"),
-            head(content, 5000).alias("content"),
+            head(F.coalesce(truthy(ext["title"]), head(text, 120)), title_chars).alias("title"),
+            head(content, content_chars).alias("content"),
             F.concat(F.lit("bluesky/"), F.col("label")).alias("source"),
             F.lit("social").alias("source_type"),
             F.coalesce(try_ts(F.col("p.indexedAt"), *ISO_FORMATS), "ingested_at").alias("published_at"),

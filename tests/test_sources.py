@@ -214,3 +214,25 @@ def test_model_json_takes_one_object_only(spark):
     df = spark.createDataFrame([('{"verdict": "x"} trailing',), ('  {"verdict": "x"} ',)], "t string")
     got = [r[0] for r in df.select(parse_model_json(F.col("t"), VERDICT)).collect()]
     assert got[0] is None and got[1] is not None
+
+
+def test_whole_stories_and_posts(spark):
+    """Texts that differ only after the start that the analysed system keeps stay apart, and no title is cut."""
+    long = "y" * 6000
+    items = [({"id": i, "type": "story", "title": "Same", "text": long + end}, NOW) for i, end in enumerate("ab")]
+    df = payload(spark, items, "payload string, ingested_at timestamp")
+    got = payloads.articles_from_story_items(df, "https://page/", content_chars=None).collect()
+    assert {r["content"] for r in got} == {long + "a", long + "b"} and len({r["content_hash"] for r in got}) == 2
+
+    card = {"title": "t" * 400, "url": "https://u/card"}
+    posts = [({"content": f"<p>{long}{end}</p>", "url": f"https://u/{end}", "card": card}, "h", "US", NOW) for end in "ab"]
+    df = payload(spark, posts, "payload string, host string, region string, ingested_at timestamp")
+    got = payloads.articles_from_timeline(df, title_chars=None, content_chars=None).collect()
+    assert {r["content"] for r in got} == {long + "a", long + "b"} and {r["title"] for r in got} == {"t" * 400}
+    assert len({r["content_hash"] for r in got}) == 2
+
+    found = {"posts": [{"uri": f"at://did/post/{end}", "record": {"text": long + end}, "embed": {"external": {"uri": f"https://e/{end}", "title": "t" * 400}}} for end in "ab"]}
+    df = payload(spark, [(found, "q", NOW)], "payload string, label string, ingested_at timestamp")
+    got = payloads.articles_from_search_posts(df, "https://p/", title_chars=None, content_chars=None).collect()
+    assert {r["content"] for r in got} == {long + "a", long + "b"} and {r["title"] for r in got} == {"t" * 400}
+    assert len({r["content_hash"] for r in got}) == 2
