@@ -784,5 +784,17 @@ SELECT doc_id, CASE WHEN {_SHARE} > 4 THEN 'long' ELSE 'short' END || CASE WHEN
 FROM art WHERE NOT contains(content, '|')"""
 ORACLES["model_sentiment"] = with_(ART) + f"""
 SELECT doc_id, CASE WHEN {_SHARE} > 4 THEN 'positive' ELSE 'negative' END AS label, round(0.5 + {_SHARE} / 20.0::DOUBLE, 4) AS score FROM art WHERE NOT contains(content, '|')"""
+_LOW = "lower(title || '. ' || content)"
+_RULE_MOOD = sentiment(None).replace(hits(_LOW, X.POSITIVE), hits(_LOW, L.POSITIVE_WORDS)).replace(hits(_LOW, X.NEGATIVE), hits(_LOW, L.NEGATIVE_WORDS))
+ORACLES["model_categories_all_rows"] = with_(ART, category_hits(L.CATEGORY_KEYWORDS, None)) + f"""
+, best AS (SELECT doc_id, string_agg(label, ',' ORDER BY score DESC, rank) AS categories
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS n FROM cat_hits) WHERE n <= 3 GROUP BY doc_id),
+model AS ({ORACLES["model_categories"]})
+SELECT doc_id, CASE WHEN contains(content, '|') THEN coalesce(best.categories, {text(L.FALLBACK_CATEGORY[0])}) ELSE model.categories END AS categories
+FROM art LEFT JOIN best USING (doc_id) LEFT JOIN model USING (doc_id)"""
+ORACLES["model_sentiment_all_rows"] = with_(ART, _RULE_MOOD) + f"""
+, model AS ({ORACLES["model_sentiment"]})
+SELECT doc_id, CASE WHEN contains(content, '|') THEN sentiment_label ELSE model.label END AS label, CASE WHEN contains(content, '|') THEN sentiment_score ELSE model.score END AS score
+FROM art JOIN mood USING (doc_id) LEFT JOIN model USING (doc_id)"""
 ORACLES["trend_snapshots"] = with_(MENTIONS, trend_sql()) + """
 SELECT kind, name, current_count, prev_count, is_spike, strftime((SELECT max(ts) FROM m), '%Y%m%d') AS day FROM tr"""

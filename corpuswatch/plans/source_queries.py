@@ -186,14 +186,39 @@ def _length_mood(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"label": ["LABEL_2" if n > 0.4 else "LABEL_0" for n in share], "score": 0.5 + share / 2})
 
 
+def _readable():
+    return ~F.contains(or_empty(F.col("content")), F.lit("|"))
+
+
+def _model_categories(spark, sf):
+    docs = E.model_categories(A.articles_from_documents(spark, sf), _length_labels)
+    return docs.withColumn("categories", F.array_join("categories", ","))
+
+
+def _model_sentiment(spark, sf):
+    docs = E.model_sentiment(A.articles_from_documents(spark, sf), _length_mood)
+    return docs.select("doc_id", "content", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"))
+
+
 @query
 def model_categories(spark, sf):
+    """Categories of a model, without the texts it fails on."""
+    return _model_categories(spark, sf).where(_readable()).select("doc_id", "categories")
+
+
+@query
+def model_categories_all_rows(spark, sf):
     """Categories of a model, keyword rules for the texts it fails on."""
-    docs = E.model_categories(A.articles_from_documents(spark, sf), _length_labels).where(~F.contains(or_empty(F.col("content")), F.lit("|")))
-    return docs.select("doc_id", F.array_join("categories", ",").alias("categories"))
+    return _model_categories(spark, sf).select("doc_id", "categories")
 
 
 @query
 def model_sentiment(spark, sf):
-    docs = E.model_sentiment(A.articles_from_documents(spark, sf), _length_mood).where(~F.contains(or_empty(F.col("content")), F.lit("|")))
-    return docs.select("doc_id", F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"))
+    """Sentiment of a model, without the texts it fails on."""
+    return _model_sentiment(spark, sf).where(_readable()).drop("content")
+
+
+@query
+def model_sentiment_all_rows(spark, sf):
+    """Sentiment of a model, keyword rules for the texts it fails on."""
+    return _model_sentiment(spark, sf).drop("content")

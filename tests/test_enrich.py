@@ -137,3 +137,20 @@ def test_one_bad_text_spoils_no_other(spark):
     df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
     got = E.score_texts(df, F.col("text"), rate, "label string, score double").select("id", "model.label").collect()
     assert {r["id"] for r in got if r["label"] is None} == {i for i, t in rows if t == "bad"}
+
+
+def test_model_queries_show_the_fallback(spark):
+    """Every document is in the result, and those the stand-in model fails on carry the labels of the keyword rules."""
+    from corpuswatch.plans import source_queries as S
+
+    sf = "/root/testdata/sf0.001"
+    articles = S.A.articles_from_documents(spark, sf)
+    failing = {r["doc_id"] for r in articles.where("contains(content, '|')").select("doc_id").collect()}
+    rules = {r["doc_id"]: ",".join(r["categories"]) for r in E.keyword_categories(articles).collect()}
+    moods = {r["doc_id"]: r["sentiment"]["label"] for r in E.keyword_sentiment(articles).collect()}
+    categories = {r["doc_id"]: r["categories"] for r in S.model_categories_all_rows(spark, sf).collect()}
+    labels = {r["doc_id"]: r["label"] for r in S.model_sentiment_all_rows(spark, sf).collect()}
+    assert failing and set(categories) == set(labels) == set(rules)
+    assert {d: categories[d] for d in failing} == {d: rules[d] for d in failing}
+    assert {d: labels[d] for d in failing} == {d: moods[d] for d in failing}
+    assert all(set(categories[d].split(",")) <= {"long", "short"} for d in set(rules) - failing)
