@@ -8,6 +8,7 @@
 3. Tiles of one node are dropped. Small tiles give their pairs, and those met in two of them are candidates. In a large tile
    each member is first compared with the tile's least node; then components are built, and large tiles that still hold several
    are compared pair by pair inside a task, as a grid of blocks, so that no pair is written unless its bitmaps allow a link.
+   A tile with more blocks than its members have other tiles is first split by those, since linked pairs share two.
 4. For every candidate the bitmaps come first: equal bits plus the collisions bound the overlap from above.
 5. What passes is decided by intersecting the sorted arrays.
 
@@ -36,6 +37,8 @@ SHINGLES_PER_SEGMENT = 2.5
 SMALL_TILE = 32
 #: Members times shingles of the largest member that one block of a tile holds: bounds a task's bit matrix to 25 MB.
 BLOCK = 500_000
+#: Members of one block: bounds a task's matrices of members times members to 32 MB each.
+MEMBERS = 2_000
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -208,7 +211,8 @@ def _compared(similar: float):
                 if len(halves[0]) and len(halves[1]):
                     met, key = pairs(same[k].as_py(), [(node[h], component[h], n[h], [raw[i] for i in h]) for h in halves]), keys[k].as_py()
                     tiles = dict(zip(node.tolist(), map(set, rows.field("tiles").to_pylist()), strict=True)) if met.size else {}
-                    found.append(met[:, [min(tiles[a] & tiles[b]) == key for a, b in met.T.tolist()]])
+                    for part in np.array_split(met, 1 + met.shape[1] // 100_000, axis=1):
+                        found.append(part[:, [min(tiles[a] & tiles[b]) == key for a, b in part.T.tolist()]])
             a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -238,6 +242,38 @@ def _labelled(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFra
     return stored(members.join(label, "node").select("key", "node", "n", "component"), "labelled")
 
 
+def _open_tiles(members: DataFrame, similar: float) -> DataFrame:
+    """Rows (key, blocks, others) of the tiles that hold several components; others: no member has more other tiles."""
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.max("n").alias("top")]
+    blocks = F.greatest(F.ceil(F.col("size") * F.col("top") / BLOCK), F.ceil(F.col("size") / MEMBERS))
+    others = 2 * (F.floor(F.col("top") * ((1 - similar) / similar) + 1e-9) + 2)
+    return members.groupBy("key").agg(*ends).where("low < high").select("key", blocks.cast("int").alias("blocks"), others.alias("others"))
+
+
+def _places(open_members: DataFrame, small: DataFrame, similar: float) -> DataFrame:
+    """Rows (key, node, n, component, blocks): where the members of open tiles are compared; a key is a tile or a part of one.
+
+    A tile with more blocks than its members have other tiles is split by their second tile: a small one or another of
+    these large ones. A pair whose second tile is any other has one component, or is compared in that tile. Where the
+    parts would compare more pairs than the tile, the tile stays whole.
+    """
+    columns = ["key", "node", "n", "component"]
+    whole = open_members.select(*columns, "blocks")
+    hot = open_members.where("blocks > others")
+    if hot.isEmpty():
+        return whole
+    near = small.join(hot.select("node").distinct(), "node", "left_semi").select("node", F.col("key").alias("second"), F.lit(False).alias("hot"))
+    second = near.unionByName(hot.select("node", F.col("key").alias("second"), F.lit(True).alias("hot")))
+    parts = stored(hot.join(second, "node").where("not hot or second > key").select(*columns, "second"), "parts")
+    square = F.col("size").cast("double") * F.col("size")
+    work = parts.groupBy("key", "second").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum(square).alias("work"))
+    tiles = hot.groupBy("key").agg(F.count("*").alias("size")).join(work, "key", "left")
+    cut = stored(tiles.where(F.coalesce("work", F.lit(0.0)) < square).select("key"), "cut")
+    split = parts.join(cut, "key").withColumn("key", F.xxhash64("key", "second")).select(*columns)
+    split = split.join(_open_tiles(split, similar).select("key", "blocks"), "key")
+    return stored(whole.join(cut, "key", "left_anti").unionByName(split), "places")
+
+
 def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of ``documents`` (doc_id, text; other columns are ignored).
 
@@ -265,7 +301,8 @@ def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80,
     known = sets.where("n > 0").select("node", "n", "bits", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"))
     nodes = stored(known.groupBy("node").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
-    small = members.join(sizes.where(~large).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    small_members = members.join(sizes.where(~large).select("key"), "key").select("key", "node")
+    small = small_members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     pairs = F.flatten(F.transform("nodes", lambda a, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     met_twice = small.select(F.explode(pairs).alias("pair")).groupBy("pair.a", "pair.b").agg(F.count("*").alias("tiles")).where("tiles > 1")
     stars = large_members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
@@ -273,12 +310,11 @@ def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80,
     links = _links(candidates, nodes, source, length, numerator, denominator)
     labelled = _labelled(large_members, nodes, links)
     # What is left are pairs of members of different components in tiles that still hold several.
-    ends = [F.min("component").alias("low"), F.max("component").alias("high"), (F.count("*") * F.max("n")).alias("size")]
-    per_tile = labelled.groupBy("key").agg(*ends).where("low < high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    open_members = stored(labelled.join(per_tile.select("key", "blocks"), "key"), "open")
-    seen_in = open_members.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("tiles"))
+    open_members = stored(labelled.join(_open_tiles(labelled, similar), "key"), "open")
+    places = _places(open_members, small_members, similar)
+    seen_in = places.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("tiles"))
     placed = (
-        open_members
+        places
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("key", "node", "component", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))

@@ -3,6 +3,8 @@
 import random
 
 import brute as B
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpuswatch.llm import jaccard_join as J
@@ -36,6 +38,52 @@ def test_hot_tiles_in_blocks(spark, monkeypatch):
     check(spark, rows[:40], length=3, numerator=60, denominator=100)
 
 
+def hot_texts(n, phrases):
+    """Different short texts that all begin with one phrase whose shingle has a low hash; each fifth has a near copy."""
+    rng = random.Random(3)
+    named = [f"p{i} q r s t" for i in range(4_000)]
+    values, _ = J.W.shingle_sets(J.W.words_of(pa.array(named)), 5)
+    low = [named[i] for i in (values < 2**64 // 400).nonzero()[0][:phrases]]
+    assert len(low) == phrases
+    rows = []
+    for i in range(n):
+        text = " ".join([*low, *(f"w{rng.randrange(10**6)}" for _ in range(9))])
+        rows += [(3 * i, text), (3 * i + 1, f"{text} more")][: 2 - (i % 5 > 0)]
+    return rows
+
+
+@pytest.mark.parametrize("phrases", [1, 2])
+def test_short_texts_with_one_phrase(spark, monkeypatch, phrases):
+    """No task gets more members at a time than two blocks have, and the result is that of all pairs."""
+    compared = J._compared
+
+    def bounded(similar):
+        inner = compared(similar)
+
+        def run(batches):
+            for batch in batches:
+                assert max(map(len, batch.column("members"))) <= 80
+                yield from inner(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(J, "_compared", bounded)
+    monkeypatch.setattr(J, "MEMBERS", 16, raising=False)
+    monkeypatch.setattr(J, "SMALL_TILE", 3)
+    check(spark, hot_texts(200, phrases))
+
+
+def test_hot_tile_is_split_by_the_second_tile(spark):
+    """Only members that share a second tile are compared, once each, wherever that costs less than the grid."""
+    members = [(1, node, 10, node, 20, 8) for node in range(40)]
+    tile = spark.createDataFrame(members, "key long, node long, n int, component long, blocks int, others long")
+    second = spark.createDataFrame([(100 + node // 2, node) for node in range(0, 30)], "key long, node long")
+    got = J._places(tile, second, 0.8).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).collect()
+    assert sorted(r.nodes for r in got) == [[node, node + 1] for node in range(0, 30, 2)]
+    one = spark.createDataFrame([(100, node) for node in range(40)], "key long, node long")
+    assert {r.key for r in J._places(tile, one, 0.8).collect()} == {1}
+
+
 def test_every_size_around_the_threshold(spark):
     """Sets of all small sizes and of band borders, each with partners just at and just below the threshold."""
     rows, doc = [], 0
