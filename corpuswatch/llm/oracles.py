@@ -163,3 +163,59 @@ c AS (
 s AS (SELECT word, max_by(here, steps) AS root FROM c GROUP BY word)
 SELECT f.word, best.form AS form, root, n, n_near, -best.less AS form_n FROM f JOIN s USING (word)
 """
+
+
+def _least(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _way(before: str, cost: str, audit: str, lines: str, only: str = "true") -> str:
+    """One more edit after a way (cost, audit, lines); none if there was no way, or if ``only`` does not hold."""
+    return f"CASE WHEN {only} AND {before} IS NOT NULL THEN {{'c': {before}.c + {cost}, 'a': {before}.a || '{audit}', 't': list_concat({before}.t, {lines})}} END"
+
+
+#: Best ways with turns inserted before a row: z nothing yet, s system, u user (an assistant must follow), p pairs.
+_INSERTED = {
+    "u": _least("u", *[_way(w, "2", "I", "['user:']") for w in "zsp"], _way("u", "4", "II", "['assistant:', 'user:']")),
+    "p": _least("p", _way("u", "2", "I", "['assistant:']"), *[_way(w, "4", "II", "['user:', 'assistant:']") for w in "zsp"]),
+}
+_STAYS, _COSTS, _LINE = "fault NOT IN ('blank', 'duplicate')", "CAST(fault = 'truncated' AS BIGINT)", "[role || ':' || text]"
+_AFTER = {state: [_way(state, "3", "D", "CAST([] AS VARCHAR[])")] for state in "zsup"}
+_AFTER["s"].append(_way("z", _COSTS, "K", _LINE, f"{_STAYS} AND initial = 's'"))
+for _state, _before, _name in (("u", "zsp", "user"), ("p", "u", "assistant")):
+    for _w in _before:
+        _AFTER[_state].append(_way(_w, _COSTS, "K", _LINE, f"{_STAYS} AND initial = '{_name[0]}'"))
+        _AFTER[_state].append(_way(_w, "2 + " + _COSTS, "R", f"['{_name}:' || text]", _STAYS))
+_NO_WAY = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]))"
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM k WHERE kind <> 0),
+o AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+r AS MATERIALIZED (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault
+  FROM o),
+m AS MATERIALIZED (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+    count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(illegal) AS illegal FROM r GROUP BY conv_id),
+x AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS z, {_NO_WAY} AS s, {_NO_WAY} AS u, {_NO_WAY} AS p FROM m
+  UNION ALL
+  SELECT conv_id, i, {", ".join(_least(*_AFTER[state]) for state in "zsup")}
+  FROM (
+    SELECT z, s, {_INSERTED["u"]} AS u, {_INSERTED["p"]} AS p, r.conv_id, r.i, r.role, r.text, r.initial, r.fault
+    FROM x JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i + 1)),
+e AS (
+  SELECT m.*, {_least("z", "p", _way("u", "2", "I", "['assistant:']"), _way("s", "4", "II", "['user:', 'assistant:']"))} AS w
+  FROM x JOIN m ON m.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = m.n)
+SELECT DISTINCT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+FROM conversations c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -136,3 +136,30 @@ def op13_spelling_variants(spark, sf):
     from corpuswatch.llm.spelling_variants import variants, vocabulary
 
     return variants(vocabulary(table(spark, sf, "documents"), min_length=7, min_count=2, drop_every=31), times=10)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with one fault in a quarter of the rows: dropped, emptied, without sentence ends, repeated, or said by the user."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.withColumn("kind", F.pmod(F.crc32(name.cast("binary")), F.lit(20))).where("kind <> 0")
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark, sf):
+    from corpuswatch.llm.conversation_repair import digests, repaired
+
+    conversations = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    edited, report = repaired(damaged(conversations))
+    whole = digests(edited).withColumnRenamed("conv_id", "digest_of")
+    every = conversations.select("conv_id").distinct().withColumnRenamed("conv_id", "whole_id")
+    found = every.join(report, every["whole_id"].eqNullSafe(report["conv_id"]), "left").join(whole, F.col("whole_id").eqNullSafe(whole["digest_of"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        F.col("whole_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
