@@ -163,3 +163,12 @@ def op11_conversation_repair(spark, sf):
     return found.select(
         F.col("whole_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     )
+
+
+@query
+def op12_secret_scan(spark, sf):
+    from corpuswatch.llm.secret_scan import KINDS, scanned, span_list
+
+    found = scanned(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_list("secrets", KINDS[:3]), 256).alias("base_sha256"), span_list("secrets").alias("spans"))
