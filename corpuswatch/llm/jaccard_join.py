@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.llm import words as W
+from corpuswatch.llm.arrow_rows import veiled
 from corpuswatch.llm.components import components
 from corpuswatch.llm.prefilter import Prefilter
 from corpuswatch.llm.tables import stored
@@ -120,10 +121,10 @@ def _sets(similar: float, length: int):
                 bits = [bitmap(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").cast(pa.int64()), pa.array(W.signed(nodes_of(values, first))), pa.array(np.diff(first), pa.int32()),
+                        part.column("doc_id").cast(pa.int64()), part.column("text_key"), pa.array(W.signed(nodes_of(values, first))), pa.array(np.diff(first), pa.int32()),
                         pa.array(bits, pa.binary()), W.lists(W.signed(keys), at, pa.int64()),
                     ],
-                    ["doc_id", "node", "n", "bits", "tiles"],
+                    ["doc_id", "text_key", "node", "n", "bits", "tiles"],
                 )
 
     return run
@@ -274,22 +275,15 @@ def _places(open_members: DataFrame, small: DataFrame, similar: float) -> DataFr
     return stored(whole.join(cut, "key", "left_anti").unionByName(split), "places")
 
 
-def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``documents`` (doc_id, text; other columns are ignored).
-
-    Two texts link when ``denominator * |x & y| >= numerator * |x | y|`` for their sets of ``length``-word shingles (words:
-    no ASCII blanks, A-Z lower-cased). ``component_id`` is the smallest doc_id reachable by links. A null, empty or blank text has
-    an empty set, links with nothing and is its own component. A text of fewer than ``length`` words is one shingle. Rows
-    that repeat, also with the same doc_id, are separate rows of one class; a null doc_id joins its class but never names it, so
-    a class of null ids alone has a null component. An empty table gives no rows.
-    """
+def _classified(documents: DataFrame, length: int, numerator: int, denominator: int) -> DataFrame:
+    """Rows (doc_id, text_key, n, class, component_id), one for each row: class is null for an empty set, which links with nothing."""
     if 2 * numerator <= denominator:
         raise ValueError("the similarity must be above one half")
     spark = documents.sparkSession
     similar = numerator / denominator
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = stored(source.mapInArrow(_sets(similar, length), "doc_id long, node long, n int, bits binary, tiles array<bigint>"), "tiles")
-    docs = sets.select("doc_id", "node", "n")
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    sets = stored(source.mapInArrow(_sets(similar, length), "doc_id long, text_key long, node long, n int, bits binary, tiles array<bigint>"), "tiles")
+    docs = sets.select("doc_id", "text_key", "node", "n")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = sets.select("node", F.explode("tiles").alias("key")).repartition(partitions, "key")
     shared = tiles.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
@@ -332,23 +326,37 @@ def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80,
     ids = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(component, "node", "left")
     ids = ids.withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = ids.join(least, "component").select("node", "component_id")
+    classes = ids.join(least, "component").select("node", F.col("component").alias("class"), "component_id")
     return docs.join(classes, "node", "left").select(
-        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
-def one_per_class(documents: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``documents`` that stay when each class keeps one document: that of the smallest doc_id.
+def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``documents`` (doc_id, text; other columns are ignored).
+
+    Two texts link when ``denominator * |x & y| >= numerator * |x | y|`` for their sets of ``length``-word shingles (words:
+    no ASCII blanks, A-Z lower-cased). ``component_id`` is the smallest doc_id reachable by links. A null, empty or blank text has
+    an empty set, links with nothing and is its own component. A text of fewer than ``length`` words is one shingle. Rows
+    that repeat, also with the same doc_id, are separate rows of one class; a null doc_id joins its class but never names it, so
+    a class of null ids alone has a null component. An empty table gives no rows.
+    """
+    return _classified(documents, length, numerator, denominator).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+
+
+def one_per_class(documents: DataFrame, length: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """The rows of ``documents`` that stay when each class keeps one: the least by doc_id (null last), then by a hash of the text.
 
-    Of rows that repeat a doc_id within a class one stays; rows without a doc_id stay if their class has no other
-    document, one of them for each text.
+    Rows are judged one by one: two unrelated texts under one doc_id are two classes and both stay; a row without a doc_id stays only
+    if no row of its class has one. Of rows that repeat doc_id and text one stays. A null, empty or blank text links with
+    nothing, so all such rows stay.
     """
-    classes = stored(jaccard_classes(documents, **parameters), "classes")
-    keepers = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    known = documents.where("doc_id is not null").join(keepers.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if classes.where("doc_id is null").limit(1).count():
-        texts = documents.select("text").where("doc_id is not null").distinct()
-        unknown = documents.where("doc_id is null").join(texts, documents["text"].eqNullSafe(texts["text"]), "left_anti").dropDuplicates(["text"])
-        known = known.unionByName(unknown)
-    return known.select(*documents.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    classes = stored(_classified(documents, length, numerator, denominator).where("class is not null").select("class", order.alias("row")), "classes")
+    keepers = classes.groupBy("class").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_keep_id"), F.col("row.text_key").alias("_keep_text"))
+    some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    plain, restored = veiled(documents, ("doc_id", "text"))
+    rows = plain.where(some).withColumn("_text_key", F.xxhash64("text"))
+    kept = rows.join(keepers, (rows["_text_key"] == keepers["_keep_text"]) & rows["doc_id"].cast("bigint").eqNullSafe(keepers["_keep_id"]), "left_semi")
+    return restored(kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(plain.where(~some)))

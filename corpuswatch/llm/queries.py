@@ -41,7 +41,7 @@ def op9_quality_rules(spark, sf):
     from corpuswatch.llm.quality_rules import judged
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    more = ["n_tokens", "chars_per_token", "byte_share", "token_entropy", "script"]
+    more = ["n_tokens", "chars_per_token", "byte_share", "token_entropy", "second_chars_per_token", "script"]
     return judged(table(spark, sf, "documents").select("doc_id", "text", "lang")).select(*columns, *more)
 
 
@@ -124,7 +124,7 @@ def op10_token_rollups(spark, sf):
     gone = old.join(toxic, "doc_id", "left_semi")
     rollup.commit(2, signed(gone, -1))
     rollup.commit(2, signed(gone, -1))  # repeated: no effect
-    rollup.compact(2)
+    rollup.compact()
     foreign = F.col("lang") != "en"
     new = stored(counted(documents.where(foreign), "byte-bpe-multi-50k"), "counts")
     rollup.commit(3, revised(old.where(foreign).join(toxic, "doc_id", "left_anti"), new.join(toxic, "doc_id", "left_anti")))

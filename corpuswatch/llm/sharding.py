@@ -2,8 +2,8 @@
 
 The tree splits every node at the weighted median of its widest dimension until leaves reach the target bytes. Medians are exact
 and distributed: one range sort per level orders all nodes at once, and running sums of bytes find each node's cut.
-Rows of equal text are one unit, so that copies stay together; a group of copies of more than a small share of a
-shard is cut into pieces by a hash of doc_id, which keeps the leaves near equal whatever the groups.
+Rows of equal text are one unit, so that copies stay together; only a group of copies of more than a quarter of a
+shard is cut into small pieces by a hash of doc_id, which keeps the leaves near equal whatever the groups.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from corpuswatch.llm.tables import running, stored
 
-#: A group of equal texts of more than this share of a shard's bytes is cut into pieces.
-PIECE_SHARE = 1 / 64
-#: Split groups that a broadcast may hold (their number is at most shards / PIECE_SHARE).
+#: A group of equal texts of more than this share of a shard's bytes is cut, into pieces of the second share.
+GROUP_SHARE, PIECE_SHARE = 1 / 4, 1 / 64
+#: Split groups that a broadcast may hold (their number is at most shards / GROUP_SHARE).
 MAX_BROADCAST_ROWS = 100_000
 DIMENSIONS = ("lang_code", "source_code", "log_size", "doc_age")
 
@@ -75,9 +75,9 @@ def _planned(documents: DataFrame, shards: int | None, target_bytes: int | None)
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = shards or max(1, math.ceil(total / target_bytes))
     piece = max(1, int(total / leaves * PIECE_SHARE))
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > piece)
+    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where((F.col("bytes") > total / leaves * GROUP_SHARE) & (F.col("rows") > 1))
     split = stored(groups.select("text_key", F.ceil(F.col("bytes") / piece).cast("bigint").alias("pieces")), "split")
-    small = leaves / PIECE_SHARE <= MAX_BROADCAST_ROWS
+    small = leaves / GROUP_SHARE <= MAX_BROADCAST_ROWS
     rows = _with_unit(rows, split, small)
     units = stored(
         rows.groupBy("unit").agg(
@@ -94,7 +94,7 @@ def shard_rows(documents: DataFrame, shards: int | None = None, target_bytes: in
     """Rows (doc_id, size, text_crc32, shard, slot), one for each row of ``documents`` (doc_id, text; lang and source if there).
 
     ``shards`` leaves, or as many as ``target_bytes`` need. Sizes (UTF-8 bytes plus 1) of the leaves are near equal: each cut is off
-    by half a unit at most. Slots number the rows of a shard from 0 without gaps, equal texts side by side. Null and empty texts
+    by half a unit at most, and a unit is one row or equal texts of a quarter of a shard at most. Slots number the rows of a shard from 0 without gaps, equal texts side by side. Null and empty texts
     have size 1; null metadata is a category of its own; repeated rows and null doc_ids are rows like others. An empty
     table gives no rows; fewer units than shards leave some shards empty. Other columns are ignored.
     """

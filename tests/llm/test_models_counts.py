@@ -81,14 +81,39 @@ def test_rollup_over_batches(spark, awkward):
     assert totals() == want
     rollup.commit(2, R.signed(gone.where("lang is null or lang <> 'fr'"), -1))
     assert totals() == want
-    rollup.compact(2)
-    assert totals() == want
+    rollup.compact()
+    assert totals() == want and rollup.applied() == {1, 2, 3}
     rollup.commit(1, R.signed(one, 1))  # already in the base
     rollup.commit(3, R.revised(one.where("lang = 'fr'"), two))
-    rollup.compact(3)
-    rollup.compact(3)
+    rollup.compact()
+    rollup.compact()
     rollup.commit(4, R.signed(one.limit(0), 1))
     assert totals() == want
     rollup.commit(5, R.revised(one.where("lang is null or lang <> 'fr'").where("source is null or source <> 's0'"), one.limit(0)))
     rollup.commit(6, R.signed(two, -1))
     assert totals() == {}
+
+
+def test_long_blanks_count_as_in_one_piece(spark):
+    encode = encoders()["byte-bpe-50k"]
+    for text in (" " * 3_999, "a" + " " * 5_000 + "b", "\n" * 4_500, " \n" * 3_000 + "end", "x " + "\u3000" * 4_001 + " y" + "\t" * 6_000):
+        assert R.token_count(encode, text) == len(encode.encode_ordinary(text))
+    rows = spark.createDataFrame([(1, " " * 2_000_000, "s", "en"), (2, "\n" * 2_000_000 + "word", "s", "en")], "doc_id bigint, text string, source string, lang string")
+    assert R.counted(rows, "byte-bpe-50k").where("tokens > 0").count() == 2
+
+
+def test_cut_off_attempts_and_late_batches(spark, awkward):
+    root = scratch_path(spark, "rollup")
+    rollup = R.Rollup(spark, root)
+    rows = R.counted(awkward.where("doc_id < 12"), "byte-bpe-50k")
+    rollup.commit(7, R.signed(rows, 1))
+    want = sorted(map(tuple, rollup.totals().collect()), key=repr)
+    # A base that was cut off: files, but no row in the log.
+    R.signed(rows, 5).write.parquet(f"{root}/data/base-cut-off")
+    assert sorted(map(tuple, rollup.totals().collect()), key=repr) == want
+    rollup.compact()
+    rollup.commit(3, R.signed(rows, 1))  # late: the base does not name it
+    assert sorted(map(tuple, rollup.totals().collect()), key=repr) == [(*r[:3], 2 * r[3], 2 * r[4]) for r in want]
+    # Two attempts at one batch that both reached the log count once.
+    rollup._write(rollup._summed(R.signed(rows, 1)), "batch", [3], 3)
+    assert sorted(map(tuple, rollup.totals().collect()), key=repr) == [(*r[:3], 2 * r[3], 2 * r[4]) for r in want]

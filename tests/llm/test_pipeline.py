@@ -5,6 +5,7 @@ from collections import Counter
 import brute as B
 
 import corpus_pipeline as P
+from corpuswatch.llm import quality_rules as Q
 from corpuswatch.llm.tables import stored
 
 SF = "/root/testdata/sf0.001"
@@ -16,11 +17,12 @@ def test_stages(spark):
     before = docs.collect()
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for name, stage in P.STAGES:
-        docs = stored(stage(spark, docs, SF), name)
+        docs_before, docs = docs, stored(stage(spark, docs, SF), name)
         after = docs.collect()
         ids = [r.doc_id for r in after]
         if name == "quality_rules":
-            failed = {r.doc_id for r in before for n in [B.base_counts(r.text)] if n[0] < 50 or 100 * n[4] > 50 * n[0]}
+            verdict = {r.doc_id: r.kept for r in Q.judged(docs_before).collect()}
+            failed = {r.doc_id for r in before for n in [B.base_counts(r.text)] if n[0] < 50 or 100 * n[4] > 50 * n[0] or not verdict[r.doc_id]}
             assert len(ids) == len(set(ids)) and set(ids) == {r.doc_id for r in before} - failed
         elif name == "ngram_jaccard_join":
             assert sorted(ids) == sorted({c for _, _, c in B.classes([(r.doc_id, r.text) for r in before])})
@@ -46,3 +48,17 @@ def test_empty_documents(spark):
     for name, stage in P.STAGES:
         docs = stored(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_awkward_documents(spark, awkward):
+    """Null ids and texts, repeated rows and ids, very long texts and clashing columns pass every stage."""
+    from pyspark.sql import functions as F
+
+    docs = awkward.drop("shard")
+    columns = docs.columns
+    more = [(900 + i, " ".join(f"word{(i * 37 + j * j) % 997} the house of" for j in range(80)), "en", "s1", 1) for i in range(6)]
+    docs = docs.unionByName(spark.createDataFrame([*more, (None, more[0][1], None, None, None), more[1]], B.SCHEMA).withColumns({c: F.lit(f"own {c}") for c in columns if c in B.CLASHES}))
+    for name, stage in P.STAGES:
+        before, docs = docs.count(), stored(stage(spark, docs, SF), name)
+        assert docs.columns == (columns if name != "sharding" else [*columns, "shard"]) and docs.count() > 0
+        assert name == "source_mixing" or docs.count() <= before

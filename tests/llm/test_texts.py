@@ -88,3 +88,48 @@ def test_bands_per_language_and_script(spark):
     kept = {r.doc_id: r.kept for r in Q.judged(df, max_repeat_percent=100, languages=strict).collect()}
     assert kept[1] and not kept[2] and not kept[4]
     assert Q.judged(df.drop("lang")).where(F.col("doc_id") == 1).count() == 1
+
+
+def test_fertility_alone_rejects(spark):
+    """Texts that the base rules pass and the vocabularies do not: random letters, hexadecimal, base64, text decoded wrongly twice."""
+    import base64
+    import random
+
+    from corpuswatch.llm import quality_rules as Q
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'fr' and n_chars > 800").limit(20).collect()]
+    bad = []
+    for _ in range(20):
+        bad.append(("en", " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 10))) for _ in range(200))))
+        bad.append((None, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(100))))
+        bad.append(("xx", " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(80))))
+    bad += [("fr", t.encode().decode("latin-1").encode().decode("latin-1")) for t in prose]
+    rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(bad)], "doc_id bigint, text string, lang string")
+    got = Q.judged(rows).collect()
+    assert not any(r.base_failed and r.lang != "fr" for r in got) and not any(r.kept for r in got)
+    real = Q.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang"))
+    lost = real.where("not base_failed and not kept").count()
+    assert lost <= 0.02 * real.where("not base_failed").count()
+
+
+def test_base_columns_equal_sql(spark):
+    import duckdb
+
+    from corpuswatch.llm import quality_rules as Q
+
+    sf = "/root/testdata/sf0.001"
+    got = Q.judged(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    names = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+    sql = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM '{sf}/documents.parquet'),
+    l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    c AS (SELECT doc_id, count_if(k > 1) AS n FROM l GROUP BY doc_id),
+    g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS x FROM d WHERE len(w) > 2),
+    r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+    s AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM r, range(3) AS q(k) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT, coalesce(c.n, 0)::BIGINT, coalesce(s.n, 0)::BIGINT,
+      len(w) < 50 OR 100 * coalesce(s.n, 0) > 50 * len(w)
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id) ORDER BY doc_id"""
+    assert [tuple(r) for r in got.select(*names.split(", ")).orderBy("doc_id").collect()] == duckdb.sql(sql.replace("\\x", "\x")).fetchall()
