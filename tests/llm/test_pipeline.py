@@ -56,7 +56,8 @@ def test_awkward_documents(spark, awkward):
 
     docs = awkward.drop("shard")
     columns = docs.columns
-    more = [(900 + i, " ".join(f"word{(i * 37 + j * j) % 997} the house of" for j in range(80)), "en", "s1", 1) for i in range(6)]
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 600 and 3000 and lang = 'en'").orderBy("doc_id").limit(30).collect()]
+    more = [(900 + i, text, "en", "s1", 1) for i, text in enumerate(prose)]
     docs = docs.unionByName(spark.createDataFrame([*more, (None, more[0][1], None, None, None), more[1]], B.SCHEMA).withColumns({c: F.lit(f"own {c}") for c in columns if c in B.CLASHES}))
     for name, stage in P.STAGES:
         before, docs = docs.count(), stored(stage(spark, docs, SF), name)
