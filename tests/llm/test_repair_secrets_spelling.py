@@ -272,3 +272,16 @@ def test_vocabulary(spark, awkward):
     assert got == {"thérapie": 4, "thÉrapie": 2, "abcdefg": 4, "x" + "y" * 100_000: 2}
     assert S.vocabulary(rows.limit(0)).count() == 0 and S.variants(S.vocabulary(rows.limit(0))).count() == 0
     assert S.variants(S.vocabulary(awkward, min_length=2)).where(F.col("root").isNull()).count() == 0
+
+
+def test_secret_query(spark):
+    from corpuswatch.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op12_secret_scan"](spark, sf).collect()
+    assert len(got) == len(text) and any(r.n_assign for r in got)
+    for r in got:
+        base = plain_base(text[r.doc_id] or "")
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in K.KINDS[:3])
+        assert r.base_sha256 == B.sha(",".join(base)) and [s for s in r.spans.split(",") if s and not s.startswith("guess")] == base
