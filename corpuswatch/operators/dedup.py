@@ -14,15 +14,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.fingerprints import band_keys, hamming, jaccard, minhash, simhash64
 from corpuswatch.functions.text import computed_once, head, or_empty, words
 from corpuswatch.operators.identity import first_per_key, join_rows
-from corpuswatch.session import cut_lineage
+from corpuswatch.session import cut_lineage, stored
 
 # Thresholds and memory of the three layers.
 EXACT_TTL_SECONDS = 7 * 86400
@@ -43,23 +44,50 @@ def dedup_text(chars: int | None) -> Column:
 
 
 def anchored_windows(points: DataFrame, keys: list[str], ts: str, seconds: int, closed: bool) -> DataFrame:
-    """Give every distinct (key, time) the start of the window it falls into.
+    """Give every distinct (key, time) the start of the window it falls into; rows without a key or time are left out.
 
-    A window opens at the first uncovered time of a key and covers ``seconds`` (``closed``: the end too). Each
-    round closes one window per key, so there are about (time range / window) rounds, and a key without rows
-    left takes no further part.
+    A window opens at the first uncovered time of a key and covers ``seconds`` (``closed``: the end too). Every time is
+    linked to the first one that a window from it would not cover; the starts are those that the links reach from the first time of
+    a key. Pointer doubling finds them: each round follows twice as many links, so there are as many rounds as the number of
+    windows has binary digits. Times meet in slots as wide as a window, never a whole key in one task.
     """
-    rest = cut_lineage(points.select(*keys, ts).distinct())
-    width = F.make_interval(secs=F.lit(seconds))
-    done = None
-    while not rest.isEmpty():
-        starts = rest.groupBy(*keys).agg(F.min(ts).alias("anchor"))
-        joined = rest.join(starts, keys)
-        inside = (F.col(ts) <= F.col("anchor") + width) if closed else (F.col(ts) < F.col("anchor") + width)
-        covered = joined.where(inside)
-        done = covered if done is None else done.unionByName(covered)
-        rest = cut_lineage(joined.where(~inside).select(*keys, ts))
-    return done if done is not None else points.select(*keys, ts).distinct().withColumn("anchor", F.col(ts))
+    width, kind = F.make_interval(secs=F.lit(seconds)), points.schema[ts].dataType
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    known = points.select(*keys, ts).where(" and ".join(f"`{c}` is not null" for c in [*keys, ts]))
+    times = stored(known.distinct().withColumn("_slot", slot), "times")
+    # Slots of a key in order, each with the next two that hold times.
+    order = Window.partitionBy(*keys).orderBy("_slot")
+    slots = times.groupBy(*keys, "_slot").agg(F.min(ts).alias("_first"))
+    slots = slots.select(*keys, "_slot", F.lead("_slot").over(order).alias("_next"), F.lead("_first").over(order).alias("_one"), F.lead("_first", 2).over(order).alias("_two"))
+    ahead = times.join(slots, [*keys, "_slot"])
+    # A window that starts in a slot ends in the next one: there the first time beyond its end is looked up by order.
+    near = ahead.where(F.col("_next") == F.col("_slot") + 1)
+    line = times.select(*keys, "_slot", F.col(ts).alias("_t"), F.col(ts).alias("_point"), F.lit(None).cast(kind).alias("_from"), F.lit(None).cast(kind).alias("_two"))
+    line = line.unionByName(near.select(
+        *keys, (F.col("_slot") + 1).alias("_slot"), (F.col(ts) + width).cast(kind).alias("_t"), F.lit(None).cast(kind).alias("_point"), F.col(ts).alias("_from"), "_two"))
+    tie = F.col("_point").isNotNull() if not closed else F.col("_point").isNull()
+    beyond = Window.partitionBy(*keys, "_slot").orderBy("_t", tie).rowsBetween(1, Window.unboundedFollowing)
+    met = line.withColumn("_here", F.min("_point").over(beyond)).where("_from is not null")
+    links = met.select(*keys, F.col("_from").alias(ts), F.coalesce("_here", "_two").alias("_to"))
+    links = links.unionByName(ahead.where(F.col("_next") > F.col("_slot") + 1).select(*keys, ts, F.col("_one").alias("_to")))
+    links = stored(links.where("_to is not null"), "links")
+    reached = stored(times.groupBy(*keys).agg(F.min(ts).alias(ts)), "starts")
+    starts = [reached]
+    while True:
+        found = reached.join(links, [*keys, ts]).select(*keys, F.col("_to").alias(ts))
+        found = stored(found, "starts")
+        if found.isEmpty():
+            break
+        starts.append(found)
+        reached = reduce(DataFrame.unionByName, starts)
+        longer = links.select(*keys, F.col(ts).alias("_to"), F.col("_to").alias("_end"))
+        links = stored(links.join(longer, [*keys, "_to"]).select(*keys, ts, F.col("_end").alias("_to")), "links")
+    # The window of a time starts in its slot or the one before.
+    marked = times.join(reached.withColumn("_anchor", F.col(ts)), [*keys, ts], "left")
+    last = marked.groupBy(*keys, (F.col("_slot") + 1).alias("_slot")).agg(F.max("_anchor").alias("_before")).where("_before is not null")
+    upto = Window.partitionBy(*keys, "_slot").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumn("_own", F.max("_anchor").over(upto))
+    return own.join(last, [*keys, "_slot"], "left").select(*keys, ts, F.coalesce("_own", "_before").alias("anchor"))
 
 
 def dedup_exact(

@@ -273,6 +273,11 @@ def _tagged_rows(df: DataFrame, gazetteer: DataFrame, chars: int | None) -> Data
     return named.withColumn("_pad", padded).withColumn("_tags", tags).drop("_text", "_w", "_names", "_pad")
 
 
+def _one_row_per_tag(tagged: DataFrame, key: str) -> DataFrame:
+    """``_tags`` unfolded. A plain ``inline`` lets the optimizer ask for the size of the array below it, which computes it twice."""
+    return tagged.select(key, F.inline_outer("_tags")).where(F.col("name").isNotNull())
+
+
 def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash", chars: int | None = None):
     """Dictionary and pattern tagging: rows (key, pos, name, label, start, end), ``pos`` orders the tags.
 
@@ -281,7 +286,7 @@ def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash",
     an equi-join; only n-grams leave the row, and the few names found go back to their text.
     """
     if _small(gazetteer):
-        return _tagged_rows(df, gazetteer, chars).select(key, F.inline("_tags"))
+        return _one_row_per_tag(_tagged_rows(df, gazetteer, chars), key)
     base = df.select(key, label_text(chars).alias("_text"))
     names = _names(gazetteer)
     longest = names.agg(F.max(F.size(F.split("_name", " ")))).first()[0] or 1
@@ -301,7 +306,7 @@ def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "content_hash",
         .agg(F.collect_list(F.struct("name", "label")).alias("_names"))
     )
     padded, tags = _tags(F.col("_text"), F.col("_names"))
-    return computed_once(base.join(named, key, "left"), _pad=padded).select(key, F.inline(tags))
+    return _one_row_per_tag(computed_once(base.join(named, key, "left"), _pad=padded).select(key, tags.alias("_tags")), key)
 
 
 def entities_in_row(tags: Column) -> Column:

@@ -588,6 +588,30 @@ SELECT cluster_id, batch_id, region, size, confidence, {rnd('anomaly', 3)} AS av
 ORACLES["cluster_union"] = with_(CL, recursive=True) + """
 SELECT cluster_type, CASE cluster_type WHEN 'temporal' THEN 0 ELSE 1 END AS kind_rank, count(*) AS clusters, sum(size)::BIGINT AS events,
   round(sum(confidence::DECIMAL(18,6))::DOUBLE, 3) AS confidence FROM cl GROUP BY cluster_type"""
+#: Batches that overlap, their clusters, and what is reachable through pairs that share half of the smaller one.
+ORACLES["clusters_across_batches"] = with_(INC, recursive=True) + f"""
+, n AS (SELECT *, (row_number() OVER (ORDER BY published_at, article_hash) - 1) // 100 AS newest FROM inc),
+sb AS MATERIALIZED (SELECT * EXCLUDE (newest), newest - back AS batch_id FROM n, (VALUES (0), (1)) AS t(back) WHERE newest - back >= 0),
+g AS (
+  SELECT 'entity_match' AS cluster_type, batch_id, 'SAME_ENTITY' AS relationship, list(article_hash ORDER BY published_at, article_hash) AS events,
+    least({mean('anomaly_score')} * {mean('credibility_score')} * 1.4, 1.0) AS c FROM sb GROUP BY batch_id, entity HAVING count(*) >= 2
+  UNION ALL
+  SELECT 'spatial', batch_id, NULL, list(article_hash ORDER BY published_at, article_hash), least({mean('anomaly_score')} * 1.2, 1.0)
+  FROM sb WHERE region IS NOT NULL GROUP BY batch_id, region HAVING count(*) >= 3),
+k AS MATERIALIZED (
+  SELECT *, {rnd('c', 3)} AS confidence, sha256(cluster_type || '|' || array_to_string(events, '|')) AS cluster_id FROM g WHERE cluster_type = 'spatial' OR c >= 0.70),
+m AS MATERIALIZED (SELECT DISTINCT cluster_id, unnest(events) AS e FROM k),
+z AS (SELECT cluster_id, count(*) AS size FROM m GROUP BY cluster_id),
+l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) AS common FROM m x JOIN m y ON x.e = y.e AND x.cluster_id <> y.cluster_id GROUP BY ALL)
+  JOIN z za ON za.cluster_id = a JOIN z zb ON zb.cluster_id = b WHERE 2 * common >= least(za.size, zb.size)),
+reach AS (SELECT cluster_id AS at_id, cluster_id FROM z UNION SELECT l.b, reach.cluster_id FROM reach JOIN l ON l.a = reach.at_id),
+r AS (SELECT cluster_id, min(at_id) AS merged_id FROM reach GROUP BY cluster_id),
+ev AS (SELECT merged_id, count(DISTINCT e) AS events FROM r JOIN m USING (cluster_id) GROUP BY merged_id)
+SELECT merged_id, count(DISTINCT cluster_id) AS clusters, any_value(ev.events) AS events, array_to_string(list(DISTINCT cluster_type ORDER BY cluster_type), '+') AS cluster_types,
+  CASE WHEN count(DISTINCT cluster_id) = 1 THEN min(relationship) WHEN bool_or(coalesce(relationship = 'SAME_ENTITY', false)) THEN 'SAME_ENTITY' ELSE 'SAME_PATTERN' END AS relationship,
+  max(confidence) AS confidence, min(batch_id) AS first_batch, max(batch_id) AS last_batch
+FROM r JOIN k USING (cluster_id) JOIN ev USING (merged_id) GROUP BY merged_id"""
 ORACLES["cluster_event_rows"] = with_(CL, recursive=True) + "SELECT cluster_id, pos, article_hash, anomaly_score FROM ce"
 ORACLES["shared_entities"] = with_(CL, recursive=True) + """
 , n AS (SELECT cluster_id, entity, count(*) AS event_count, min(pos) AS seen FROM ce GROUP BY cluster_id, entity HAVING count(*) > 1),
@@ -765,7 +789,8 @@ SELECT {SHOWN} FROM (
     '2024-01-02 03:04:05' AS published_at
   FROM (SELECT *, {STRIPPED.format("text")} AS t FROM conversations) WHERE length(t) >= 30)"""
 for name, whole in (("story_items", "text"), ("timeline_posts", "t"), ("search_posts", "t")):
-    ORACLES[f"{name}_whole_text"] = ORACLES[name].replace(f"substr({whole}, 1, 5000)", whole)
+    ORACLES[f"{name}_reference"] = ORACLES[name]
+    ORACLES[name] = ORACLES[name].replace(f"substr({whole}, 1, 5000)", whole)
 ORACLES["feed_articles"] = f"""
 SELECT 'https://f/' || doc_id AS url, md5({STRIPPED.format(FIRST_LINE)}) AS title_md5, length({STRIPPED.format("translate(text, '<>', '  ')")}) AS n_chars, source, lang AS author,
   '2024-03-05 09:00:00' AS published_at
@@ -779,21 +804,21 @@ ORACLES["lake_article"] = with_(ART) + """
 , f AS (SELECT * FROM art ORDER BY doc_id LIMIT 1)
 SELECT art.url, art.content_hash, md5(art.content) AS content_md5 FROM art JOIN f ON art.content_hash = f.content_hash AND art.source = f.source AND art.published_at::DATE = f.published_at::DATE"""
 _SHARE = "(length(title || '. ' || content) % 10)"
-ORACLES["model_categories"] = with_(ART) + f"""
+_MODEL_CATEGORIES = with_(ART) + f"""
 SELECT doc_id, CASE WHEN {_SHARE} > 4 THEN 'long' ELSE 'short' END || CASE WHEN least({_SHARE}, 10 - {_SHARE}) > 3 THEN CASE WHEN {_SHARE} > 4 THEN ',short' ELSE ',long' END ELSE '' END AS categories
 FROM art WHERE NOT contains(content, '|')"""
-ORACLES["model_sentiment"] = with_(ART) + f"""
+_MODEL_SENTIMENT = with_(ART) + f"""
 SELECT doc_id, CASE WHEN {_SHARE} > 4 THEN 'positive' ELSE 'negative' END AS label, round(0.5 + {_SHARE} / 20.0::DOUBLE, 4) AS score FROM art WHERE NOT contains(content, '|')"""
 _LOW = "lower(title || '. ' || content)"
 _RULE_MOOD = sentiment(None).replace(hits(_LOW, X.POSITIVE), hits(_LOW, L.POSITIVE_WORDS)).replace(hits(_LOW, X.NEGATIVE), hits(_LOW, L.NEGATIVE_WORDS))
-ORACLES["model_categories_all_rows"] = with_(ART, category_hits(L.CATEGORY_KEYWORDS, None)) + f"""
+ORACLES["model_categories"] = with_(ART, category_hits(L.CATEGORY_KEYWORDS, None)) + f"""
 , best AS (SELECT doc_id, string_agg(label, ',' ORDER BY score DESC, rank) AS categories
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS n FROM cat_hits) WHERE n <= 3 GROUP BY doc_id),
-model AS ({ORACLES["model_categories"]})
+model AS ({_MODEL_CATEGORIES})
 SELECT doc_id, CASE WHEN contains(content, '|') THEN coalesce(best.categories, {text(L.FALLBACK_CATEGORY[0])}) ELSE model.categories END AS categories
 FROM art LEFT JOIN best USING (doc_id) LEFT JOIN model USING (doc_id)"""
-ORACLES["model_sentiment_all_rows"] = with_(ART, _RULE_MOOD) + f"""
-, model AS ({ORACLES["model_sentiment"]})
+ORACLES["model_sentiment"] = with_(ART, _RULE_MOOD) + f"""
+, model AS ({_MODEL_SENTIMENT})
 SELECT doc_id, CASE WHEN contains(content, '|') THEN sentiment_label ELSE model.label END AS label, CASE WHEN contains(content, '|') THEN sentiment_score ELSE model.score END AS score
 FROM art JOIN mood USING (doc_id) LEFT JOIN model USING (doc_id)"""
 ORACLES["trend_snapshots"] = with_(MENTIONS, trend_sql()) + """

@@ -684,6 +684,21 @@ def _clusters_raw(spark, sf) -> DataFrame:
     return C.union_clusters(C.link_by_entity(events), C.temporal_clusters(events), C.spatial_clusters(events))
 
 
+@query
+def clusters_across_batches(spark, sf):
+    """Clusters of names and regions in batches of 200 events that start every 100, merged over all batches."""
+    events = cut_lineage(C.assign_sliding_batches(A.incidents_from_events(spark, sf)))
+    found = cut_lineage(C.with_cluster_columns(C.union_clusters(C.link_by_entity(events), C.spatial_clusters(events))).drop("members"))
+    return C.merge_across_batches(found)[1]
+
+
+@query
+def close_document_pairs(spark, sf):
+    """Documents of any source whose word vectors are nearly parallel."""
+    docs = E.with_embedding(A.articles_from_documents(spark, sf), dim=384).select(F.col("doc_id").alias("id"), "embedding")
+    return V.close_pairs(docs.where(F.array_max("embedding") > 0), 0.97).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
 @query
 def linked_events(spark, sf):
     return C.link_events(_batched(spark, sf)).select("batch_id", "cluster_id", "cluster_type", "relationship", "size", "confidence", "verdict")

@@ -42,13 +42,14 @@ def _story_payloads(spark, sf):
 
 @query
 def story_items(spark, sf):
-    """Every document as a story item; each third has no link, each fifth is a comment. Contents of 5,000 characters."""
+    """Every document as a story item; each third has no link, each fifth is a comment."""
     return _shown(PL.articles_from_story_items(_story_payloads(spark, sf), "https://page/"))
 
 
 @query
-def story_items_whole_text(spark, sf):
-    return _shown(PL.articles_from_story_items(_story_payloads(spark, sf), "https://page/", content_chars=None))
+def story_items_reference(spark, sf):
+    """Contents of 5,000 characters, as in the analysed system."""
+    return _shown(PL.articles_from_story_items(_story_payloads(spark, sf), "https://page/", PL.REFERENCE_CONTENT_CHARS))
 
 
 @query
@@ -79,13 +80,14 @@ def _timeline_payloads(spark, sf):
 
 @query
 def timeline_posts(spark, sf):
-    """Every conversation turn as a post in markup; user turns carry a card. Contents of 5,000 characters."""
+    """Every conversation turn as a post in markup; user turns carry a card."""
     return _shown(PL.articles_from_timeline(_timeline_payloads(spark, sf)))
 
 
 @query
-def timeline_posts_whole_text(spark, sf):
-    return _shown(PL.articles_from_timeline(_timeline_payloads(spark, sf), title_chars=None, content_chars=None))
+def timeline_posts_reference(spark, sf):
+    """Contents of 5,000 characters, as in the analysed system."""
+    return _shown(PL.articles_from_timeline(_timeline_payloads(spark, sf), PL.REFERENCE_TITLE_CHARS, PL.REFERENCE_CONTENT_CHARS))
 
 
 def _search_payloads(spark, sf):
@@ -98,13 +100,14 @@ def _search_payloads(spark, sf):
 
 @query
 def search_posts(spark, sf):
-    """Every conversation turn as a search result. Contents of 5,000 characters."""
+    """Every conversation turn as a search result."""
     return _shown(PL.articles_from_search_posts(_search_payloads(spark, sf), "https://web/"))
 
 
 @query
-def search_posts_whole_text(spark, sf):
-    return _shown(PL.articles_from_search_posts(_search_payloads(spark, sf), "https://web/", title_chars=None, content_chars=None))
+def search_posts_reference(spark, sf):
+    """Contents of 5,000 characters, as in the analysed system."""
+    return _shown(PL.articles_from_search_posts(_search_payloads(spark, sf), "https://web/", PL.REFERENCE_TITLE_CHARS, PL.REFERENCE_CONTENT_CHARS))
 
 
 def _escaped(c):
@@ -186,10 +189,6 @@ def _length_mood(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"label": ["LABEL_2" if n > 0.4 else "LABEL_0" for n in share], "score": 0.5 + share / 2})
 
 
-def _readable():
-    return ~F.contains(or_empty(F.col("content")), F.lit("|"))
-
-
 def _model_categories(spark, sf):
     docs = E.model_categories(A.articles_from_documents(spark, sf), _length_labels)
     return docs.withColumn("categories", F.array_join("categories", ","))
@@ -202,23 +201,11 @@ def _model_sentiment(spark, sf):
 
 @query
 def model_categories(spark, sf):
-    """Categories of a model, without the texts it fails on."""
-    return _model_categories(spark, sf).where(_readable()).select("doc_id", "categories")
-
-
-@query
-def model_categories_all_rows(spark, sf):
     """Categories of a model, keyword rules for the texts it fails on."""
     return _model_categories(spark, sf).select("doc_id", "categories")
 
 
 @query
 def model_sentiment(spark, sf):
-    """Sentiment of a model, without the texts it fails on."""
-    return _model_sentiment(spark, sf).where(_readable()).drop("content")
-
-
-@query
-def model_sentiment_all_rows(spark, sf):
     """Sentiment of a model, keyword rules for the texts it fails on."""
     return _model_sentiment(spark, sf).drop("content")

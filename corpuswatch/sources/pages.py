@@ -118,8 +118,9 @@ def articles_from_pages(
     content_class: str | None = None,
     title_tag: str = "h1",
     min_chars: int = 100,
+    html_chars: int | None = None,
 ) -> DataFrame:
-    """Pages (``page_id``, ``url``, ``html``) to articles; no title or a short text drops the page."""
+    """Pages (``page_id``, ``url``, ``html``) to articles; no title or a short text drops the page. ``raw_html`` is the whole page unless ``html_chars`` is given."""
     # Pages and elements are cut out once each; the row filter and the outputs then read finished columns.
     staged = computed_once(pages, _visible=visible_html(F.col("html")))
     staged = computed_once(
@@ -137,7 +138,7 @@ def articles_from_pages(
         F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("unknown")).alias("source"),
         F.lit("web").alias("source_type"),
         F.coalesce(try_ts(published, *TIMESTAMP_FORMATS), as_of).alias("published_at"),
-        head(F.col("html"), 50000).alias("raw_html"),
+        head(F.col("html"), html_chars).alias("raw_html"),
     )
     return with_content_hash(kept)
 

@@ -19,7 +19,7 @@ RFC_FORMATS = [
     "dd MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss z",
 ]
 
-#: Characters of title and content that the analysed system keeps of stories and posts; ``None`` in their place keeps whole texts.
+#: Characters of title and content that the analysed system keeps of stories and posts; the default keeps whole texts.
 REFERENCE_TITLE_CHARS, REFERENCE_CONTENT_CHARS = 300, 5000
 
 
@@ -50,10 +50,10 @@ def ordered_union_distinct(first: DataFrame, second: DataFrame, take_first: int
     return lists.groupBy("id").agg(F.min("at").alias("at")).select("id", "at.list", "at.pos").orderBy("list", "pos")
 
 
-def articles_from_story_items(df: DataFrame, item_page: str, content_chars: int | None = REFERENCE_CONTENT_CHARS) -> DataFrame:
+def articles_from_story_items(df: DataFrame, item_page: str, content_chars: int | None = None) -> DataFrame:
     """Story items; ``item_page`` is the page address that an id is appended to when the story has no link.
 
-    ``content_chars=None`` keeps whole texts, and the content hash is then that of the whole text.
+    Whole texts by default, and the content hash is that of what is kept; ``content_chars=REFERENCE_CONTENT_CHARS`` as in the analysed system.
     """
     item = df.select(F.from_json("payload", STORY_ITEM).alias("i"), "ingested_at").select("i.*", "ingested_at")
     return _as_articles(
@@ -103,9 +103,9 @@ def articles_from_artlist(df: DataFrame) -> DataFrame:
 
 
 def articles_from_timeline(
-    df: DataFrame, title_chars: int | None = REFERENCE_TITLE_CHARS, content_chars: int | None = REFERENCE_CONTENT_CHARS
+    df: DataFrame, title_chars: int | None = None, content_chars: int | None = None
 ) -> DataFrame:
-    """Public timeline posts; also reads ``host``, ``region`` and ``ingested_at``. Short posts are dropped; ``None`` keeps whole texts.
+    """Public timeline posts; also reads ``host``, ``region`` and ``ingested_at``. Short posts are dropped; whole texts unless lengths are given.
 
     A post without a card's title is named by its first 120 characters, whatever ``title_chars`` is.
     """
@@ -135,9 +135,9 @@ def articles_from_timeline(
 
 
 def articles_from_search_posts(
-    df: DataFrame, profile_page: str, title_chars: int | None = REFERENCE_TITLE_CHARS, content_chars: int | None = REFERENCE_CONTENT_CHARS
+    df: DataFrame, profile_page: str, title_chars: int | None = None, content_chars: int | None = None
 ) -> DataFrame:
-    """Search results; also reads ``label`` and ``ingested_at``. ``profile_page`` prefixes rewritten post URIs; ``None`` keeps whole texts.
+    """Search results; also reads ``label`` and ``ingested_at``. ``profile_page`` prefixes rewritten post URIs; whole texts unless lengths are given.
 
     A post without an embedded title is named by its first 120 characters, whatever ``title_chars`` is.
     """

@@ -148,8 +148,8 @@ def test_model_queries_show_the_fallback(spark):
     failing = {r["doc_id"] for r in articles.where("contains(content, '|')").select("doc_id").collect()}
     rules = {r["doc_id"]: ",".join(r["categories"]) for r in E.keyword_categories(articles).collect()}
     moods = {r["doc_id"]: r["sentiment"]["label"] for r in E.keyword_sentiment(articles).collect()}
-    categories = {r["doc_id"]: r["categories"] for r in S.model_categories_all_rows(spark, sf).collect()}
-    labels = {r["doc_id"]: r["label"] for r in S.model_sentiment_all_rows(spark, sf).collect()}
+    categories = {r["doc_id"]: r["categories"] for r in S.model_categories(spark, sf).collect()}
+    labels = {r["doc_id"]: r["label"] for r in S.model_sentiment(spark, sf).collect()}
     assert failing and set(categories) == set(labels) == set(rules)
     assert {d: categories[d] for d in failing} == {d: rules[d] for d in failing}
     assert {d: labels[d] for d in failing} == {d: moods[d] for d in failing}

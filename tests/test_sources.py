@@ -27,7 +27,7 @@ def test_story_items(spark):
     got = {r["metadata"]["hn_id"]: r for r in payloads.articles_from_story_items(df, "https://page/item?id=").collect()}
     assert set(got) == {"1", "2"}
     assert got["1"]["title"] == "Hello" and got["1"]["published_at"] == dt.datetime(2023, 11, 14, 22, 13, 20)
-    assert got["2"]["url"] == "https://page/item?id=2" and len(got["2"]["content"]) == 5000
+    assert got["2"]["url"] == "https://page/item?id=2" and len(got["2"]["content"]) == 6000
     assert got["2"]["metadata"]["score"] == "0" and len(got["2"]["content_hash"]) == 64
 
 
