@@ -115,12 +115,36 @@ def basket_lists(baskets: DataFrame, first: int | None = None) -> DataFrame:
     return early.groupBy("article").agg(F.transform(keys, lambda x: x["entity_key"]).alias("entity_keys"))
 
 
-def entity_connections(edges: DataFrame, name: str, k: int = 20) -> DataFrame:
-    """Neighbours of an entity over RELATES_TO in either direction, heaviest first."""
-    related = edges.where(F.col("type") == "RELATES_TO")
-    out = related.where(F.col("src") == name).select(F.col("dst").alias("name"), "weight")
-    back = related.where((F.col("dst") == name) & (F.col("src") != name)).select(F.col("src").alias("name"), "weight")
-    return out.unionByName(back).orderBy(F.col("weight").desc(), "name").limit(k)
+def entity_connections(nodes: DataFrame, edges: DataFrame, name: str, k: int = 20) -> DataFrame:
+    """Rows (name, type, weight): the other ends of the RELATES_TO edges of all entities of a name, in either direction, heaviest first.
+
+    ``nodes`` as of ``build_nodes``. The few entities of the name pick their edges; only those edges meet the nodes again.
+    """
+    entities = nodes.where(F.col("label") == "Entity").select("id", F.col("props")["name"].alias("name"), F.col("props")["type"].alias("type"))
+    named = entities.where(F.col("name") == name).select("id")
+    related = edges.where(F.col("type") == "RELATES_TO").select("src", "dst", "weight")
+    out = related.join(named, related["src"] == named["id"], "left_semi").select(F.col("dst").alias("id"), "weight")
+    back = related.where("src <> dst").join(named, related["dst"] == named["id"], "left_semi").select(F.col("src").alias("id"), "weight")
+    return out.unionByName(back).join(entities, "id").select("name", "type", "weight", "id").orderBy(F.col("weight").desc(), "name", "id").limit(k).drop("id")
+
+
+def mention_pairs(mentions: DataFrame, article: str = "article", pos: str = "pos", key: str = "entity_key", cap: int | None = None) -> DataFrame:
+    """Directed pairs (article, src, dst) of the mentions of each article in list order; ``cap``: only of its first ones (the analysed system: five).
+
+    Mentions are rows and meet in a join by article, so the pairs of a long list are never one array in one row.
+    """
+    rank = F.row_number().over(Window.partitionBy(article).orderBy(pos, key))
+    ranked = mentions.select(F.col(article).alias("article"), F.col(key).alias("_key"), rank.alias("_rank"))
+    ranked = ranked if cap is None else ranked.where(F.col("_rank") <= cap)
+    later = ranked.select(F.col("article"), F.col("_key").alias("dst"), F.col("_rank").alias("_after"))
+    return ranked.join(later, "article").where("_rank < _after").select("article", F.col("_key").alias("src"), "dst")
+
+
+def relates_to(articles: DataFrame, cap: int | None = None) -> DataFrame:
+    """RELATES_TO edges with weights from the articles' own ``entities``, as ``build_nodes`` keys them."""
+    mentions = articles.select(F.struct("content_hash", "url").alias("article"), F.posexplode("entities").alias("pos", "e"))
+    keyed = mentions.select("article", "pos", entity_key(F.col("e.type"), F.col("e.name")).alias("entity_key"))
+    return co_occurrence(mention_pairs(keyed, cap=cap), "RELATES_TO")
 
 
 def latest_subgraph(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:

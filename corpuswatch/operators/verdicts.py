@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.text import exact_mean, fixed_point, rounded
-from corpuswatch.operators.clusters import cluster_events, shared_entities
+from corpuswatch.operators.clusters import cluster_events, event_time, shared_entities
 
 # Verdict texts.
 NO_EVENTS = "INSUFFICIENT EVIDENCE: no events in cluster."
@@ -112,7 +112,7 @@ def default_verdicts(clusters: DataFrame, as_of: Column) -> DataFrame:
 
 
 def cluster_context(clusters: DataFrame, events: DataFrame, shown: int = 10, signals: int = 5) -> DataFrame:
-    """The text blocks that describe a cluster: numbered events, shared entities, regions and mean scores."""
+    """The text blocks that describe a cluster: numbered events, shared entities, regions, mean scores, time span, id, type and relationship."""
     members = cluster_events(clusters, events)
     line = F.concat(
         F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("] Title: "), "title",
@@ -133,7 +133,15 @@ def cluster_context(clusters: DataFrame, events: DataFrame, shown: int = 10, sig
         rounded(exact_mean(F.col("credibility_score")), 3).alias("avg_credibility_score"),
         F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set("region")), ", "), F.lit("")), F.lit("unknown")).alias("regions_text"),
         F.min_by("subcategory_label", "pos").alias("subcategory"),
+        ((F.unix_seconds(F.max(event_time())) - F.unix_seconds(F.min(event_time()))) / 3600).alias("_hours"),
     )
+    kind = clusters.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
+        F.min("cluster_type").alias("cluster_type"), F.coalesce(F.min("relationship"), F.lit("unknown")).alias("relationship"), F.max("confidence").alias("_confidence"))
+    blocks = blocks.join(kind, "cluster_id").withColumns({
+        "header": F.concat(F.lit("Cluster ID: "), "cluster_id", F.lit("\nCluster type: "), "cluster_type", F.lit("\nRelationship: "), "relationship"),
+        "temporal_block": F.concat(F.lit("Events span: "), F.round("_hours", 2).cast("string"), F.lit(" hours")),
+        "graph_block": F.concat(F.lit("Relationship type detected: "), "relationship", F.lit(" (confidence: "), F.col("_confidence").cast("string"), F.lit(")")),
+    }).drop("_hours", "_confidence", "cluster_type", "relationship")
     entity_line = F.concat(F.lit("  - "), "entity", F.lit(" (appears in "), F.col("event_count").cast("string"), F.lit(" events)"))
     entities = shared_entities(members).groupBy("cluster_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entity_line.alias("line")))), lambda x: x["line"]), "\n").alias("entity_block")

@@ -657,13 +657,19 @@ ORACLES["cluster_context"] = with_(CL, recursive=True) + rf"""
     '    Credibility: ' || credibility_score::DOUBLE || ' | Anomaly: ' || anomaly_score || chr(10) || '    Subcategory: ' || subcategory_label || chr(10) ||
     '    Matched signals: ' || subcategory || chr(10) || '    Snippet: ' || substr(props, 1, 200) || chr(10), chr(10) ORDER BY pos) FILTER (pos < 10) AS block,
   count(*) AS n_events, {rnd(mean('anomaly_score'), 3)} AS avg_anomaly_score, {rnd(mean('credibility_score'), 3)} AS avg_credibility_score,
-  coalesce(string_agg(DISTINCT region, ', ' ORDER BY region), 'unknown') AS regions_text, arg_min(subcategory_label, pos) AS subcategory FROM ce GROUP BY cluster_id),
+  coalesce(string_agg(DISTINCT region, ', ' ORDER BY region), 'unknown') AS regions_text, arg_min(subcategory_label, pos) AS subcategory,
+  round((epoch(date_trunc('second', max(published_at))) - epoch(date_trunc('second', min(published_at)))) / 3600.0, 2)::DOUBLE AS hours FROM ce GROUP BY cluster_id),
 n AS (SELECT cluster_id, entity, count(*) AS c, min(pos) AS seen FROM ce GROUP BY cluster_id, entity HAVING count(*) > 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY seen, entity) AS rank FROM n),
 e AS (SELECT cluster_id, string_agg('  - ' || entity || ' (appears in ' || c || ' events)', chr(10) ORDER BY rank) AS eb FROM k WHERE rank <= 10 GROUP BY cluster_id)
-SELECT cluster_id, md5(block) AS events_md5, coalesce(eb, {text(J.NO_SHARED)}) AS entity_block, n_events, avg_anomaly_score, avg_credibility_score, regions_text, subcategory
-FROM b LEFT JOIN e USING (cluster_id)"""
+SELECT cluster_id, md5(block) AS events_md5, coalesce(eb, {text(J.NO_SHARED)}) AS entity_block, n_events, avg_anomaly_score, avg_credibility_score, regions_text, subcategory,
+  'Cluster ID: ' || cluster_id || chr(10) || 'Cluster type: ' || cluster_type || chr(10) || 'Relationship: unknown' AS header, 'Events span: ' || hours || ' hours' AS temporal_block,
+  'Relationship type detected: unknown (confidence: ' || confidence || ')' AS graph_block
+FROM b JOIN cl USING (cluster_id) LEFT JOIN e USING (cluster_id)"""
 ORACLES["cluster_graph_nodes"] = with_(CL, recursive=True) + "SELECT cluster_id, cluster_type, 'POSSIBLE_LINK' AS relationship_type, confidence FROM cl"
+ORACLES["cluster_graph_events"] = with_(CL, recursive=True) + f"""
+SELECT DISTINCT article_hash, title, 'event://' || article_hash AS url, subcategory, anomaly_score::DOUBLE AS anomaly_score, credibility_score::DOUBLE AS credibility_score, 0.5::DOUBLE AS source_reliability,
+  {stamp('published_at')} AS published_at FROM ce"""
 ORACLES["cluster_graph_membership"] = with_(CL, recursive=True) + """
 SELECT article_hash AS src, cluster_id AS dst, 'BELONGS_TO_CLUSTER' AS type, confidence FROM pos JOIN cl USING (cluster_id)"""
 ORACLES["cluster_graph_links"] = with_(CL, recursive=True) + """
@@ -679,7 +685,9 @@ ORACLES["entity_pairs_reference"] = with_(BASKET.replace("a.p < b.p)", "a.p < b.
 ORACLES["entity_pairs"] = with_(BASKET) + "SELECT article, src, dst FROM pr"
 ORACLES["co_occurrence"] = with_(BASKET) + "SELECT src, dst, weight FROM co"
 ORACLES["entity_connections"] = with_(BASKET) + """
-SELECT name, weight FROM (SELECT dst AS name, weight FROM co WHERE src = '7' UNION ALL SELECT src, weight FROM co WHERE dst = '7' AND src <> '7') ORDER BY weight DESC, name LIMIT 20"""
+, named AS (SELECT p_partkey::VARCHAR AS k FROM part WHERE p_brand = 'Brand#13')
+SELECT p_brand AS name, p_type AS type, weight FROM (SELECT dst AS k, weight FROM co WHERE src IN (FROM named) UNION ALL SELECT src, weight FROM co WHERE dst IN (FROM named) AND src <> dst)
+JOIN part ON p_partkey::VARCHAR = k ORDER BY weight DESC, p_brand, k LIMIT 20"""
 ORACLES["category_pairs"] = with_(LAB) + """
 , c AS (SELECT doc_id, unnest(categories) AS k, unnest(range(len(categories))) AS p FROM lab)
 SELECT a.k AS src, b.k AS dst, count(*) AS weight FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.p < b.p GROUP BY 1, 2"""
@@ -697,6 +705,9 @@ edge AS MATERIALIZED (
   UNION SELECT content_hash, k, 'MENTIONS', sentiment_label FROM ekey)"""
 ORACLES["graph_nodes"] = with_(GRAPH) + "SELECT id, label, mention_count, article_count, name, type, url, sentiment_label FROM nod"
 ORACLES["graph_edges"] = with_(GRAPH) + "SELECT src, dst, type, sentiment FROM edge"
+ORACLES["related_entities"] = with_(GRAPH) + """
+, mr AS (SELECT content_hash, url, k, row_number() OVER (PARTITION BY content_hash, url ORDER BY p, k) AS n FROM ekey)
+SELECT a.k AS src, b.k AS dst, count(*) AS weight FROM mr a JOIN mr b ON a.content_hash = b.content_hash AND a.url = b.url AND a.n < b.n GROUP BY 1, 2"""
 LATEST = """lat AS MATERIALIZED (SELECT src, dst, edge.type FROM edge JOIN nod ON nod.label = 'Article' AND nod.id = src ORDER BY nod.published_at DESC, src, edge.type, dst LIMIT 100)"""
 ORACLES["latest_subgraph_links"] = with_(GRAPH, LATEST) + "SELECT src, dst, type FROM lat"
 ORACLES["latest_subgraph_nodes"] = with_(GRAPH, LATEST) + "SELECT id, label FROM nod WHERE id IN (SELECT src FROM lat UNION SELECT dst FROM lat)"

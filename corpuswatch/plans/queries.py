@@ -701,7 +701,8 @@ def close_document_pairs(spark, sf):
 
 @query
 def linked_events(spark, sf):
-    return C.link_events(_batched(spark, sf)).select("batch_id", "cluster_id", "cluster_type", "relationship", "size", "confidence", "verdict")
+    """All detectors, the one of similar texts included."""
+    return C.link_events(C.with_event_embedding(_batched(spark, sf))).select("batch_id", "cluster_id", "cluster_type", "relationship", "size", "confidence", "verdict")
 
 
 @query
@@ -731,7 +732,7 @@ def capped_confidence(spark, sf):
 
 @query
 def default_verdicts(spark, sf):
-    none = C.link_events(_batched(spark, sf), min_confidence=1.1)
+    none = C.link_events(_batched(spark, sf), min_confidence=1.1, semantics=False)
     return J.default_verdicts(none, F.lit(None).cast("timestamp")).select("batch_id", "verdict", "classification", "confidence", "reasoning")
 
 
@@ -741,7 +742,7 @@ def cluster_context(spark, sf):
     context = J.cluster_context(_clusters(events), events)
     return context.select(
         "cluster_id", F.md5("events_block").alias("events_md5"), "entity_block", "n_events", "avg_anomaly_score", "avg_credibility_score",
-        "regions_text", "subcategory",
+        "regions_text", "subcategory", "header", "temporal_block", "graph_block",
     )
 
 
@@ -750,6 +751,13 @@ def cluster_graph_nodes(spark, sf):
     return C.cluster_nodes(_clusters(_batched(spark, sf))).select("cluster_id", "cluster_type", "relationship_type", "confidence")
 
 
+@query
+def cluster_graph_events(spark, sf):
+    events = _batched(spark, sf)
+    return C.event_nodes(_clusters(events), events).select(
+        "article_hash", "title", "url", "subcategory", "anomaly_score", "credibility_score", "source_reliability", stamp("published_at").alias("published_at"))
+
+
 @query
 def cluster_graph_membership(spark, sf):
     events = _batched(spark, sf)
@@ -771,15 +779,13 @@ def _basket_edges(spark, sf) -> DataFrame:
 
 @query
 def entity_pairs(spark, sf):
-    lists = H.basket_lists(A.baskets_from_lineitem(spark, sf))
-    return lists.select("article", F.inline(H.list_pairs(F.col("entity_keys"))))
+    return H.mention_pairs(A.baskets_from_lineitem(spark, sf))
 
 
 @query
 def entity_pairs_reference(spark, sf):
     """Pairs of the first five entities of each article."""
-    lists = H.basket_lists(A.baskets_from_lineitem(spark, sf), first=5)
-    return lists.select("article", F.inline(H.list_pairs(F.col("entity_keys"))))
+    return H.mention_pairs(A.baskets_from_lineitem(spark, sf), cap=5)
 
 
 @query
@@ -811,7 +817,16 @@ def co_occurrence(spark, sf):
 
 @query
 def entity_connections(spark, sf):
-    return H.entity_connections(_basket_edges(spark, sf), "7")
+    """What is bought with the part that orders name most often: parts are entities of a name (its brand) and a type."""
+    props = F.create_map(F.lit("name"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
+    nodes = A.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("Entity").alias("label"), props.alias("props"))
+    return H.entity_connections(nodes, _basket_edges(spark, sf), "Brand#13")
+
+
+@query
+def related_entities(spark, sf):
+    """RELATES_TO edges from the tags of the documents."""
+    return H.relates_to(X.stored_tagged_documents(spark, sf)).select("src", "dst", "weight")
 
 
 @query

@@ -70,7 +70,7 @@ def stream_frequency(spark, sf):
 def stream_top_trends(spark, sf):
     path = scratch_path(spark, "top")
     finish(S.refresh_top_trends(A.mentions_of(event_stream(spark, sf)), f"{path}/t", f"{path}/state", every=None))
-    return spark.read.parquet(f"{path}/t/top").select("kind", "name", "velocity")
+    return S.newest_snapshot(spark, f"{path}/t/top").select("kind", "name", "velocity")
 
 
 @query
@@ -78,7 +78,7 @@ def stream_live_feed(spark, sf):
     path = scratch_path(spark, "live")
     articles = X.label(article_stream(spark, sf)).withColumn("entities", F.array(F.lit("x")))
     finish(S.stream_live_feed(articles, f"{path}/feed", f"{path}/state"))
-    return spark.read.parquet(f"{path}/feed").select("content_hash", "url", stamp("published_at").alias("published_at"))
+    return S.newest_snapshot(spark, f"{path}/feed").select("content_hash", "url", stamp("published_at").alias("published_at"))
 
 
 @query

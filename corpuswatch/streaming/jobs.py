@@ -18,6 +18,7 @@ from corpuswatch.operators import clusters as C
 from corpuswatch.operators.dedup import MINHASH_SIMILARITY, dedup_exact, dedup_minhash, with_word_sets, word_set_items
 from corpuswatch.operators.identity import join_rows
 from corpuswatch.operators.tables import live_feed_rows
+from corpuswatch.operators.insights import rule_insights
 from corpuswatch.operators.trends import compute_trends, top_trends
 from corpuswatch.operators.verdicts import rule_verdicts
 from corpuswatch.session import cut_lineage
@@ -34,6 +35,34 @@ def read_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     return None if batch_id == 0 else spark.read.parquet(f"{path}/batch={batch_id - 1}")
 
 
+def snapshot_ids(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that left a whole snapshot, oldest first. Listed by Spark's file system, so any store will do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(folder)]
+    whole = [n for n in names if n.startswith("batch=") and store.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in whole)
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that every batch writes anew, as the last whole batch left it; none before the first."""
+    ids = snapshot_ids(spark, path)
+    return spark.read.parquet(f"{path}/batch={ids[-1]}") if ids else None
+
+
+def write_snapshot(df: DataFrame, path: str, batch_id: int, keep: int = 2) -> None:
+    """Write the snapshot of a batch, then let those before the last ``keep`` go. A batch reads the one before it, so two must stay."""
+    write_batch(df, path, batch_id)
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in [i for i in snapshot_ids(spark, path) if i <= batch_id - max(keep, 2)]:
+        store.delete(hadoop.Path(f"{path}/batch={old}"), True)
+
+
 def fan_out(sinks: dict[str, Sink], failed_path: str) -> Sink:
     """Write a batch to every sink; a sink that fails is noted with its rows and does not stop the others."""
 
@@ -173,29 +202,33 @@ def stream_volume(articles: DataFrame, ts: str = "crawled_at", memory: str = "1
 
 
 def refresh_top_trends(mentions: DataFrame, path: str, checkpoint: str, every: str | None = "2 minutes") -> DataStreamWriter:
-    """Keep the top-trend list fresh: mentions of the last two windows are carried over, the list is rewritten."""
+    """Keep the top-trend list (``top``) and the insights from it (``insights``) fresh; ``newest_snapshot`` reads them.
+
+    Mentions of the last two windows are carried over, the lists are rewritten, and old snapshots go.
+    """
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         before = read_snapshot(spark, f"{path}/mentions", batch_id)
         both = df.select("kind", "name", "ts") if before is None else before.unionByName(df.select("kind", "name", "ts"))
         bound = both.select((F.max("ts") - F.expr("INTERVAL 2 HOURS")).alias("b")).scalar()
-        write_batch(both.where(F.col("ts") >= bound), f"{path}/mentions", batch_id)
-        live = spark.read.parquet(f"{path}/mentions/batch={batch_id}")
-        write_batch(top_trends(compute_trends(live)), f"{path}/top", batch_id)
+        write_snapshot(both.where(F.col("ts") >= bound), f"{path}/mentions", batch_id)
+        trends = compute_trends(spark.read.parquet(f"{path}/mentions/batch={batch_id}"))
+        write_snapshot(top_trends(trends), f"{path}/top", batch_id)
+        write_snapshot(rule_insights(trends), f"{path}/insights", batch_id)
 
     writer = mentions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return writer if every is None else writer.trigger(processingTime=every)
 
 
 def stream_live_feed(articles: DataFrame, path: str, checkpoint: str, n: int = 200) -> DataStreamWriter:
-    """The newest ``n`` live rows after every batch."""
+    """The newest ``n`` live rows after every batch; ``newest_snapshot`` reads them."""
 
     def run(df: DataFrame, batch_id: int) -> None:
         before = read_snapshot(df.sparkSession, path, batch_id)
         rows = live_feed_rows(df)
         both = rows if before is None else before.unionByName(rows)
-        write_batch(both.orderBy(F.col("published_at").desc(), "content_hash", "url").limit(n), path, batch_id)
+        write_snapshot(both.orderBy(F.col("published_at").desc(), "content_hash", "url").limit(n), path, batch_id)
 
     return articles.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
 
@@ -209,9 +242,9 @@ def stream_link_events(events: DataFrame, path: str, checkpoint: str, mode: str
         pending = df if waiting is None else waiting.unionByName(df)
         write_batch(C.assign_batches(pending), f"{path}/batched", batch_id)
         batched = spark.read.parquet(f"{path}/batched/batch={batch_id}")
-        write_batch(batched.where("pending").select(*df.columns), f"{path}/pending", batch_id)
+        write_snapshot(batched.where("pending").select(*df.columns), f"{path}/pending", batch_id)
         ready = batched.where("not pending").drop("pending")
-        write_batch(C.link_events(ready, **thresholds), f"{path}/clusters", batch_id)
+        write_batch(C.link_events(C.with_event_embedding(ready), **thresholds), f"{path}/clusters", batch_id)
         clusters = spark.read.parquet(f"{path}/clusters/batch={batch_id}")
         clock = F.current_timestamp()
         write_batch(rule_verdicts(clusters, ready, clock, mode).drop("mean_credibility"), f"{path}/verdicts", batch_id)

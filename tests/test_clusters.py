@@ -68,9 +68,9 @@ def test_merge_order_and_relationship(spark):
 
 def test_link_events_reports_empty_batches(spark):
     ev = events(spark, [("a", 0, None, []), ("b", 500, None, [])])
-    r = C.link_events(ev).collect()
+    r = C.link_events(ev, semantics=False).collect()
     assert len(r) == 1 and r[0]["verdict"] == C.NO_CONNECTION and r[0]["confidence"] == 0.0
-    d = J.default_verdicts(C.link_events(ev), F.current_timestamp()).first()
+    d = J.default_verdicts(C.link_events(ev, semantics=False), F.current_timestamp()).first()
     assert d["verdict"] == "no strong connection" and d["reasoning"] == J.NO_LINKS
 
 
@@ -164,8 +164,19 @@ def test_many_equal_clusters_merge_fast():
 
 def test_pending_batches_wait(spark):
     ev = events(spark, [("a", 0, "R", ["Bob"]), ("b", 1, "R", ["Bob"])])
-    assert C.link_events(ev.withColumn("pending", F.lit(True))).count() == 0
-    assert C.link_events(ev.withColumn("pending", F.lit(False))).count() > 0
+    assert C.link_events(ev.withColumn("pending", F.lit(True)), semantics=False).count() == 0
+    assert C.link_events(ev.withColumn("pending", F.lit(False)), semantics=False).count() > 0
+
+
+def test_semantics_are_never_skipped_in_silence(spark):
+    import pytest
+
+    ev = events(spark, [("a", 0, "R", ["Bob"]), ("b", 1, "R", ["Eve"]), ("c", 2, "R", ["Ann"])])
+    with pytest.raises(ValueError):
+        C.link_events(ev)
+    texts = ev.withColumn("title", F.lit("the same words of one title")).withColumn("content_snippet", F.lit("and of one snippet"))
+    found = C.link_events(C.with_event_embedding(texts), semantic_link=0.9, min_confidence=0.0)
+    assert found.where("cluster_type like '%semantic%'").count() > 0
 
 
 def test_equal_scores_give_no_more_than_k_rows():

@@ -106,3 +106,36 @@ def test_tables_for_a_recall():
         bits, tables = V.hash_tables(n, 0.82, 0.98)
         same = 1 - np.arccos(0.82) / np.pi
         assert 1 - (1 - same**bits - bits * same ** (bits - 1) * (1 - same)) ** tables >= 0.98
+
+
+def test_snapshots_over_four_micro_batches(spark, tmp_path):
+    """Each batch rewrites the lists: the reader gets the last one alone, old ones go, and a restart goes on from it."""
+    from corpuswatch.operators.insights import rule_insights
+    from corpuswatch.operators.trends import compute_trends, top_trends
+    from corpuswatch.streaming import jobs as S
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rng = random.Random(4)
+    rows = [("cat", rng.choice(["energy", "finance", "technology", "war_conflict"]), START + dt.timedelta(minutes=m // 6)) for m in range(1600)]
+    kind = "kind string, name string, ts timestamp"
+
+    def feed(k):
+        spark.createDataFrame(rows[k * 400 : (k + 1) * 400], kind).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+        S.refresh_top_trends(stream, out, state, every=None).trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(3):
+        feed(k)
+    run()
+    feed(3)
+    run()  # a new query on the same state
+    whole = spark.createDataFrame(rows, kind)
+    recent = whole.where(F.col("ts") >= max(r[2] for r in rows) - dt.timedelta(hours=2))
+    columns = ["kind", "name", "velocity"]
+    want = sorted(tuple(r) for r in top_trends(compute_trends(recent)).select(*columns).collect())
+    assert sorted(tuple(r) for r in S.newest_snapshot(spark, f"{out}/top").select(*columns).collect()) == want and want
+    assert S.snapshot_ids(spark, f"{out}/top") == S.snapshot_ids(spark, f"{out}/mentions") == [2, 3]
+    assert S.newest_snapshot(spark, f"{out}/insights").count() == rule_insights(compute_trends(recent)).count()
+    assert S.newest_snapshot(spark, f"{out}/none") is None

@@ -106,8 +106,9 @@ def test_graph(spark):
     keys = df.select(F.transform("entities", lambda e: H.entity_key(e["type"], e["name"])).alias("entity_keys"))
     pairs = {(r["src"], r["dst"]): r["weight"] for r in H.co_occurrence(H.entity_pairs(keys), "RELATES_TO").collect()}
     assert pairs == {("person:bob", "person:bob"): 1, ("person:bob", "country_city:rome"): 2}
-    near = H.entity_connections(H.co_occurrence(H.entity_pairs(keys), "RELATES_TO"), "country_city:rome").collect()
-    assert [(r["name"], r["weight"]) for r in near] == [("person:bob", 2)]
+    nodes = spark.createDataFrame([("person:bob", "Entity", {"name": "Bob", "type": "person"}), ("country_city:rome", "Entity", {"name": "Rome", "type": "country_city"})], "id string, label string, props map<string,string>")
+    near = H.entity_connections(nodes, H.co_occurrence(H.entity_pairs(keys), "RELATES_TO"), "Rome").collect()
+    assert [tuple(r) for r in near] == [("Bob", "person", 2)]
 
 
 def test_k_hop(spark):
