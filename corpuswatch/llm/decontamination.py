@@ -89,7 +89,7 @@ def _scanned(index, keep: list[str]):
 
 def _parts(benchmark: DataFrame, length: int, max_windows: int) -> list[list[tuple[int, str]]]:
     """The items in parts of at most ``max_windows`` windows (an item of more is a part of its own)."""
-    n = F.greatest(F.length("text") / 2, F.lit(1)).cast("bigint")  # no text has more words than that
+    n = F.greatest((F.length("text") + 1) / 2, F.lit(1)).cast("bigint")  # no text has more words than that
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     total = items.agg(F.sum(n)).first()[0] or 0
     count = -(-total // max_windows)
