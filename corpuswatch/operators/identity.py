@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.text import head, or_empty
+from corpuswatch.session import stored
 
 
 #: Fixed value: characters of the content that the analysed system hashes.
@@ -37,33 +38,17 @@ def join_rows(df: DataFrame, rows: DataFrame, keys: list[str], how: str) -> Data
 
 
 def with_time_rank(df: DataFrame, ts: str, tie: str, keys: list[str] | None = None, out: str = "time_rank") -> DataFrame:
-    """Position (from 1) of each row by time within its key, without sorting a whole key in one task.
+    """Position (from 1) of each row by time (null first), then ``tie``, within its key.
 
-    Rows are counted per minute first; running totals over minutes of a day and over days give every minute
-    its offset, and only the rows of one minute are ranked together.
+    Rows are dealt into ranges of (key, time, tie) of equal size and written once; the counts of the ranges before give every range
+    its offset, and only the rows of one range are ranked together. So neither a key nor one timestamp that holds a third of
+    all rows meets in one task; only rows alike in all three do, and their order among themselves is left open.
     """
     keys = keys or []
-    staged = df.withColumn("_day", F.date_trunc("day", ts)).withColumn("_minute", F.date_trunc("minute", ts))
-    per_minute = staged.groupBy(*keys, "_day", "_minute").agg(F.count(F.lit(1)).alias("_n"))
-    per_day = per_minute.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
-    before = (Window.unboundedPreceding, -1)
-    days = per_day.select(
-        *keys, "_day",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(*before)), F.lit(0)).alias("_d"),
-    )
-    minutes = per_minute.select(
-        *keys, "_day", "_minute",
-        F.coalesce(
-            F.sum("_n").over(Window.partitionBy(*keys, "_day").orderBy("_minute").rowsBetween(*before)), F.lit(0)
-        ).alias("_m"),
-    )
-
-    def on(left, right, names):
-        return [left[n].eqNullSafe(right[n]) for n in names]
-
-    offsets = minutes.join(days, on(minutes, days, [*keys, "_day"])).select(
-        *[minutes[k] for k in keys], minutes["_minute"], (F.col("_m") + F.col("_d")).alias("_offset")
-    )
-    joined = staged.join(offsets, on(staged, offsets, [*keys, "_minute"]))
-    w = Window.partitionBy(*[staged[k] for k in keys], staged["_minute"]).orderBy(staged[ts], staged[tie])
-    return joined.select(*[staged[c] for c in df.columns], (F.col("_offset") + F.row_number().over(w)).alias(out))
+    ranged = stored(df.repartitionByRange(*keys, ts, tie).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(ts, tie))
+    ranked = join_rows(ranged.withColumn("_place", within), offsets, [*keys, "_range"], "inner")
+    return ranked.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(out))

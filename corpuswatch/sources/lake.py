@@ -27,6 +27,44 @@ def write_lake(df: DataFrame, path: str, mode: str = "append") -> None:
         .partitionBy("dt", "source_key")
         .json(path)
     )
+    index_lake(df.sparkSession, path)
+
+
+#: Folder of the lake's index; readers of the lake skip names that start with an underscore.
+INDEX = "_index"
+INDEX_SCHEMA = "file string, low string, high string, rows bigint, dt string, source_key string"
+
+
+def _index_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(INDEX_SCHEMA).parquet(f"{path.rstrip('/')}/{INDEX}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def index_lake(spark: SparkSession, path: str) -> int:
+    """Note the least and greatest hash of every lake file that the index does not know yet; returns how many there were.
+
+    Files are written by ranges of hashes, so those of one folder hardly overlap. Run again after a write that broke off before its
+    index, or over a lake of older files; a file that is in no index is never read by a lookup, so ``read_lake`` falls back to the
+    folder where the index does not know it.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.col("path").alias("file"))
+    known = _index_rows(spark, path)
+    fresh = files if known is None else files.join(known.select("file"), "file", "left_anti")
+    paths = [r["file"] for r in fresh.toLocalIterator()]
+    if paths:
+        # Only the key is parsed; the folder's date and source come from the path.
+        # The file's own column spells its path as in a URI.
+        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        read = spark.read.schema("hash16 string").json(paths).select("hash16", plain.alias("file"))
+        noted = read.groupBy("file").agg(F.min("hash16").alias("low"), F.max("hash16").alias("high"), F.count(F.lit(1)).alias("rows"))
+        folder = [F.regexp_extract("file", f"/{name}=([^/]*)/", 1).alias(name) for name in ("dt", "source_key")]
+        noted.select("*", *folder).repartitionByRange("dt", "source_key", "low").sortWithinPartitions("dt", "source_key", "low").write.mode("append").parquet(
+            f"{path.rstrip('/')}/{INDEX}")
+    return len(paths)
 
 
 # Characters that partition folders spell as %XX.
@@ -37,17 +75,30 @@ def _folder_name(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
 
 
+def lake_files(spark: SparkSession, path: str, dt: str, source: str, content_hash: str) -> list[str] | None:
+    """Files of one date and source whose hashes may include this one; None where the index does not know the folder."""
+    known = _index_rows(spark, path)
+    if known is None:
+        return None
+    here = known.where((F.col("dt") == dt) & (F.col("source_key") == _folder_name(source.replace("/", "_"))))
+    near = F.lit(content_hash[:16]).between(F.col("low"), F.col("high"))
+    rows = here.select("file", near.alias("near")).collect()
+    return [r["file"] for r in rows if r["near"]] if rows else None
+
+
 def read_lake(spark: SparkSession, path: str, dt: str, source: str, content_hash: str) -> DataFrame:
-    """Articles of one date, source and hash prefix; only that partition is listed and read."""
+    """Articles of one date, source and hash prefix. The index names the files to open; without it the folder is read."""
     fields = [f for f in ENRICHED_ARTICLE.fields if f.name != "embedding"]
     schema = T.StructType([*fields, T.StructField("hash16", T.StringType())])
+    files = lake_files(spark, path, dt, source, content_hash)
     folder = f"{path.rstrip('/')}/dt={dt}/source_key={_folder_name(source.replace('/', '_'))}"
     try:
-        return spark.read.schema(schema).json(folder).where(F.col("hash16") == content_hash[:16]).drop("hash16")
+        if files != []:
+            return spark.read.schema(schema).json(files or folder).where(F.col("hash16") == content_hash[:16]).drop("hash16")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], T.StructType(fields))
+    return spark.createDataFrame([], T.StructType(fields))
 
 
 def to_topic_rows(df: DataFrame, key: str | None = "content_hash") -> DataFrame:

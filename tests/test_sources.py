@@ -236,3 +236,16 @@ def test_whole_stories_and_posts(spark):
     got = payloads.articles_from_search_posts(df, "https://p/", title_chars=None, content_chars=None).collect()
     assert {r["content"] for r in got} == {long + "a", long + "b"} and {r["title"] for r in got} == {"t" * 400}
     assert len({r["content_hash"] for r in got}) == 2
+
+
+def test_lake_lookup_opens_one_file(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    rows = [(f"{i:03d}{'x' * 30}", "a", dt.datetime(2024, 1, 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "content_hash string, source string, published_at timestamp").withColumn("crawled_at", F.col("published_at"))
+    for part in range(3):
+        lake.write_lake(df.where(F.substring("content_hash", 1, 1) == str(part)), path)
+    assert spark.read.parquet(f"{path}/{lake.INDEX}").count() == len(list(tmp_path.glob("lake/dt=*/*/*.json"))) == 3
+    files = lake.lake_files(spark, path, "2024-01-02", "a", rows[150][0])
+    assert len(files) == 1 and lake.read_lake(spark, path, "2024-01-02", "a", rows[150][0]).count() == 1
+    assert lake.lake_files(spark, path, "2024-01-02", "a", "9" * 33) == [] and lake.read_lake(spark, path, "2024-01-02", "a", "9" * 33).count() == 0
+    assert lake.index_lake(spark, path) == 0

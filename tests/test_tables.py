@@ -140,3 +140,11 @@ def test_session_helpers(spark):
     assert spread(df.coalesce(1)).rdd.getNumPartitions() == 8
     assert "ResolvedHint (strategy=broadcast)" in broadcast_if_small(df)._jdf.queryExecution().toString()
     assert "merge" in broadcast_if_small(df, 5)._jdf.queryExecution().toString().lower()
+
+
+def test_time_rank_of_one_timestamp_is_split(spark):
+    """All rows at one time, and some without any: positions are those of a plain sort, and no range holds most of them."""
+    df = spark.range(4000).select(F.format_string("u%05d", "id").alias("id"), F.when(F.col("id") % 10 > 0, F.lit("2024-01-01").cast("timestamp")).alias("ts"))
+    got = [r["id"] for r in with_time_rank(df.repartition(8), "ts", "id").orderBy("time_rank").collect()]
+    want = sorted(((i % 10 > 0, f"u{i:05d}") for i in range(4000)))
+    assert got == [name for _, name in want]
