@@ -4,9 +4,10 @@ Size rules that hold for every function here:
 
 * equal fingerprints collapse to one representative before anything is compared, so a group of copies costs
   one row, however large it is;
-* a bucket of candidates is compared pair by pair only while it is small (``hot_limit``); the members of a
-  larger bucket are compared with the first undecided member, round after round, which needs one row per
-  member and never lists the pairs of the bucket. Both ways give the same, exact keep-first result.
+* a bucket of candidates is compared pair by pair only while it is small (``hot_limit``); the members of larger
+  buckets get finer keys that every matching pair still shares (more blocks of a fingerprint, the rarest words of a
+  set). What stays large under these is compared with the first undecided member, round after round, which needs one row
+  per member and never lists the pairs of the bucket. All ways give the same, exact keep-first result.
 """
 
 from __future__ import annotations
@@ -151,38 +152,84 @@ class Candidates:
     hot: DataFrame  # bucket, id, ord, payload
 
 
-def bucket_members(items: DataFrame, buckets: Column) -> DataFrame:
-    """One row per item and bucket, without the buckets that hold a single item and without payloads."""
-    members = cut_lineage(items.select(F.explode(F.array_distinct(buckets)).alias("bucket"), "id", "ord"))
+def sized_buckets(members: DataFrame) -> DataFrame:
+    """Rows (bucket, id, ord) with the size ``n`` of their bucket, without the buckets that hold a single item."""
+    members = cut_lineage(members)
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return cut_lineage(members.join(sizes, "bucket"))
 
 
-def split_candidates(members: DataFrame, items: DataFrame, match: Callable[[Column, Column], Column], hot_limit: int | None) -> Candidates:
-    """Verified pairs of buckets up to ``hot_limit`` (``None``: of all buckets), and the members of the others.
+def bucket_members(items: DataFrame, buckets: Column) -> DataFrame:
+    """One row per item and bucket, without the buckets that hold a single item and without payloads."""
+    return sized_buckets(items.select(F.explode(F.array_distinct(buckets)).alias("bucket"), "id", "ord"))
+
+
+#: Blocks of the finer keys of fingerprints, beyond the distance: keys of about 32 bits at a distance of 5.
+FINER_BLOCKS = 5
 
-    Pairs meet by id; each distinct pair gets its two payloads once, however many buckets it shares.
+
+def finer_blocks(items: DataFrame, max_distance: int) -> DataFrame:
+    """Rows (bucket, id, ord) of fingerprints under keys of more bits; a pair within the distance shares at least one."""
+    keys = simhash_blocks(F.col("payload"), max_distance + FINER_BLOCKS, max_distance)
+    return items.select(F.explode(F.array_distinct(keys)).alias("bucket"), "id", "ord")
+
+
+def rarest_words(items: DataFrame, min_sim: float) -> DataFrame:
+    """Rows (bucket, id, ord) of word sets under their rarest words; a pair that reaches ``min_sim`` shares at least one.
+
+    Two sets of which neither has more than ``|x| - ceil(min_sim * |x|)`` words of its own meet among the first so many and one more
+    words of each, in any order common to both; here rare words come first. A key also holds the band of the set's size: linked sets
+    are in the same or in neighbouring bands.
+    """
+    words_of = items.select("id", F.size("payload").alias("_size"), F.explode("payload").alias("_word"))
+    counts = words_of.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("id").orderBy("_n", "_word")
+    # A little below the product, so that rounding never shortens the start.
+    least = F.ceil(F.col("_size") * F.lit(min_sim) - F.lit(1e-6))
+    first = words_of.join(counts, "_word").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= F.col("_size") - least + 1)
+    band = F.floor(F.log(F.col("_size").cast("double")) / F.lit(-math.log(min_sim) + 1e-9))
+    keyed = first.select("id", "_word", F.explode(F.array(band, band + 1)).alias("_band"))
+    return keyed.join(items.select("id", "ord"), "id").select(F.xxhash64("_word", "_band").alias("bucket"), "id", "ord")
+
+
+def split_candidates(
+    members: DataFrame, items: DataFrame, match: Callable[[Column, Column], Column], hot_limit: int,
+    finer: Callable[[DataFrame], DataFrame] | None = None, named: bool = False,
+) -> Candidates:
+    """Verified pairs of buckets up to ``hot_limit``, and the members of buckets that stay larger under finer keys.
+
+    ``finer`` gives items new buckets (rows bucket, id, ord) that every matching pair shares. With ``named`` the id is the payload itself and
+    pairs are checked where they meet; else they meet by id, and each distinct pair gets its two payloads once, however many buckets it shares.
     """
-    small = members if hot_limit is None else members.where(F.col("n") <= hot_limit)
+    small, hot = members.where(F.col("n") <= hot_limit), members.where(F.col("n") > hot_limit)
+    if finer is not None and not hot.isEmpty():
+        again = sized_buckets(finer(items.join(hot.select("id").distinct(), "id", "left_semi")))
+        small, hot = small.unionByName(again.where(F.col("n") <= hot_limit)), again.where(F.col("n") > hot_limit)
     a, b = small.alias("a"), small.alias("b")
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.ord") < F.col("b.ord")))
-    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    for side in "ab":
-        met = met.join(items.select(F.col("id").alias(side), F.col("payload").alias(f"_{side}")), side)
-    pairs = met.where(match(F.col("_a"), F.col("_b"))).select("a", "b")
-    hot = members.where(F.lit(False) if hot_limit is None else F.col("n") > hot_limit).drop("n")
-    return Candidates(cut_lineage(pairs), cut_lineage(hot.join(items.select("id", "payload"), "id")))
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.ord") < F.col("b.ord"))
+    if named:
+        on = on & match(F.col("a.id"), F.col("b.id"))
+    pairs = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    if not named:
+        for side in "ab":
+            pairs = pairs.join(items.select(F.col("id").alias(side), F.col("payload").alias(f"_{side}")), side)
+        pairs = pairs.where(match(F.col("_a"), F.col("_b"))).select("a", "b")
+    return Candidates(cut_lineage(pairs), cut_lineage(hot.drop("n").join(items.select("id", "payload"), "id")))
 
 
 def keep_first(found: Candidates, match: Callable[[Column, Column], Column], mode: str = "greedy"):
     """Ids (column ``id``) to drop: items that match an earlier item that is itself kept.
 
     ``mode="any_earlier"`` drops every item with an earlier match, kept or not; the two differ on chains
-    A~B~C. It needs the pairs of all buckets (``split_candidates`` with ``hot_limit=None``). Greedy works in rounds: an item that is nobody's later match and leads all its large buckets is
-    kept, and its matches go. The earliest open item is always decided, so the rounds end.
+    A~B~C; in large buckets its pairs are checked where they meet, and only matches are written. Greedy works in rounds: an item that
+    is nobody's later match and leads all its large buckets is kept, and its matches go. The earliest open item is always decided, so the
+    rounds end.
     """
     if mode == "any_earlier":
-        return found.pairs.select(F.col("b").alias("id")).distinct()
+        a, b = found.hot.alias("a"), found.hot.alias("b")
+        on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.ord") < F.col("b.ord")) & match(F.col("a.payload"), F.col("b.payload"))
+        late = found.pairs.select(F.col("b").alias("id")).unionByName(b.join(a, on, "left_semi").select("id"))
+        return late.distinct()
     pairs, hot, dropped = found.pairs, found.hot, None
     has_hot = not hot.isEmpty()
     while has_hot or not pairs.isEmpty():
@@ -300,7 +347,7 @@ def _simhash_layer(narrow, max_distance, mode, blocks, hot_limit, keep, ttl_seco
     items = cut_lineage(simhash_items(narrow, ts, tie))
     n_blocks = blocks or blocks_for(items.count(), max_distance)
     members = bucket_members(items, simhash_blocks(F.col("payload"), n_blocks, max_distance))
-    found = split_candidates(members, items, match, hot_limit if keep == "greedy" else None)
+    found = split_candidates(members, items, match, hot_limit, lambda rows: finer_blocks(rows, max_distance), named=True)
     return _survivors(narrow, "simhash", keep_first(found, match, keep), ts, tie)
 
 
@@ -311,7 +358,7 @@ def _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie) -> DataFra
     items = cut_lineage(word_set_items(narrow, ts, tie))
     members = bucket_members(items, F.col("_bands"))
     if verify:
-        dropped = keep_first(split_candidates(members, items, match, hot_limit if keep == "greedy" else None), match, keep)
+        dropped = keep_first(split_candidates(members, items, match, hot_limit, lambda rows: rarest_words(rows, min_sim)), match, keep)
     else:
         dropped = keep_first_by_bucket(members)
     return _survivors(narrow, "_set", dropped, ts, tie)

@@ -186,3 +186,57 @@ def test_undated_rows_are_kept(spark):
     df = articles(spark, [("a", "x y z", 0), ("b", "other words here", 1)]).withColumn("crawled_at", F.expr("if(url = 'u0001', null, crawled_at)"))
     assert urls(D.dedup_minhash(df)) == urls(D.dedup_simhash(df)) == ["u0000", "u0001"]
     assert D.dedup_articles(df).where("dropped_by is null").count() == 2
+
+
+def test_many_different_members_of_one_bucket_leave_no_hot_bucket(spark):
+    """Fingerprints with 20 bits in common, and sets with common words: finer keys split them, and the result stays that of brute force."""
+    rng = random.Random(5)
+    values = [(rng.getrandbits(43) << 20) | 0x5A5A5 for _ in range(600)]
+    values += [v ^ 1 << rng.randrange(20, 63) for v in values[:60]]
+    items = spark.createDataFrame([(v, i, v) for i, v in enumerate(values)], "id long, ord int, payload long")
+    close = lambda a, b: hamming(a, b) <= 5
+    members = D.bucket_members(items, D.simhash_blocks(F.col("payload"), 7, 5))
+    assert members.where("n > 100").count() > 0
+    found = D.split_candidates(members, items, close, 100, lambda rows: D.finer_blocks(rows, 5), named=True)
+    assert found.hot.count() == 0
+    kept = greedy(values, lambda a, b: (a ^ b).bit_count() <= 5)
+    dropped = {r["id"] for r in D.keep_first(found, close).collect()}
+    assert set(values) - dropped == {values[i] for i in kept}
+
+    sets = [sorted({*range(10), *rng.sample(range(100, 5000), 30)}) for _ in range(300)]
+    sets += [sorted({*s[:-1], 9000 + i}) for i, s in enumerate(sets[:40])]
+    sets.append([])
+    items = spark.createDataFrame([(str(i), i, s) for i, s in enumerate(sets)], "id string, ord int, payload array<long>")
+    similar = lambda a, b: jaccard(a, b) >= 0.85
+    members = D.bucket_members(items, F.array(F.lit(1).cast("long")))
+    found = D.split_candidates(members, items, similar, 100, lambda rows: D.rarest_words(rows, 0.85))
+    assert found.hot.count() == 0
+    kept = greedy([frozenset(s) for s in sets], lambda a, b: len(a & b) >= 0.85 * len(a | b))
+    dropped = {int(r["id"]) for r in D.keep_first(found, similar).collect()}
+    assert set(range(len(sets))) - dropped == set(kept)
+
+
+def test_rarest_words_keep_every_similar_pair(spark):
+    rng = random.Random(8)
+    sets = []
+    for n in (1, 2, 6, 7, 13, 20, 40, 100):
+        base = rng.sample(range(3000), n)
+        for _ in range(6):
+            cut = rng.sample(base, n - rng.randint(0, n * 15 // 100))
+            sets.append(sorted({*cut, *rng.sample(range(3000), rng.randint(0, n * 15 // 100))}))
+    items = spark.createDataFrame([(str(i), i, s) for i, s in enumerate(sets)], "id string, ord int, payload array<long>")
+    rows = D.rarest_words(items, 0.85)
+    met = rows.alias("a").join(rows.alias("b"), "bucket").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = {(r["a"], r["b"]) for r in met.collect()}
+    want = {(str(i), str(j)) for i, x in enumerate(sets) for j, y in enumerate(sets) if len({*x} & {*y}) / len({*x, *y}) >= 0.85}
+    assert len(want) > len(sets) and want <= pairs
+
+
+@pytest.mark.parametrize("hot_limit", [1000, 1])
+def test_any_earlier_equals_brute_force_in_large_buckets(spark, hot_limit):
+    values = near_fingerprints(120)
+    rows = [(f"u{i:04d}", v, T0 + dt.timedelta(minutes=i)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "url string, simhash long, crawled_at timestamp")
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 5
+    want = [f"u{i:04d}" for i, v in enumerate(values) if not any(near(v, w) for w in values[:i])]
+    assert urls(D.dedup_simhash(df, keep="any_earlier", hot_limit=hot_limit)) == want
