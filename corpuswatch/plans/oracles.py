@@ -729,6 +729,14 @@ def neighbours(k: int) -> str:
 
 
 ORACLES["nearest_neighbours"] = with_(neighbours(10)) + "SELECT query_id, rank, id, round(score, 5) AS score FROM nn"
+ORACLES["nearest_neighbours_by_label_cell"] = """
+WITH mean AS (SELECT label, p, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY label, p),
+center AS (SELECT label AS cell, list(m ORDER BY p) AS c FROM mean GROUP BY label),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(c, c) - 2 * list_dot_product(embedding::DOUBLE[], c), cell) AS place FROM embeddings, center),
+hit AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+  FROM near q JOIN near v ON q.cell = v.cell AND q.place <= 2 AND v.place = 1 JOIN embeddings a ON a.vec_id = q.vec_id JOIN embeddings b ON b.vec_id = v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank, id, round(score, 5) AS score FROM hit QUALIFY rank <= 10"""
 ORACLES["retrieval"] = with_(neighbours(5)) + """
 SELECT query_id, string_agg('[' || rank || '] Title: ' || label || chr(10) || '    Categories: ' || label || chr(10) || '    Sentiment: neutral' || chr(10) || '    URL: vec://' || id, chr(10) || chr(10) ORDER BY rank) AS context,
   count(*) AS context_count, 'LLM unavailable. Found ' || count(*) || ' relevant articles: ' || string_agg(label::VARCHAR, ', ' ORDER BY rank) FILTER (rank <= 3) || '...' AS answer

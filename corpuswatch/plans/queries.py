@@ -876,9 +876,20 @@ def nearest_neighbours(spark, sf):
 
 @query
 def nearest_neighbours_by_cell(spark, sf):
+    """As many probes as find 95 % of the exact neighbours of a sample."""
     v = A.vectors(spark, sf)
     model = V.train_cells(v, 20)
-    return V.knn_by_cell(v, V.with_cell(v, model), model, 10, 2).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
+    celled = V.with_cell(v, model)
+    return V.knn_by_cell(v, celled, model, 10, V.probes_for(v, celled, model)).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
+
+
+@query
+def nearest_neighbours_by_label_cell(spark, sf):
+    """Cells around the mean vector of each label; a query looks into its two nearest ones."""
+    v = A.vectors(spark, sf)
+    centers = V.label_centers(A.table(spark, sf, "embeddings"))
+    celled = v.withColumn("cell", F.get(V.cell_of(F.col("embedding"), centers), 0))
+    return V.knn_by_cell(v, celled, centers, 10, 2).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 
 @query

@@ -148,3 +148,29 @@ def test_time_rank_of_one_timestamp_is_split(spark):
     got = [r["id"] for r in with_time_rank(df.repartition(8), "ts", "id").orderBy("time_rank").collect()]
     want = sorted(((i % 10 > 0, f"u{i:05d}") for i in range(4000)))
     assert got == [name for _, name in want]
+
+
+def test_probes_reach_the_recall_asked_for(spark):
+    _, df = unit_rows(spark, 400, seed=4)
+    model = V.train_cells(df, 12)
+    celled = V.with_cell(df, model)
+    n = V.probes_for(df, celled, model, 5, 0.9)
+    exact = {(r["query_id"], r["id"]) for r in V.knn(df, df, 5).collect()}
+    near = {(r["query_id"], r["id"]) for r in V.knn_by_cell(df, celled, model, 5, n).collect()}
+    fewer = {(r["query_id"], r["id"]) for r in V.knn_by_cell(df, celled, model, 5, n - 1).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) > len(exact & fewer)
+
+
+def test_exact_search_with_copies_lengths_and_nulls(spark, monkeypatch):
+    """Vectors of other lengths than one, a third of them copies, ids as text, nulls left out: the same rows as with one matrix."""
+    rng = np.random.default_rng(6)
+    rows = [(f"v{i:03d}", [float(x) for x in (np.ones(8) if i % 3 == 0 else rng.normal(size=8) * (1 + i % 5))]) for i in range(240)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), ("none", None)], "id string, embedding array<double>")
+    one = sorted(map(tuple, V.knn(df, df, 4).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "QUERY_SLICE", 5)
+    assert sorted(map(tuple, V.knn(df, df, 4).select("query_id", "rank", "id").collect())) == one
+    celled = df.where("id is not null and embedding is not null").withColumn("cell", F.lit(0))
+    parted = V._ranked(V.visited(celled, celled.select(F.col("id").alias("query_id"), "embedding", "cell"), 4, block=30), 4)
+    assert sorted(map(tuple, parted.select("query_id", "rank", "id").collect())) == one
+    assert V.knn(df, df.limit(0), 4).count() == 0
