@@ -769,6 +769,7 @@ ORACLES["stream_dedup_exact"] = with_(ART) + "SELECT DISTINCT content_hash FROM
 ORACLES["stream_dedup_near"] = with_(
     ART, f"l1 AS ({EXACT})", *minhash_layer("l1", None, True), recursive=True
 ) + "SELECT url FROM l1 JOIN kept USING (doc_id)"
+ORACLES["stream_dedup_layers"] = f"SELECT url FROM ({layers(False)}) WHERE dropped_by IS NULL"
 ORACLES["stream_trends"] = ORACLES["trend_series"]
 ORACLES["stream_top_trends"] = ORACLES["top_trends"]
 ORACLES["stream_frequency"] = with_(INC) + f"""

@@ -53,6 +53,22 @@ def stream_dedup_near(spark, sf):
     return spark.read.parquet(f"{path}/tables/kept").select("url")
 
 
+@query
+def stream_dedup_layers(spark, sf):
+    """All layers over articles that arrive in two parts by time, the stream restarted for the second; nothing is forgotten within the table's span."""
+    path = scratch_path(spark, "layers")
+    docs = A.articles_from_documents(spark, sf)
+    at = F.unix_micros("crawled_at").cast("double")
+    bounds = docs.select(at.alias("at")).approxQuantile("at", [0.5], 0.01)
+    part = sum((F.coalesce((at > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
+    never = {f"{name}_ttl_seconds": None for name in ("exact", "simhash", "minhash")}
+    for i in range(len(bounds) + 1):
+        docs.where(part == i).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(docs.schema).parquet(f"{path}/in")
+        finish(S.stream_dedup_layers(arriving, f"{path}/tables", f"{path}/state", **never))
+    return spark.read.parquet(f"{path}/tables/kept").select("url")
+
+
 @query
 def stream_trends(spark, sf):
     path = scratch_path(spark, "trends")

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from corpuswatch.functions.fingerprints import jaccard
+from corpuswatch.functions.fingerprints import hamming, jaccard
 from corpuswatch.operators import clusters as C
+from corpuswatch.operators import dedup as D
 from corpuswatch.operators.dedup import MINHASH_SIMILARITY, dedup_exact, dedup_minhash, with_word_sets, word_set_items
 from corpuswatch.operators.identity import join_rows
 from corpuswatch.operators.tables import live_feed_rows
@@ -22,47 +23,12 @@ from corpuswatch.operators.insights import rule_insights
 from corpuswatch.operators.trends import compute_trends, top_trends
 from corpuswatch.operators.verdicts import rule_verdicts
 from corpuswatch.session import cut_lineage
+from corpuswatch.streaming.memory import Memory
+from corpuswatch.streaming.snapshots import newest_snapshot, read_snapshot, snapshot_ids, write_batch, write_snapshot  # noqa: F401
 
 Sink = Callable[[DataFrame, int], None]
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
-def read_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The table as the batch before left it; none before the first batch."""
-    return None if batch_id == 0 else spark.read.parquet(f"{path}/batch={batch_id - 1}")
-
-
-def snapshot_ids(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches that left a whole snapshot, oldest first. Listed by Spark's file system, so any store will do."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    names = [entry.getPath().getName() for entry in store.listStatus(folder)]
-    whole = [n for n in names if n.startswith("batch=") and store.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n.partition("=")[2]) for n in whole)
-
-
-def newest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table that every batch writes anew, as the last whole batch left it; none before the first."""
-    ids = snapshot_ids(spark, path)
-    return spark.read.parquet(f"{path}/batch={ids[-1]}") if ids else None
-
-
-def write_snapshot(df: DataFrame, path: str, batch_id: int, keep: int = 2) -> None:
-    """Write the snapshot of a batch, then let those before the last ``keep`` go. A batch reads the one before it, so two must stay."""
-    write_batch(df, path, batch_id)
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for old in [i for i in snapshot_ids(spark, path) if i <= batch_id - max(keep, 2)]:
-        store.delete(hadoop.Path(f"{path}/batch={old}"), True)
-
-
 def fan_out(sinks: dict[str, Sink], failed_path: str) -> Sink:
     """Write a batch to every sink; a sink that fails is noted with its rows and does not stop the others."""
 
@@ -147,6 +113,85 @@ def stream_dedup_near(stream: DataFrame, path: str, checkpoint: str, verify: boo
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(near_dedup_batch(path, verify))
 
 
+def _unmet(rows: DataFrame, known: DataFrame, key: str, ts: str) -> DataFrame:
+    """Rows whose ``key`` is not known (columns ``key``, ``until``) at their time. A key has one row: what is known longest decides."""
+    longest = known.groupBy(key).agg(F.max(F.coalesce("until", F.lit("9999-12-31").cast("timestamp"))).alias("_until"))
+    met = rows.join(longest, key, "left")
+    return met.where(F.col("_until").isNull() | (F.col(ts) >= F.col("_until"))).drop("_until").select(*rows.columns)
+
+
+def layered_dedup_batch(
+    path: str, mode: str = "intended", ts: str = "crawled_at", tie: str = "url", exact_ttl_seconds: int | None = D.EXACT_TTL_SECONDS,
+    simhash_ttl_seconds: int | None = D.SIMHASH_TTL_SECONDS, minhash_ttl_seconds: int | None = D.EXACT_TTL_SECONDS, compact_every: int = 16,
+    hot_limit: int = 1000,
+) -> Sink:
+    """Micro-batch step of ``dedup_articles``: exact hashes, then SimHash, then MinHash, each against its own memory and within the batch.
+
+    Kept articles go to ``path/kept``. A layer remembers the rows that passed it, for its time to live (``None``: for ever), so the state
+    covers that span. Over batches in time order, with memories longer than the stream, the kept rows are those of ``dedup_articles``.
+    Rows alike in hash, time and ``tie`` are one row. A row without a hash or time stays out where the exact layer has a time to live,
+    as in ``dedup_exact``.
+    """
+    spans = {"exact": exact_ttl_seconds, "simhash": simhash_ttl_seconds, "minhash": minhash_ttl_seconds}
+    memory = {name: Memory(f"{path}/{name}", span, ts, compact_every) for name, span in spans.items()}
+    key = ["content_hash", ts, tie]
+    simhash_chars, minhash_chars = (D.REFERENCE_SIMHASH_CHARS, D.REFERENCE_MINHASH_CHARS) if mode == "reference" else (None, None)
+
+    def known_fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Fingerprints of the batch that a remembered one is close to, with its time."""
+        known = cut_lineage(known.groupBy("simhash").agg(F.max("until").alias("until")))
+        if mode == "reference":
+            return known
+        mine = cut_lineage(rows.select("simhash").distinct())
+        n_blocks = D.blocks_for(known.count() + mine.count(), D.SIMHASH_DISTANCE)
+
+        def keyed(df: DataFrame, name: str) -> DataFrame:
+            blocks = D.simhash_blocks(F.col("simhash"), n_blocks, D.SIMHASH_DISTANCE)
+            return df.select(F.explode(F.array_distinct(blocks)).alias("bucket"), F.col("simhash").alias(name), *[c for c in df.columns if c == "until"])
+
+        a, b = keyed(mine, "_mine"), keyed(known, "_known")
+        close = a.join(b, (a["bucket"] == b["bucket"]) & (hamming(F.col("_mine"), F.col("_known")) <= D.SIMHASH_DISTANCE))
+        return close.select(F.col("_mine").alias("simhash"), "until")
+
+    def known_sets(rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Word sets of the batch that share a band with a remembered one and, as intended, reach the similarity."""
+        mine = cut_lineage(rows.groupBy("_set").agg(F.first("_words").alias("_words"), F.first("_bands").alias("_bands")))
+        bands = mine.select("_set", F.explode("_bands").alias("band_key"))
+        met = bands.join(known.select(F.explode("bands").alias("band_key"), "set_id", "until"), "band_key")
+        met = met.groupBy("_set", "set_id").agg(F.max("until").alias("until"))
+        if mode != "reference":
+            sets = known.select("set_id", "words").dropDuplicates(["set_id"])
+            met = met.join(mine.select("_set", "_words"), "_set").join(sets, "set_id").where(jaccard(F.col("_words"), F.col("words")) >= MINHASH_SIMILARITY)
+        return met.select("_set", "until")
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        rows = df.dropDuplicates(key)
+        narrow = cut_lineage(with_word_sets(D.with_simhash(rows, simhash_chars), [*key, "simhash"], minhash_chars))
+        if (known := memory["exact"].read(spark, batch_id)) is not None:
+            narrow = _unmet(narrow, known, "content_hash", ts)
+        exact = cut_lineage(dedup_exact(narrow, ts=ts, tie=tie, ttl_seconds=exact_ttl_seconds))
+        memory["exact"].write(exact.select("content_hash", ts), batch_id)
+        fresh = exact
+        if (known := memory["simhash"].read(spark, batch_id)) is not None:
+            fresh = cut_lineage(_unmet(fresh, known_fingerprints(fresh, known), "simhash", ts))
+        near = cut_lineage(D._simhash_layer(fresh, D.SIMHASH_DISTANCE, mode, None, hot_limit, "greedy", simhash_ttl_seconds, ts, tie))
+        memory["simhash"].write(near.select("simhash", ts), batch_id)
+        fresh = near
+        if (known := memory["minhash"].read(spark, batch_id)) is not None:
+            fresh = cut_lineage(_unmet(fresh, known_sets(fresh, known), "_set", ts))
+        kept = cut_lineage(D._minhash_layer(fresh, MINHASH_SIMILARITY, mode == "intended", hot_limit, "greedy", ts, tie))
+        memory["minhash"].write(kept.select(F.col("_set").alias("set_id"), F.col("_words").alias("words"), F.col("_bands").alias("bands"), ts), batch_id)
+        write_batch(join_rows(rows, kept.select(*key), key, "left_semi"), f"{path}/kept", batch_id)
+
+    return run
+
+
+def stream_dedup_layers(stream: DataFrame, path: str, checkpoint: str, **choices) -> DataStreamWriter:
+    """All three layers over a stream of articles; ``choices`` as of ``layered_dedup_batch``."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(layered_dedup_batch(path, **choices))
+
+
 # -- windows ----------------------------------------------------------------------------------------------
 
 

@@ -55,6 +55,34 @@ def test_near_dedup_retry_changes_nothing(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "kept")).count() == once
 
 
+def test_layered_dedup_retry_changes_nothing(spark, docs, tmp_path):
+    step = S.layered_dedup_batch(str(tmp_path / "t"), exact_ttl_seconds=None)
+    cut = dt.datetime(2024, 1, 1, 1, 40)
+    first, second = docs.where(F.col("crawled_at") < cut), docs.where(F.col("crawled_at") >= cut)
+    step(first, 0)
+    step(second, 1)
+    once = sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "t" / "kept")).collect())
+    step(second, 1)
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "t" / "kept")).collect()) == once
+    assert once == sorted(r["url"] for r in D.dedup_articles(docs).where("dropped_by is null").collect())
+
+
+def test_layered_dedup_forgets(spark, tmp_path):
+    """One article every fourth day: it comes back when a week has passed since it was last kept. Old folders and expired rows go."""
+    path, day = str(tmp_path / "t"), dt.datetime(2024, 1, 1)
+    step = S.layered_dedup_batch(path, compact_every=2)
+    for i in range(4):
+        rows = [("a", "one two three four five six", "h"), ("b", f"{i} other words {i * 7} {i * 11} {i * 13} {i * 17}", f"g{i}")]
+        rows = [(f"{u}{i}", u, text, key, day + dt.timedelta(days=4 * i)) for u, text, key in rows]
+        step(spark.createDataFrame(rows, "url string, title string, content string, content_hash string, crawled_at timestamp"), i)
+    kept = {r["url"] for r in spark.read.parquet(f"{path}/kept").collect()}
+    assert {u for u in kept if u < "b"} == {"a0", "a2"}
+    for name, days in (("exact", 7), ("simhash", 3)):
+        assert S.snapshot_ids(spark, f"{path}/{name}") == [1, 2, 3]
+        oldest = spark.read.parquet(f"{path}/{name}/batch=3").agg(F.min("crawled_at")).first()[0]
+        assert oldest > day + dt.timedelta(days=12 - days)
+
+
 def test_exact_dedup(spark, docs, tmp_path):
     stream = in_files(docs.select("content_hash", "crawled_at"), tmp_path / "in", "crawled_at", 3)
     finish(S.stream_dedup_exact(stream).writeStream.format("memory").queryName("exact_seen"))
