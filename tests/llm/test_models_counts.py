@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute as B
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,34 @@ def test_held_out_accuracy(spark):
     assert model == Q.fitted(documents.repartition(7), labels.where(seen))
 
 
+def plain_rounds(views, y, order, source, fit):
+    """Co-training in memory: ``y`` is -1 where there is no label; each view hands its surest rows over, sources in turn."""
+    labelled = np.flatnonzero(y >= 0)
+    free = np.flatnonzero(y < 0)
+    rows, label, view = labelled, y[labelled], np.full(len(labelled), -1)
+    for turn in range(fit.rounds + 1):
+        model = Q.co_fit([x[rows] for x in views], label, order[rows], view, fit)
+        if turn == fit.rounds or not model["text_weights"]:
+            return model
+        more = []
+        for by, name in enumerate(("text_weights", "meta_weights")):
+            odds = np.round(Q._odds(views[by][free].astype(np.float64), np.array(model[name])) * model["calibration"][2 * by] + model["calibration"][2 * by + 1], 6)
+            given = set(order[rows[view == 1 - by]].tolist())
+            for wanted, quota in Q.quotas(model["prior"], fit).items():
+                sure = {}
+                for i, x in zip(free, odds, strict=True):
+                    if abs(x) >= Q._logit(fit.confident) and (x > 0) == wanted and order[i] not in given:
+                        sure[order[i]] = (abs(x), i)
+                ranked, at = [], Counter()
+                for x, i in sorted(sure.values(), key=lambda e: (-e[0], order[e[1]])):
+                    at[source[i]] += 1
+                    ranked.append((at[source[i]], -x, order[i], i))
+                more += [(i, wanted, 1 - by) for *_, i in sorted(ranked)[:quota]]
+        if more:
+            i, wanted, to = map(np.array, zip(*more, strict=True))
+            rows, label, view = np.concatenate([rows, i]), np.concatenate([label, wanted]), np.concatenate([view, to])
+
+
 def test_a_view_learns_from_the_other():
     """Few labels, a clear metadata view: pseudo-labels must lift the text view."""
     rng = np.random.default_rng(0)
@@ -36,12 +65,50 @@ def test_a_view_learns_from_the_other():
     order = rng.integers(0, 2**60, 3000)
 
     def right(rounds):
-        m = Q.co_train([text, meta], y, order, Q.Fit(rounds=rounds))
+        m = plain_rounds([text, meta], y, order, np.zeros(3000), Q.Fit(rounds=rounds, per_round=300))
         return ((Q._odds(text, np.array(m["text_weights"])) > 0) == (truth == 1))[60:].mean()
 
     assert right(4) > right(0)
 
 
+def test_rounds_over_the_whole_table_equal_plain_ones(spark):
+    """Every unlabelled document takes part: the model is that of the plain version over all rows in memory."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    fit = Q.Fit(rounds=2, per_round=20, confident=0.8)
+    quality = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    rows = {}
+    for r in Q._keyed(documents).collect():
+        if r.doc_id in quality:
+            rows[r.order, quality[r.doc_id]] = r
+        elif (r.text or "").strip(" \t\n\r\v\f"):
+            rows[r.order, -1] = r
+    keys, found = zip(*sorted(rows.items()), strict=True)
+    part = pa.RecordBatch.from_pylist([r.asDict() for r in found])
+    order, y = (np.array(x) for x in zip(*keys, strict=True))
+    want = plain_rounds([Q.text_features(part.column("text")), Q.meta_features(part)], y, order, [r.source for r in found], fit)
+    got = Q.fitted(documents, labels, fit)
+    assert want["held_out"] > 0 and want["text_weights"] != Q.fitted(documents, labels, Q.Fit(rounds=0))["text_weights"]
+    assert set(got) == set(want)
+    for c in want:
+        assert got[c] == pytest.approx(want[c], abs=1e-3), c
+
+
+def test_hot_source_and_copies_leave_room_for_others(spark):
+    """A source with nearly all rows, and one text with thousands of copies: small sources still hand rows over, the text once."""
+    rows = [(i, "good plain words " * 20 if i % 2 else "$$ ## 1234 " * 20, "en", "hot") for i in range(3000)]
+    rows += [(3000 + i, f"more plain words {i} " * 18 if i % 2 else f"## $$ {i} 999 " * 18, "en", "small") for i in range(60)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = documents.where("doc_id >= 3020 or doc_id < 40").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    fit = Q.Fit(per_round=10, confident=0.6)
+    keyed, truth = Q._keyed(documents), labels.withColumnRenamed("quality", "label")
+    model = Q.fitted(documents, labels, Q.Fit(rounds=0))
+    none = spark.createDataFrame([], "order bigint, view int")
+    chosen = Q._surest(keyed, truth, none, model, fit)
+    assert chosen.count() == chosen.select("order", "view").distinct().count() <= 2 * fit.per_round
+    by_text = chosen.where("view = 1").join(keyed.select("order", "source").distinct(), "order").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in by_text}["small"] >= 5
+
+
 def test_awkward_documents_and_labels(spark, awkward, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 34)] + [(None, 1, 0), (1, None, 1), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
     out = Q.judged(awkward, labels)
