@@ -770,6 +770,22 @@ ORACLES["stream_dedup_near"] = with_(
     ART, f"l1 AS ({EXACT})", *minhash_layer("l1", None, True), recursive=True
 ) + "SELECT url FROM l1 JOIN kept USING (doc_id)"
 ORACLES["stream_dedup_layers"] = f"SELECT url FROM ({layers(False)}) WHERE dropped_by IS NULL"
+KEPT_GRAPH = GRAPH.replace("FROM documents))", "FROM documents WHERE 'doc://' || doc_id IN (SELECT url FROM kept)))")
+RELATED = """rel AS (
+  SELECT a.k AS src, b.k AS dst, count(*) AS weight FROM mr a JOIN mr b ON a.content_hash = b.content_hash AND a.url = b.url AND a.n < b.n GROUP BY 1, 2)"""
+ORACLES["stream_ingest"] = with_(f"kept AS MATERIALIZED ({ORACLES['stream_dedup_layers']})", KEPT_GRAPH) + rf"""
+, mr AS (SELECT content_hash, url, k, row_number() OVER (PARTITION BY content_hash, url ORDER BY p, k) AS n FROM ekey), {RELATED}
+SELECT 'lake' AS sink, url AS "key", left(content_hash, 16) AS "value" FROM tagged
+UNION ALL SELECT 'articles', url, array_to_string(categories, ',') FROM tagged
+UNION ALL SELECT 'facts', url, sentiment_label || '|' || len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) || '|' || len(entities) FROM tagged
+UNION ALL SELECT 'nodes', label || '|' || id, coalesce(mention_count, article_count, '') FROM nod
+UNION ALL SELECT 'edges', type || '|' || src || '|' || dst, coalesce(sentiment, '') FROM edge
+UNION ALL SELECT 'edges', 'RELATES_TO|' || src || '|' || dst, weight::VARCHAR FROM rel
+UNION ALL SELECT 'vectors', content_hash, sentiment_label FROM tagged
+UNION ALL SELECT 'mentions', kind || '|' || name || '|' || {stamp('slot')}, count(*)::VARCHAR FROM (
+  SELECT 'cat' AS kind, unnest(categories) AS name, time_bucket(INTERVAL 30 MINUTE, crawled_at) AS slot FROM tagged
+  UNION ALL SELECT 'ent', e.type || ':' || substr(e.name, 1, 50), time_bucket(INTERVAL 30 MINUTE, crawled_at) FROM (SELECT unnest(entities) AS e, crawled_at FROM tagged) WHERE length(e.name) > 2)
+GROUP BY kind, name, slot"""
 ORACLES["stream_trends"] = ORACLES["trend_series"]
 ORACLES["stream_top_trends"] = ORACLES["top_trends"]
 ORACLES["stream_frequency"] = with_(INC) + f"""

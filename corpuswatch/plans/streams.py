@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from corpuswatch.operators.enrich import enrich
 from corpuswatch.operators.tables import to_fact_rows
 from corpuswatch.plans import fixtures as X
 from corpuswatch.plans.queries import query, stamp
 from corpuswatch.session import scratch_path
 from corpuswatch.sources import adapters as A
+from corpuswatch.streaming import ingest as I
 from corpuswatch.streaming import jobs as S
 
 
@@ -53,22 +57,66 @@ def stream_dedup_near(spark, sf):
     return spark.read.parquet(f"{path}/tables/kept").select("url")
 
 
-@query
-def stream_dedup_layers(spark, sf):
-    """All layers over articles that arrive in two parts by time, the stream restarted for the second; nothing is forgotten within the table's span."""
-    path = scratch_path(spark, "layers")
+#: Choices of the layered dedup under which nothing is forgotten within the table's span.
+NEVER = {f"{name}_ttl_seconds": None for name in ("exact", "simhash", "minhash")}
+
+
+def in_two_parts(spark: SparkSession, sf: str, path: str, job: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a job over the articles as they arrive in two parts by time, started anew for the second."""
     docs = A.articles_from_documents(spark, sf)
     at = F.unix_micros("crawled_at").cast("double")
     bounds = docs.select(at.alias("at")).approxQuantile("at", [0.5], 0.01)
     part = sum((F.coalesce((at > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
-    never = {f"{name}_ttl_seconds": None for name in ("exact", "simhash", "minhash")}
     for i in range(len(bounds) + 1):
         docs.where(part == i).write.mode("append").parquet(f"{path}/in")
-        arriving = spark.readStream.schema(docs.schema).parquet(f"{path}/in")
-        finish(S.stream_dedup_layers(arriving, f"{path}/tables", f"{path}/state", **never))
+        finish(job(spark.readStream.schema(docs.schema).parquet(f"{path}/in")))
+
+
+@query
+def stream_dedup_layers(spark, sf):
+    """All layers over articles that arrive in two parts, the stream restarted for the second."""
+    path = scratch_path(spark, "layers")
+    in_two_parts(spark, sf, path, lambda arriving: S.stream_dedup_layers(arriving, f"{path}/tables", f"{path}/state", **NEVER))
     return spark.read.parquet(f"{path}/tables/kept").select("url")
 
 
+def fixture_enrichment(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: enrich(df, X.gazetteer(spark), X.LEXICON, X.POSITIVE, X.NEGATIVE)
+
+
+def sink_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (sink, key, value) of all that the sinks of an ingest job hold below ``path``."""
+    text, props = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")), F.col("props")
+
+    def rows(sink: str, df: DataFrame, key: list, value) -> DataFrame:
+        return df.select(F.lit(sink).alias("sink"), F.concat_ws("|", *key).alias("key"), F.coalesce(value, F.lit("")).alias("value"))
+
+    lake = spark.read.schema("url string, hash16 string").json(f"{path}/lake")
+    facts = spark.read.parquet(f"{path}/facts")
+    parts = [
+        rows("lake", lake, ["url"], F.col("hash16")),
+        rows("articles", I.current_articles(spark, path), ["url"], F.array_join("categories", ",")),
+        rows("facts", facts, ["url"], F.concat_ws("|", "sentiment_label", text("word_count"), text("entity_count"))),
+        rows("nodes", I.current_nodes(spark, path), ["label", "id"], F.coalesce(props["mention_count"], props["article_count"])),
+        rows("edges", I.current_edges(spark, path), ["type", "src", "dst"], F.coalesce(props["sentiment"], F.when(F.col("type") == "RELATES_TO", text("weight")))),
+        rows("vectors", I.current_vectors(spark, path), ["id"], F.col("sentiment")),
+        rows("mentions", I.mention_counts(spark, path).where("kind <> 'kw'"), ["kind", "name", stamp("slot")], text("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def stream_ingest(spark, sf):
+    """Raw articles in two parts, the job restarted for the second: dedup by all layers, enrichment, every sink."""
+    path = scratch_path(spark, "ingest")
+    process = fixture_enrichment(spark)
+    in_two_parts(spark, sf, path, lambda arriving: I.stream_ingest(arriving, f"{path}/t", f"{path}/state", process, **NEVER))
+    return sink_rows(spark, f"{path}/t")
+
+
 @query
 def stream_trends(spark, sf):
     path = scratch_path(spark, "trends")

@@ -10,7 +10,9 @@ from corpuswatch.operators import dedup as D
 from corpuswatch.operators import trends as R
 from corpuswatch.operators.tables import to_fact_rows
 from corpuswatch.plans import fixtures as X
+from corpuswatch.plans import streams as P
 from corpuswatch.sources import adapters as A
+from corpuswatch.streaming import ingest as I
 from corpuswatch.streaming import jobs as S
 
 SF = "/root/testdata/sf0.001"
@@ -172,3 +174,39 @@ def test_failing_sink_is_isolated_and_replayed(spark, docs, tmp_path):
     down["on"] = False
     assert S.replay_failed(spark, str(tmp_path / "failed"), "flaky", flaky) == 2
     assert spark.read.parquet(str(tmp_path / "flaky")).count() == docs.count()
+
+
+def test_ingest_over_batches_with_a_failing_sink_equals_one_batch(spark, docs, tmp_path):
+    """Two batches with one sink down, then a retry: what all sinks hold is what one batch of everything gives."""
+    process, path, whole = P.fixture_enrichment(spark), str(tmp_path / "t"), str(tmp_path / "w")
+    down = {"on": True}
+    good = I.sinks_under(path)
+
+    def flaky(df, batch_id):
+        if down["on"]:
+            raise RuntimeError("store is down")
+        good["facts"](df, batch_id)
+
+    sinks = good | {"facts": flaky}
+    step = I.ingest_batch(path, process, sinks, **P.NEVER)
+    cut = F.col("crawled_at") < dt.datetime(2024, 1, 1, 1, 40)
+    step(docs.where(cut), 0)
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/failures").select("sink", "error").collect()] == [("facts", "store is down")]
+    assert I.applied(spark, path, "facts") == -1 and I.applied(spark, path, "graph") == 0
+    down["on"] = False
+    step(docs.where(~cut), 1)
+    assert {I.applied(spark, path, name) for name in sinks} == {1}
+    assert S.snapshot_ids(spark, f"{path}/enriched") == [1]
+    once = sorted(map(tuple, P.sink_rows(spark, path).collect()))
+    step(docs.where(~cut), 1)
+    good["graph"](spark.read.parquet(f"{path}/enriched/batch=1"), 1)
+    assert sorted(map(tuple, P.sink_rows(spark, path).collect())) == once
+    I.ingest_batch(whole, process, I.sinks_under(whole), **P.NEVER)(docs, 0)
+    assert sorted(map(tuple, P.sink_rows(spark, whole).collect())) == once
+
+
+def test_ingest_of_an_empty_batch(spark, docs, tmp_path):
+    path = str(tmp_path / "t")
+    I.ingest_batch(path, P.fixture_enrichment(spark), I.sinks_under(path), **P.NEVER)(docs.limit(0), 0)
+    assert not S.snapshot_ids(spark, f"{path}/failures")
+    assert I.current_articles(spark, path).count() == 0 and I.current_edges(spark, path).count() == 0
