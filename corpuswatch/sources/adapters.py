@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
+    """The same table as a stream of its files: one file, or a folder of them.
+
+    The path is a pattern that only this name fits, because a file stream takes plain paths for folders.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def articles_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

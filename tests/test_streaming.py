@@ -210,3 +210,17 @@ def test_ingest_of_an_empty_batch(spark, docs, tmp_path):
     I.ingest_batch(path, P.fixture_enrichment(spark), I.sinks_under(path), **P.NEVER)(docs.limit(0), 0)
     assert not S.snapshot_ids(spark, f"{path}/failures")
     assert I.current_articles(spark, path).count() == 0 and I.current_edges(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_streamed_table_is_a_file_or_a_folder_of_files(spark, tmp_path, n_files):
+    """Every row arrives, whichever way the table is stored; other tables beside it stay out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    if n_files == 1:
+        docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("part-*")).rename(tmp_path / "documents.parquet")
+    else:
+        docs.repartition(n_files).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(3).write.parquet(str(tmp_path / "labels.parquet"))
+    urls = P.collected(A.articles_of(A.stream_table(spark, str(tmp_path), "documents")).select("url"), "urls")
+    assert urls.count() == docs.count()
