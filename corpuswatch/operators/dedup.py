@@ -7,7 +7,8 @@ Size rules that hold for every function here:
 * a bucket of candidates is compared pair by pair only while it is small (``hot_limit``); the members of larger
   buckets get finer keys that every matching pair still shares (more blocks of a fingerprint, the rarest words of a
   set). What stays large under these is compared with the first undecided member, round after round, which needs one row
-  per member and never lists the pairs of the bucket. All ways give the same, exact keep-first result.
+  per member and never lists the pairs of the bucket. All ways give the same, exact keep-first result;
+* greedy keep-first of fingerprints needs no buckets: rounds of bounded size meet what was kept before (``fingerprint_tiles``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from corpuswatch.functions.fingerprints import band_keys, hamming, jaccard, minhash, simhash64
 from corpuswatch.functions.text import computed_once, head, or_empty, words
+from corpuswatch.operators.fingerprint_tiles import first_fingerprints
 from corpuswatch.operators.identity import first_per_key, join_rows
 from corpuswatch.session import cut_lineage, stored
 
@@ -345,6 +347,9 @@ def _simhash_layer(narrow, max_distance, mode, blocks, hot_limit, keep, ttl_seco
         return hamming(a, b) <= max_distance
 
     items = cut_lineage(simhash_items(narrow, ts, tie))
+    if keep == "greedy":
+        kept = first_fingerprints(items, max_distance)
+        return _survivors(narrow, "simhash", items.select("id").where("id is not null").join(kept, "id", "left_anti"), ts, tie)
     n_blocks = blocks or blocks_for(items.count(), max_distance)
     members = bucket_members(items, simhash_blocks(F.col("payload"), n_blocks, max_distance))
     found = split_candidates(members, items, match, hot_limit, lambda rows: finer_blocks(rows, max_distance), named=True)
@@ -372,7 +377,8 @@ def dedup_simhash(
     """Rows kept by the SimHash layer, with their ``simhash``.
 
     ``intended``: a row goes when a kept earlier row is within ``max_distance`` bits. ``reference``: only an
-    equal fingerprint counts, optionally remembered for ``ttl_seconds``.
+    equal fingerprint counts, optionally remembered for ``ttl_seconds``. ``blocks`` and ``hot_limit`` shape the buckets of
+    ``keep="any_earlier"``.
     """
     hashed = df if "simhash" in df.columns else with_simhash(df, chars)
     narrow = cut_lineage(hashed.select(ts, tie, "simhash"))

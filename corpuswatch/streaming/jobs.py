@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from corpuswatch.functions.fingerprints import hamming, jaccard
+from corpuswatch.functions.fingerprints import jaccard
 from corpuswatch.operators import clusters as C
 from corpuswatch.operators import dedup as D
 from corpuswatch.operators.dedup import MINHASH_SIMILARITY, dedup_exact, dedup_minhash, with_word_sets, word_set_items
+from corpuswatch.operators.fingerprint_tiles import last_known
 from corpuswatch.operators.identity import join_rows
 from corpuswatch.operators.tables import live_feed_rows
 from corpuswatch.operators.insights import rule_insights
@@ -139,19 +140,16 @@ def layered_dedup_batch(
 
     def known_fingerprints(rows: DataFrame, known: DataFrame) -> DataFrame:
         """Fingerprints of the batch that a remembered one is close to, with its time."""
-        known = cut_lineage(known.groupBy("simhash").agg(F.max("until").alias("until")))
+        # The newest time decides, so each fingerprint is known with one; what never expires comes after all others.
+        forever = (1 << 63) - 1
+        latest = F.max(F.coalesce(F.unix_micros(F.col("until").cast("timestamp")), F.lit(forever)))
+        known = known.groupBy("simhash").agg(latest.alias("value"))
         if mode == "reference":
-            return known
-        mine = cut_lineage(rows.select("simhash").distinct())
-        n_blocks = D.blocks_for(known.count() + mine.count(), D.SIMHASH_DISTANCE)
-
-        def keyed(df: DataFrame, name: str) -> DataFrame:
-            blocks = D.simhash_blocks(F.col("simhash"), n_blocks, D.SIMHASH_DISTANCE)
-            return df.select(F.explode(F.array_distinct(blocks)).alias("bucket"), F.col("simhash").alias(name), *[c for c in df.columns if c == "until"])
-
-        a, b = keyed(mine, "_mine"), keyed(known, "_known")
-        close = a.join(b, (a["bucket"] == b["bucket"]) & (hamming(F.col("_mine"), F.col("_known")) <= D.SIMHASH_DISTANCE))
-        return close.select(F.col("_mine").alias("simhash"), "until")
+            met = known.withColumnRenamed("simhash", "id")
+        else:
+            known = cut_lineage(known.select(F.col("simhash").alias("id"), "value"))
+            met = last_known(cut_lineage(rows.select(F.col("simhash").alias("id")).distinct()), known, D.SIMHASH_DISTANCE)
+        return met.select(F.col("id").alias("simhash"), F.when(F.col("value") < forever, F.timestamp_micros("value")).alias("until"))
 
     def known_sets(rows: DataFrame, known: DataFrame) -> DataFrame:
         """Word sets of the batch that share a band with a remembered one and, as intended, reach the similarity."""

@@ -240,3 +240,38 @@ def test_any_earlier_equals_brute_force_in_large_buckets(spark, hot_limit):
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 5
     want = [f"u{i:04d}" for i, v in enumerate(values) if not any(near(v, w) for w in values[:i])]
     assert urls(D.dedup_simhash(df, keep="any_earlier", hot_limit=hot_limit)) == want
+
+
+@pytest.mark.parametrize("size", [8, 100, 1000])
+def test_first_fingerprints_over_rounds_equal_brute_force(spark, size):
+    """A crowd within a few bits of each other and spread ones, over one round and over many, without a list of pairs."""
+    rng = random.Random(6)
+    values = list(dict.fromkeys([*near_fingerprints(300), *(rng.getrandbits(64) - (1 << 63) for _ in range(100)), 0, -1]))
+    rng.shuffle(values)
+    items = spark.createDataFrame([(v, i) for i, v in enumerate(values)] + [(None, -1)], "id long, ord int").repartition(5)
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 5
+    got = sorted(r["id"] for r in D.first_fingerprints(items, 5, size).collect())
+    assert got == sorted(values[i] for i in greedy(values, near))
+    assert D.first_fingerprints(items.limit(0), 5, size).count() == 0
+
+
+def test_simhash_dedup_lists_no_pairs_and_no_buckets(spark, monkeypatch):
+    """Crowded fingerprints made buckets whose pairs and finer keys did not fit; keep-first must not build them."""
+    monkeypatch.setattr(D, "bucket_members", None)
+    values = list(dict.fromkeys(near_fingerprints(120)))
+    rows = [(f"u{i:04d}", v, T0 + dt.timedelta(minutes=i)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "url string, simhash long, crawled_at timestamp")
+    want = greedy(values, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 5)
+    assert urls(D.dedup_simhash(df)) == [f"u{i:04d}" for i in want]
+
+
+@pytest.mark.parametrize("size", [16, 1000])
+def test_last_known_value_of_close_fingerprints(spark, size):
+    from corpuswatch.operators.fingerprint_tiles import last_known
+
+    values = list(dict.fromkeys(near_fingerprints(200)))
+    mine, known = values[:80], [(v, 10 * i - 700) for i, v in enumerate(values[60:])]
+    got = last_known(spark.createDataFrame([(v,) for v in mine], "id long"), spark.createDataFrame(known, "id long, value long"), 5, size)
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 5
+    want = {a: max(n for b, n in known if near(a, b)) for a in mine if any(near(a, b) for b, _ in known)}
+    assert {r["id"]: r["value"] for r in got.collect()} == want
