@@ -101,6 +101,21 @@ def test_close_pairs_recall(spark):
     assert V.close_pairs(df.limit(0), 0.82).count() == 0
 
 
+@pytest.mark.parametrize("tile_bytes", [4000, 1 << 20])
+def test_close_pairs_of_a_crowd_are_whole_and_not_shuffled(spark, tile_bytes):
+    """Nearly parallel vectors in one or many tiles: every pair, as by brute force, and no exchange between tiles and pairs."""
+    rng = np.random.default_rng(4)
+    rows = np.abs(np.concatenate([1 + rng.normal(size=(150, 24)) * 0.2, rng.normal(size=(150, 24)) ** 3]))
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(rows)], "id string, embedding array<float>")
+    sims = rows.astype(np.float64) @ rows.astype(np.float64).T
+    want = {(f"v{i:03d}", f"v{j:03d}") for i, j in zip(*np.nonzero(np.triu(sims >= 0.95, k=1)), strict=True)}
+    pairs = V.close_pairs(df, 0.95, tile_bytes)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) > 1000 and set(got) == want
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tables_for_a_recall():
     for n in (100, 10_000, 10_000_000):
         bits, tables = V.hash_tables(n, 0.82, 0.98)
