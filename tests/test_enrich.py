@@ -154,3 +154,21 @@ def test_model_queries_show_the_fallback(spark):
     assert {d: categories[d] for d in failing} == {d: rules[d] for d in failing}
     assert {d: labels[d] for d in failing} == {d: moods[d] for d in failing}
     assert all(set(categories[d].split(",")) <= {"long", "short"} for d in set(rules) - failing)
+
+
+def test_names_of_texts_are_found_in_arrow_buffers(spark, monkeypatch):
+    """No word list becomes a pandas column of Python strings; empty texts, names over the edge of a text and labels of one name included."""
+    def refuse(*args, **kwargs):
+        raise AssertionError("words as Python strings")
+
+    monkeypatch.setattr(E.F, "pandas_udf", refuse)
+    texts = ["New York and new york", "", None, "ends with New", "York starts", "York NEW YORK City, York", "nothing"]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "content_hash int, title string, content string").coalesce(1)
+    names = spark.createDataFrame([("new york", "GPE"), ("York", "GPE"), ("york", "ORG"), ("New York City", "LOC")], "name string, label string")
+    got = sorted((r.content_hash, r.name, r.label) for r in E.tag_entities(df, names).collect())
+    york = [("York", "GPE"), ("York", "ORG")]
+    want = {
+        0: [("New York", "GPE"), ("new york", "GPE"), ("york", "GPE"), ("york", "ORG"), *york], 4: york,
+        5: [("NEW YORK", "GPE"), ("NEW YORK City", "LOC"), ("YORK", "GPE"), ("YORK", "ORG"), *york],
+    }
+    assert got == sorted((i, n, label) for i, tags in want.items() for n, label in tags)
