@@ -1,7 +1,7 @@
-"""SimHash and MinHash. The JVM splits and hashes words; one Arrow kernel per batch does the bit work.
+"""SimHash and MinHash. The JVM normalises the text; one Arrow kernel per batch splits it, hashes words and does the bit work.
 
-Both kernels see a whole Arrow batch as one flat array of word hashes plus row offsets, so there is no
-Python loop per row and no shuffle: a fingerprint is a narrow column.
+Both kernels take a slice of an Arrow batch as one flat list of words plus row offsets. A word is hashed once per slice, however often it
+occurs; there is no Python loop per row and no shuffle: a fingerprint is a narrow column.
 """
 
 from __future__ import annotations
@@ -10,64 +10,58 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuswatch.functions.text import words
+from corpuswatch.functions.text import normalize_text
 
 MERSENNE_31 = 2147483647
-CHUNK_WORDS = 400_000
+# Bytes of text that are split at a time, and words whose votes one byte can count.
+CHUNK_BYTES, BYTE_VOTES = 4_000_000, 255
 
 
-def word_bytes(text: Column, first_hex: int, n_hex: int, distinct: bool = False) -> Column:
-    """Part of the md5 of each word, as raw bytes."""
-    ws = F.array_distinct(words(text)) if distinct else words(text)
-    return F.transform(ws, lambda w: F.unhex(F.substring(F.md5(w), first_hex, n_hex)))
-
-
-def _raw_bytes(values: pa.Array, width: int) -> np.ndarray:
-    """The equally long binary values as one matrix, one row per value, without copying them one by one."""
-    if len(values) == 0:
-        return np.zeros((0, width), dtype=np.uint8)
-    _, offsets, data = values.buffers()
-    offset_type = np.int64 if pa.types.is_large_binary(values.type) else np.int32
-    first = int(np.frombuffer(offsets, dtype=offset_type)[values.offset])
-    return np.frombuffer(data, dtype=np.uint8)[first : first + len(values) * width].reshape(-1, width)
-
-
-def _chunks(lists: pa.ListArray, width: int):
-    """Flat hash bytes and per-row lengths, in slices of a bounded number of words."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    offsets = lists.offsets.to_numpy()
+def _hashed(texts: pa.Array):
+    """Slices of normalised texts, of a bounded size: md5 bytes of the distinct words, the place of each word among them, row offsets."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    # Without words a row is null, so that it is split into none.
+    texts = pc.if_else(pc.equal(texts, ""), None, texts)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
-    while start < len(lists):
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK_WORDS, side="right")) - 1)
-        n_words = int(offsets[stop] - offsets[start])
-        yield _raw_bytes(lists.values.slice(offsets[start], n_words), width), offsets[start : stop + 1] - offsets[start]
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_BYTES, side="right")))
+        lists = pc.split_pattern(texts.slice(start, stop - start), " ")
+        named = lists.values.dictionary_encode()
+        digests = b"".join([hashlib.md5(w).digest() for w in named.dictionary.cast(pa.binary()).to_pylist()])
+        yield np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16), named.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
         start = stop
 
 
 @F.arrow_udf(T.LongType())
-def _simhash_kernel(hashes: pa.Array) -> pa.Array:
-    out = []
-    for flat, offsets in _chunks(hashes, 8):
-        n_rows, counts = len(offsets) - 1, np.diff(offsets)
-        result = np.zeros(n_rows, dtype=np.int64)
-        filled = np.flatnonzero(counts)
+def _simhash_kernel(texts: pa.Array) -> pa.Array:
+    out = [np.zeros(0, dtype=np.int64)]
+    for digests, places, offsets in _hashed(texts):
+        counts = np.diff(offsets)
+        result, filled = np.zeros(len(counts), dtype=np.int64), np.flatnonzero(counts)
         if len(filled):
-            bits = np.unpackbits(flat, axis=1)
-            votes = np.add.reduceat(bits, offsets[:-1][filled], axis=0, dtype=np.int32)
+            # The 64 bits of a word as 64 bytes, added eight at a time: a row is cut into runs that a byte can count.
+            lanes = np.unpackbits(digests[:, 8:], axis=1).view(np.uint64).T.copy()
+            runs = -(-counts[filled] // BYTE_VOTES)
+            at = np.cumsum(runs) - runs
+            first = np.repeat(offsets[:-1][filled] - BYTE_VOTES * at, runs) + BYTE_VOTES * np.arange(runs.sum())
+            sums = np.stack([np.add.reduceat(lane[places], first) for lane in lanes], axis=1)
+            votes = np.add.reduceat(sums.view(np.uint8).astype(np.int32), at, axis=0)
             majority = votes * 2 > counts[filled][:, None]
             result[filled] = np.packbits(majority, axis=1).view(">i8").ravel()
         out.append(result)
-    return pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64), type=pa.int64())
+    return pa.array(np.concatenate(out), type=pa.int64())
 
 
 def simhash64(text: Column) -> Column:
     """64-bit SimHash: a bit is set when more than half of the word occurrences have it; empty text is 0."""
-    return _simhash_kernel(word_bytes(text, 17, 16))
+    return _simhash_kernel(normalize_text(text))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -90,22 +84,25 @@ def minhash(text: Column, num_perm: int = 128) -> Column:
     a, b = permutation_constants(num_perm)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def kernel(hashes: pa.Array) -> pa.Array:
-        rows = []
-        for flat, offsets in _chunks(hashes, 4):
-            base = (flat.reshape(-1).view(">u4") & MERSENNE_31).astype(np.uint64)
-            filled = np.flatnonzero(np.diff(offsets))
-            signature = np.full((len(offsets) - 1, num_perm), MERSENNE_31, dtype=np.int64)
-            if len(filled):
-                starts = offsets[:-1][filled]
-                for i in range(num_perm):
-                    signature[filled, i] = np.minimum.reduceat((base * a[i] + b[i]) % MERSENNE_31, starts)
+    def kernel(texts: pa.Array) -> pa.Array:
+        rows = [np.zeros((0, num_perm), dtype=np.int64)]
+        for digests, places, offsets in _hashed(texts):
+            base = (digests[:, :4].copy().view(">u4").ravel() & MERSENNE_31).astype(np.uint64)
+            n_rows, n_words = len(offsets) - 1, max(len(base), 1)
+            signature = np.full((n_rows, num_perm), MERSENNE_31, dtype=np.int64)
+            # Each word of a row once.
+            once = np.repeat(np.arange(n_rows), np.diff(offsets)) * n_words + places
+            once.sort()
+            row, place = np.divmod(once[np.flatnonzero(np.diff(once, prepend=-1))], n_words)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            for i in range(num_perm if len(row) else 0):
+                signature[row[starts], i] = np.minimum.reduceat(((base * a[i] + b[i]) % MERSENNE_31).astype(np.int32)[place], starts)
             rows.append(signature)
-        flat_out = np.concatenate(rows) if rows else np.zeros((0, num_perm), dtype=np.int64)
+        flat_out = np.concatenate(rows)
         out_offsets = np.arange(len(flat_out) + 1, dtype=np.int32) * num_perm
         return pa.ListArray.from_arrays(pa.array(out_offsets), pa.array(flat_out.ravel()))
 
-    return kernel(word_bytes(text, 1, 8, distinct=True))
+    return kernel(normalize_text(text))
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:

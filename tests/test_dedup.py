@@ -275,3 +275,38 @@ def test_last_known_value_of_close_fingerprints(spark, size):
     near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 5
     want = {a: max(n for b, n in known if near(a, b)) for a in mine if any(near(a, b) for b, _ in known)}
     assert {r["id"]: r["value"] for r in got.collect()} == want
+
+
+def test_kernels_hash_a_repeated_word_once(monkeypatch):
+    """Fingerprints by definition over several slices, runs beyond a byte, rows without words; a slice hashes each distinct word once."""
+    import pyarrow as pa
+
+    from corpuswatch.functions import fingerprints as FP
+
+    rng = random.Random(5)
+    lists = [[f"w{int(rng.expovariate(0.1))}" for _ in range(n)] for n in (1, 254, 255, 256, 511, 0, 3000, 7, 0, 1200)]
+    monkeypatch.setattr(FP, "CHUNK_BYTES", 2000)
+    texts = pa.array([" ".join(x) for x in lists[:5]] + [None] + [" ".join(x) for x in lists[6:]])
+
+    def bit(words, i):
+        return sum(int(hashlib.md5(w.encode()).hexdigest()[16:], 16) >> i & 1 for w in words) * 2 > len(words)
+
+    want = [sum(1 << i for i in range(64) if bit(x, i)) for x in lists]
+    assert [v & (1 << 64) - 1 for v in FP._simhash_kernel.func(texts).to_pylist()] == want
+    slices = list(FP._hashed(texts))
+    assert len(slices) > 1 and sum(len(o) - 1 for _, _, o in slices) == len(lists)
+    assert all(len(digests) == len(set(map(bytes, digests))) for digests, _, _ in slices)
+    assert sum(len(digests) for digests, _, _ in slices) < sum(map(len, lists)) / 5
+
+
+def test_minhash_equals_definition(spark):
+    from corpuswatch.functions.fingerprints import MERSENNE_31, minhash, permutation_constants
+
+    texts = ["a b a c", "", "the  cat, the DOG", " ".join(f"x{i % 90}" for i in range(700))]
+    a, b = (x.tolist() for x in permutation_constants(16))
+    want = []
+    for t in texts:
+        base = {int(hashlib.md5(w.encode()).hexdigest()[:8], 16) & MERSENNE_31 for w in t.lower().replace(",", " ").split()}
+        want.append([min([(h * a[i] + b[i]) % MERSENNE_31 for h in base], default=MERSENNE_31) for i in range(16)])
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", minhash(F.col("t"), 16).alias("m")).orderBy("i")
+    assert [r.m for r in got.collect()] == want
