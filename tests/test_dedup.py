@@ -310,3 +310,11 @@ def test_minhash_equals_definition(spark):
         want.append([min([(h * a[i] + b[i]) % MERSENNE_31 for h in base], default=MERSENNE_31) for i in range(16)])
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", minhash(F.col("t"), 16).alias("m")).orderBy("i")
     assert [r.m for r in got.collect()] == want
+
+
+def test_lsh_verified_makes_signatures_once(spark):
+    """Leaders, members and word sets read what was written: no kernel is left in the plan of the pairs."""
+    from corpuswatch.plans.queries import lsh_verified
+
+    found = lsh_verified(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
