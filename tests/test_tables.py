@@ -174,3 +174,35 @@ def test_exact_search_with_copies_lengths_and_nulls(spark, monkeypatch):
     parted = V._ranked(V.visited(celled, celled.select(F.col("id").alias("query_id"), "embedding", "cell"), 4, block=30), 4)
     assert sorted(map(tuple, parted.select("query_id", "rank", "id").collect())) == one
     assert V.knn(df, df.limit(0), 4).count() == 0
+
+
+def test_best_of_a_block_scores_few_candidates_in_double_precision(monkeypatch):
+    """Single precision and floors leave the exact rows: crowds of copies, near ties, zero vectors and queries; only crowds meet the whole block."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(3000, 16))
+    m[1000:1400] = m[7] * (1 + rng.integers(0, 3, (400, 1)) * 1e-9)
+    m[1500:1540], m[2000] = m[11], 0
+    q = np.concatenate([m[:40], m[1000:1002], np.zeros((1, 16)), 1e3 * m[50:60]])
+    ids, queries = rng.permutation(3000), np.arange(len(q))
+    asked, real = [], V._best
+    monkeypatch.setattr(V, "_best", lambda names, *rest: asked.append(len(names)) or real(names, *rest))
+    order = np.argsort(ids)
+    want = {}
+    for i, scores in enumerate(np.round(q @ m.T, 12)):
+        want[i] = [(int(ids[j]), scores[j]) for j in sorted(range(3000), key=lambda j: (-scores[j], ids[j]))[:5]]
+
+    def rows(found):
+        by = {i: [] for i in range(len(q))}
+        for r in found.itertuples(index=False):
+            by[r.query_id].append((int(r.id), r.score))
+        return {i: sorted(x, key=lambda p: (-p[1], p[0])) for i, x in by.items()}
+
+    block = V._prepared(ids, m)
+    assert (block[0] == ids[order]).all()
+    got = rows(V._best_of_block(queries, q, block, 5))
+    assert {i: [p[0] for p in x] for i, x in got.items()} == {i: [p[0] for p in x] for i, x in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-9 for i in got for a, b in zip(got[i], want[i], strict=True))
+    assert sum(asked) <= 8
+    floor = np.array([want[i][2][1] for i in queries])
+    kept = rows(V._best_of_block(queries, q, block, 5, floor))
+    assert all(kept[i][:3] == got[i][:3] for i in kept)
