@@ -52,19 +52,22 @@ def index_lake(spark: SparkSession, path: str) -> int:
     folder where the index does not know it.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.col("path").alias("file"))
-    known = _index_rows(spark, path)
-    fresh = files if known is None else files.join(known.select("file"), "file", "left_anti")
-    paths = [r["file"] for r in fresh.toLocalIterator()]
-    if paths:
+    known, lake = _index_rows(spark, path), spark.read.schema("hash16 string").option("pathGlobFilter", "*.json")
+    # One job lists the files; a lake without an index is read as the folder that it is.
+    if known is None:
+        n, read = files.count(), lake.json(path)
+    else:
+        paths = [r["file"] for r in files.join(known.select("file"), "file", "left_anti").collect()]
+        n, read = len(paths), lake.json(paths) if paths else None
+    if n:
         # Only the key is parsed; the folder's date and source come from the path.
         # The file's own column spells its path as in a URI.
         plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        read = spark.read.schema("hash16 string").json(paths).select("hash16", plain.alias("file"))
-        noted = read.groupBy("file").agg(F.min("hash16").alias("low"), F.max("hash16").alias("high"), F.count(F.lit(1)).alias("rows"))
+        noted = read.select("hash16", plain.alias("file")).groupBy("file").agg(F.min("hash16").alias("low"), F.max("hash16").alias("high"), F.count(F.lit(1)).alias("rows"))
         folder = [F.regexp_extract("file", f"/{name}=([^/]*)/", 1).alias(name) for name in ("dt", "source_key")]
         noted.select("*", *folder).repartitionByRange("dt", "source_key", "low").sortWithinPartitions("dt", "source_key", "low").write.mode("append").parquet(
             f"{path.rstrip('/')}/{INDEX}")
-    return len(paths)
+    return n
 
 
 # Characters that partition folders spell as %XX.

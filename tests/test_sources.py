@@ -249,3 +249,25 @@ def test_lake_lookup_opens_one_file(spark, tmp_path):
     assert len(files) == 1 and lake.read_lake(spark, path, "2024-01-02", "a", rows[150][0]).count() == 1
     assert lake.lake_files(spark, path, "2024-01-02", "a", "9" * 33) == [] and lake.read_lake(spark, path, "2024-01-02", "a", "9" * 33).count() == 0
     assert lake.index_lake(spark, path) == 0
+
+
+def test_a_lake_is_listed_in_one_job(spark, tmp_path):
+    """The index of a lake takes as many jobs for 24 files as for 4, and the round trip infers no schema."""
+    from corpuswatch.plans import source_queries as Q
+
+    def jobs(n):
+        path = str(tmp_path / f"lake{n}")
+        rows = spark.range(4 * n).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.concat(F.lit("s"), (F.col("id") % n).cast("string")).alias("source"), F.lit(None).cast("timestamp").alias("published_at"), F.lit("2024-01-01").cast("timestamp").alias("crawled_at"))
+        rows = rows.withColumn("hash16", F.left("content_hash", F.lit(16))).withColumn("dt", F.lit("2024-01-01")).withColumn("source_key", F.col("source"))
+        rows.coalesce(1).write.partitionBy("dt", "source_key").json(path)
+        spark.sparkContext.setJobGroup(f"index{n}", "")
+        try:
+            assert lake.index_lake(spark, path) == n == lake.index_lake(spark, path) + n
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert spark.read.parquet(f"{path}/_index").agg(F.sum("rows")).first()[0] == 4 * n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"index{n}"))
+
+    assert jobs(4) == jobs(24)
+    found = Q.lake_round_trip(spark, "/root/testdata/sf0.001")
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
