@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuswatch import lexicons as L
 from corpuswatch.functions.text import (
@@ -78,10 +79,24 @@ def keyword_categories(
     )
 
 
+#: Bytes of text that a model is given at a time.
+MODEL_BYTES = 2_000_000
+
+
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch of texts up to ``MODEL_BYTES`` (a longer text stands alone): only one of them is ever copied into Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MODEL_BYTES, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def score_texts(df: DataFrame, text: Column, score_fn: ScoringFn, schema: str) -> DataFrame:
     """Run a user model over a text column in Arrow batches; its frame becomes the struct column ``model``.
 
-    ``score_fn`` is called with the texts of a batch. Where it fails the batch is halved until the texts it fails on stand
+    ``score_fn`` is called with slices of a batch of texts (``text_slices``). Where it fails the slice is halved until the texts it fails on stand
     alone; those yield null rows, so that the keyword rules can take over.
     """
     struct = T.StructType.fromDDL(schema)
@@ -95,10 +110,15 @@ def score_texts(df: DataFrame, text: Column, score_fn: ScoringFn, schema: str) -
             half = len(texts) // 2
             return pd.concat([rated(texts[:half]), rated(texts[half:])], ignore_index=True)
 
-    @F.pandas_udf(struct)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield rated(texts)[struct.names]
+    kinds = [to_arrow_type(f.dataType) for f in struct.fields]
+
+    @F.arrow_udf(struct)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for part in text_slices(texts):
+            frame = rated(part.to_pandas())
+            parts.append(pa.StructArray.from_arrays([pa.array(frame[n], type=t, from_pandas=True) for n, t in zip(struct.names, kinds)], struct.names))
+        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.struct(list(zip(struct.names, kinds))))
 
     return df.withColumn("model", run(text))
 

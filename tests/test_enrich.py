@@ -172,3 +172,16 @@ def test_names_of_texts_are_found_in_arrow_buffers(spark, monkeypatch):
         5: [("NEW YORK", "GPE"), ("NEW YORK City", "LOC"), ("YORK", "GPE"), ("YORK", "ORG"), *york],
     }
     assert got == sorted((i, n, label) for i, tags in want.items() for n, label in tags)
+
+
+def test_models_get_bounded_slices_of_a_batch(spark):
+    def rate(texts):
+        return pd.DataFrame({"label": [str(n) for n in texts.str.len()], "score": float(texts.str.len().sum())})
+
+    df = spark.range(0, 45, 1, 1).select("id", F.when(F.col("id") % 9 == 4, None).otherwise(F.repeat(F.lit("ä"), F.lit(50_000) + F.col("id").cast("int"))).alias("text"))
+    df = df.unionByName(spark.range(45, 46).select("id", F.repeat(F.lit("b"), F.lit(3_000_000)).alias("text"))).coalesce(1)
+    got = E.score_texts(df.where("text is not null"), F.col("text"), rate, "label string, score double").select("id", "model.*").collect()
+    assert {r.id: r.label for r in got} == {i: str(50_000 + i) for i in range(45) if i % 9 != 4} | {45: "3000000"}
+    assert all(r.score <= E.MODEL_BYTES / 2 for r in got if r.id < 45)
+    odd = E.score_texts(spark.createDataFrame([(1, None), (2, ""), (3, "abc")], "id long, text string").coalesce(1), F.col("text"), lambda t: pd.DataFrame({"n": t.fillna("none").str.len()}), "n long")
+    assert {r.id: r.model.n for r in odd.collect()} == {1: 4, 2: 0, 3: 3}
