@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.text import or_empty
+from corpuswatch.session import dealt
 
 NODE_COLUMNS, EDGE_COLUMNS = ["id", "label", "props"], ["src", "dst", "type", "weight", "props"]
 
@@ -100,8 +101,19 @@ def category_pairs(df: DataFrame, categories: str = "categories") -> DataFrame:
     return df.select(F.inline(list_pairs(F.col(categories))))
 
 
-def co_occurrence(pairs: DataFrame, edge_type: str) -> DataFrame:
-    """Weighted edges from co-occurrence pairs; counts combine before the shuffle."""
+def n_pairs(lists: DataFrame, keys: str = "entity_keys") -> int:
+    """How many pairs ``entity_pairs`` makes of lists, from their sizes."""
+    size = F.size(keys).cast("long")
+    return int(lists.agg(F.sum(F.when(size > 1, size * (size - 1) / 2))).first()[0] or 0)
+
+
+def co_occurrence(pairs: DataFrame, edge_type: str, n: int | None = None) -> DataFrame:
+    """Weighted edges from co-occurrence pairs; counts combine before the shuffle.
+
+    With ``n``, the number of pairs, they are dealt by pair first, so that the counts that a task holds do not grow with the table: for pairs that
+    hardly repeat within a task.
+    """
+    pairs = pairs if n is None else dealt(pairs, n, "src", "dst")
     counted = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     return counted.withColumn("type", F.lit(edge_type))
 
@@ -109,7 +121,7 @@ def co_occurrence(pairs: DataFrame, edge_type: str) -> DataFrame:
 def basket_lists(baskets: DataFrame, first: int | None = None) -> DataFrame:
     """Rows (article, pos, entity_key) to the entity keys per article in list order, or only its ``first`` ones."""
     rank = F.row_number().over(Window.partitionBy("article").orderBy("pos", "entity_key"))
-    early = baskets.withColumn("_rank", rank)
+    early = dealt(baskets, baskets.count(), "article").withColumn("_rank", rank)
     early = early if first is None else early.where(F.col("_rank") <= first)
     keys = F.array_sort(F.collect_list(F.struct("_rank", "entity_key")))
     return early.groupBy("article").agg(F.transform(keys, lambda x: x["entity_key"]).alias("entity_keys"))

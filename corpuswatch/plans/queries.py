@@ -776,8 +776,8 @@ def cluster_graph_links(spark, sf):
 
 
 def _basket_edges(spark, sf) -> DataFrame:
-    lists = H.basket_lists(A.baskets_from_lineitem(spark, sf))
-    return H.co_occurrence(H.entity_pairs(lists), "RELATES_TO")
+    lists = stored(H.basket_lists(A.baskets_from_lineitem(spark, sf)), "baskets")
+    return H.co_occurrence(H.entity_pairs(lists), "RELATES_TO", H.n_pairs(lists))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,20 @@ def clock_bound(df: DataFrame, ts: str, as_of=None, back: str = "INTERVAL 0 SECO
     return df.select((F.max(ts) - F.expr(back)).alias("bound")).scalar()
 
 
+#: Rows that a task sorts or hashes in memory after a shuffle, on average.
+TASK_ROWS = 400_000
+
+
+def parts_for(spark: SparkSession, n_rows: int) -> int:
+    """Partitions that keep a task near ``TASK_ROWS`` rows however large the table is; no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(n_rows / TASK_ROWS))
+
+
+def dealt(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` before they are grouped or ranked; the settings of a session give a number that does not follow the rows."""
+    return df.repartition(parts_for(df.sparkSession, n_rows), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the scan has fewer splits than there are cores (few, small files).
 
