@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswatch.functions.text import head, or_empty
-from corpuswatch.session import stored
+from corpuswatch.session import dealt, parts_for, stored
 
 
 #: Fixed value: characters of the content that the analysed system hashes.
@@ -45,10 +45,12 @@ def with_time_rank(df: DataFrame, ts: str, tie: str, keys: list[str] | None = No
     all rows meets in one task; only rows alike in all three do, and their order among themselves is left open.
     """
     keys = keys or []
-    ranged = stored(df.repartitionByRange(*keys, ts, tie).withColumn("_range", F.spark_partition_id()), "ranges")
+    n = df.count()
+    # Four ranges for each task that ranks them, so that those which meet in one differ little in all.
+    ranged = stored(df.repartitionByRange(parts_for(df.sparkSession, 4 * n), *keys, ts, tie).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(ts, tie))
-    ranked = join_rows(ranged.withColumn("_place", within), offsets, [*keys, "_range"], "inner")
+    ranked = join_rows(dealt(ranged, n, *keys, "_range").withColumn("_place", within), offsets, [*keys, "_range"], "inner")
     return ranked.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(out))

@@ -1,4 +1,6 @@
 import datetime as dt
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -206,3 +208,34 @@ def test_best_of_a_block_scores_few_candidates_in_double_precision(monkeypatch):
     floor = np.array([want[i][2][1] for i in queries])
     kept = rows(V._best_of_block(queries, q, block, 5, floor))
     assert all(kept[i][:3] == got[i][:3] for i in kept)
+
+
+def test_tasks_follow_the_rows_of_a_table(spark, monkeypatch):
+    """Ranks, batches, links and counted pairs are dealt by their number of rows, whatever number of partitions the session has."""
+    from corpuswatch import session
+    from corpuswatch.operators import clusters as C
+
+    def tasks(df):
+        df.collect()
+        return max(map(int, re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())))
+
+    def made(n):
+        lists = spark.range(n).select(F.transform(F.sequence(F.lit(0), F.col("id") % 4), lambda i: (i * 7 + F.col("id") % 5).cast("string")).alias("entity_keys"))
+        return lists, H.co_occurrence(H.entity_pairs(lists), "R", H.n_pairs(lists))
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    lists, counted = made(2000)
+    want = Counter((x, y) for r in lists.collect() for i, x in enumerate(r.entity_keys) for y in r.entity_keys[i + 1 :])
+    assert {(r.src, r.dst): r.weight for r in counted.collect()} == want and H.n_pairs(lists) == sum(want.values()) == 5000
+    assert tasks(counted) == 50 and tasks(made(4000)[1]) == 100
+    assert H.n_pairs(lists.limit(0)) == 0 and H.co_occurrence(H.entity_pairs(lists.limit(0)), "R", 0).count() == 0
+
+    events = spark.range(3000).select(F.col("id").cast("string").alias("article_hash"), F.timestamp_seconds(F.col("id") % 900).alias("published_at"))
+    ranked = with_time_rank(events, "published_at", "article_hash")
+    order = sorted((i % 900, str(i)) for i in range(3000))
+    assert [r.article_hash for r in ranked.orderBy("time_rank").collect()] == [name for _, name in order] and tasks(ranked) == 30
+    batched = C.assign_batches(events, 40)
+    assert batched.groupBy("batch_id").count().where("count = 40").count() == 75 and tasks(batched) == 30
+    found = spark.createDataFrame([("c", "R", 0.5, [str(i) for i in range(500)]), ("d", None, 0.9, ["1", "2"]), (None, None, 0.0, None)], "cluster_id string, relationship string, confidence double, events array<string>")
+    links = C.cluster_links(found)
+    assert links.count() == 4 * 500 - 10 + 1 and tasks(links) == 21
