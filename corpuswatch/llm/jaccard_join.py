@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswatch.llm import words as W
@@ -345,6 +345,27 @@ def jaccard_classes(documents: DataFrame, length: int = 5, numerator: int = 80,
     return _classified(documents, length, numerator, denominator).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
 
 
+def _row_key(doc_id: Column, text_key: Column) -> dict[str, Column]:
+    """What tells rows apart, without nulls and in the order in which a class takes its least row."""
+    return {"_unnamed": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_text_key": text_key}
+
+
+ROW = ["_unnamed", "_id", "_text_key"]
+
+
+def _sure_and_unsure(rows: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of the rows that stay for certain, and those that only a join can judge: repeats, and what the bitmaps mix up.
+
+    Each row of ``judged`` (the row key, copies, keeper) is in the bitmap of those that stay, of those that go, or in both if it
+    repeats. A row that only one of them may hold is settled where it is read, so its text meets no shuffle.
+    """
+    hashed = F.xxhash64(*ROW)
+    may_stay = Prefilter.of(judged.where("keeper"), hashed).may_hold(hashed)
+    may_go = Prefilter.of(judged.where("keeper is null or copies > 1"), hashed).may_hold(hashed)
+    some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.where(~some | (may_stay & ~may_go)), rows.where(some & may_stay & may_go)
+
+
 def one_per_class(documents: DataFrame, length: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """The rows of ``documents`` that stay when each class keeps one: the least by doc_id (null last), then by a hash of the text.
 
@@ -352,11 +373,13 @@ def one_per_class(documents: DataFrame, length: int = 5, numerator: int = 80, de
     if no row of its class has one. Of rows that repeat doc_id and text one stays. A null, empty or blank text links with
     nothing, so all such rows stay.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    classes = stored(_classified(documents, length, numerator, denominator).where("class is not null").select("class", order.alias("row")), "classes")
-    keepers = classes.groupBy("class").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_keep_id"), F.col("row.text_key").alias("_keep_text"))
-    some = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = _classified(documents, length, numerator, denominator).where("class is not null")
+    classes = stored(named.withColumns(_row_key(F.col("doc_id"), F.col("text_key"))).select("class", *ROW), "classes")
+    keepers = classes.groupBy("class").agg(F.min(F.struct(*ROW)).alias("row")).select("row.*", F.lit(True).alias("keeper"))
+    judged = stored(classes.groupBy(*ROW).agg(F.count("*").alias("copies")).join(keepers, ROW, "left"), "judged")
     plain, restored = veiled(documents, ("doc_id", "text"))
-    rows = plain.where(some).withColumn("_text_key", F.xxhash64("text"))
-    kept = rows.join(keepers, (rows["_text_key"] == keepers["_keep_text"]) & rows["doc_id"].cast("bigint").eqNullSafe(keepers["_keep_id"]), "left_semi")
-    return restored(kept.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(plain.where(~some)))
+    rows = plain.withColumns(_row_key(F.col("doc_id").cast("bigint"), F.xxhash64("text")))
+    sure, unsure = _sure_and_unsure(rows, judged)
+    # Repeats go first, and before the shuffle as well as after it; the join then finds the rows dealt by its own key.
+    settled = unsure.dropDuplicates(ROW).join(judged.where("keeper").select(*ROW), ROW, "left_semi")
+    return restored(sure.unionByName(settled))

@@ -8,8 +8,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 1 << 24
 
@@ -37,3 +39,12 @@ class Prefilter:
     def holds(table: np.ndarray, values: np.ndarray) -> np.ndarray:
         at = values.astype(np.uint64) & np.uint64(BITS - 1)
         return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def may_hold(self, value: Column) -> Column:
+        """False only where a long is none of those that the bitmap was made of; the other columns of the row stay where they are."""
+
+        @F.arrow_udf(T.BooleanType())
+        def held(values: pa.Array) -> pa.Array:
+            return pa.array(self.holds(self.table(), values.to_numpy(zero_copy_only=False)))
+
+        return held(value)

@@ -1,6 +1,7 @@
 """The join against all pairs, also with every tile cut into blocks; components against union-find."""
 
 import random
+from pathlib import Path
 
 import brute as B
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuswatch.llm import jaccard_join as J
 from corpuswatch.llm.components import components
+from corpuswatch.llm.prefilter import BITS
 
 
 def check(spark, rows, **parameters):
@@ -129,6 +131,37 @@ def test_one_per_class_judges_rows(spark):
     assert sorted(got, key=repr) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5], rows[6]], key=repr)
 
 
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_one_per_class_leaves_texts_where_they_are(spark):
+    """Five of 155 rows repeat; the texts of the others meet no shuffle, neither of those that stay nor of those that go."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(100):
+        words = [rng.randbytes(900).hex() for _ in range(12)]
+        rows.append((2 * i, " ".join(words)))
+        if i % 2:
+            rows.append((2 * i + 1, " ".join(words)))
+    rows += rows[:5]
+    before = shuffle_files(spark)
+    kept = J.one_per_class(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    written = sum(size for f, size in shuffle_files(spark).items() if f not in before)
+    assert sorted(map(tuple, kept)) == sorted({r for r in rows if r[0] % 2 == 0})
+    assert written < sum(len(text) for _, text in rows) / 4
+
+
+def test_one_per_class_with_full_bitmaps(spark, awkward, monkeypatch):
+    """The join alone settles every row when the bitmaps know nothing."""
+    wanted = sorted(map(tuple, J.one_per_class(awkward).select("doc_id", "text").collect()), key=B.key)
+    full = J.Prefilter(spark.sparkContext.broadcast(b"\xff" * (BITS // 8)))
+    monkeypatch.setattr(J.Prefilter, "of", staticmethod(lambda df, value: full))
+    assert sorted(map(tuple, J.one_per_class(awkward).select("doc_id", "text").collect()), key=B.key) == wanted
+    test_one_per_class_judges_rows(spark)
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 200)] + [(500 + rng.randrange(80), 500 + rng.randrange(80)) for _ in range(60)]
