@@ -5,7 +5,7 @@
    ``n (1 - t) / t`` elements (n: either size), so of the first that many plus two non-empty segments at least two are the same in
    both. A tile is (band, segment, content of the segment); a set enters a tile for each of those segments, and also the
    tiles of the next band if a partner may be there. Small bands use each element as a segment of its own.
-3. Tiles of one node are dropped. Small tiles give their pairs, and those met in two of them are candidates. In a large tile
+3. Tiles of one node are dropped: tile keys and nodes meet as packed pairs of eight bytes, each node once. Small tiles give their pairs, and those met in two of them are candidates. In a large tile
    each member is first compared with the tile's least node; then components are built, and large tiles that still hold several
    are compared pair by pair inside a task, as a grid of blocks, so that no pair is written unless its bitmaps allow a link.
    A tile with more blocks than its members have other tiles is first split by those, since linked pairs share two.
@@ -18,6 +18,7 @@ are left and whose differences then hit all of them: below 1e-15 per document).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,13 @@ from corpuswatch.llm import words as W
 from corpuswatch.llm.arrow_rows import veiled
 from corpuswatch.llm.components import components
 from corpuswatch.llm.prefilter import Prefilter
-from corpuswatch.llm.tables import stored
+from corpuswatch.llm.tables import discard, stored
 
 #: First size of each band. Below the second, every shingle is a segment of its own.
 BAND_EDGES = np.array([1, 48, *np.unique(np.round(116 * 2.4 ** np.arange(0, 24)).astype(np.int64))])
 SHINGLES_PER_SEGMENT = 2.5
+#: Pairs of a tile's key and a node that a task holds before it packs them; pairs of one part, on average; bits of a node in a pair.
+PAIRS_HELD, PART_PAIRS, NODE_BITS = 300_000, 500_000, 36
 #: Members of a tile whose pairs are written out, at most 15 for each of its members.
 SMALL_TILE = 32
 #: Members times shingles of the largest member that one block of a tile holds: bounds a task's bit matrix to 25 MB.
@@ -112,33 +115,104 @@ def may_link(n_a, n_b, filled_a, filled_b, common, similar: float):
     return most * (1 + similar) >= similar * (n_a + n_b) - 1e-9
 
 
-def _sets(similar: float, length: int):
+def _sets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch, "text"):
                 values, first = W.shingle_sets(W.words_of(part.column("text")), length)
-                keys, at = tile_keys(values, first, similar)
                 bits = [bitmap(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()), part.column("text_key"), pa.array(W.signed(nodes_of(values, first))), pa.array(np.diff(first), pa.int32()),
-                        pa.array(bits, pa.binary()), W.lists(W.signed(keys), at, pa.int64()),
+                        pa.array(bits, pa.binary()),
                     ],
-                    ["doc_id", "text_key", "node", "n", "bits", "tiles"],
+                    ["doc_id", "text_key", "node", "n", "bits"],
                 )
 
     return run
 
 
+def pack(pairs: np.ndarray) -> bytes:
+    """Sorted pairs; bytes of a rank stand together, so the first ones, those of the keys, compress well."""
+    return np.sort(pairs).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
+def _wanted_sets(part: pa.RecordBatch, length: int, wanted: Prefilter, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shingles, where each set begins, nodes, and which sets are not empty and may be those that speak for their node."""
+    values, first = W.shingle_sets(W.words_of(part.column("text")), length)
+    node = nodes_of(values, first)
+    doc = part.column("doc_id").cast(pa.int64()).fill_null(2**63 - 1).to_numpy(zero_copy_only=False)
+    return values, first, node, np.flatnonzero((np.diff(first) > 0) & wanted.holds(seen, node ^ doc.view(np.uint64)))
+
+
+def _packed_tiles(similar: float, length: int, shift: int, low: int, wanted: Prefilter):
+    """Rows (part, pairs): tile keys dealt by their first ``shift`` bits; a pair of 64 bits holds the next ones of the key and the ``low`` last of the node."""
+    below = np.uint64(low)
+
+    def blocks(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.argsort(key)
+        key, node = key[order], node[order] & np.uint64((1 << low) - 1)
+        parts = (key >> np.uint64(64 - shift)).astype(np.int32)
+        pairs = ((key << np.uint64(shift)) >> below << below) | node
+        edges = np.flatnonzero(np.diff(parts, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(parts[edges]), pa.array([pack(x) for x in np.split(pairs, edges[1:])], pa.binary())], ["part", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, nodes, held = wanted.table(), [], [], 0
+        for batch in batches:
+            for part in W.chunks(batch, "text"):
+                values, first, node, keep = _wanted_sets(part, length, wanted, seen)
+                size = np.diff(first)[keep]
+                key, at = tile_keys(values[_ranges(first[keep], size)], np.concatenate([[0], np.cumsum(size)]), similar)
+                keys.append(key)
+                nodes.append(np.repeat(node[keep], np.diff(at, append=len(key))[: len(keep)]))
+                held += len(key)
+                if held >= PAIRS_HELD:
+                    yield blocks(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield blocks(keys, nodes)
+
+    return run
+
+
+def _shared_tiles(low: int):
+    """Over rows (part, pairs): rows (key, low, size) of the tiles that hold several nodes; a part is settled where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                held.setdefault(part, []).append(unpack(block))
+        for part in sorted(held):
+            pairs = np.concatenate(held.pop(part))
+            pairs.sort()
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            key = pairs >> np.uint64(low)
+            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(edges, append=len(key))
+            size = np.repeat(size, size).astype(np.int32)
+            pairs, key, size = (x[size > 1] for x in (pairs, key, size))
+            key = (np.int64(part) << np.int64(64 - low)) | key.astype(np.int64)
+            node = (pairs & np.uint64((1 << low) - 1)).astype(np.int64)
+            for at in range(0, len(key), 100_000):
+                cut = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(node[cut]), pa.array(size[cut])], ["key", "low", "size"])
+
+    return run
+
+
 def _elements(length: int, wanted: Prefilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = wanted.table()
         for batch in batches:
             for part in W.chunks(batch, "text"):
-                values, first = W.shingle_sets(W.words_of(part.column("text")), length)
-                node = nodes_of(values, first)
-                doc = part.column("doc_id").cast(pa.int64()).fill_null(2**63 - 1).to_numpy(zero_copy_only=False)
-                keep = np.flatnonzero((np.diff(first) > 0) & wanted.holds(seen, node ^ doc.view(np.uint64)))
+                values, first, node, keep = _wanted_sets(part, length, wanted, seen)
                 size = np.diff(first)[keep]
                 flat = values[_ranges(first[keep], size)]
                 yield pa.RecordBatch.from_arrays(
@@ -226,15 +300,22 @@ def _paired(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
+def _only(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """``nodes`` with few others than those of ``named``, chosen where they are read: a join would shuffle the bitmaps of all."""
+    return nodes.where(Prefilter.of(named, F.col("node")).may_hold(F.col("node")))
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, source: DataFrame, length: int, numerator: int, denominator: int) -> DataFrame:
-    """Those of the pairs that are links: bitmap bound first; whole arrays, made anew from the texts, for the nodes of what passes."""
+    """Those of the (stored) pairs that are links: bitmap bound first; whole arrays, made anew from the texts, for the nodes of what passes."""
     passed = stored(_paired(pairs, nodes, ["n", "bits"]).mapInArrow(_bounded(numerator / denominator), "a long, b long"), "bounded")
     named = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = nodes.select("node", "rep").join(named, "node", "left_semi")
     wanted = Prefilter.of(chosen, F.col("node").bitwiseXOR(F.col("rep")))
     elements = source.mapInArrow(_elements(length, wanted), "node long, elements array<bigint>")
     elements = stored(elements.join(named, "node", "left_semi").dropDuplicates(["node"]), "elements")
-    return stored(_paired(passed, elements, ["elements"]).mapInArrow(_exact(numerator, denominator), "a long, b long"), "links")
+    links = stored(_paired(passed, elements, ["elements"]).mapInArrow(_exact(numerator, denominator), "a long, b long"), "links")
+    discard(passed, elements)
+    return links
 
 
 def _labelled(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,6 +356,22 @@ def _places(open_members: DataFrame, small: DataFrame, similar: float) -> DataFr
     return stored(whole.join(cut, "key", "left_anti").unionByName(split), "places")
 
 
+def _members(source: DataFrame, nodes: DataFrame, similar: float, length: int) -> DataFrame:
+    """Rows (key, node, size) of the tiles that several nodes share; size is the same for all rows of a key.
+
+    Each tile of a node meets the others as eight bytes: bits of its key within a part of all keys, and the last ``NODE_BITS`` of the node. The
+    few nodes and keys that are alike in these share tiles that they need not; what links is decided later, so that adds candidates only.
+    """
+    spark = source.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = nodes.agg(F.sum(F.col("n") * F.lit((1 - similar) / similar) + 2)).first()[0] or 0
+    shift = max(1, math.ceil(math.log2(max(4 * partitions, 1.25 * shingles / PART_PAIRS))))
+    wanted = Prefilter.of(nodes, F.col("node").bitwiseXOR(F.col("rep")))
+    packed = source.mapInArrow(_packed_tiles(similar, length, shift, NODE_BITS, wanted), "part int, pairs binary")
+    shared = packed.repartition(max(partitions, 2**shift // 4), "part").mapInArrow(_shared_tiles(NODE_BITS), "key long, low long, size int")
+    return shared.join(nodes.select("node", F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("low")), "low").select("key", "node", "size")
+
+
 def _classified(documents: DataFrame, length: int, numerator: int, denominator: int) -> DataFrame:
     """Rows (doc_id, text_key, n, class, component_id), one for each row: class is null for an empty set, which links with nothing."""
     if 2 * numerator <= denominator:
@@ -282,20 +379,16 @@ def _classified(documents: DataFrame, length: int, numerator: int, denominator:
     spark = documents.sparkSession
     similar = numerator / denominator
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    sets = stored(source.mapInArrow(_sets(similar, length), "doc_id long, text_key long, node long, n int, bits binary, tiles array<bigint>"), "tiles")
-    docs = sets.select("doc_id", "text_key", "node", "n")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = sets.select("node", F.explode("tiles").alias("key")).repartition(partitions, "key")
-    shared = tiles.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    members = stored(tiles.join(shared.drop("last"), "key").select("key", "node", "lead").distinct(), "members")
-    large = F.col("size") > SMALL_TILE
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    large_members = stored(members.join(sizes.where(large).select("key"), "key"), "large")
-
+    sets = stored(source.mapInArrow(_sets(length), "doc_id long, text_key long, node long, n int, bits binary"), "sets")
     known = sets.where("n > 0").select("node", "n", "bits", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"))
     nodes = stored(known.groupBy("node").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    docs = stored(sets.select("doc_id", "text_key", "node", "n"), "docs")
+    discard(sets)
 
-    small_members = members.join(sizes.where(~large).select("key"), "key").select("key", "node")
+    members = stored(_members(source, nodes, similar, length), "members")
+    large = members.where(F.col("size") > SMALL_TILE)
+    large_members = stored(large.join(large.groupBy("key").agg(F.min("node").alias("lead")), "key").select("key", "node", "lead"), "large")
+    small_members = members.where(F.col("size") <= SMALL_TILE).select("key", "node")
     small = small_members.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     pairs = F.flatten(F.transform("nodes", lambda a, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     met_twice = small.select(F.explode(pairs).alias("pair")).groupBy("pair.a", "pair.b").agg(F.count("*").alias("tiles")).where("tiles > 1")
@@ -306,6 +399,8 @@ def _classified(documents: DataFrame, length: int, numerator: int, denominator:
     # What is left are pairs of members of different components in tiles that still hold several.
     open_members = stored(labelled.join(_open_tiles(labelled, similar), "key"), "open")
     places = _places(open_members, small_members, similar)
+    near = stored(_only(nodes, places), "near")
+    discard(nodes)
     seen_in = places.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("tiles"))
     placed = (
         places
@@ -314,13 +409,14 @@ def _classified(documents: DataFrame, length: int, numerator: int, denominator:
         .select("key", "node", "component", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col"))
     )
     member = F.struct("node", "component", "n", "bits", "tiles", (F.col("block") != F.col("row")).cast("int").alias("side"))
-    sketches = nodes.select("node", "n", "bits").join(seen_in, "node")
+    sketches = near.select("node", "n", "bits").join(seen_in, "node")
     met = placed.join(sketches, "node").groupBy("key", "row", "col").agg(F.collect_list(member).alias("members"))
     open_pairs = (
         met.select("key", (F.col("row") == F.col("col")).alias("same"), "members").mapInArrow(_compared(similar), "a long, b long")
         .distinct().join(candidates, ["a", "b"], "left_anti")
     )
-    more = _links(open_pairs, nodes, source, length, numerator, denominator)
+    more = _links(stored(open_pairs, "pairs"), near, source, length, numerator, denominator)
+    discard(near)
     component = components(links.unionByName(more))
 
     ids = docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(component, "node", "left")

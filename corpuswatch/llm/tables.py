@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuswatch.session import scratch_path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below spark.checkpoint.dir and read back: short lineage, column pruning, safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from corpuswatch.session import discard, stored  # noqa: F401  written once below spark.checkpoint.dir, safe from lost executors
 
 
 def running(df: DataFrame, order: list[Column], weight: Column, within: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's switch for shuffle files that go when the query that wrote them ends, not when the driver next collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind: for those whose result is stored, so that nothing reads them again."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE)
+        else:
+            spark.conf.set(RELEASE, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet below the shared folder and read back: short lineage, columns pruned on reading."""
+    """``df`` written once as Parquet below the shared folder and read back: short lineage, columns pruned on reading, no shuffle files left."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more, neither a result nor a table that is not stored itself."""
+    for table in tables:
+        jvm, files = table.sparkSession._jvm, table.inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared checkpoint folder."""
     tag = spark.range(1).select(F.expr("uuid()")).first()[0]

@@ -1,6 +1,7 @@
 """The join against all pairs, also with every tile cut into blocks; components against union-find."""
 
 import random
+import time
 from pathlib import Path
 
 import brute as B
@@ -133,7 +134,47 @@ def test_one_per_class_judges_rows(spark):
 
 def shuffle_files(spark):
     dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
-    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data") if f.exists()}
+
+
+def test_steps_leave_no_shuffle_files_and_few_tables(spark):
+    """What a step has shuffled goes when its table is written, and tables go when nothing reads them any more."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(60)]
+    rows = [(i, f"{texts[i % 60]} {'more' * (i // 60)}") for i in range(120)]
+    root, before = Path(J.stored(spark.range(1), "probe").inputFiles()[0].removeprefix("file://")).parent.parent, shuffle_files(spark)
+    known = set(root.iterdir())
+    result = J.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for _ in range(50):
+        left = sum(size for f, size in shuffle_files(spark).items() if f not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.1)
+    assert left < 20_000, "more than a few counts"
+    assert not {"sets", "tiles", "bounded", "elements"} & {p.name.partition("-")[0] for p in set(root.iterdir()) - known}
+    assert {r.doc_id: r.component_id for r in result.collect()} == {i: i % 60 for i in range(120)}
+
+
+def test_shared_tiles_are_those_of_plain_keys():
+    """Blocks of packed pairs give the tiles of several nodes, however the pairs are cut into blocks."""
+    rng = J.np.random.default_rng(6)
+    keys, nodes = rng.integers(0, 300, 2_000), rng.integers(0, 50, 2_000)
+    pairs = (keys.astype("u8") << J.np.uint64(36)) | nodes.astype("u8")
+    blocks = [J.pack(x) for x in J.np.array_split(pairs, 7)]
+    assert sorted(x for b in blocks for x in J.unpack(b)) == sorted(pairs)
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 7, pa.int32()), pa.array(blocks, pa.binary())], ["part", "pairs"])
+    got = sorted((r["key"], r["low"], r["size"]) for b in J._shared_tiles(36)(iter([batch])) for r in b.to_pylist())
+    tiles = {k: {n for j, n in zip(keys, nodes) if j == k} for k in set(keys)}
+    assert got == sorted(((3 << 28) + k, n, len(t)) for k, t in tiles.items() if len(t) > 1 for n in t)
+
+
+@pytest.mark.parametrize("bits", [5, 52])
+def test_nodes_and_keys_alike_in_what_travels(spark, awkward, monkeypatch, bits):
+    """Pairs with too few bits of the node or of the key add candidates and take no link."""
+    monkeypatch.setattr(J, "NODE_BITS", bits)
+    test_every_size_around_the_threshold(spark)
+    got = sorted(map(tuple, J.jaccard_classes(awkward).collect()), key=B.key)
+    assert got == sorted(B.classes([r[:2] for r in B.awkward_rows()]), key=B.key)
 
 
 def test_one_per_class_leaves_texts_where_they_are(spark):
