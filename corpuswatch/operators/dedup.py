@@ -26,7 +26,7 @@ from corpuswatch.functions.fingerprints import band_keys, hamming, jaccard, minh
 from corpuswatch.functions.text import computed_once, head, or_empty, words
 from corpuswatch.operators.fingerprint_tiles import first_fingerprints
 from corpuswatch.operators.identity import first_per_key, join_rows
-from corpuswatch.session import cut_lineage, stored
+from corpuswatch.session import broadcast_if_small, cut_lineage, stored
 
 # Thresholds and memory of the three layers.
 EXACT_TTL_SECONDS = 7 * 86400
@@ -356,13 +356,20 @@ def _simhash_layer(narrow, max_distance, mode, blocks, hot_limit, keep, ttl_seco
     return _survivors(narrow, "simhash", keep_first(found, match, keep), ts, tie)
 
 
-def _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie) -> DataFrame:
+def _minhash_layer(narrow, min_sim, verify, hot_limit, keep, ts, tie, words=None) -> DataFrame:
+    """Rows of ``narrow`` that stay; ``words`` (_set, _words), where ``narrow`` has no ``_words``. Only sets that share a band with another need theirs."""
+
     def match(a: Column, b: Column) -> Column:
         return jaccard(a, b) >= min_sim
 
-    items = cut_lineage(word_set_items(narrow, ts, tie))
-    members = bucket_members(items, F.col("_bands"))
+    first = first_per_key(narrow.select("_set", ts, tie, "_bands"), ["_set"], F.col(ts), F.col(tie))
+    first = cut_lineage(first.select(F.col("_set").alias("id"), _ordered(ts, tie).alias("ord"), "_bands"))
+    members = bucket_members(first, F.col("_bands"))
     if verify:
+        met = broadcast_if_small(members.select("id").distinct())
+        known = (narrow if words is None else words).select(F.col("_set").alias("id"), F.col("_words").alias("payload"))
+        known = known.join(met, "id", "left_semi").dropDuplicates(["id"])
+        items = cut_lineage(known.join(first.select("id", "ord"), "id").select("id", "ord", "payload"))
         dropped = keep_first(split_candidates(members, items, match, hot_limit, lambda rows: rarest_words(rows, min_sim)), match, keep)
     else:
         dropped = keep_first_by_bucket(members)

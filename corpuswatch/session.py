@@ -32,7 +32,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with released(df.sparkSession):
+        # A query looks at the switch when it is made, so this one is made here.
+        return df.select("*").checkpoint(eager=True)
 
 
 #: Spark's switch for shuffle files that go when the query that wrote them ends, not when the driver next collects garbage.

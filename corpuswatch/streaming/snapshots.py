@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuswatch.session import released
+
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    with released(df.sparkSession):
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def read_snapshot(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:

@@ -1,6 +1,8 @@
 """Streams over several micro-batches agree with the batch operators."""
 
 import datetime as dt
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from corpuswatch.operators import trends as R
 from corpuswatch.operators.tables import to_fact_rows
 from corpuswatch.plans import fixtures as X
 from corpuswatch.plans import streams as P
+from corpuswatch.session import stored
 from corpuswatch.sources import adapters as A
 from corpuswatch.streaming import ingest as I
 from corpuswatch.streaming import jobs as S
@@ -57,6 +60,31 @@ def test_near_dedup_retry_changes_nothing(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "kept")).count() == once
 
 
+def test_near_dedup_of_rows_alike_and_without_a_time(spark, docs, tmp_path):
+    """Rows alike in hash, time and url come out once, null times are times, and a batch leaves neither shuffles nor tables behind."""
+    timeless = docs.withColumn("crawled_at", F.when(F.hash("url") % 3 != 0, F.col("crawled_at")))
+    rows = timeless.unionByName(timeless.limit(20)).cache()
+    want = sorted(r["url"] for r in D.dedup_minhash(D.dedup_exact(rows)).collect())
+    root, before = Path(stored(spark.range(1), "probe").inputFiles()[0].removeprefix("file://")).parent.parent, shuffled(spark)
+    tables = set(root.iterdir())
+    S.near_dedup_batch(str(tmp_path / "t"))(rows, 0)
+    for _ in range(50):
+        left = sum(size for f, size in shuffled(spark).items() if f not in before)
+        if left < 50_000:
+            break
+        time.sleep(0.1)
+    assert left < 50_000, "more than a few counts"
+    assert not {"words", "fresh", "kept"} & {p.name.partition("-")[0] for p in set(root.iterdir()) - tables}
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "t" / "kept")).collect()) == want
+    ids = [{r[0] for r in spark.read.parquet(str(tmp_path / "t" / name)).select("set_id").collect()} for name in ("bands", "sets")]
+    assert ids[0] == ids[1] and len(ids[0]) == len(want)
+
+
+def shuffled(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data") if f.exists()}
+
+
 def test_layered_dedup_retry_changes_nothing(spark, docs, tmp_path):
     step = S.layered_dedup_batch(str(tmp_path / "t"), exact_ttl_seconds=None)
     cut = dt.datetime(2024, 1, 1, 1, 40)
